@@ -39,7 +39,10 @@ def digest_state(spark: SparkSession, path: str) -> DataFrame:
     """Run the streaming aggregation over all files of `path`; one row per digest:
     digest, keep struct(doc_id, path, row_index), group_size."""
     conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            # small stores take the disk that they fill, and are closed when a task has committed
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in conf}
     where = fresh_path(spark, "exact-dedup")
     for k, v in conf.items():
