@@ -21,31 +21,36 @@ from .shared import table
 DEPTH, SEGMENTS, MIN_WILD = 3, 4, 8
 
 
-def template_keys(line: Column) -> Column:
-    """Array of struct(k1, k2), one for each template that the line can belong to; null if blank."""
-    masked = F.regexp_replace(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\S*\d\S*", "<*>")
-    tokens = F.split(masked, r"\s+")
+def masked(line: Column) -> Column:
+    """The tokens of a line, each with a digit as <*>, joined by single spaces; empty if blank."""
+    w = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+    w = F.when(w.rlike(r"[\t\x0b\f\r]|  "), F.regexp_replace(w, r"\s+", " ")).otherwise(w)
+    return F.when(w.rlike(r"\d"), F.regexp_replace(w, r"(?<!\S)[^\s\d]*+\d\S*", "<*>")).otherwise(w)
 
-    def of(tokens: Column) -> Column:
-        n = F.size(tokens)
 
-        def key(kind: int, *parts: Column) -> Column:
-            return F.struct(*(F.xxhash64(F.lit(seed), n, F.lit(kind), *parts).alias(k) for k, seed in (("k1", 1), ("k2", 2))))
+def template_keys(w: Column, n: Column) -> Column:
+    """masked text of n tokens -> array of struct(k1, k2), one for each template that it can belong to."""
 
-        def bound(s: int) -> Column:
-            return F.lit(DEPTH) + F.floor((n - DEPTH) * s / SEGMENTS).cast("int")
+    def key(kind: int, *parts: Column) -> Column:
+        return F.struct(*(F.xxhash64(F.lit(seed), n, F.lit(kind), *parts).alias(k) for k, seed in (("k1", 1), ("k2", 2))))
 
-        wild = [key(s, F.slice(tokens, F.lit(1), bound(s)), F.slice(tokens, bound(s + 1) + 1, n - bound(s + 1))) for s in range(SEGMENTS)]
-        return F.when(n >= MIN_WILD, F.array(key(SEGMENTS, tokens), *wild)).otherwise(F.array(key(SEGMENTS, tokens)))
+    def bound(s: int) -> Column:
+        return F.lit(DEPTH) + F.floor((n - DEPTH) * s / SEGMENTS).cast("int")
 
-    # the tokens are computed once and named by a lambda
-    return F.when(line.rlike(r"\S"), F.element_at(F.transform(F.array(tokens), of), 1))
+    def tokens(count: Column) -> Column:  # the first tokens, or the last if negative
+        return F.call_function("substring_index", w, F.lit(" "), count)
+
+    whole = key(SEGMENTS, w)
+    wild = [key(s, tokens(bound(s)), tokens(bound(s + 1) - n)) for s in range(SEGMENTS)]
+    return F.when(n >= MIN_WILD, F.array(whole, *wild)).otherwise(F.array(whole))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, dropped: array of the positions (from 0) of the lines to drop; only where some are."""
     lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", F.explode(template_keys(F.col("line"))).alias("k")).select("doc_id", "pos", "k.k1", "k.k2")
+    lines = lines.select("doc_id", "pos", masked(F.col("line")).alias("w")).where("w != ''")
+    lines = lines.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
+    keys = lines.select("doc_id", "pos", F.explode(template_keys(F.col("w"), F.col("n"))).alias("k")).select("doc_id", "pos", "k.k1", "k.k2")
     recurring = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     return (keys.join(recurring, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id")
             .agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
