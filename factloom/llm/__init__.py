@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup
+from . import byte_bpe, chat_format, exact_dedup, line_dedup, packing, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op3_chat_formatting": chat_format.op3_chat_formatting,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
