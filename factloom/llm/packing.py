@@ -12,6 +12,7 @@ Only lengths move, never token ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
@@ -19,7 +20,6 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,40 +28,59 @@ from .shared import cut, table
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed by one task at a time, and the fill from which a bin of the first round is closed.
 BLOCK, CLOSED = 20_000, 0.995
-#: Texts of these characters only are split here; their NFC form is themselves.
-_PLAIN = regex.compile("[\t\n\r -~ -įĲ-ɏ]*")
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts of these characters only are split here: their NFC form is themselves, and white space, letters and
+#: digits are the same to Python and to the library.
+_PLAIN = re.compile("[\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordBPE:
-    """Ids of a tokenizers file. Words of plain texts are looked up, each encoded once by the library."""
+    """Ids of a tokenizers file, as the bytes of little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str, cache: int = 300_000):
+    Merges do not cross white space, so the ids of a plain text are those of its runs between white
+    space. Each run is encoded once by the library, all new runs of a batch in one call; a word's last token is
+    known by its end-of-word mark, which cuts the answer into runs again.
+    """
+
+    def __init__(self, path: str, cache: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._cache: dict[str, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._runs: dict[str, bytes] = {}
         self._most = cache
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, w: str) -> tuple[int, ...]:
-        ids = self._cache.get(w)
-        if ids is None:
-            ids = tuple(self._library(w))
-            if len(self._cache) >= self._most:
-                self._cache.clear()
-            self._cache[w] = ids
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if not _PLAIN.fullmatch(text):
-            return self._library(text)
-        return list(chain.from_iterable(map(self._word, _WORDS.findall(text.lower()))))
+    def _learn(self, new: list[str]) -> None:
+        if len(self._runs) + len(new) > self._most:
+            self._runs.clear()
+        for at in range(0, len(new), 2000):
+            some = new[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            words = np.cumsum([1 if r.isalpha() else len(_WORDS.findall(r)) for r in some])
+            stops = np.nonzero(self._ends[ids])[0][words - 1] + 1
+            raw, last = ids.tobytes(), 0
+            for r, stop in zip(some, (4 * stops).tolist()):
+                self._runs[r] = raw[last:stop]
+                last = stop
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        runs = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in texts]
+        out = []
+        for at in range(0, len(texts), 64):
+            some = runs[at:at + 64]
+            wanted = set(chain.from_iterable(r for r in some if r))
+            self._learn([r for r in wanted if r not in self._runs])
+            if not all(map(self._runs.__contains__, wanted)):  # the cache was emptied in between
+                self._learn([r for r in wanted if r not in self._runs])
+            for t, r in zip(texts[at:at + 64], some):
+                out.append(b"".join(map(self._runs.__getitem__, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes())
+        return out
 
 
 @lru_cache(1)
@@ -76,13 +95,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text, others) -> one row per piece. Null text has the end id only."""
 
     def run(batches):
-        words = load(path)
+        words, end, step = load(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*words.encode(text), END_ID], "<u4")
-                rows.extend((doc_id, k, at, min(capacity, len(ids) - at), zlib.crc32(ids[at:at + capacity].tobytes()))
-                            for k, at in enumerate(range(0, len(ids), capacity)))
+            for doc_id, ids in zip(b["doc_id"], words.encode_all(b["text"].tolist())):
+                ids += end
+                rows.extend((doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at:at + step])) for k, at in enumerate(range(0, len(ids), step)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECES)
