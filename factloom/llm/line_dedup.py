@@ -16,41 +16,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh_path, table
 
 DEPTH, SEGMENTS, MIN_WILD = 3, 4, 8
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line, each with a digit as <*>, joined by single spaces; empty if blank."""
-    w = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-    w = F.when(w.rlike(r"[\t\x0b\f\r]|  "), F.regexp_replace(w, r"\s+", " ")).otherwise(w)
-    return F.when(w.rlike(r"\d"), F.regexp_replace(w, r"(?<!\S)[^\s\d]*+\d\S*", "<*>")).otherwise(w)
+def masked(lines: DataFrame) -> DataFrame:
+    """lines (line, others) with w: its tokens, each with a digit as <*>, joined by single spaces, and
+    n, their number; without blank lines. A step is a column of its own, so that each is computed once."""
+    out = lines.withColumn("w", F.trim("line")).drop("line")
+    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"[\t\r\x0b\f]|  ")), F.trim(F.regexp_replace("w", r"\s+", " "))).otherwise(F.col("w"))).where("w != ''")
+    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"\d")), F.regexp_replace("w", r"(?<!\S)[^\s\d]*+\d\S*", "<*>")).otherwise(F.col("w")))
+    return out.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
 
 
-def template_keys(w: Column, n: Column) -> Column:
-    """masked text of n tokens -> array of struct(k1, k2), one for each template that it can belong to."""
+def template_keys(lines: DataFrame) -> DataFrame:
+    """lines (w, n, others) -> a row for each template that a line can belong to, keys k1 and k2.
 
-    def key(kind: int, *parts: Column) -> Column:
-        return F.struct(*(F.xxhash64(F.lit(seed), n, F.lit(kind), *parts).alias(k) for k, seed in (("k1", 1), ("k2", 2))))
+    Lines of MIN_WILD tokens or more have a key for each part left out; equal lines share them all.
+    """
+    n = F.col("n")
 
     def bound(s: int) -> Column:
         return F.lit(DEPTH) + F.floor((n - DEPTH) * s / SEGMENTS).cast("int")
 
     def tokens(count: Column) -> Column:  # the first tokens, or the last if negative
-        return F.call_function("substring_index", w, F.lit(" "), count)
+        return F.call_function("substring_index", F.col("w"), F.lit(" "), count)
+
+    def key(kind: int, *parts) -> Column:
+        return F.struct(*(F.xxhash64(F.lit(seed), n, F.lit(kind), *parts).alias(k) for k, seed in (("k1", 1), ("k2", 2))))
 
-    whole = key(SEGMENTS, w)
-    wild = [key(s, tokens(bound(s)), tokens(bound(s + 1) - n)) for s in range(SEGMENTS)]
-    return F.when(n >= MIN_WILD, F.array(whole, *wild)).otherwise(F.array(whole))
+    rest = [c for c in lines.columns if c not in ("w", "n")]
+    long = n >= MIN_WILD
+    parts = lines.select(*rest, "w", "n", *[F.when(long, tokens(bound(s))).alias(f"p{s}") for s in range(SEGMENTS)],
+                         *[F.when(long, tokens(bound(s + 1) - n)).alias(f"s{s}") for s in range(SEGMENTS - 1)])
+    wild = [key(s, f"p{s}", *([f"s{s}"] if s < SEGMENTS - 1 else [])) for s in range(SEGMENTS)]
+    return parts.select(*rest, F.explode(F.when(long, F.array(*wild)).otherwise(F.array(key(SEGMENTS, "w")))).alias("k")).select(*rest, "k.k1", "k.k2")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, dropped: array of the positions (from 0) of the lines to drop; only where some are."""
+    """doc_id, dropped: array of the positions (from 0) of the lines to drop; only where some are.
+
+    The keys are read twice, for the statistics and for the lines, so they are written once, as a
+    table in the shared folder.
+    """
     lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", masked(F.col("line")).alias("w")).where("w != ''")
-    lines = lines.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
-    keys = lines.select("doc_id", "pos", F.explode(template_keys(F.col("w"), F.col("n"))).alias("k")).select("doc_id", "pos", "k.k1", "k.k2")
+    path = fresh_path(docs.sparkSession, "line-keys")
+    template_keys(masked(lines)).write.parquet(path)
+    keys = docs.sparkSession.read.schema("doc_id long, pos int, k1 long, k2 long").parquet(path)
     recurring = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     return (keys.join(recurring, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id")
             .agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
@@ -82,7 +95,7 @@ SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM d),
 t AS (SELECT doc_id, pos, regexp_split_to_array(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\S*\d\S*', '<*>', 'g'), '\s+') AS w FROM l WHERE regexp_matches(line, '\S')),
-s AS (SELECT doc_id, pos, w, len(w) AS n, unnest(CASE WHEN len(w) >= 8 THEN [0, 1, 2, 3, 4] ELSE [4] END) AS kind FROM t),
+s AS (SELECT doc_id, pos, w, len(w) AS n, unnest(CASE WHEN len(w) >= 8 THEN [0, 1, 2, 3] ELSE [4] END) AS kind FROM t),
 b AS (SELECT *, 3 + CAST(floor((n - 3) * kind / 4.0) AS INT) AS lo, 3 + CAST(floor((n - 3) * (kind + 1) / 4.0) AS INT) AS hi FROM s),
 k AS (SELECT doc_id, pos, n || ' ' || kind || ' ' || CASE WHEN kind = 4 THEN array_to_string(w, ' ')
         ELSE array_to_string(list_slice(w, 1, lo), ' ') || ' | ' || array_to_string(list_slice(w, hi + 1, n), ' ') END AS key FROM b),
