@@ -35,7 +35,7 @@ NONE = 1 << 40
 
 
 class ByteBPE:
-    def __init__(self, path: str, pattern: str, cache: int = 400_000):
+    def __init__(self, path: str, pattern: str, cache: int = 200_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {r: b for b, r in self.ranks.items()}

@@ -6,7 +6,7 @@ its trigrams, a language the sum of its texts. A text's language is the prototyp
 cosine. Sums are of integers, so prototypes do not depend on the order of rows.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ DIM = 1024
 #: Labelled rows that prototypes are bundled from, in expectation, if there are more.
 SAMPLE = 20_000
 #: Characters that are turned into vectors at once.
-_CHUNK = 500_000
+_CHUNK = 200_000
 _ALPHA: np.ndarray | None = None
 _LETTERS: dict[int, np.ndarray] = {}
 
@@ -72,8 +72,8 @@ def _bundle(texts: list[str], dim: int) -> np.ndarray:
     base = np.stack([_letter(int(c), dim) for c in letters])
     twice, once = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
     out = np.zeros((len(texts), dim), np.float32)
-    for lo in range(0, len(grams), 16_384):
-        g = grams[lo:lo + 16_384]
+    for lo in range(0, len(grams), 4096):
+        g = grams[lo:lo + 4096]
         vec = (twice[g // (k * k)] * once[g // k % k] * base[g % k]).astype(np.float32)
         mine = (at >= lo) & (at < lo + len(g))
         counts = np.bincount(owner[mine] * len(g) + at[mine] - lo, minlength=len(texts) * len(g)).reshape(len(texts), len(g))
@@ -145,23 +145,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     Null text and text without a letter: und, 0. The same without any prototype.
     """
     langs, protos = model
-    drop = [c for c in ("lang_pred", "score") if c in docs.columns]
-    docs = docs.drop(*drop)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
 
-    def run(batches):
-        for b in batches:
-            pred, score = np.full(len(b), "und", object), np.zeros(len(b))
-            if langs and len(b):
-                v = document_vectors(b["text"].tolist(), protos.shape[1])
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            pred, score = np.full(len(text), "und", object), np.zeros(len(text))
+            if langs and len(text):
+                v = document_vectors(text.tolist(), protos.shape[1])
                 norm = np.linalg.norm(v, axis=1)
                 cos = v @ protos.T / np.maximum(norm, 1e-12)[:, None]
                 some = norm > 0
                 pred[some] = np.array(langs, object)[cos.argmax(axis=1)][some]
                 score[some] = np.clip(cos.max(axis=1), 0, 1)[some]
-            yield b.assign(lang_pred=pred, score=score)
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.mapInPandas(run, schema)
+    docs = docs.drop("lang_pred", "score")
+    return docs.withColumn("_language", run("text")).select(*docs.columns, "_language.*")
 
 
 def train_and_predict(docs: DataFrame, keep: list[str]) -> DataFrame:

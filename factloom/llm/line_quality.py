@@ -8,8 +8,7 @@ logistic fit on the training documents turns it into a probability.
 The labels mark documents: in training, every line has its document's label.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -192,18 +191,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
 
 def score(docs: DataFrame, model: LineCRF) -> DataFrame:
     """All columns of docs (text, others) with quality_score. Null text is scored as empty text: one blank line."""
-    docs = docs.drop("quality_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
 
-    def run(batches):
-        for b in batches:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
             out = []
-            for at in range(0, len(b), 256):
-                found = [document_features(t) for t in b["text"].iloc[at:at + 256]]
+            for at in range(0, len(text), 256):
+                found = [document_features(t) for t in text.iloc[at:at + 256]]
                 out.append(probability([x for x, _ in found], [n for _, n in found], model))
-            yield b.assign(quality_score=np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInPandas(run, schema)
+    return docs.withColumn("quality_score", run("text"))
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ class WordBPE:
     known by its end-of-word mark, which cuts the answer into runs again.
     """
 
-    def __init__(self, path: str, cache: int = 900_000):
+    def __init__(self, path: str, cache: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
