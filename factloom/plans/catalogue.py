@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("prices",)
 
 
 def _entries() -> dict[str, tuple]:
