@@ -18,7 +18,7 @@ def shingle_pairs(documents: DataFrame, threshold: float = 0.8, size: int = 5, o
     """
     reps = text_classes(documents).groupBy("rep").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = documents.join(reps, "doc_id", "left_semi").select("doc_id", "source", shingles(F.col("text"), size).alias("s"))
-    sets = rows.select("doc_id", "source", F.size("s").alias("n"), F.explode(F.transform("s", F.xxhash64)).alias("h")).distinct()
+    sets = rows.select("doc_id", "source", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h")).distinct()
     freq = sets.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # shingles of one document only match nothing: they fill the rarest places of the prefix
     shared = sets.join(freq, "h").groupBy("doc_id", "source", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))
