@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame
 
-MODULES: tuple[str, ...] = ("prices",)
+MODULES: tuple[str, ...] = ("prices", "documents", "entities", "evaluation", "records")
 
 
 def _entries() -> dict[str, tuple]:
