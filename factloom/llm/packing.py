@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from codecs import charmap_decode
 from functools import lru_cache
 from itertools import chain
 
@@ -34,6 +35,16 @@ _PLAIN = re.compile("[\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def _byte_chars() -> str:
+    """The character that stands for each byte in a byte-level vocabulary; a space stays the separator."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return "".join(" " if b == 32 else chr(b) if b in own else chr(256 + others.index(b)) for b in range(256))
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordBPE:
     """Ids of a tokenizers file, as the bytes of little-endian unsigned 32-bit numbers.
 
@@ -42,12 +53,15 @@ class WordBPE:
     known by its end-of-word mark, which cuts the answer into runs again.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
+        # the same model without the splitting and the mapping of bytes to characters that are done here
+        self._bare = Tokenizer(self.tokenizer.model)
+        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._runs: dict[str, bytes] = {}
@@ -57,17 +71,27 @@ class WordBPE:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
-        if len(self._runs) + len(new) > self._most:
-            self._runs.clear()
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            words = np.cumsum([1 if r.isalpha() else len(_WORDS.findall(r)) for r in some])
-            stops = np.nonzero(self._ends[ids])[0][words - 1] + 1
+        runs, words = self._runs, {}
+        odd = []  # runs that are not one word: most are a word with a mark behind it
+        for r in new:
+            if r.isalpha():
+                words[r] = None
+            else:
+                parts = _WORDS.findall(r)
+                odd.append((r, parts))
+                for p in parts:
+                    if p not in runs:
+                        words[p] = None
+        some = list(words)
+        for at in range(0, len(some), 4000):
+            part = some[at:at + 4000]
+            ids = np.array(self._bare.encode_batch_fast([charmap_decode(" ".join(part).encode(), "strict", _BYTE_CHARS)[0]], add_special_tokens=False)[0].ids, "<u4")
             raw, last = ids.tobytes(), 0
-            for r, stop in zip(some, (4 * stops).tolist()):
-                self._runs[r] = raw[last:stop]
+            for w, stop in zip(part, ((np.nonzero(self._ends[ids])[0] + 1) * 4).tolist()):
+                runs[w] = raw[last:stop]
                 last = stop
+        for r, parts in odd:
+            runs[r] = b"".join([runs[p] for p in parts])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         runs = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in texts]
@@ -75,9 +99,11 @@ class WordBPE:
         for at in range(0, len(texts), 64):
             some = runs[at:at + 64]
             wanted = set(chain.from_iterable(r for r in some if r))
-            self._learn([r for r in wanted if r not in self._runs])
-            if not all(map(self._runs.__contains__, wanted)):  # the cache was emptied in between
-                self._learn([r for r in wanted if r not in self._runs])
+            new = [r for r in wanted if r not in self._runs]
+            if len(self._runs) + len(new) > self._most:
+                self._runs.clear()
+                new = list(wanted)
+            self._learn(new)
             for t, r in zip(texts[at:at + 64], some):
                 out.append(b"".join(map(self._runs.__getitem__, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes())
         return out
