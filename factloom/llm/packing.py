@@ -18,6 +18,7 @@ from bisect import bisect_left, bisect_right, insort
 from codecs import charmap_decode
 from functools import lru_cache
 from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -49,49 +50,42 @@ class WordBPE:
     """Ids of a tokenizers file, as the bytes of little-endian unsigned 32-bit numbers.
 
     Merges do not cross white space, so the ids of a plain text are those of its runs between white
-    space. Each run is encoded once by the library, all new runs of a batch in one call; a word's last token is
-    known by its end-of-word mark, which cuts the answer into runs again.
+    space, and a run's are those of its words, each encoded by the library's model. Runs are kept in two generations of at most `cache` each: what is used again moves to the younger.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, cache: int = 200_000):
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        # the same model without the splitting and the mapping of bytes to characters that are done here
-        self._bare = Tokenizer(self.tokenizer.model)
-        self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._merge = self.tokenizer.model.tokenize  # of one word, in the characters that stand for its bytes
         self._runs: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._most = cache
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, w: str) -> bytes:
+        ids = [t.id for t in self._merge(w if w.isascii() else charmap_decode(w.encode(), "strict", _BYTE_CHARS)[0])]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
     def _learn(self, new: list[str]) -> None:
-        runs, words = self._runs, {}
-        odd = []  # runs that are not one word: most are a word with a mark behind it
+        runs, old, word = self._runs, self._old.get, self._word
         for r in new:
-            if r.isalpha():
-                words[r] = None
-            else:
-                parts = _WORDS.findall(r)
-                odd.append((r, parts))
-                for p in parts:
-                    if p not in runs:
-                        words[p] = None
-        some = list(words)
-        for at in range(0, len(some), 4000):
-            part = some[at:at + 4000]
-            ids = np.array(self._bare.encode_batch_fast([charmap_decode(" ".join(part).encode(), "strict", _BYTE_CHARS)[0]], add_special_tokens=False)[0].ids, "<u4")
-            raw, last = ids.tobytes(), 0
-            for w, stop in zip(part, ((np.nonzero(self._ends[ids])[0] + 1) * 4).tolist()):
-                runs[w] = raw[last:stop]
-                last = stop
-        for r, parts in odd:
-            runs[r] = b"".join([runs[p] for p in parts])
+            known = old(r)
+            if known is not None:
+                runs[r] = known
+            elif r.isalpha():
+                runs[r] = word(r)
+            else:  # most are a word with a mark behind it
+                out = b""
+                for p in _WORDS.findall(r):
+                    ids = runs.get(p) or old(p)
+                    if ids is None:
+                        ids = runs[p] = word(p)
+                    out += ids
+                runs[r] = out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         runs = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in texts]
@@ -101,8 +95,7 @@ class WordBPE:
             wanted = set(chain.from_iterable(r for r in some if r))
             new = [r for r in wanted if r not in self._runs]
             if len(self._runs) + len(new) > self._most:
-                self._runs.clear()
-                new = list(wanted)
+                self._old, self._runs, new = self._runs, {}, list(wanted)
             self._learn(new)
             for t, r in zip(texts[at:at + 64], some):
                 out.append(b"".join(map(self._runs.__getitem__, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes())
