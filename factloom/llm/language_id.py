@@ -50,8 +50,8 @@ def _bundle(texts: list[str], dim: int) -> np.ndarray:
     # every text: one space, then its words with one space between
     keep = (x != 32) | (np.concatenate(([0], x[:-1])) != 32) | (np.diff(doc, prepend=-1) != 0)
     x, doc = x[keep], doc[keep]
-    keep = (x != 32) | (np.diff(doc, append=doc[-1]) == 0)
-    x, doc = np.append(x[keep], 32), np.append(doc[keep], doc[-1])
+    keep = (x != 32) | (np.diff(doc, append=-1) == 0)  # not one behind the last word
+    x, doc = np.append(x[keep], 32), np.append(doc[keep], len(texts) - 1)
     if len(x) < 3:
         return np.zeros((len(texts), dim), np.float32)
     letters = np.nonzero(np.bincount(x))[0]
@@ -125,7 +125,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[str
             vectors = document_vectors(b["text"].tolist(), dim)
             for lang, at in b.groupby("lang").indices.items():
                 sums[lang] = sums.get(lang, 0) + vectors[at].sum(axis=0)
-        yield pd.DataFrame({"lang": list(sums), "v": [s.astype(np.int64) for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [s.astype(np.int64) for s in sums.values()]})
 
     def total(key, g):
         return pd.DataFrame({"lang": [key[0]], "v": [np.sum(np.stack(g["v"]), axis=0)]})
@@ -138,9 +139,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[str
     return found["lang"].tolist(), p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of docs (text, others) with lang_pred and score: the prototype of largest cosine
-    (ties: the first language by name) and that cosine, from 0 to 1.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "language") -> DataFrame:
+    """All columns of docs (text, others) with the struct `name` (a column of that name is replaced): lang_pred
+    and score, the prototype of largest cosine (ties: the first language by name) and that cosine, from 0 to 1.
 
     Null text and text without a letter: und, 0. The same without any prototype.
     """
@@ -159,15 +160,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 score[some] = np.clip(cos.max(axis=1), 0, 1)[some]
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_language", run("text")).select(*docs.columns, "_language.*")
+    return docs.withColumn(name, run("text"))
 
 
-def train_and_predict(docs: DataFrame, keep: list[str]) -> DataFrame:
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select(*keep), model)
+def train_and_predict(docs: DataFrame, name: str = "language") -> DataFrame:
+    return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))), name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = train_and_predict(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs.select("doc_id", "text"), fit(docs.where(~held_out(F.col("doc_id")))))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "language.*")

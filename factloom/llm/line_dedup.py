@@ -71,24 +71,25 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """All columns of docs (doc_id, text, others) with recurring lines cut out of text, and
-    n_lines, n_dropped.
+    n_lines, n_dropped (columns of docs by these names are replaced).
 
     Lines end at \\n; the others stay byte for byte and in order. Blank lines are never dropped.
     Null text stays null with no lines; rows with a null doc_id stay as they are. Rows that repeat
     a doc_id count as one document: their lines do not recur by that alone.
     """
-    lines = F.split("text", "\n")
-    out = docs.join(dropped_lines(docs), "doc_id", "left").withColumn("_n", F.coalesce(F.size(lines), F.lit(0)))
-    out = out.withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("dropped")), lambda i: F.get("_lines", i))
-    return out.withColumn("_lines", lines).select(
-        *[c if c != "text" else F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") for c in docs.columns],
-        F.col("_n").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    docs = docs.drop("n_lines", "n_dropped")
+    dropped = dropped_lines(docs.select("doc_id", "text")).withColumnRenamed("dropped", "_fl_dropped")
+    out = docs.join(dropped, "doc_id", "left").withColumn("_fl_lines", F.split("text", "\n"))
+    out = out.withColumn("_fl_n", F.when(F.col("text").isNull(), 0).otherwise(F.size("_fl_lines")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_fl_n") - 1), F.col("_fl_dropped")), lambda i: F.get("_fl_lines", i))
+    text = F.when(F.col("_fl_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_fl_n").cast("long").alias("n_lines"),
+                      F.when(F.col("_fl_dropped").isNull(), 0).otherwise(F.size("_fl_dropped")).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 SQL = r"""

@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
     return fit_crf(xs, [np.asarray(n, float) for n in got["n"]], y)
 
 
-def score(docs: DataFrame, model: LineCRF) -> DataFrame:
-    """All columns of docs (text, others) with quality_score. Null text is scored as empty text: one blank line."""
+def score(docs: DataFrame, model: LineCRF, name: str = "quality_score") -> DataFrame:
+    """All columns of docs (text, others) with the column `name`, which replaces one of that name. Null text is scored as empty text: one blank line."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,15 +201,15 @@ def score(docs: DataFrame, model: LineCRF) -> DataFrame:
                 out.append(probability([x for x, _ in found], [n for _, n in found], model))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn("quality_score", run("text"))
+    return docs.withColumn(name, run("text"))
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score(docs.select(*keep), model)
+def train_and_score(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> DataFrame:
+    return score(docs, fit(docs, labels.where(~held_out(F.col("doc_id")))), name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id", "text"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = train_and_score(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                       F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
