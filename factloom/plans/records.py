@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -11,6 +9,7 @@ from ..operators import extract as E
 from ..operators import infer as I
 from ..operators import ontology as O
 from ..operators import spans
+from ..shared import fresh_path
 from ..sources.tables import table
 from ..streaming import micro
 
@@ -228,8 +227,7 @@ HYBRID = """SELECT s_key, predicate, ord, confidence, quote FROM (SELECT p_brand
 
 def microbatch_equals_batch(spark, d):
     """Order claims merged file by file by the streaming upsert; support of each claim, as a batch would have it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    where = f"{base.rstrip('/')}/micro-{spark.sparkContext.applicationId}-{abs(hash(d))}-{spark.range(1).select(F.uuid()).first()[0]}"
+    where = fresh_path(spark, "micro")
     claims = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"))
     claims.repartition(4).write.parquet(f"{where}/in")
     stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")

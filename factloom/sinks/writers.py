@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.claims import upsert
+from ..shared import cut
 
 
 def scoped(key, tenant: str | None):
@@ -117,7 +118,7 @@ def digest(rows: DataFrame) -> str:
 def transaction_groups(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Rows packed in order into groups of at most size, without one task that sorts them all: ranges first, then counts."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    parts = parts.checkpoint()
+    parts = cut(parts)
     sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one entry per partition
     starts, total = {}, 0
     for p in sorted(sizes):
