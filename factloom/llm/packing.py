@@ -70,7 +70,7 @@ class WordBPE:
         ids = [t.id for t in self._merge(w if w.isascii() else charmap_decode(w.encode(), "strict", _BYTE_CHARS)[0])]
         return pack_ids(f"<{len(ids)}I", *ids)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         runs, old, word = self._runs, self._old.get, self._word
         for r in new:
             known = old(r)
@@ -88,17 +88,17 @@ class WordBPE:
                 runs[r] = out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        runs = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in texts]
         out = []
-        for at in range(0, len(texts), 64):
-            some = runs[at:at + 64]
-            wanted = set(chain.from_iterable(r for r in some if r))
-            new = [r for r in wanted if r not in self._runs]
+        for at in range(0, len(texts), 128):
+            part = texts[at:at + 128]
+            split = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in part]
+            wanted = set(chain.from_iterable(r for r in split if r))
+            new = wanted.difference(self._runs)
             if len(self._runs) + len(new) > self._most:
-                self._old, self._runs, new = self._runs, {}, list(wanted)
+                self._old, self._runs, new = self._runs, {}, wanted
             self._learn(new)
-            for t, r in zip(texts[at:at + 64], some):
-                out.append(b"".join(map(self._runs.__getitem__, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes())
+            ids = self._runs.__getitem__
+            out += [b"".join(map(ids, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes() for t, r in zip(part, split)]
         return out
 
 
