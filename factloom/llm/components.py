@@ -1,36 +1,5 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from ..operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import cut
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long; any direction, repeats and loops allowed) -> node, component: the
-    smallest node reachable. Nodes without an edge to another node are not listed.
-
-    Every step is a group-by with partial aggregation and a join; the edge table is cut to the
-    shared folder after each round, and rounds grow with the logarithm of the diameter.
-    """
-    cur = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        both = cur.union(cur.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: larger neighbours of u go to the smallest neighbour of u
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # each u itself goes to its smallest neighbour too
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # small star: smaller neighbours of u, and u, go to the smallest of them
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        # done when the edges are stars: each u has one centre, and no centre is a u
-        open_ = nxt.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u").union(
-            nxt.select("v").distinct().join(nxt.select("u"), F.col("v") == F.col("u"), "left_semi")).limit(1).count()
-        cur = nxt
-        if not open_:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["connected_components"]

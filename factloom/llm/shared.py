@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import cut, fresh_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+__all__ = ["cut", "delete_path", "fresh_path", "shared_dir", "table"]
 
-    Where the session does not name one, a local master (tests) gets a temporary folder; a cluster
-    gets an error, as executors could not see such a folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        if not (sc.master or "").startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="factloom-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    return base
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
