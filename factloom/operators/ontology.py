@@ -88,6 +88,18 @@ def entries(spark: SparkSession, ontology: dict) -> DataFrame:
     return spark.createDataFrame(rows, "path string, value string")
 
 
+def snippet(ontology: dict, type_name: str, limit: int = 25) -> dict:
+    """The predicates that a type may have, its ancestors' included, by importance and then name: at most `limit`."""
+    types = ontology.get("types", {})
+    up, queue = {type_name}, [type_name]
+    while queue:
+        new = [t for t in types.get(queue.pop(), {}).get("parents", []) if t not in up]
+        up.update(new)
+        queue += new
+    fit = sorted((-float(b.get("importance", 0.0)), n) for n, b in ontology.get("predicates", {}).items() if not b.get("domain") or up & set(b["domain"]))
+    return {"type": type_name, "predicates": [n for _, n in fit[:limit]], "truncated": len(fit) > limit}
+
+
 def diff(spark: SparkSession, old: dict, new: dict) -> DataFrame:
     """path, change (added, removed, changed), breaking. Removals break, and so do changes of a domain, range or
     cardinality; an addition does not."""

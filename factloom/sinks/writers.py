@@ -26,7 +26,7 @@ def manifest(entities: DataFrame, facts: DataFrame, links: DataFrame) -> DataFra
 class JsonLinesStore:
     """entities, facts and links as JSON lines in versioned folders; a pointer names the current one."""
 
-    KEYS = {"entities": ["type", "key"], "facts": ["sig"], "links": ["kind", "source_key", "target_key"]}
+    KEYS = {"entities": ["type", "key"], "facts": ["sig"], "links": ["kind", "source_key", "target_key"], "evidence": ["sig", "doc_id"]}
 
     def __init__(self, spark: SparkSession, path: str):
         from ..streaming.micro import VersionedStore

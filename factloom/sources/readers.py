@@ -265,7 +265,8 @@ def with_path_ids(documents: DataFrame, root: str) -> DataFrame:
 
 
 def join_by_stem(triples: DataFrame, documents: DataFrame) -> DataFrame:
-    """triples (doc) with doc_id: the document of that id, else the first (by ord) whose file stem it is."""
+    """triples (doc) with doc_id: the document of that id, else the first (by ord, or by uri
+    where there is none) whose file stem it is."""
     by_id = documents.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("_id"))
-    stems = documents.withColumn("doc", stem_of_path(F.col("uri"))).groupBy("doc").agg(F.min_by("doc_id", "ord").alias("_stem"))
+    stems = documents.withColumn("doc", stem_of_path(F.col("uri"))).groupBy("doc").agg(F.min_by("doc_id", "ord" if "ord" in documents.columns else "uri").alias("_stem"))
     return triples.join(by_id, "doc", "left").join(stems, "doc", "left").withColumn("doc_id", F.coalesce("_id", "_stem")).drop("_id", "_stem")
