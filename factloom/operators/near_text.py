@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles
+from ..functions.text import shingle_hashes
+from ..shared import cut
 
 
 def shingle_pairs(documents: DataFrame, threshold: float = 0.8, size: int = 5, other_source: bool = False) -> DataFrame:
@@ -17,11 +18,12 @@ def shingle_pairs(documents: DataFrame, threshold: float = 0.8, size: int = 5, o
     frequent shingle is in few prefixes. Candidates are then counted exactly.
     """
     reps = text_classes(documents).groupBy("rep").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = documents.join(reps, "doc_id", "left_semi").select("doc_id", "source", shingles(F.col("text"), size).alias("s"))
-    sets = rows.select("doc_id", "source", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h")).distinct()
+    rows = documents.join(reps, "doc_id", "left_semi").select("doc_id", "source", shingle_hashes(F.col("text"), size).alias("s"))
+    sets = rows.select("doc_id", "source", F.size("s").alias("n"), F.explode("s").alias("h")).distinct()
     freq = sets.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # shingles of one document only match nothing: they fill the rarest places of the prefix
-    shared = sets.join(freq, "h").groupBy("doc_id", "source", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))
+    # read for both sides of both joins: materialised once
+    shared = cut(sets.join(freq, "h").groupBy("doc_id", "source", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o")))
     lone = F.col("n") - F.size("o")
     need = F.floor((1 - F.lit(threshold)) * F.col("n") + 1e-9).cast("int") + 1 - lone
     kept = shared.withColumn("all", F.transform("o", lambda x: x["h"])).where(need > 0).select(

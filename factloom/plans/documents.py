@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import source_of
 from ..operators import near_text, spans
 from ..operators.components import connected_components
+from ..shared import cut
 from ..sources import html
 from ..sources.tables import table
 
@@ -54,7 +55,7 @@ PAIRS = f"WITH {PAIRS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs"
 def near_dup_components(spark, d):
     """Class of every document that has a near-duplicate or copy, and its number of links to other texts."""
     docs = _docs(spark, d)
-    pairs = near_text.shingle_pairs(docs, 0.8).select("a", "b")
+    pairs = cut(near_text.shingle_pairs(docs, 0.8).select("a", "b"))
     parts = connected_components(pairs)
     links = pairs.select("a").union(pairs.select(F.col("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     classes = near_text.text_classes(docs)
