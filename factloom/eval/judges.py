@@ -62,3 +62,12 @@ def read_sheets(sheets: DataFrame) -> DataFrame:
     ticks = F.regexp_extract_all("b", F.lit(r"(?m)^- \[[xX]\] (.*?)\s*$"), F.lit(1))
     x = blocks.select(F.substring_index("b", "\n", 1).alias("id"), ticks.alias("t"))
     return x.select("id", F.when(F.size("t") == 1, F.get("t", F.lit(0))).alias("label"), F.when(F.size("t") == 0, "no tick").when(F.size("t") > 1, "several ticks").alias("problem"))
+
+
+def by_card(gated: DataFrame, card: DataFrame, gate: str = "gate", least_kappa: float = 0.6) -> DataFrame:
+    """gated facts (gate struct of action, reason, review) under a judge's card: where its kappa over all items is null or
+    below the bar, what the judge alone refused is kept and marked for review; schema refusals stand. The card is one row."""
+    bar = card.where("band IS NULL").agg(F.coalesce(F.max("kappa"), F.lit(-1.0)).alias("_kappa"))
+    kept = F.struct(F.lit("accept").alias("action"), F.col(f"{gate}.reason").alias("reason"), F.lit("judge").alias("review"))
+    weak = (F.col("_kappa") < least_kappa) & (F.col(f"{gate}.action") == "refuse") & ~F.startswith(F.col(f"{gate}.reason"), F.lit("schema: "))
+    return gated.crossJoin(F.broadcast(bar)).withColumn(gate, F.when(weak, kept).otherwise(F.col(gate))).drop("_kappa")

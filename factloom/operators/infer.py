@@ -54,3 +54,20 @@ def uncovered_sentences(sentences: DataFrame, found: DataFrame, cited: DataFrame
     s = sentences.join(two, ["doc_id", "pos"])
     c = cited.select(F.col("doc_id").alias("d"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     return s.join(c, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("ce")) & (F.col("cs") < F.col("end")), "left_anti")
+
+
+_NAME = r"\p{Lu}[\p{L}\p{N}-]*(?: \p{Lu}[\p{L}\p{N}-]*)*"
+
+
+def proposed_types(sentences: DataFrame) -> DataFrame:
+    """sentences (doc_id, text) -> type, instance, support (distinct documents): from "towns such as Ulm, Bonn and Kiel"
+    and "Ulm is a town"; a plural type loses its s."""
+    listed = rf"(\p{{Ll}}[\p{{Ll}}-]*),? such as ({_NAME}(?:, {_NAME})*(?:,? (?:and|or) {_NAME})?)"
+    copula = rf"({_NAME}) (?:is|was) an? (\p{{Ll}}[\p{{Ll}}-]*)"
+
+    def found(pattern: str, of: int, what: int):
+        return sentences.select("doc_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(of)).alias("t"), F.regexp_extract_all("text", F.lit(pattern), F.lit(what)).alias("i"))).alias("x"))
+
+    a = found(listed, 1, 2).select("doc_id", F.regexp_replace("x.t", "s$", "").alias("type"), F.explode(F.split("x.i", r",? (?:and|or) |, ")).alias("instance"))
+    b = found(copula, 2, 1).select("doc_id", F.col("x.t").alias("type"), F.col("x.i").alias("instance"))
+    return a.union(b).groupBy("type", "instance").agg(F.count_distinct("doc_id").alias("support"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..eval import judges as J
+from ..operators import infer as I
 from ..operators import lookup as L
 from ..operators import resolve as R
+from ..operators import verify as V
 from ..sinks.schema_text import uniqueness_violations
 from ..sources.structure import at_path
 from ..sources.tables import table
@@ -161,7 +163,31 @@ def shared_keys(spark, d):
 
 SHARED = "SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1"
 
+def proposed_types(spark, d):
+    """Types that sentences over nations and regions state."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    text = F.concat(F.lit("They saw places such as "), name, F.lit(", R"), F.col("r_regionkey").cast("string"), F.lit(" and Old Town. "), name, F.lit(" is a country."))
+    return I.proposed_types(n.select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
+
+
+PROPOSED = """SELECT 'place' AS type, 'N' || n_nationkey AS instance, 1 AS support FROM nation UNION ALL SELECT 'place', 'R' || n_regionkey, count(*) FROM nation GROUP BY n_regionkey
+UNION ALL SELECT 'place', 'Old Town', count(*) FROM nation UNION ALL SELECT 'country', 'N' || n_nationkey, 1 FROM nation"""
+
+
+def gate_by_card(spark, d):
+    """Gate actions over orders once the judge's card (weak here) has turned its refusals into marks."""
+    word = lambda c: F.when(c, "supported").otherwise("not_found")
+    verdict = F.element_at(F.array(*map(F.lit, ("supported", "contradicted", "not_found", "unchecked"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    o = table(spark, d, "orders").select(V.gate(verdict, F.when(F.col("o_orderstatus") == "P", "range"), True).alias("gate"))
+    items = table(spark, d, "orders").select(word(F.col("o_orderkey") % 2 == 0).alias("gold"), word(F.col("o_orderkey") % 3 == 0).alias("judged"), F.lit(False).alias("planted"), F.lit(False).alias("flipped"), F.lit(1).alias("length"))
+    return J.by_card(o, J.judge_card(items)).groupBy("gate.action", "gate.review").agg(F.count(F.lit(1)).alias("n"))
+
+
+BY_CARD = """SELECT CASE WHEN o_orderstatus = 'P' THEN 'refuse' ELSE 'accept' END AS action, CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 4 IN (1, 2) THEN 'judge' END AS review, count(*) AS n FROM orders GROUP BY ALL"""
+
 QUERIES = {
+    "proposed_types": (proposed_types, PROPOSED), "gate_by_card": (gate_by_card, BY_CARD),
     "stored_facts": (stored_facts, STORED), "store_candidates": (store_candidates, CANDIDATES), "store_nearest_names": (store_nearest_names, None), "surface_pairs": (surface_pairs, SURFACE),
     "id_matches": (id_matches, ID_MATCHES), "adjacent_mentions": (adjacent_mentions, ADJACENT), "offered_and_used": (offered_and_used, OFFERED), "reflected_schema": (reflected_schema, REFLECTED),
     "judge_card": (judge_card, CARD), "link_scores": (link_scores, LINKS), "micro_macro": (micro_macro, MICRO), "label_sheets": (label_sheets, SHEETS), "record_paths": (record_paths, PATHS), "shared_keys": (shared_keys, SHARED),
