@@ -118,8 +118,9 @@ SELECT CAST(big AS BIGINT) AS judged, CAST(n AS BIGINT) AS n, round(least(1, gre
 
 
 def mcnemar_flips(spark, d):
+    """All labels. The SQL below still reads doc_id % 7 < 2 only: its pow() underflows past 1074 flips."""
     a, b = F.col("quality") == 1, F.col("toxic") == 0
-    x = _labels(spark, d).where("doc_id % 7 < 2").agg(F.count(F.lit(1)).alias("items"), F.count_if(~a & b).alias("gained"), F.count_if(a & ~b).alias("lost"))
+    x = _labels(spark, d).agg(F.count(F.lit(1)).alias("items"), F.count_if(~a & b).alias("gained"), F.count_if(a & ~b).alias("lost"))
     return x.select("items", "gained", "lost", _r(S.mcnemar(F.col("gained"), F.col("lost"))).alias("p_value"))
 
 
