@@ -5,7 +5,7 @@ from math import comb
 import pytest
 from conftest import SF
 
-from factloom.plans import evaluation
+from factloom.plans import entities, evaluation
 
 
 def table_of(spark, folder, name, rows, schema):
@@ -30,3 +30,25 @@ def test_mcnemar_against_the_whole_table(spark, duck):
     items, gained, lost = duck.sql("SELECT count(*), count_if(quality = 0 AND toxic = 0), count_if(quality = 1 AND toxic = 1) FROM labels").fetchall()[0]
     r = evaluation.mcnemar_flips(spark, SF).first()
     assert (r["items"], r["gained"], r["lost"]) == (items, gained, lost) and r["p_value"] == pytest.approx(exact_p(gained, lost), abs=1e-6)
+
+
+PART = "p_partkey long, p_brand string, p_name string, p_size int"
+
+
+def test_blocks_of_21_to_100_rows_are_paired_whole(spark, tmp_path):
+    rows = [(k, "Brand#1", f"bolt x{k}", k) for k in range(1, 31)]  # five countries, none with more than six
+    d = table_of(spark, tmp_path, "part", rows, PART)
+    keys = sorted(f"Part:{k}" for k in range(1, 31))
+    assert sorted(map(tuple, entities.blocked_pairs_names(spark, d).collect())) == [(a, b) for a in keys for b in keys if a < b]
+
+
+def test_blocks_above_100_rows_are_split_by_country(spark, tmp_path):
+    rows = [(10 * k + 1, "Brand#1", f"bolt x{k}", k) for k in range(125)]  # five countries of 25; such ids have no host and no number
+    d = table_of(spark, tmp_path, "part", rows, PART)
+    assert entities.blocked_pairs_names(spark, d).count() == 5 * 25 * 24 // 2
+
+
+def test_links_of_country_parts_of_21_to_100_rows(spark, tmp_path):
+    rows = [(k, "Brand#1", f"bolt galvanised steel {k:03d}x", 5) for k in range(1, 31)]
+    d = table_of(spark, tmp_path, "part", rows, PART)
+    assert entities.name_similarity_links(spark, d).where("kind = 'similar'").count() > 0
