@@ -111,13 +111,8 @@ def pairwise(items: DataFrame, gold: str, found: str) -> DataFrame:
     return out.select(p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def bootstrap(spark, items: DataFrame, statistic, resamples: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a statistic of items (i from 0 to n - 1, columns): low, high, draws.
-
-    Each draw gives item i a weight: the number of times that hash draws hit it. Weights come from a
-    Poisson(1) draw of (seed, resample, i), so no draw table is gathered; a statistic is an aggregate
-    expression over the column w. Undefined draws are left out.
-    """
+def _drawn(spark, items: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """items by resample, with the weight w of each item in it."""
     draws = spark.range(resamples).withColumnRenamed("id", "resample")
     u = (F.pmod(F.xxhash64(F.lit(seed), "resample", "i"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     cdf, p, total = [], 0.36787944117144233, 0.0
@@ -128,6 +123,46 @@ def bootstrap(spark, items: DataFrame, statistic, resamples: int = 2000, seed: i
     w = F.lit(0)
     for c in cdf:
         w = w + F.when(u > c, 1).otherwise(0)
-    got = items.crossJoin(F.broadcast(draws)).withColumn("w", w).groupBy("resample").agg(statistic.alias("x")).where("x IS NOT NULL")
+    return items.crossJoin(F.broadcast(draws)).withColumn("w", w)
+
+
+def bootstrap(spark, items: DataFrame, statistic, resamples: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile interval of a statistic of items (i from 0 to n - 1, columns): low, high, draws.
+
+    Each draw gives item i a weight: the number of times that hash draws hit it. Weights come from a
+    Poisson(1) draw of (seed, resample, i), so no draw table is gathered; a statistic is an aggregate
+    expression over the column w. Undefined draws are left out.
+    """
+    got = _drawn(spark, items, resamples, seed).groupBy("resample").agg(statistic.alias("x")).where("x IS NOT NULL")
     tail = (1 - level) / 2
     return got.agg(F.percentile("x", F.lit(tail)).alias("low"), F.percentile("x", F.lit(1 - tail)).alias("high"), F.count(F.lit(1)).alias("draws"))
+
+
+def share(run: str):
+    """Weighted share of the items that pass."""
+    return F.try_divide(F.sum(F.col(run) * F.col("w")).cast("double"), F.sum("w"))
+
+
+def paired_bootstrap(spark, items: DataFrame, metric=share, resamples: int = 2000, seed: int = 0, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """items (i, a, b: the outcome of one item under each run) -> one row: both values, their difference b - a with its
+    percentile interval, flips, the detection limit and a verdict (better, worse, inconclusive).
+
+    Both runs meet the same draws. metric gives the aggregate of a run's column ("a" or "b") over the weights w; a
+    and b may be structs of counts. For shares of passes the exact McNemar p must be below alpha too. No verdict if
+    a run's value is undefined or fewer than two draws are.
+    """
+    passes = F.col("a").isin(0, 1) & F.col("b").isin(0, 1) if metric is share else F.lit(False)
+    a, b = F.col("a"), F.col("b")
+    gained, lost = (F.count_if((b > a) & passes), F.count_if((a > b) & passes))
+    whole = items.withColumn("w", F.lit(1)).agg(F.count(F.lit(1)).alias("items"), metric("a").alias("a_value"), metric("b").alias("b_value"), F.count_if(a != b).alias("flips"),
+                                                F.bool_and(passes).alias("pass_fail"), gained.alias("gained"), lost.alias("lost"))
+    drawn = _drawn(spark, items, resamples, seed).groupBy("resample").agg(metric("a").alias("x"), metric("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL").withColumn("d", F.col("y") - F.col("x"))
+    ends = [F.percentile(c, F.lit(q)).alias(f"{name}{end}") for c, name in (("d", ""), ("x", "a_"), ("y", "b_")) for end, q in (("low", alpha / 2), ("high", 1 - alpha / 2))]
+    out = whole.crossJoin(drawn.agg(*ends, F.stddev_samp("d").alias("spread"), F.count(F.lit(1)).alias("draws")))
+    z = S.NormalDist().inv_cdf(1 - alpha / 2) + S.NormalDist().inv_cdf(power)
+    limit = F.when(F.col("flips") > 0, F.when(F.col("pass_fail"), z * F.sqrt(F.col("flips")) / F.col("items")).otherwise(z * F.col("spread")))
+    p = F.when(F.col("pass_fail"), S.mcnemar(F.col("gained"), F.col("lost")))
+    verdict = F.when(F.col("a_value").isNull() | F.col("b_value").isNull() | (F.col("draws") < 2), None).when(p >= alpha, "inconclusive").when(
+        F.col("high") < 0, "worse").when(F.col("low") > 0, "better").otherwise("inconclusive")
+    return out.select("items", F.col("a_value").alias("a"), F.col("b_value").alias("b"), (F.col("b_value") - F.col("a_value")).alias("difference"), "low", "high", "a_low", "a_high", "b_low", "b_high",
+                      "flips", limit.alias("detection_limit"), p.alias("p_value"), verdict.alias("verdict"), "draws")

@@ -144,6 +144,11 @@ def bootstrap_f1(spark, d):
     return M.bootstrap(spark, items, F.try_divide(2.0 * tp, pr + gd), 500)
 
 
+def paired_runs(spark, d):
+    """Run b (no toxic mark) against run a (quality) on the same labelled documents."""
+    return M.paired_bootstrap(spark, _labels(spark, d).select(F.col("doc_id").alias("i"), F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")))
+
+
 def _gold(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 300).alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).alias("subject"),
                                          F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("obj"))
@@ -245,6 +250,7 @@ QUERIES = {
     "confusion_quality_toxic": (confusion_quality_toxic, CONFUSION), "per_class_quality": (per_class_quality, PER_CLASS), "kappa_quality_toxic": (kappa_quality_toxic, KAPPA),
     "routing_report": (routing_report, ROUTING), "calibration_curve": (calibration_curve, CURVE), "brier_ece": (brier_ece, BRIER), "wilson_by_source": (wilson_by_source, WILSON),
     "ppi_precision": (ppi_precision, PPI), "mcnemar_flips": (mcnemar_flips, MCNEMAR), "detection_limits": (detection_limits, LIMITS), "bootstrap_f1": (bootstrap_f1, None),
+    "paired_runs": (paired_runs, None),
     "gold_match_three_pass": (gold_match_three_pass, MATCH), "prf_rollup": (prf_rollup, PRF), "bcubed_vs_label": (bcubed_vs_label, BCUBED), "pairwise_clusters": (pairwise_clusters, PAIRWISE),
     "cost_per_stage": (cost_per_stage, COST), "output_saturation": (output_saturation, SATURATION), "stratified_refusals": (stratified_refusals, REFUSALS),
 }
