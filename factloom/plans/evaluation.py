@@ -141,7 +141,7 @@ def bootstrap_f1(spark, d):
     """Interval of F1 of the toxic mark against quality 0."""
     items = _labels(spark, d).select(F.col("doc_id").alias("i"), F.col("quality"), F.col("toxic"))
     tp, pr, gd = (F.sum(F.when(c, F.col("w")).otherwise(0)) for c in ((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("toxic") == 0, F.col("quality") == 1))
-    return M.bootstrap(spark, items, F.try_divide(2.0 * tp, pr + gd), 500)
+    return M.bootstrap(spark, items, F.try_divide(2.0 * tp, pr + gd))
 
 
 def paired_runs(spark, d):

@@ -78,3 +78,7 @@ def test_paired_bootstrap_of_counts(spark):
     r = M.paired_bootstrap(spark, items, precision).first()
     assert (r["a"], r["b"], r["flips"], r["verdict"], r["p_value"]) == (0.75, pytest.approx(300 / 350), 50, "better", None)
     assert r["low"] < r["difference"] < r["high"] and r["detection_limit"] > 0
+
+
+def test_bootstrap_f1_has_the_reference_number_of_draws(spark):
+    assert evaluation.bootstrap_f1(spark, SF).first()["draws"] == 2000
