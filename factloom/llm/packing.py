@@ -2,8 +2,8 @@
 
 Tokenised documents become pieces; only documents longer than a sequence are cut. Pieces are dealt
 by a hash of their row into blocks of about BLOCK pieces, so copies and hot keys spread evenly, and
-each block is packed by itself: best fit decreasing, then a local search over the underfull bins.
-A step exchanges one piece for one, two for one, or moves a piece, always so that the sum of
+each block is packed by itself: one best-fit pass in order of arrival, then a local search over the underfull
+bins. A step exchanges one piece for one, two for one, or moves a piece, always so that the sum of
 squared fills grows; a bin that runs empty is gone. The bins that stay open are packed again in
 a second round, with those of the other blocks, so the loss is less than a bin for each block of that round.
 
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
 from codecs import charmap_decode
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
 from struct import pack as pack_ids
 
 import numpy as np
@@ -44,20 +44,23 @@ def _byte_chars() -> str:
 
 
 _BYTE_CHARS = _byte_chars()
+_FORMATS = [f"<{n}I" for n in range(64)]
 
 
 class WordBPE:
     """Ids of a tokenizers file, as the bytes of little-endian unsigned 32-bit numbers.
 
     Merges do not cross white space, so the ids of a plain text are those of its runs between white
-    space, and a run's are those of its words, each encoded by the library's model. Runs are kept in two generations of at most `cache` each: what is used again moves to the younger.
+    space, and a run's are those of its words, each encoded by the library's model. Texts that hold an added
+    token, or other characters, go to the library as they are. Runs are kept in two generations of at most
+    `cache` each: what is used again moves to the younger.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._merge = self.tokenizer.model.tokenize  # of one word, in the characters that stand for its bytes
         self._runs: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -68,38 +71,34 @@ class WordBPE:
 
     def _word(self, w: str) -> bytes:
         ids = [t.id for t in self._merge(w if w.isascii() else charmap_decode(w.encode(), "strict", _BYTE_CHARS)[0])]
-        return pack_ids(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: set[str]) -> None:
-        runs, old, word = self._runs, self._old.get, self._word
-        for r in new:
-            known = old(r)
-            if known is not None:
-                runs[r] = known
-            elif r.isalpha():
-                runs[r] = word(r)
+        return pack_ids(_FORMATS[len(ids)] if len(ids) < 64 else f"<{len(ids)}I", *ids)
+
+    def _run(self, r: str) -> bytes:
+        """The ids of a run that the younger generation does not hold."""
+        ids = self._old.get(r)
+        if ids is None:
+            if r.isalpha():
+                ids = self._word(r)
             else:  # most are a word with a mark behind it
-                out = b""
-                for p in _WORDS.findall(r):
-                    ids = runs.get(p) or old(p)
-                    if ids is None:
-                        ids = runs[p] = word(p)
-                    out += ids
-                runs[r] = out
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 128):
-            part = texts[at:at + 128]
-            split = [t.lower().split() if t and _PLAIN.fullmatch(t) else None for t in part]
-            wanted = set(chain.from_iterable(r for r in split if r))
-            new = wanted.difference(self._runs)
-            if len(self._runs) + len(new) > self._most:
-                self._old, self._runs, new = self._runs, {}, wanted
-            self._learn(new)
-            ids = self._runs.__getitem__
-            out += [b"".join(map(ids, r)) if r is not None else np.array(self._library(t) if t else [], "<u4").tobytes() for t, r in zip(part, split)]
-        return out
+                words = _WORDS.findall(r)
+                known = list(map(self._runs.get, words))
+                ids = b"".join([self._run(p) if k is None else k for p, k in zip(words, known)] if len(words) > 1 else map(self._word, words))
+        self._runs[r] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not _PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            return np.array(self._library(text), "<u4").tobytes()
+        runs = text.lower().split()
+        ids = list(map(self._runs.get, runs))
+        if None in ids:
+            known, run = self._runs.get, self._run
+            ids = [(known(r) or run(r)) if i is None else i for r, i in zip(runs, ids)]
+            if len(self._runs) > self._most:
+                self._old, self._runs = self._runs, {}
+        return b"".join(ids)
 
 
 @lru_cache(1)
@@ -111,14 +110,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs (doc_id, text, others) -> one row per piece. Null text has the end id only."""
+    """docs (doc_id, text, others) -> one row per piece: doc_id, piece, start, length, ids_crc32.
+
+    Null or empty text has the end id only. Repeated rows give repeated pieces, an empty table none. A text of any
+    length is encoded whole and cut every `capacity` ids; other columns do not matter.
+    """
 
     def run(batches):
         words, end, step = load(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"], words.encode_all(b["text"].tolist())):
-                ids += end
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                ids = words.encode(text) + end
                 rows.extend((doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at:at + step])) for k, at in enumerate(range(0, len(ids), step)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -126,12 +129,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit decreasing: positions of each bin's pieces."""
+    """One pass in the order given: each piece goes to the fullest bin that has room. Positions of each bin's pieces."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     used = 0  # bit r: some bin has room r
-    for p in sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)):
-        n = lengths[p]
+    for p, n in enumerate(lengths):
         fits = used >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -147,124 +149,211 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Exchange or move pieces between underfull bins, so that the sum of squared fills grows."""
+@dataclass
+class Steps:
+    """What a local search has done."""
+
+    moves: int = 0
+    swaps: int = 0
+    doubles: int = 0
+    sweeps: int = 0
+    emptied: int = 0
+
+    @property
+    def taken(self) -> int:
+        return self.moves + self.swaps + self.doubles
+
+
+class _Donors:
+    """Pieces of the bins that can still give, by length; bit n of `mask` tells whether there is one of length n."""
+
+    def __init__(self, capacity: int):
+        self.by_length: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.mask = 0
+
+    def add(self, p: int, n: int) -> None:
+        self.by_length[n][p] = None
+        self.mask |= 1 << n
+
+    def drop(self, p: int, n: int) -> None:
+        del self.by_length[n][p]
+        if not self.by_length[n]:
+            self.mask ^= 1 << n
+
+    def longest(self, low: int, high: int) -> int:
+        """The largest length in low..high that a piece has; 0 if none."""
+        found = (self.mask >> low) & ((1 << max(0, high - low + 1)) - 1)
+        return low + found.bit_length() - 1 if found else 0
+
+    def one(self, n: int) -> int:
+        return next(reversed(self.by_length[n]))
+
+
+def _best_pair(pieces: list[int], lengths: list[int], low: int, high: int) -> tuple[int, int, int] | None:
+    """Two of the pieces whose lengths add up to the most in low..high: (sum, a, b)."""
+    order = sorted(pieces, key=lengths.__getitem__)
+    i, j, best = 0, len(order) - 1, None
+    while i < j:
+        both = lengths[order[i]] + lengths[order[j]]
+        if both > high:
+            j -= 1
+            continue
+        if both >= low and (best is None or both > best[0]):
+            best = (both, order[i], order[j])
+        i += 1
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[list[list[int]], Steps]:
+    """Fill the fullest underfull bins from emptier ones until bins run empty.
+
+    In a sweep the fullest open bin receives, then the fullest of the others, and so on; every bin less full
+    gives. The receiver takes, until it is full or nothing helps, what fills it best: a piece that fits
+    (a move), a longer piece for one of its own, or two pieces of the emptiest bin for one of its own. The receiver is
+    at least as full as the giver and gains, so each step increases the sum of squared fills, and the search ends. It
+    stops at the least number of bins, total length / capacity rounded up, or when a sweep takes no step. No
+    number of tries is limited; only the two pieces of a double step come from one given bin, the emptiest.
+    """
     fill = [sum(lengths[p] for p in b) for b in bins]
-    total = sum(fill)
-    for _ in range(rounds):
-        if len([b for b in bins if b]) <= -(-total // capacity):
-            break
-        open_ = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
-        pool = sorted((lengths[p], p, k) for k in open_ for p in bins[k])  # pieces that can move
-        home = {p: k for _, p, k in pool}
-        changed = False
+    home = {p: k for k, b in enumerate(bins) for p in b}
+    least, left, steps = -(-sum(fill) // capacity), sum(1 for b in bins if b), Steps()
+
+    while left > least:
+        before = steps.taken
+        steps.sweeps += 1
+        open_ = [k for k in range(len(bins)) if bins[k] and fill[k] < capacity]
+        donors = _Donors(capacity)
+        waiting = set(open_)
+        for k in sorted(open_, key=lambda k: (-fill[k], k)):  # pieces of the emptiest bins come last: they go first
+            for p in bins[k]:
+                donors.add(p, lengths[p])
+        fullest = [(-fill[k], k) for k in open_]
+        heapify(fullest)
+        emptiest = [(fill[k], k) for k in open_]
+        heapify(emptiest)
 
         def shift(p: int, to: int) -> None:
-            k = home[p]
+            k, n = home[p], lengths[p]
             bins[k].remove(p)
             bins[to].append(p)
-            fill[k] -= lengths[p]
-            fill[to] += lengths[p]
-            pool.pop(bisect_left(pool, (lengths[p], p)))
-            insort(pool, (lengths[p], p, to))
+            fill[k] -= n
+            fill[to] += n
             home[p] = to
-
-        def partner(low: int, high: int, but: int, most: int) -> int | None:
-            """The longest piece of length low..high in another bin that is filled to `most` or less."""
-            at = bisect_right(pool, (high, 1 << 60, 0)) - 1
-            for _ in range(64):
-                if at < 0 or pool[at][0] < low:
-                    return None
-                if pool[at][2] != but and fill[pool[at][2]] <= most:
-                    return pool[at][1]
-                at -= 1
-            return None
-
-        for to in reversed(open_):  # the fullest first: they gain from emptier ones
-            for _ in range(8):
-                room = capacity - fill[to]
-                if not bins[to] or not room:
-                    break
-                # move
-                p = partner(1, room, to, fill[to])
-                if p is not None:
-                    shift(p, to)
-                    changed = True
-                    continue
-                best = None
-                for q in set(bins[to]):
-                    # one for one: a longer piece comes, q goes
-                    p = partner(lengths[q] + 1, lengths[q] + room, to, fill[to])
-                    if p is not None and (best is None or lengths[p] - lengths[q] > best[0]):
-                        best = (lengths[p] - lengths[q], (p,), q)
-                    # two for one: two pieces of one bin come, q goes
-                    if best is None or best[0] < room:
-                        a = partner(lengths[q] // 2 + 1, lengths[q] + room - 1, to, fill[to])
-                        if a is not None:
-                            k = home[a]
-                            rest = [b for b in bins[k] if b != a and lengths[q] < lengths[a] + lengths[b] <= lengths[q] + room]
-                            if rest:
-                                b = max(rest, key=lambda b: lengths[b])
-                                if best is None or lengths[a] + lengths[b] - lengths[q] > best[0]:
-                                    best = (lengths[a] + lengths[b] - lengths[q], (a, b), q)
-                if best is None:
+            if k in waiting:
+                donors.drop(p, n)
+            if to in waiting:
+                donors.add(p, n)
+
+        def touched(k: int) -> int:
+            """A giver has changed: 1 if it has run empty."""
+            if not bins[k]:
+                waiting.discard(k)
+                return 1
+            heappush(fullest, (-fill[k], k))
+            heappush(emptiest, (fill[k], k))
+            return 0
+
+        while fullest and left > least:
+            f, to = heappop(fullest)
+            if to not in waiting or -f != fill[to]:
+                continue
+            waiting.discard(to)
+            for p in bins[to]:
+                donors.drop(p, lengths[p])
+            while left > least and (room := capacity - fill[to]) and donors.mask:
+                fits = donors.longest(1, room)
+                best, come, goes = fits, (donors.one(fits),) if fits else (), None
+                if best < room:
+                    swap = 0
+                    for n, q in {lengths[q]: q for q in bins[to]}.items():
+                        gain = donors.longest(n + 1, n + room) - n
+                        if gain > swap:
+                            swap, longer, shorter = gain, n + gain, q
+                    if swap == room or swap and not fits:
+                        best, come, goes = swap, (donors.one(longer),), shorter
+                if best < room and not fits:
+                    while emptiest and (emptiest[0][1] not in waiting or emptiest[0][0] != fill[emptiest[0][1]]):
+                        heappop(emptiest)
+                    giver = bins[emptiest[0][1]] if emptiest else []
+                    for n, q in {lengths[q]: q for q in bins[to]}.items():
+                        pair = _best_pair(giver, lengths, n + 1 + best, n + room)
+                        if pair:
+                            best, come, goes = pair[0] - n, pair[1:], q
+                if not best:
                     break
-                gain, come, q = best
-                source = home[come[0]]
-                # q may not overfill the other bin: it loses `gain` in all, so it never does
+                giver = home[come[0]]
                 for p in come:
                     shift(p, to)
-                shift(q, source)
-                changed = True
-        if not changed:
+                if goes is None:
+                    steps.moves += 1
+                else:
+                    shift(goes, giver)
+                    if len(come) == 1:
+                        steps.swaps += 1
+                    else:
+                        steps.doubles += 1
+                gone = touched(giver)
+                left -= gone
+                steps.emptied += gone
+        if steps.taken == before:
             break
-    return [b for b in bins if b]
+    return [b for b in bins if b], steps
 
 
-_PACKED = "row long, sequence_id long, offset long, open boolean"
+_PACKED = "_fl_row long, sequence_id long, offset long, search_steps long, bins_emptied long, open boolean"
 
 
 def _packer(round_: int, capacity: int):
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row", ignore_index=True)
-        lengths = g["length"].tolist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
-        rows, block = g["row"].to_numpy(), int(g["block"].iloc[0])
+        g = g.sort_values("_fl_row", ignore_index=True)
+        lengths = g["_fl_length"].tolist()
+        bins, steps = local_search(best_fit(lengths, capacity), lengths, capacity)
+        rows, block = g["_fl_row"].to_numpy(), int(g["_fl_block"].iloc[0])
+        bins.sort(key=lambda b: -sum(lengths[p] for p in b))
         out = []
         for k, b in enumerate(bins):
             offset, full = 0, sum(lengths[p] for p in b)
             for p in b:
-                out.append((rows[p], (round_ << 60) | (block << 24) | k, offset, round_ == 1 and full < CLOSED * capacity))
+                # the counts of a block stand at its first piece, in its fullest bin, so that sums are those of the searches
+                did = (0, 0) if out else (steps.taken, steps.emptied)
+                out.append((rows[p], (round_ << 60) | (block << 24) | k, offset, *did, round_ == 1 and full < CLOSED * capacity))
                 offset += lengths[p]
-        return pd.DataFrame(out, columns=["row", "sequence_id", "offset", "open"])
+        return pd.DataFrame(out, columns=["_fl_row", "sequence_id", "offset", "search_steps", "bins_emptied", "open"])
 
     return pack
 
 
 def pack(piece_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """piece_rows (length long, 1..capacity, any columns but row) -> the same with sequence_id and offset.
+    """piece_rows (length long, 1..capacity, any other columns) -> the same with sequence_id, offset, search_steps and
+    bins_emptied (columns of piece_rows by these names are replaced). The last two are what the local search of a
+    block did, at one piece of each block and 0 elsewhere.
 
-    Ties are broken by the row's place in the cut table. An empty table gives no rows.
+    Rows are told apart by their place in the cut table, so repeated rows are pieces of their own, and ties are
+    broken by it. A piece of full length is a sequence of its own. An empty table gives no rows; texts of any
+    length only mean more pieces.
     """
-    rows = cut(piece_rows).withColumn("row", F.monotonically_increasing_id())
-    small = rows.where(F.col("length") < capacity).select("row", "length")
+    rows = cut(piece_rows.drop("sequence_id", "offset", "search_steps", "bins_emptied").withColumn("_fl_row", F.monotonically_increasing_id()))
+    small = rows.where(F.col("length") < capacity).select("_fl_row", F.col("length").alias("_fl_length"))
     n = small.count()
 
     def packed(df: DataFrame, n: int, round_: int) -> DataFrame:
         blocks = max(1, -(-n // BLOCK))
-        keyed = df.withColumn("block", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(blocks)))
-        return keyed.groupBy("block").applyInPandas(_packer(round_, capacity), _PACKED)
+        keyed = df.withColumn("_fl_block", F.pmod(F.xxhash64("_fl_row", F.lit(round_)), F.lit(blocks)))
+        return keyed.groupBy("_fl_block").applyInPandas(_packer(round_, capacity), _PACKED)
 
     first = cut(packed(small, n, 1))
     open_ = first.where("open")
-    again = packed(small.join(open_.select("row"), "row", "left_semi"), open_.count(), 2)
+    again = packed(small.join(open_.select("_fl_row"), "_fl_row", "left_semi"), open_.count(), 2)
     placed = first.where("NOT open").union(again).drop("open")
-    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", F.col("row").bitwiseOR(F.lit(3 << 60))).withColumn("offset", F.lit(0).cast("long"))
-    return rows.join(placed, "row").drop("row").unionByName(full.drop("row"))
+    zero = F.lit(0).cast("long")
+    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", F.col("_fl_row").bitwiseOR(F.lit(3 << 60))).withColumn("offset", zero)
+    full = full.withColumn("search_steps", zero).withColumn("bins_emptied", zero)
+    return rows.join(placed, "_fl_row").drop("_fl_row").unionByName(full.drop("_fl_row"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens, one row per piece."""
     import public_tokenizers
 
     return pack(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "search_steps", "bins_emptied")

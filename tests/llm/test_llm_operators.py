@@ -46,11 +46,21 @@ def parquet(spark, tmp_path):
 # 1 ------------------------------------------------------------------------------------------------
 
 
+def brute_nearest(rows, query_ids, k=10):
+    """query -> [(distance, vec_id)] of the k nearest other rows of the same length, by plain loops."""
+    valid = [(i, v) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = {}
+    for q in sorted(set(query_ids) & {i for i, _ in valid}):
+        mine = min(v for i, v in valid if i == q)
+        out[q] = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(mine, v)))), i) for i, v in valid if i != q and len(v) == len(mine))[:k]
+    return out
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32))
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    odd = [(5000, None), (5100, [0.0] * 32), (5200, [float("nan")] * 32), (5300, [None] + [1.0] * 31), (5400, [1.0]), (5500, []), (None, [1.0] * 32)]
+    odd = [(5000, None), (5100, [0.0] * 32), (5200, [float("nan")] * 32), (5300, [None] + [1.0] * 31), (5500, []), (None, [1.0] * 32)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
     assert {r["query_id"] for r in got} == set(range(0, 3000, 100)) and {r["rank"] for r in got} == set(range(1, 11))
@@ -65,23 +75,74 @@ def test_ann_recall_and_edges(spark):
     assert hits / 300 >= 0.9
 
 
-def test_ann_ties_and_few(spark):
-    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(0, 30)], "vec_id long, embedding array<float>")
+def test_ann_visits_few_rows_of_clusters(spark):
+    """Tight clusters: the stop follows the distance found, so a small share of the rows is visited."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((250, 64))[np.arange(6000) % 250] + 0.02 * rng.standard_normal((6000, 64))
+    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert all(r["vec_id"] % 250 == r["query_id"] % 250 for r in got) and len(got) == 600
+    assert np.mean([r["visited"] for r in got if r["rank"] == 1]) < 0.2 * len(x)
+
+
+def test_ann_recall_and_visited_share_on_embeddings(spark):
+    """On the nearly unstructured vectors of the tables; a small table needs a larger share, as its neighbours are farther."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    got = ann.op1_ann_multiprobe(spark, "/root/testdata/sf0.1").collect()
+    hits = 0
+    for q in {r["query_id"] for r in got}:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(ids[np.argsort(d)[:10]].tolist()))
+    assert hits / len(got) >= 0.9
+    assert np.mean([r["visited"] for r in got if r["rank"] == 1]) < 0.9 * len(rows)
+
+
+def test_ann_ties_copies_and_few(spark):
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(0, 30)], "vec_id long, embedding array<double>")
     got = ann.nearest(same, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(k, 0.0) for k in range(1, 11)]
     assert ann.nearest(same.limit(0), F.lit(True)).count() == 0
     assert ann.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], same.schema), F.col("vec_id") == 0).count() == 1
+    # rows that repeat both columns, an id with two vectors, vectors of three lengths
+    rows = [(7, [1.0, 2.0])] * 3 + [(100, [1.0, 2.0]), (100, [1.5, 2.0]), (8, [3.0, 1.0]), (200, [1.0, 1.0, 1.0]), (9, [1.0, 1.0, 2.0]), (300, [4.0]), (400, [1.0] * 5)]
+    got = ann.nearest(spark.createDataFrame(rows, same.schema), F.col("vec_id") % 100 == 0).collect()
+    want = brute_nearest(rows, [100, 200, 300, 400])
+    for q in want:
+        assert [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want[q]
+    assert {r["query_id"] for r in got} == {100, 200}
 
 
-def test_probes_come_in_order_of_score():
-    x = np.random.default_rng(2).standard_normal((3, 16))
-    tables, keys = ann.probes(x, 1.0, 50)
-    slots, _ = ann._slots(x, 1.0)
-    home = ann._mix(slots.reshape(3, ann.TABLES, ann.HASHES))
-    assert tables.shape == keys.shape == (3, 50)
-    for q in range(3):  # the home bucket of every table has score zero: it comes first
-        assert {(t, home[q, t]) for t in range(ann.TABLES)} == set(zip(tables[q, :ann.TABLES].tolist(), keys[q, :ann.TABLES].tolist()))
-        assert len(set(zip(tables[q].tolist(), keys[q].tolist()))) == 50
+def test_ann_rows_are_split_by_cells(spark, monkeypatch):
+    """Small tasks: many cells, salts and blocks of queries find what one task finds."""
+    rng = np.random.default_rng(5)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((1500, 8)))] + [(2000 + k, [0.5] * 8) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD", 100)
+    monkeypatch.setattr(ann, "QUERIES", 5)
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    want = brute_nearest(rows, range(0, 2400, 100))
+    mine = {q: [(r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] for q in want}
+    assert sum(len({v for _, v in mine[q]} & {v for _, v in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert all(mine[q] == [(0.0, v) for v in range(2000, 2011) if v != q][:10] for q in range(2000, 2400, 100))
+
+
+def test_occupied_buckets_come_in_order_of_score():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 16))
+    plan = ann.fit(16, 400, np.arange(400), x)
+    y = plan.project(x)
+    for t in range(ann.TABLES):
+        slots, here = np.floor(y[t]), y[t, 0]
+        score = (np.maximum(np.maximum(slots - here, here - (slots + 1)), 0) ** 2).sum(axis=1)
+        assert score[0] == 0  # its own bucket
+        found = ann.search(plan, t, np.arange(400), x, np.array([0]), x[:1], 5, 50)
+        seen = [j for _, j, _, _ in found if j >= 0]
+        first = set(np.argsort(score[1:], kind="stable")[:50] + 1)
+        assert found[-1][3] == 50 and set(seen) <= {j for j in range(400) if score[j] <= max(score[list(first)]) + 1e-6}
+        assert all(s >= 0 for s in plan.cell_scores(here, t)) and plan.cell_scores(here, t)[plan.cells(y)[t, 0]] == 0
+    stops = plan.stops(y[:, 0], 1.0)
+    assert stops.shape == (ann.TABLES, 10) and (np.diff(stops, axis=1) <= 1e-9).all()  # a nearer bound needs fewer buckets
 
 
 # 2 ------------------------------------------------------------------------------------------------
@@ -213,6 +274,18 @@ def test_bpe_join_is_associative(bpe):
         assert bpe.join(bpe.join(ex, ey), ez) == bpe.join(ex, bpe.join(ey, ez)) == bpe._leaf_long(x + y + z) == bpe._leaf(x + y + z)
 
 
+def test_bpe_of_documents_goes_through_the_tree(spark):
+    """Leaves are single bytes: the pieces of real texts are joined up the tree, and windows are merged again."""
+    fresh = byte_bpe.ByteBPE(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=fresh.ranks, special_tokens={})
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert all(fresh.encode(t) == e.encode_ordinary(t or "") for t in texts)
+    pieces = sum(len(fresh.find(t or "")) for t in texts)
+    assert byte_bpe.LEAF == 1 and fresh.joins > 10_000 and fresh.windows > 5_000 and pieces > 10_000
+    long = texts[0] * 40  # more pieces than a leaf of the text's own tree
+    assert len(fresh.find(long)) > byte_bpe.PIECES and fresh.encode(long) == e.encode_ordinary(long) and fresh.decode(fresh.encode(long)) == long.encode()
+
+
 def test_bpe_query(spark, parquet, bpe):
     d = parquet("documents", [wide(k, t) for k, t in ODD], EXTRA)
     got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op6_byte_bpe(spark, d).collect()), key=repr)
@@ -357,8 +430,7 @@ def test_packing_round_trip(spark, parquet):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    rows = list(ODD) + [(100 + k, text_of(EN, 1 + 37 * k % 900, k)) for k in range(60)]
+    rows = list(ODD) + [(50, "<|endoftext|> a"), (51, "x<|startoftext|>y")] + [(100 + k, text_of(EN, 1 + 37 * k % 900, k)) for k in range(60)]
     got = packing.op9_best_fit_packing(spark, parquet("documents", [wide(k, x) for k, x in rows], EXTRA)).collect()
     want = Counter()
     for k, x in rows:
@@ -383,21 +455,77 @@ def test_packing_round_trip(spark, parquet):
 def test_local_search_empties_bins():
     lengths = [6, 5, 5, 4, 4, 3, 3]  # in bins of ten: best fit decreasing needs four, three are enough
     start = [[0, 5], [1, 3], [2, 4], [6]]
-    after = packing.local_search([list(b) for b in start], lengths, 10)
+    after, steps = packing.local_search([list(b) for b in start], lengths, 10)
     assert len(after) == 3 and sorted(p for b in after for p in b) == list(range(7)) and all(sum(lengths[p] for p in b) <= 10 for b in after)
+    assert steps.emptied == 1 and steps.taken > 0
     r = random.Random(10)
     for _ in range(30):
         ls = [r.randint(1, 60) for _ in range(200)]
         bins = packing.best_fit(ls, 100)
-        better = packing.local_search([list(b) for b in bins], ls, 100)
-        assert sorted(p for b in better for p in b) == list(range(200)) and all(sum(ls[p] for p in b) <= 100 for b in better) and len(better) <= len(bins)
+        better, steps = packing.local_search([list(b) for b in bins], ls, 100)
+        assert sorted(p for b in better for p in b) == list(range(200)) and all(sum(ls[p] for p in b) <= 100 for b in better)
+        assert len(better) == len(bins) - steps.emptied
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every assignment, longest first."""
+    order = sorted(lengths, reverse=True)
+
+    def fits(at, rooms):
+        if at == len(order):
+            return True
+        for k in {room: k for k, room in enumerate(rooms) if room >= order[at]}.values():
+            rooms[k] -= order[at]
+            if fits(at + 1, rooms):
+                return True
+            rooms[k] += order[at]
+        return False
+
+    return next(n for n in range(len(lengths) + 1) if fits(0, [capacity] * n))
+
+
+def test_local_search_against_all_packings():
+    """A local search need not reach the fewest bins; it is never more than one above here, and better than its start."""
+    r = random.Random(12)
+    start = found = fewest = 0
+    for _ in range(60):
+        ls = [r.randint(2, 20) for _ in range(12)]
+        first = packing.best_fit(ls, 30)
+        bins, _ = packing.local_search([list(b) for b in first], ls, 30)
+        least = fewest_bins(ls, 30)
+        assert least <= len(bins) <= min(least + 1, len(first))
+        start, found, fewest = start + len(first), found + len(bins), fewest + least
+    assert fewest <= found < start
+
+
+def test_each_step_raises_the_squared_fill(monkeypatch):
+    r = random.Random(13)
+    for _ in range(20):
+        ls = [r.randint(1, 70) for _ in range(120)]
+        bins = packing.best_fit(ls, 100)
+        before = sum(sum(ls[p] for p in b) ** 2 for b in bins)
+        after, steps = packing.local_search([list(b) for b in bins], ls, 100)
+        assert sum(sum(ls[p] for p in b) ** 2 for b in after) - before >= steps.taken
+
+
+def test_search_runs_on_documents_and_reaches_the_bound(spark):
+    got = packing.op9_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["bins_emptied"] for r in got) > 0 and sum(r["search_steps"] for r in got) > 50
+    assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 4096)
+
+
+def test_packing_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, 700, "a", 1, 2, 3, 4) for k in range(9)], "id long, length long, row string, sequence_id int, offset int, block int, open int")
+    got = packing.pack(rows)
+    assert got.columns == ["id", "length", "row", "block", "open", "sequence_id", "offset", "search_steps", "bins_emptied"]
+    assert len({r["sequence_id"] for r in got.collect()}) == 2
 
 
 def test_words_are_the_librarys():
     w = packing.WordBPE(P.path("word_bpe_49k.json"), cache=300)
     r = random.Random(11)
     texts = [None, "", "<|endoftext|> a"] + ["".join(r.choice("abXYZ'st\u00c9\u00df\u00f1'll're 0\u00b2\u00bd\u00aa-_=~|<>&%#\n\t \x85\x1c\xa0\u4e16\u0301\u0130\u03a3\u2713\xb5") for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    assert [np.frombuffer(b, "<u4").tolist() for b in w.encode_all(texts)] == [w._library(t) if t else [] for t in texts]
+    assert [np.frombuffer(w.encode(t), "<u4").tolist() for t in texts] == [w.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
 
 
 # 10 -----------------------------------------------------------------------------------------------
