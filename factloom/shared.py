@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,47 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders that were made below the shared folder and not deleted yet.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder; later reads survive lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    where = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if where.isDefined():
+        _made.append(where.get())
+    return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As cut, but as a Parquet table: its size is known, so a small one is broadcast in a join."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was cut or written inside it. Results that are read later must be written elsewhere before it ends."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            delete_path(spark, path)
