@@ -2,12 +2,12 @@
 
 Grammar of the output, for each turn in order:
 
-    turn := "<s>[" label mark "] " body "</s>"      mark := "" | "!"
+    turn := "<s>[" label mark "] " body "</s>"      mark := "" | "!"      body holds neither "<s>[" nor "</s>"
 
 A turn is rendered raw first. A deterministic parser (one regular expression) reads every turn back
-from the rendered text; where a conversation does not come back identical, the texts that hold the
-end mark are escaped (mark "!") and it is rendered and parsed again; should it still differ, all its
-turns are escaped. Escaping writes ~ < [ as ~0 ~1 ~2, so an escaped body holds no control string,
+from the rendered text; where a conversation does not come back identical, the texts that hold a control string
+(the start of a turn or its end) are escaped (mark "!") and it is rendered and parsed again; should it still
+differ, all its turns are escaped. Escaping writes ~ < [ as ~0 ~1 ~2, so an escaped body holds no control string,
 and the third rendering is identical for any text. Labels are always escaped (~3 ~4 for ] !).
 
 Everything is DataFrame functions over one array of turns per conversation.
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-END = "</s>"
-PARSER = r"(?s)<s>\[([^\]!]*)(!?)\] (.*?)</s>"
+START, END = "<s>[", "</s>"
+#: The possessive group runs in a loop, whatever the length of a body.
+PARSER = r"<s>\[([^\]!]*)(!?)\] ((?:[^<]++|<(?!s>\[|/s>))*+)</s>"
 _BODY = (("~", "~0"), ("<", "~1"), ("[", "~2"))
 _LABEL = (*_BODY, ("]", "~3"), ("!", "~4"))
 
@@ -68,12 +69,13 @@ def format_chat(rows: DataFrame, mask_role: str = "assistant") -> DataFrame:
 
     Turns are ordered by (turn, role, text), nulls first; repeated rows are turns of their own.
     Null role or text is the empty string; a null conv_id is a conversation of its own. An empty
-    table gives no rows. A conversation is one output value, so its turns meet in one task.
+    table gives no rows, other columns do not matter, and texts of any length are kept whole. A conversation is one
+    output value, so its turns meet in one task.
     """
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     turns = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    no, conflict, yes = (lambda t: F.lit(False)), (lambda t: F.contains(t["text"], F.lit(END))), (lambda t: F.lit(True))
+    no, conflict, yes = (lambda t: F.lit(False)), (lambda t: F.contains(t["text"], F.lit(START)) | F.contains(t["text"], F.lit(END))), (lambda t: F.lit(True))
     step = turns.withColumn("f0", _render(no)).withColumn("p0", _parse("f0")).withColumn("ok0", _same("p0"))
     # a later rendering is made only for conversations that need it
     step = step.withColumn("f1", F.when(~F.col("ok0"), _render(conflict))).withColumn("p1", F.when(~F.col("ok0"), _parse("f1")))
@@ -99,6 +101,7 @@ def format_chat(rows: DataFrame, mask_role: str = "assistant") -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1 whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("""SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(t AS BIGINT) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text
                          FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)""")
@@ -120,7 +123,7 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 t AS (
-  SELECT *, contains(text, '</s>') AS esc, length(text) - length(replace(replace(replace(text, '~', ''), '<', ''), '[', '')) AS extra,
+  SELECT *, contains(text, '</s>') OR contains(text, '<s>[') AS esc, length(text) - length(replace(replace(replace(text, '~', ''), '<', ''), '[', '')) AS extra,
     length(role) + length(role) - length(replace(replace(replace(replace(replace(role, '~', ''), '<', ''), '[', ''), ']', ''), '!', '')) AS label
   FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,

@@ -3,9 +3,12 @@
 A streaming aggregation keyed by the SHA-256 digest of the normalised text keeps, in RocksDB state
 without watermark or expiry, the largest stable identifier, the content locator of that row (file
 and row index) and the number of rows. Duplicate keys meet in partial aggregation before the
-shuffle, so a digest with a third of all rows costs one state update per task. Digest hits are then
-checked on full bytes: per digest the smallest and the largest text must be the same string (again
-with partial aggregation). Digests that fail, should there ever be any, are regrouped by text.
+shuffle, so a digest with a third of all rows costs one state update per task.
+
+Digest hits, and only they, are then checked on full bytes: the rows whose digest has more than one row are named by
+their locators, their texts fetched by these, and per digest the smallest and the largest text must be the same
+string (partial aggregation again: one text a task and digest is shuffled). Digests that fail, should there ever be
+any, are regrouped by text.
 
 Everything is DataFrame code; the state is read back as a table with the state data source.
 """
@@ -17,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, delete_path, fresh_path
+from .shared import cut, delete_path, fresh_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,11 +31,21 @@ def ascii_lower(text: Column) -> Column:
                   F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
 
 
-def _digested(df: DataFrame, keep_text: bool = False) -> DataFrame:
-    norm = df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"),
+def _located(df: DataFrame) -> DataFrame:
+    """doc_id, norm (the normalised text) and the row's locator: path, row_index."""
+    return df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"),
                      F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
-    out = norm.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    return out if keep_text else out.drop("norm")
+
+
+def _digested(df: DataFrame) -> DataFrame:
+    return _located(df).withColumn("digest", F.unhex(F.sha2("norm", 256))).drop("norm")
+
+
+def _pattern(path: str) -> str:
+    """The path as a glob: a stream reads a single file by a glob, not by its name. As in every reader, glob characters
+    in the path are a pattern."""
+    plain = path.rstrip("/")
+    return f"{plain[:-1]}[{plain[-1]}]" if plain[-1].isalnum() else plain
 
 
 def digest_state(spark: SparkSession, path: str) -> DataFrame:
@@ -48,8 +61,7 @@ def digest_state(spark: SparkSession, path: str) -> DataFrame:
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        # as a glob, the path may be a single file too
-        source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+        source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_pattern(path))
         state = _digested(source).groupBy("digest").agg(
             F.max(F.struct("doc_id", "path", "row_index")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         query = (state.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
@@ -72,21 +84,22 @@ def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
 
     Equal: identical after lower-casing A-Z only; null text counts as empty. The row with the
     largest doc_id of a group stays; of repeated rows with that id, the one whose locator is
-    largest. A null doc_id is smaller than any other. An empty table gives an empty result.
+    largest. A null doc_id is smaller than any other. An empty table gives an empty result. Texts of any length
+    count whole; other columns do not matter.
     """
     docs = spark.read.parquet(path)
     if docs.limit(1).count() == 0:
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     state = digest_state(spark, path)
-    full = _digested(docs, keep_text=True)
+    rows = written(_digested(docs), "digests")
     # full bytes of hits: a group whose texts differ has a different smallest and largest text
-    clash = cut(full.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-                .where(F.col("a") != F.col("b")).select("digest"))
-    rows = _digested(docs)
+    hits = written(rows.join(state.where("group_size > 1").select("digest"), "digest").select("digest", "path", "row_index"), "hits")
+    fetched = _located(docs).join(hits, ["path", "row_index"])
+    clash = cut(fetched.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest"))
     same = rows.join(state, "digest")
     if clash.limit(1).count():
         same = same.join(clash, "digest", "left_anti")
-        apart = full.join(clash, "digest", "left_semi")
+        apart = fetched.join(clash, "digest", "left_semi")
         groups = apart.groupBy("digest", "norm").agg(
             F.max(F.struct("doc_id", "path", "row_index")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         same = same.unionByName(apart.join(groups, ["digest", "norm"]).drop("norm"))
@@ -98,6 +111,7 @@ def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of documents: every row with the row that stays."""
     return exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
 

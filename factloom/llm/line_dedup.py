@@ -1,14 +1,19 @@
 """Line deduplication by a log-template tree.
 
-The tree has a fixed depth: the first level is a line's token count, the next DEPTH levels are its
-leading tokens, in which every token with a digit is the variable <*>. Below a leaf, lines of
-MIN_WILD tokens or more belong to one template when they agree in all but one of SEGMENTS
-contiguous parts of the remaining tokens; the part that differs is the template's variable field.
-Shorter lines belong to one template when their masked tokens are all equal.
+The tree has a fixed depth. Its first level is a line's token count, the next DEPTH levels are its leading tokens, in
+which every token with a digit is the variable <*>. A leaf holds templates: a line of MIN_WILD tokens or more
+joins a template of its leaf when all but one of SEGMENTS contiguous parts of the remaining tokens agree, which is a
+similarity of at least (SEGMENTS - 1) / SEGMENTS of the tokens below the prefix; the part that differs becomes the
+template's variable field, <*>. Shorter lines join the template of their masked tokens.
+
+Instead of growing templates one line at a time, which is one task a leaf, each line looks up the SEGMENTS
+templates that it could join: the path in the tree (count, leading tokens), the part that is variable and the tokens of
+the others, together one key of 128 bits. Two lines share a key exactly when both lie in one leaf and fit one
+template, so an aggregation by key is the tree, spread over all tasks. templates() gives the templates themselves.
 
 A template seen in two or more documents recurs: it stays in the document with the smallest doc_id
 and is dropped from the others. Statistics per template are a smallest and a largest doc_id, so
-partial aggregation absorbs a line that a third of all rows share. Keys are 128 bits.
+partial aggregation absorbs a line that a third of all rows share.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, table
+from .shared import table, written
 
 DEPTH, SEGMENTS, MIN_WILD = 3, 4, 8
 
@@ -30,11 +35,8 @@ def masked(lines: DataFrame) -> DataFrame:
     return out.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
 
 
-def template_keys(lines: DataFrame) -> DataFrame:
-    """lines (w, n, others) -> a row for each template that a line can belong to, keys k1 and k2.
-
-    Lines of MIN_WILD tokens or more have a key for each part left out; equal lines share them all.
-    """
+def _parts(lines: DataFrame) -> DataFrame:
+    """lines (w, n, others) with the tokens before each part, p0.., and behind it, s0..; null for short lines."""
     n = F.col("n")
 
     def bound(s: int) -> Column:
@@ -43,29 +45,59 @@ def template_keys(lines: DataFrame) -> DataFrame:
     def tokens(count: Column) -> Column:  # the first tokens, or the last if negative
         return F.call_function("substring_index", F.col("w"), F.lit(" "), count)
 
+    long = n >= MIN_WILD
+    rest = [c for c in lines.columns if c not in ("w", "n")]
+    return lines.select(*rest, "w", "n", *[F.when(long, tokens(bound(s))).alias(f"p{s}") for s in range(SEGMENTS)],
+                        *[F.when(long, tokens(bound(s + 1) - n)).alias(f"s{s}") for s in range(SEGMENTS - 1)])
+
+
+def _sides(s: int) -> list[str]:
+    return [f"p{s}", *([f"s{s}"] if s < SEGMENTS - 1 else [])]
+
+
+def template_keys(lines: DataFrame) -> DataFrame:
+    """lines (w, n, others) -> a row for each template that a line can belong to, keys k1 and k2.
+
+    Lines of MIN_WILD tokens or more have a key for each part left out; equal lines share them all.
+    """
+    n = F.col("n")
+
     def key(kind: int, *parts) -> Column:
         return F.struct(*(F.xxhash64(F.lit(seed), n, F.lit(kind), *parts).alias(k) for k, seed in (("k1", 1), ("k2", 2))))
 
     rest = [c for c in lines.columns if c not in ("w", "n")]
-    long = n >= MIN_WILD
-    parts = lines.select(*rest, "w", "n", *[F.when(long, tokens(bound(s))).alias(f"p{s}") for s in range(SEGMENTS)],
-                         *[F.when(long, tokens(bound(s + 1) - n)).alias(f"s{s}") for s in range(SEGMENTS - 1)])
-    wild = [key(s, f"p{s}", *([f"s{s}"] if s < SEGMENTS - 1 else [])) for s in range(SEGMENTS)]
-    return parts.select(*rest, F.explode(F.when(long, F.array(*wild)).otherwise(F.array(key(SEGMENTS, "w")))).alias("k")).select(*rest, "k.k1", "k.k2")
+    wild = F.array(*[key(s, *_sides(s)) for s in range(SEGMENTS)])
+    return _parts(lines).select(*rest, F.explode(F.when(n >= MIN_WILD, wild).otherwise(F.array(key(SEGMENTS, "w")))).alias("k")).select(*rest, "k.k1", "k.k2")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text: rows of one id need not be alike), pos, line; rows without doc_id are left out."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, others) -> the templates that recur: tokens (their number), template (<*> for tokens with a digit
+    and for the part that differs), first_doc, last_doc, lines. A template whose lines are all alike is written out whole."""
+    lines = _parts(masked(_lines(docs)))
+    wild = [F.struct(F.lit(s).alias("kind"), F.concat_ws(" ", f"p{s}", F.lit("<*>"), *(_sides(s)[1:])).alias("general")) for s in range(SEGMENTS)]
+    short = F.array(F.struct(F.lit(SEGMENTS).alias("kind"), F.col("w").alias("general")))
+    each = lines.select("doc_id", "n", "w", F.explode(F.when(F.col("n") >= MIN_WILD, F.array(*wild)).otherwise(short)).alias("t"))
+    found = each.groupBy("n", "t").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("lines"),
+                                       F.min("w").alias("low"), F.max("w").alias("high")).where("first_doc < last_doc")
+    out = found.select(F.col("n").alias("tokens"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("t.general")).alias("template"),
+                       "first_doc", "last_doc", "lines")
+    return out.distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, dropped: array of the positions (from 0) of the lines to drop; only where some are.
+    """doc_id, h (of the text), dropped: array of the positions (from 0) of the lines to drop; only where some are.
 
     The keys are read twice, for the statistics and for the lines, so they are written once, as a
     table in the shared folder.
     """
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    path = fresh_path(docs.sparkSession, "line-keys")
-    template_keys(masked(lines)).write.parquet(path)
-    keys = docs.sparkSession.read.schema("doc_id long, pos int, k1 long, k2 long").parquet(path)
+    keys = written(template_keys(masked(_lines(docs))), "line-keys")
     recurring = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return (keys.join(recurring, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id")
+    return (keys.join(recurring, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id", "h")
             .agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
 
 
@@ -75,11 +107,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Lines end at \\n; the others stay byte for byte and in order. Blank lines are never dropped.
     Null text stays null with no lines; rows with a null doc_id stay as they are. Rows that repeat
-    a doc_id count as one document: their lines do not recur by that alone.
+    a doc_id count as one document: their lines do not recur by that alone; each row loses its own lines only. An
+    empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    dropped = dropped_lines(docs.select("doc_id", "text")).withColumnRenamed("dropped", "_fl_dropped")
-    out = docs.join(dropped, "doc_id", "left").withColumn("_fl_lines", F.split("text", "\n"))
+    dropped = dropped_lines(docs.select("doc_id", "text")).select("doc_id", F.col("h").alias("_fl_h"), F.col("dropped").alias("_fl_dropped"))
+    out = docs.withColumn("_fl_h", F.xxhash64("text")).join(dropped, ["doc_id", "_fl_h"], "left").withColumn("_fl_lines", F.split("text", "\n"))
     out = out.withColumn("_fl_n", F.when(F.col("text").isNull(), 0).otherwise(F.size("_fl_lines")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_fl_n") - 1), F.col("_fl_dropped")), lambda i: F.get("_fl_lines", i))
     text = F.when(F.col("_fl_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -88,6 +121,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines: counts and digest of what is left."""
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

@@ -5,7 +5,12 @@ the lines before and after it; neighbouring labels have a transition score. Forw
 of every line, a document's quality is their mean weighted by line length, and a two-parameter
 logistic fit on the training documents turns it into a probability.
 
-The labels mark documents: in training, every line has its document's label.
+The labels mark documents, so line labels are latent. A document's label constrains its aggregate: by the length-weighted
+mean of its marginals, at least SHARE of a good document is good and at most 1 - SHARE of a bad one. Training alternates:
+the lines' marginals under the model, tilted by the smallest amount that meets the constraint (one number a document
+that is added to each line's score in proportion to its weight), are the targets; then the likelihood of these
+targets is raised by gradient steps. It starts from own features alone, so that a line is first judged by itself. Junk
+lines of a good document come out bad, and clean lines of a bad one good.
 """
 
 from collections.abc import Iterator
@@ -20,8 +25,12 @@ from pyspark.sql import functions as F
 from .language_id import held_out
 from .shared import table
 
-#: Labelled documents to fit on at most (the first by a hash of doc_id), and lines of each.
-SAMPLE, LINES = 6000, 100
+#: Labelled documents to fit on at most, the first by a hash of doc_id; all their lines are used.
+SAMPLE = 6000
+#: Share of a good document that is good at least, by length.
+SHARE = 0.7
+#: Lines that are in memory padded at once.
+CHUNK = 100_000
 THRESHOLD = 0.3
 _SYMBOLS = b"#$%&*@^~<>{}[]\\_=+/`"
 _MARKS = b".,;:!?"
@@ -50,16 +59,25 @@ def line_features(line: str) -> list[float]:
             float(words[-1][-1:] in (b".", b"!", b"?")), float(words[0][:1].isupper()), float(w < 4)]
 
 
-def document_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x 3 WIDTH + 1: own, before, after, bias) and lengths of the lines of a text."""
-    lines = (text or "").split("\n")[:most]
-    own = np.array([line_features(x) for x in lines])
-    x = np.zeros((len(lines), 3 * WIDTH + 1))
-    x[:, :WIDTH] = own
-    x[1:, WIDTH:2 * WIDTH] = own[:-1]
-    x[:-1, 2 * WIDTH:3 * WIDTH] = own[1:]
-    x[:, -1] = 1
-    return x, np.array([len(x) for x in lines], float)
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x WIDTH) and lengths of the lines of a whole text."""
+    lines = (text or "").split("\n")
+    return np.array([line_features(x) for x in lines], np.float32), np.array([len(x) for x in lines], np.float32)
+
+
+def unary(own: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Scores of "good" (docs x lines) from padded features (docs x lines x WIDTH): own, line before, line after, bias."""
+    out = own @ w[:WIDTH] + w[-1]
+    out[:, 1:] += own[:, :-1] @ w[WIDTH:2 * WIDTH]
+    out[:, :-1] += own[:, 1:] @ w[2 * WIDTH:3 * WIDTH]
+    return out
+
+
+def _unary_gradient(own: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    def dot(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.einsum("dsf,ds->f", x, d)
+
+    return np.concatenate((dot(own, delta), dot(own[:, :-1], delta[:, 1:]), dot(own[:, 1:], delta[:, :-1]), [delta.sum()]))
 
 
 @dataclass
@@ -94,65 +112,110 @@ def marginals(unary: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarr
     return good, pairs
 
 
-def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(x) for x in xs])
-    out = np.zeros((len(xs), n.max(), xs[0].shape[1]))
-    for i, x in enumerate(xs):
-        out[i, :len(x)] = x
-    return out, n
-
-
-def _raw_scores(xs: list[np.ndarray], lengths: list[np.ndarray], m: LineCRF) -> np.ndarray:
-    """Length-weighted mean of the marginals of each document; documents of like length together."""
-    out = np.zeros(len(xs))
-    order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
+def _batches(own: list[np.ndarray], lengths: list[np.ndarray]):
+    """Documents of like length together, at most CHUNK padded lines at once (a longer document is alone): places,
+    features, numbers of lines, weights of lines (adding up to 1)."""
+    order = sorted(range(len(own)), key=lambda i: len(own[i]))
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and end - at < 512 and len(xs[order[end]]) <= max(8, 2 * len(xs[order[at]])):
+        while end < len(order) and (end + 1 - at) * len(own[order[end]]) <= CHUNK and len(own[order[end]]) <= max(8, 2 * len(own[order[at]])):
             end += 1
         some = order[at:end]
-        n = np.array([len(xs[i]) for i in some])
-        unary = np.zeros((len(some), n.max()))
-        for row, i in enumerate(some):
-            unary[row, :n[row]] = xs[i] @ m.w
-        good, _ = marginals(unary, n, m.t)
+        n = np.array([len(own[i]) for i in some])
+        x, weight = np.zeros((len(some), n.max(), WIDTH), np.float32), np.zeros((len(some), n.max()))
         for row, i in enumerate(some):
-            weight = lengths[i] + 1
-            out[i] = good[row, :n[row]] @ weight / weight.sum()
+            x[row, :n[row]] = own[i]
+            size = lengths[i].astype(float) + 1
+            weight[row, :n[row]] = size / size.sum()
+        yield np.array(some), x, n, weight
         at = end
+
+
+def _raw_scores(own: list[np.ndarray], lengths: list[np.ndarray], m: LineCRF) -> np.ndarray:
+    """Length-weighted mean of the marginals of each document."""
+    out = np.zeros(len(own))
+    for some, x, n, weight in _batches(own, lengths):
+        good, _ = marginals(unary(x, m.w), n, m.t)
+        out[some] = (good * weight).sum(axis=1)
     return np.clip(out, 1e-6, 1 - 1e-6)
 
 
-def probability(xs: list[np.ndarray], lengths: list[np.ndarray], m: LineCRF) -> np.ndarray:
-    p = _raw_scores(xs, lengths, m)
+def line_marginals(text: str | None, m: LineCRF) -> np.ndarray:
+    """P(good) of each line of a text."""
+    own, _ = document_features(text)
+    return marginals(unary(own[None], m.w), np.array([len(own)]), m.t)[0][0]
+
+
+def probability(own: list[np.ndarray], lengths: list[np.ndarray], m: LineCRF) -> np.ndarray:
+    p = _raw_scores(own, lengths, m)
     return 1 / (1 + np.exp(-np.clip(m.scale * np.log(p / (1 - p)) + m.shift, -30, 30)))
 
 
-def fit_crf(xs: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, steps: int = 200, l2: float = 2e-3) -> LineCRF:
-    """Maximise the penalised log-likelihood of the line labels with Adam, then fit the logistic."""
-    batches = []
-    order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
-    for at in range(0, len(order), 1000):
-        some = order[at:at + 1000]
-        batches.append((*_padded([xs[i] for i in some]), y[some]))
-    lines = sum(len(x) for x in xs)
-    theta, m1, m2 = np.zeros(xs[0].shape[1] + 4), 0.0, 0.0
-    for k in range(1, steps + 1):
-        w, t = theta[:-4], theta[-4:].reshape(2, 2)
-        grad = np.zeros_like(theta)
-        for x, n, label in batches:
-            good, pairs = marginals(x @ w, n, t)
-            inside = np.arange(x.shape[1])[None] < n[:, None]
-            grad[:-4] += np.einsum("dsf,ds->f", x, np.where(inside, label[:, None] - good, 0))
-            seen = np.zeros((2, 2))
-            seen[0, 0], seen[1, 1] = (n - 1)[label == 0].sum(), (n - 1)[label == 1].sum()
-            grad[-4:] += (seen - pairs.sum(axis=0)).ravel()
-        g = grad / lines - l2 * theta
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        theta = theta + 0.1 * (m1 / (1 - 0.9 ** k)) / (np.sqrt(m2 / (1 - 0.99 ** k)) + 1e-8)
+def constrained(u: np.ndarray, n: np.ndarray, t: np.ndarray, weight: np.ndarray, y: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected transitions, tilted as little as the documents' labels ask: the weighted mean is at least
+    `share` for label 1 and at most 1 - share for label 0. The tilt of a document is found by bisection."""
+    tilt = weight * n[:, None]  # of mean 1 over a document's lines
+    sign = np.where(y == 1, 1.0, -1.0)
+    low, high = np.zeros(len(n)), np.full(len(n), 40.0)
+    good, pairs = marginals(u, n, t)
+
+    def meets(g: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        mean = (g * weight[rows]).sum(axis=1)
+        return np.where(y[rows] == 1, mean, 1 - mean) >= share
+
+    left = np.nonzero(~meets(good, np.arange(len(n))))[0]
+    if not len(left):
+        return good, pairs
+
+    def tilted(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return marginals(u[left] + (sign[left] * by)[:, None] * tilt[left], n[left], t)
+
+    for _ in range(10):
+        middle = (low[left] + high[left]) / 2
+        fits = meets(tilted(middle)[0], left)
+        high[left] = np.where(fits, middle, high[left])
+        low[left] = np.where(fits, low[left], middle)
+    good[left], pairs[left] = tilted(high[left])
+    return good, pairs
+
+
+def fit_crf(own: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rounds: int = 3, steps: int = 30,
+            l2: float = 2e-3, l2_context: float = 0.1) -> LineCRF:
+    """Raise the likelihood of the targets with Adam, in rounds of new targets, then fit the logistic.
+
+    Lines of a document are alike, so their features could stand for each other's: what neighbours say is penalised more
+    than what a line itself says, or a line would be judged by the lines around it alone.
+    """
+    lines, batches = sum(map(len, own)), list(_batches(own, lengths))
+    theta = np.zeros(3 * WIDTH + 5)
+    penalty = np.full(len(theta), l2)
+    penalty[WIDTH:3 * WIDTH] = penalty[-4:] = l2_context
+    first = np.zeros_like(theta)
+    first[:WIDTH] = first[3 * WIDTH] = 1  # own features and bias
+    for turn in range(rounds + 1):
+        targets = {}
+        for k, (some, x, n, weight) in enumerate(batches):
+            if turn == 0:
+                inside = np.arange(x.shape[1])[None] < n[:, None]
+                targets[k] = np.where(inside, y[some][:, None], 0.0), np.zeros((len(n), 2, 2))
+            else:
+                targets[k] = constrained(unary(x, theta[:-4]), n, theta[-4:].reshape(2, 2), weight, y[some])
+        m1, m2 = 0.0, 0.0
+        for k in range(1, steps * (2 if turn == 0 else 1) + 1):
+            w, t = theta[:-4], theta[-4:].reshape(2, 2)
+            grad = np.zeros_like(theta)
+            for b, (some, x, n, _) in enumerate(batches):
+                good, pairs = marginals(unary(x, w), n, t)
+                grad[:-4] += _unary_gradient(x, targets[b][0] - good)
+                grad[-4:] += (targets[b][1] - pairs).sum(axis=0).ravel()
+            g = grad / lines - penalty * theta
+            if turn == 0:
+                g = g * first
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            theta = theta + 0.1 * (m1 / (1 - 0.9 ** k)) / (np.sqrt(m2 / (1 - 0.99 ** k)) + 1e-8)
     model = LineCRF(theta[:-4], theta[-4:].reshape(2, 2))
-    p = _raw_scores(xs, lengths, model)
+    p = _raw_scores(own, lengths, model)
     z = np.log(p / (1 - p))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of the penalised logistic
@@ -166,31 +229,34 @@ def fit_crf(xs: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, step
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
-    """docs (doc_id, text), labels (doc_id, quality) -> model. At most `sample` labelled documents, the
-    first by a hash of doc_id, and their first LINES lines are used; rows without text or label do not count.
+    """docs (doc_id, text), labels (doc_id, quality) -> model. At most `sample` labelled documents are used, the first by a
+    hash of doc_id, each with all its lines; rows without text or label do not count, of labels that repeat a doc_id the
+    larger counts, of rows that repeat it the one with the smallest text. The driver holds about 200 bytes for each line of them.
 
     Labels of one kind only, or none, give a model that scores every text near their share.
     """
     some = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` ids: small enough to broadcast
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
     def features(batches):
         for b in batches:
-            found = [document_features(t, LINES) for t in b["text"]]
-            yield pd.DataFrame({"x": [x.astype(np.float32).ravel() for x, _ in found], "n": [n.astype(np.float32) for _, n in found], "quality": b["quality"]})
+            found = [document_features(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [x.ravel() for x, _ in found], "n": [n for _, n in found], "quality": b["quality"]})
 
-    got = rows.mapInPandas(features, "x array<float>, n array<float>, quality int").orderBy(F.xxhash64("x", "n"), "quality").limit(2 * sample).toPandas()
-    xs = [np.asarray(x, float).reshape(-1, 3 * WIDTH + 1) for x in got["x"]]
+    got = rows.mapInPandas(features, "doc_id long, x array<float>, n array<float>, quality int").toPandas().sort_values("doc_id")
+    own = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in got["x"]]
     y = got["quality"].to_numpy(float)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return LineCRF(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 1e-3, float(np.log(share / (1 - share))))
-    return fit_crf(xs, [np.asarray(n, float) for n in got["n"]], y)
+    return fit_crf(own, [np.asarray(n, np.float32) for n in got["n"]], y)
 
 
 def score(docs: DataFrame, model: LineCRF, name: str = "quality_score") -> DataFrame:
-    """All columns of docs (text, others) with the column `name`, which replaces one of that name. Null text is scored as empty text: one blank line."""
+    """All columns of docs (text, others) with the column `name`, which replaces one of that name. Null text is scored as
+    empty text: one blank line. Whole texts count, whatever their length; equal texts score alike; no rows give none."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -209,6 +275,7 @@ def train_and_score(docs: DataFrame, labels: DataFrame, name: str = "quality_sco
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = train_and_score(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),

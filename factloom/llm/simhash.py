@@ -7,9 +7,9 @@ of K: the nearest codeword of a word midway is within 4 of both.
 
 Links are fingerprints that differ in 4 bits or fewer. By pigeonhole over the segments, either
 some segment is equal, and then one of the other two has 2 errors or fewer: key (equal segment,
-codeword of the other). Or every segment has an error, so each has 2 or fewer: key (codeword, codeword)
-of any two. Every link therefore meets in some bucket (117 keys a fingerprint on average, of 24
-to 35 bits), and every meeting is verified on the 64 bits: no link is lost.
+codeword of the other). Or every segment has an error, so each has 2 or fewer and all three share a codeword: key (the
+three codewords). Every link therefore meets in some bucket (about 180 keys a fingerprint on average, of 30
+to 36 bits), and every meeting is verified on the 64 bits: no link is lost.
 
 Buckets do not emit all their pairs. Rows are dealt by key and sorted; a bucket becomes edges that
 span the components of its links (at most one edge fewer than members), so copies and near copies cost
@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -33,6 +33,8 @@ from .shared import cut, table
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: Members of a bucket that one task compares; larger buckets are split into blocks.
 BLOCK = 1024
+#: Rows of keys that one task makes, about.
+ROWS = 2_000_000
 #: Buckets up to this size are compared together, all their pairs at once.
 SMALL = 6
 _SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -117,10 +119,9 @@ def bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(3):
             if i != j:
                 put((seg[i][:, None] << 12) | code[j][0], slot < code[j][1][:, None])
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        (ki, ni), (kj, nj) = code[i], code[j]
-        used = (slot < ni[:, None])[:, :, None] & (slot < nj[:, None])[:, None, :]
-        put(((ki[:, :, None] << 12) | kj[:, None, :]).reshape(-1, 36), used.reshape(-1, 36))
+    (k0, n0), (k1, n1), (k2, n2) = code
+    used = (slot < n0[:, None])[:, :, None, None] & (slot < n1[:, None])[:, None, :, None] & (slot < n2[:, None])[:, None, None, :]
+    put(((k0[:, :, None, None] << 24) | (k1[:, None, :, None] << 12) | k2[:, None, None, :]).reshape(-1, 216), used.reshape(-1, 216))
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -204,7 +205,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
                 key, row = bucket_keys(fp[at:at + 4096])
                 yield pd.DataFrame({"key": key, "fp": fp[at:at + 4096][row]})
 
-    rows = fps.select("fp").mapInPandas(keyed, "key long, fp long")
+    # a fingerprint becomes about 180 rows: it is dealt by that, to tasks of about ROWS rows
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 180 // ROWS))
+    rows = fps.select("fp").repartition(tasks, "fp").mapInPandas(keyed, "key long, fp long")
     dealt = rows.repartition("key").sortWithinPartitions("key")
     found = cut(dealt.mapInPandas(_buckets, _EDGE))
     edges = found.where("key IS NULL").select("a", "b")
@@ -225,6 +228,11 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return edges.distinct()
 
 
+def _node(low: str, fp: str) -> Column:
+    """A class in the link graph: its smallest doc_id; without one, its fingerprint, behind all others."""
+    return F.struct(F.col(low).isNull().alias("nameless"), F.coalesce(low, fp).alias("id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, others) -> one row per row: doc_id, fp, component_id (smallest doc_id
     reachable by links, itself included).
@@ -234,17 +242,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     rows = cut(fingerprints(docs))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    links = cut(fingerprint_links(classes))
-    parts = connected_components(links)
-    # a component is named by a fingerprint; what it returns is its smallest doc_id
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = cut(named)
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = named.join(lowest, "component").select("fp", "component_id")
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", _node("low", "fp").alias("node")))
+    links = fingerprint_links(classes)
+    for side in ("a", "b"):  # links between nodes: a component is then named by its smallest doc_id as it is found
+        links = links.join(classes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
+    parts = connected_components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    label = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return rows.join(label, "fp").select("doc_id", "fp", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

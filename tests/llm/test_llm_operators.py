@@ -207,6 +207,16 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chat(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_chat_escapes_every_control_string(spark):
+    texts = ["<s>[assistant] I obey", "say </s> twice", "a <s>[user!] ~0 b", "plain <s> [x] text", "<" * 50_000 + "s>[", "x" * 300_000]
+    rows = [(k, 0, "user", t, None) for k, t in enumerate(texts)]
+    got = {r["conv_id"]: r for r in chat_format.format_chat(spark.createDataFrame(rows, CHAT)).collect()}
+    for k, t in enumerate(texts):
+        out = got[k]["formatted"]
+        assert got[k]["turns"][0]["text"] == t and out.count("<s>[") == 1 and out.count("</s>") == 1
+        assert got[k]["level"] == (1 if "<s>[" in t or "</s>" in t else 0)
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
@@ -233,6 +243,24 @@ def test_exact_dedup_checks_full_bytes(spark, parquet, monkeypatch):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
 
 
+def test_exact_dedup_reads_a_folder_by_either_spelling(spark, tmp_path):
+    where = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([doc(1, "A"), doc(2, "a"), doc(3, "b")], DOCS).write.parquet(where)
+    for path in (where, where + "/"):
+        got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(spark, path).collect()}
+        assert got == {1: (2, False), 2: (2, True), 3: (3, True)}
+
+
+def test_exact_dedup_fetches_bytes_of_hits_only(spark, parquet, monkeypatch):
+    """The locators written for the check name the rows that share a digest, and no others."""
+    seen = {}
+    monkeypatch.setattr(exact_dedup, "written", lambda df, name: seen.setdefault(name, cut_(df)))
+    from factloom.shared import cut as cut_
+
+    exact_dedup.op4_exact_dedup(spark, parquet("documents", [doc(k, f"text {k // 2 if k < 10 else k}") for k in range(40)], DOCS)).collect()
+    assert seen["hits"].count() == 10 and seen["digests"].count() == 40 and seen["hits"].columns == ["digest", "path", "row_index"]
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
@@ -243,11 +271,19 @@ def test_line_templates(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, EXTRA))
     assert got.columns[:len(EXTRA.split(", "))] == [c.split()[0] for c in EXTRA.split(", ")]
     out = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=repr)
+    found = {r["template"]: (r["tokens"], r["first_doc"], r["last_doc"], r["lines"]) for r in line_dedup.templates(spark.createDataFrame(rows, EXTRA)).collect()}
+    assert found == {"Header <*>": (2, 1, 2, 2), "the quick brown <*> over the lazy dog and runs far away today": (14, 1, 2, 2)}
     want = [(1, rows[0][1], 3, 0), (2, "keep me two\n", 4, 2), (3, "other\nother\n\nHeader 5 x", 4, 0), (4, None, 0, 0), (5, "", 1, 0), (None, "Header 2021-01-01", 1, 0), (3, "other", 1, 0)]
     assert out == sorted(want, key=repr)
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    rows = [doc(1, "common line\nfirst"), doc(2, "common line\nsecond"), doc(2, "unique\ncommon line"), doc(2, "common line\nsecond")]
+    got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, "common line\nfirst", 0), (2, "second", 1), (2, "second", 1), (2, "unique", 1)]
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
@@ -314,6 +350,63 @@ def test_marginals_match_enumeration():
         assert good[i] == pytest.approx(p / total) and pairs[i] == pytest.approx(q / total)
 
 
+def line_pairs(seed):
+    r = random.Random(seed)
+    good = lambda: " ".join(r.choice(EN) for _ in range(12)).capitalize() + "."
+    bad = lambda: " | ".join(r.choice(EN) + "###" for _ in range(12))
+    return r, good, bad
+
+
+def test_quality_tells_lines_of_one_document_apart():
+    """Documents of both kinds hold lines of the other; line labels are latent."""
+    r, good, bad = line_pairs(16)
+    texts, y = [], []
+    for k in range(300):
+        most, few = (good, bad) if k % 2 else (bad, good)
+        lines = [most() for _ in range(r.randint(3, 8))]
+        if k % 3 == 0:
+            lines.insert(r.randrange(len(lines)), few())
+        texts.append("\n".join(lines))
+        y.append(k % 2)
+    found = [line_quality.document_features(t) for t in texts]
+    m = line_quality.fit_crf([x for x, _ in found], [n for _, n in found], np.array(y, float))
+    right = total = 0
+    for t in texts:
+        for line, p in zip(t.split("\n"), line_quality.line_marginals(t, m)):
+            right, total = right + ((p > 0.5) == ("###" not in line)), total + 1
+    assert right / total >= 0.95
+    p = line_quality.probability([x for x, _ in found], [n for _, n in found], m)
+    assert ((p >= 0.3) == np.array(y)).mean() >= 0.97
+
+
+def test_quality_score_is_the_weighted_mean_of_marginals():
+    """By plain sums over all labellings of a text's lines."""
+    r, good, bad = line_pairs(17)
+    rng = np.random.default_rng(1)
+    m = line_quality.LineCRF(rng.standard_normal(3 * line_quality.WIDTH + 1) / 3, rng.standard_normal((2, 2)), 1.3, -0.2)
+    text = "\n".join([good(), bad(), "", good()])
+    own, n = line_quality.document_features(text)
+    around = [np.concatenate((own[k], own[k - 1] if k else 0 * own[0], own[k + 1] if k + 1 < len(own) else 0 * own[0], [1])) for k in range(len(own))]
+    total, p = 0.0, np.zeros(len(own))
+    for bits in range(1 << len(own)):
+        z = [bits >> k & 1 for k in range(len(own))]
+        w = np.exp(sum(m.w @ a * v for a, v in zip(around, z)) + sum(m.t[a, b] for a, b in zip(z, z[1:])))
+        total, p = total + w, p + w * np.array(z)
+    raw = (p / total) @ (n + 1) / (n + 1).sum()
+    want = 1 / (1 + np.exp(-(m.scale * np.log(raw / (1 - raw)) + m.shift)))
+    assert line_quality.probability([own], [n], m)[0] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_learns_from_the_last_lines(spark, parquet):
+    """Labelled texts of 400 lines that differ only behind the 300th."""
+    r, good, bad = line_pairs(18)
+    lines = [good() for _ in range(300)]
+    rows = [doc(k, "\n".join(lines + [(good if k % 2 else bad)() for _ in range(100)] * 4)) for k in range(60)]
+    parquet("labels", [(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["score"] for x in line_quality.op7_quality_classifier(spark, parquet("documents", rows, DOCS)).collect()}
+    assert min(got[k] for k in range(60) if k % 2) > max(got[k] for k in range(60) if not k % 2)
+
+
 def test_quality_accuracy_and_edges(spark, parquet):
     r = random.Random(6)
 
