@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -629,11 +630,65 @@ def test_words_are_the_librarys():
     ("<article><p>Text.<div class='comments'><p>A reader says that this is the best of all the texts that he has read.</p></div></article>", "Text."),
     ("<article>x<script>var t='</article><p>no</p>';</script>y<style>p{}</style><!-- <p>no</p> -->z", "xyz"),
     ("<div class=ad>Buy now and save</div><article><p>One.</p></article><aside>Side</aside><form><p>Name</p></form><footer>&copy; x</footer>", "One."),
+    ("<div class='social-history'><p>It was one of the reasons that they had for all of this, and it is what we know of the time in which they were in the city, when there was "
+     "no other way for them to be what they would have been.</p></div>",
+     "It was one of the reasons that they had for all of this, and it is what we know of the time in which they were in the city, when there was "
+     "no other way for them to be what they would have been."),
+    ("<article><p>This is what we have to say of it, and it is all that there is to say.</p><p>See <a href=x>the long guide here</a></p><p>And that is the end of what we had to "
+     "say of it, as it was then.</p></article><div class='comment-list'><p>I am of the other view, and this is why it is not what you say that it is, for all of us.</p></div>",
+     "This is what we have to say of it, and it is all that there is to say. See the long guide here And that is the end of what we had to say of it, as it was then."),
+    ("<p>It is what we have to say of all this, and of what there is in it for you.</p><p>So.</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><p>Buy</p>"
+     "<div id=sidebar><p>It is the one that you have to have, and this is what it is for all of us.</p></div>",
+     "It is what we have to say of all this, and of what there is in it for you. So."),
     ("<p title='a>b'>It is the one of the texts that we have in the long run of all of them.</p>", "It is the one of the texts that we have in the long run of all of them.")])
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+class ArticleText(html.parser.HTMLParser):
+    """The article of a page by a plain parser: what is inside <article>, block by block."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        if tag in ("p", "h1", "br", "article"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_against_a_plain_parser(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        p = ArticleText()
+        p.feed(r["html"] or "")
+        p.close()
+        assert html_text.main_text(r["html"]) == " ".join(x for x in (" ".join(b.split()) for b in p.blocks) if x), r["page_id"]
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        t = time.perf_counter()
+        for piece in ("<svg>", "<svg><math>x", "<p>a<b", "</div>", "<li>x", "<!--", "&amp; ", "<a href='"):
+            html_text.main_text(piece * n)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 40 * took[0] + 2
+
+
 def test_html_query(spark, parquet):
     d = parquet("pages", [(1, "u", "<article><p>a</p></article>", "x"), (2, None, None, None), (None, "v", "<p>" * 20000, None)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.op10_html_extraction(spark, d).collect()}
