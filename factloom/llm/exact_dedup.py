@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, delete_path, fresh_path, written
 
+#: Bits of the table that tells which rows are no hits: 2 ** 24 bits are 2 MB.
+SLOT_BITS = 24
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,14 +33,17 @@ def ascii_lower(text: Column) -> Column:
                   F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
 
 
+def _with_locator(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "text", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+
+
 def _located(df: DataFrame) -> DataFrame:
-    """doc_id, norm (the normalised text) and the row's locator: path, row_index."""
-    return df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"),
-                     F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row_index"))
+    """doc_id, text, path, row_index -> with norm (the normalised text) in place of text."""
+    return df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"), "path", "row_index")
 
 
 def _digested(df: DataFrame) -> DataFrame:
-    return _located(df).withColumn("digest", F.unhex(F.sha2("norm", 256))).drop("norm")
+    return _located(_with_locator(df)).withColumn("digest", F.unhex(F.sha2("norm", 256))).drop("norm")
 
 
 def _pattern(path: str) -> str:
@@ -78,6 +83,23 @@ def digest_state(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def _slot(path, row_index) -> Column:
+    return F.xxhash64(path, row_index).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def _perhaps(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs without most of the rows that hits (path, row_index) does not name: those whose hashed locator has no bit set.
+
+    The bits are a table of at most 2 ** (SLOT_BITS - 6) words, whatever the number of hits, so it is broadcast; texts of
+    other rows are then neither read into a shuffle nor compared. With very many hits more rows pass, and the join decides.
+    """
+    slot = _slot("path", "row_index")
+    bits = hits.groupBy(F.shiftright(slot, 6).alias("_fl_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(path, row_index) & 63 AS INT))")).alias("_fl_bits"))
+    located = _with_locator(docs).withColumn("_fl_slot", _slot("path", "row_index"))
+    return located.withColumn("_fl_word", F.shiftright("_fl_slot", 6)).join(F.broadcast(bits), "_fl_word").where(
+        F.expr("(shiftright(_fl_bits, CAST(_fl_slot & 63 AS INT)) & 1) = 1"))
+
+
 def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     """One row per row of the documents at `path` (Parquet: doc_id, text, any other columns):
     doc_id, keep_id, group_size, kept, text_sha256.
@@ -94,7 +116,7 @@ def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     rows = written(_digested(docs), "digests")
     # full bytes of hits: a group whose texts differ has a different smallest and largest text
     hits = written(rows.join(state.where("group_size > 1").select("digest"), "digest").select("digest", "path", "row_index"), "hits")
-    fetched = _located(docs).join(hits, ["path", "row_index"])
+    fetched = _located(_perhaps(docs, hits)).join(hits, ["path", "row_index"])
     clash = cut(fetched.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a != b").select("digest"))
     same = rows.join(state, "digest")
     if clash.limit(1).count():
