@@ -18,6 +18,8 @@ from .shared import table
 DIM = 1024
 #: Labelled rows that prototypes are bundled from, in expectation, if there are more.
 SAMPLE = 20_000
+#: A text of MIN_LETTERS letters or more is of no learned language if its cosine is below MIN_SHARE of what is typical.
+MIN_LETTERS, MIN_SHARE = 100, 0.45
 #: Characters that are turned into vectors at once.
 _CHUNK = 200_000
 _ALPHA: np.ndarray | None = None
@@ -108,16 +110,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    n = rows.count()
+    if n <= sample:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[str], np.ndarray]:
-    """docs (doc_id, text, lang) -> languages and their prototypes. Rows without text or lang do not count.
+    """docs (doc_id, text, lang) -> languages and their prototypes. Rows without text or lang do not count; rows that repeat count each
+    time, and those without doc_id are drawn like any other.
 
     If there are more rows than `sample`, a share of sample / rows of them is used, chosen by a hash
     of doc_id. What reaches the driver is one vector for each language.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    rows = _sampled(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample)
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -167,7 +174,40 @@ def train_and_predict(docs: DataFrame, name: str = "language") -> DataFrame:
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))), name)
 
 
+def typical_scores(docs: DataFrame, model: tuple[list[str], np.ndarray], sample: int = SAMPLE) -> dict[str, float]:
+    """docs (doc_id, text, lang) -> for each language of the model the median cosine of its own texts with MIN_LETTERS letters
+    or more, from the same sample of rows as fit takes. A language without such texts is left out."""
+    rows = _sampled(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample)
+    scored = predict(rows.where(letters(F.col("text")) >= MIN_LETTERS), model, "_fl_own").where("lang = _fl_own.lang_pred")
+    found = scored.groupBy("lang").agg(F.percentile_approx("_fl_own.score", 0.5).alias("typical")).collect()  # a row a language
+    return {r["lang"]: r["typical"] for r in found}
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+
+
+def accepted(docs: DataFrame, share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, others) that are in a language that the labelled rows among them teach.
+
+    A row is refused if its text is null or has no letter, or if it has MIN_LETTERS letters or more and its cosine is below
+    `share` of the median cosine of that language's own texts: another script, random letters or the same few words over and over.
+    Shorter texts have too few trigrams to tell, and stay. Without any labelled row nothing can be refused but
+    texts without letters. Repeated rows are judged alike; an empty table stays empty.
+    """
+    train = docs.where(~held_out(F.col("doc_id")))
+    model = fit(train)
+    if not model[0]:
+        return docs.where(letters(F.col("text")) > 0)
+    cuts = [F.lit(x) for lang, v in typical_scores(train, model).items() for x in (lang, share * v)]
+    out = predict(docs, model, "_fl_language")
+    cut_ = F.coalesce(F.create_map(*cuts)[F.col("_fl_language.lang_pred")], F.lit(0.0)) if cuts else F.lit(0.0)
+    stays = (F.col("_fl_language.score") >= cut_) | (letters(F.col("text")) < MIN_LETTERS)  # letters are counted for the few below
+    return out.where((F.col("_fl_language.lang_pred") != "und") & stays).drop("_fl_language")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), fit(docs.where(~held_out(F.col("doc_id")))))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "language.*")

@@ -60,13 +60,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, others) -> doc_id, fp long (the fingerprint's bits, two's complement)."""
+    """docs (doc_id, text, others) -> doc_id, text_hash (XXH64 of the text, to tell rows of one id apart), fp long (the
+    fingerprint's bits, two's complement)."""
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -229,17 +230,17 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def _node(low: str, fp: str) -> Column:
-    """A class in the link graph: its smallest doc_id; without one, its fingerprint, behind all others."""
-    return F.struct(F.col(low).isNull().alias("nameless"), F.coalesce(low, fp).alias("id"))
+    """A class in the link graph: its smallest doc_id, if it has one, and its fingerprint. Nameless classes come last."""
+    return F.struct(F.col(low).isNull().alias("nameless"), F.coalesce(low, F.lit(0)).alias("id"), F.col(fp).alias("fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, others) -> one row per row: doc_id, fp, component_id (smallest doc_id
-    reachable by links, itself included).
+    """docs (doc_id, text, others) -> one row per row: doc_id, text_hash, fp, component_id (smallest doc_id reachable by
+    links, itself included), component_fp (the fingerprint of the class that has it, which names the component).
 
     Null or blank text has fingerprint zero and is linked like any other; repeated rows are one
-    class. Null doc_ids take part but never name a component, unless it has no other. An empty
-    table gives no rows.
+    class. Rows of one doc_id with different texts are linked by their texts only. Null doc_ids take part but never name a
+    component, unless it has no other. An empty table gives no rows; texts of any length count whole.
     """
     rows = cut(fingerprints(docs))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", _node("low", "fp").alias("node")))
@@ -248,7 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.join(classes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
     parts = connected_components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     label = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(label, "fp").select("doc_id", "fp", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"))
+    return rows.join(label, "fp").select("doc_id", "text_hash", "fp", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"),
+                                         F.col("component.fp").alias("component_fp"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
