@@ -699,6 +699,142 @@ def test_html_query(spark, parquet):
 # pipeline -----------------------------------------------------------------------------------------
 
 
+def slow_language(text, langs, protos):
+    s = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "
+    if not s.strip():
+        return "und", 0.0
+    v = np.zeros(language_id.DIM)
+    for g, n in Counter(zip(s, s[1:], s[2:])).items():
+        a, b, c = (language_id._letter(ord(x), language_id.DIM).astype(float) for x in g)
+        v += n * np.roll(a, 2) * np.roll(b, 1) * c
+    cos = protos @ v / np.linalg.norm(v)
+    return langs[int(cos.argmax())], max(0.0, float(cos.max()))
+
+
+def slow_quality(text, m):
+    """Forward-backward of one document by plain loops."""
+    own, n = line_quality.document_features(text)
+    zero = 0 * own[0]
+    u = [m.w @ np.concatenate((own[k], own[k - 1] if k else zero, own[k + 1] if k + 1 < len(own) else zero, [1])) for k in range(len(own))]
+    f, b = [np.array([0, u[0]])], [np.zeros(2)]
+    for k in range(1, len(u)):
+        f.append(np.array([np.logaddexp(f[-1][0] + m.t[0, y], f[-1][1] + m.t[1, y]) + (u[k] if y else 0) for y in (0, 1)]))
+    for k in range(len(u) - 2, -1, -1):
+        nxt = np.array([0, u[k + 1]]) + b[0]
+        b.insert(0, np.array([np.logaddexp(m.t[y, 0] + nxt[0], m.t[y, 1] + nxt[1]) for y in (0, 1)]))
+    good = np.array([1 / (1 + np.exp(np.clip(x[0] + y[0] - x[1] - y[1], -500, 500))) for x, y in zip(f, b)])
+    raw = np.clip(good @ (n.astype(float) + 1) / (n.astype(float) + 1).sum(), 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-np.clip(m.scale * np.log(raw / (1 - raw)) + m.shift, -30, 30)))
+
+
+def slow_line_dedup(rows):
+    """rows (doc_id, text): every line against every template, by a dictionary."""
+    def keys(line):
+        w = [re.sub(r".*\d.*", "<*>", x) for x in line.split()]
+        if len(w) < line_dedup.MIN_WILD:
+            return [("short", *w)] if w else []
+        cuts = [line_dedup.DEPTH + (len(w) - line_dedup.DEPTH) * k // line_dedup.SEGMENTS for k in range(line_dedup.SEGMENTS + 1)]
+        return [(len(w), k, *w[:cuts[k]], None, *w[cuts[k + 1]:]) for k in range(line_dedup.SEGMENTS)]
+
+    first, last = {}, {}
+    for d, t in rows:
+        for key in {k for line in (t or "").split("\n") for k in keys(line)}:
+            first[key], last[key] = min(d, first.get(key, d)), max(d, last.get(key, d))
+    return [(d, "\n".join(x for x in t.split("\n") if not any(first[k] < d for k in keys(x)))) for d, t in rows]
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage on the whole small table, against loops over its own input."""
+    import corpus_pipeline as C
+    from conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    refused = {}
+    for name, stage in C.STAGES:
+        given = {r["doc_id"]: r.asDict() for r in docs.collect()}
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        rows = [r.asDict() for r in out.collect()]
+        if name != "packing":
+            assert out.columns == docs.columns
+            kept = {r["doc_id"]: r["text"] for r in rows}
+            assert len(kept) == len(rows)
+            refused[name] = len(given) - len(kept)
+        if name == "language":
+            train = docs.where(~language_id.held_out(F.col("doc_id")))
+            langs, protos = language_id.fit(train)
+            scores = {d: slow_language(r["text"], langs, protos) for d, r in given.items()}
+            assert all(sum(c.isalpha() for c in given[d]["text"]) < 1.1 * language_id.MIN_LETTERS or scores[d][1] >= 0.2 for d in kept)
+            own = {g: sorted(s for d, (p, s) in scores.items() if p == g == given[d]["lang"] and zlib.crc32(str(d).encode()) % 5 and
+                             sum(c.isalpha() for c in given[d]["text"] or "") >= language_id.MIN_LETTERS) for g in langs}
+            for d, (g, s) in scores.items():
+                limit = language_id.MIN_SHARE * own[g][(len(own[g]) - 1) // 2] if g in own else 1
+                few = sum(c.isalpha() for c in given[d]["text"] or "") < language_id.MIN_LETTERS
+                if g == "und" or few or abs(s - limit) > 0.02:
+                    assert (d in kept) == (g != "und" and (few or s >= limit))
+        elif name == "quality":
+            m = line_quality.fit(docs.where(~line_quality.held_out(F.col("doc_id"))), spark.read.parquet(f"{SF}/labels.parquet"))
+            for d, r in given.items():
+                p = slow_quality(r["text"], m)
+                assert abs(p - line_quality.THRESHOLD) < 1e-3 or (d in kept) == (p >= line_quality.THRESHOLD)
+        elif name == "line_dedup":
+            cut = {d: t for d, t in slow_line_dedup([(d, r["text"]) for d, r in given.items()]) if t == given[d]["text"] or t.strip()}
+            assert kept == cut and all(r["n_chars"] == len(r["text"]) for r in rows)
+        elif name == "near_dedup":
+            low = dict(brute_components([(d, simhash.fingerprint(r["text"])) for d, r in given.items()]))
+            assert set(kept) == {d for d in given if low[d] == d} and all(kept[d] == given[d]["text"] for d in kept)
+        else:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            want = Counter()
+            for d, r in given.items():
+                ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+                for p, at in enumerate(range(0, len(ids), 4096)):
+                    want[(d, p, at, len(ids[at:at + 4096]), zlib.crc32(ids[at:at + 4096].tobytes()))] += 1
+            assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+            total = sum(r["length"] for r in rows)
+            assert -(-total // 4096) <= len({r["sequence_id"] for r in rows}) <= -(-total // 4096) + 1
+        docs = out
+    assert refused["quality"] > 0 and refused["line_dedup"] > 0
+
+
+def test_language_stage_refuses_other_scripts_and_random_letters(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(20)
+    junk = ["".join(r.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0436 ") for _ in range(400)), " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "..?", None]
+    rows = [doc(k, text_of(EN if k % 2 else DE, 60, k), "en" if k % 2 else "de") for k in range(200)] + [doc(1000 + k, t, "en") for k, t in enumerate(junk)]
+    rows += [doc(2000, "and of the"), doc(2001, "\u0430\u0431\u0432")]  # short: too few letters to refuse
+    kept = {x["doc_id"] for x in C.known_language(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {*range(200), 2000, 2001}
+
+
+def test_near_dedup_stage_with_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    r = random.Random(21)
+    a, b, c = (" ".join(r.choice(EN + DE) for _ in range(60)) for _ in range(3))
+    rows = [doc(1, a), doc(1, b), doc(1, a), doc(2, a), doc(3, b), doc(4, c), doc(4, c), doc(None, c), doc(None, c)]
+    got = sorted(((x["doc_id"], x["text"]) for x in C.without_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (4, c), (None, c), (None, c)], key=repr)
+
+
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    import glob
+
+    import corpus_pipeline as C
+    from conftest import SF
+    from factloom import shared
+
+    base = shared.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/*"))
+    out = C.run(spark, SF)
+    left = [p for p in set(glob.glob(f"{base}/*")) - before if not p.endswith(".crc")]
+    assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in left if "stage" in p or "keys" in p] == ["stage-packing"] and out.count() > 0
+
+
 def test_pipeline_edges(spark, parquet):
     import corpus_pipeline as C
 
