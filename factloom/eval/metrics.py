@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..shared import cut
 
 
 def confusion(pairs: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
@@ -50,10 +51,11 @@ def match_three_passes(gold: DataFrame, predicted: DataFrame) -> DataFrame:
         w = Window.partitionBy(*key).orderBy("ord")
         g, p = gold.withColumn("k", F.row_number().over(w)), predicted.withColumn("k", F.row_number().over(w))
         hit = g.select(*key, "k", F.col("ord").alias("gold_ord")).join(p.select(*key, "k", F.col("ord").alias("predicted_ord")), [*key, "k"])
-        hit = hit.select("doc_id", "predicate", F.lit(kind).alias("kind"), "gold_ord", "predicted_ord")
+        hit = cut(hit.select("doc_id", "predicate", F.lit(kind).alias("kind"), "gold_ord", "predicted_ord"))
         outs.append(hit)
-        gold = gold.join(hit.select("doc_id", F.col("gold_ord").alias("ord")), ["doc_id", "ord"], "left_anti")
-        predicted = predicted.join(hit.select("doc_id", F.col("predicted_ord").alias("ord")), ["doc_id", "ord"], "left_anti")
+        # what is left over is read by every later pass: planned once
+        gold = cut(gold.join(hit.select("doc_id", F.col("gold_ord").alias("ord")), ["doc_id", "ord"], "left_anti"))
+        predicted = cut(predicted.join(hit.select("doc_id", F.col("predicted_ord").alias("ord")), ["doc_id", "ord"], "left_anti"))
     none = F.lit(None).cast("long")
     outs.append(gold.select("doc_id", "predicate", F.lit("missing").alias("kind"), F.col("ord").alias("gold_ord"), none.alias("predicted_ord")))
     outs.append(predicted.select("doc_id", "predicate", F.lit("spurious").alias("kind"), none.alias("gold_ord"), F.col("ord").alias("predicted_ord")))

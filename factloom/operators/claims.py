@@ -47,13 +47,11 @@ def standing(evidence: DataFrame, key: list[str], half_life_days: float = 365.0,
     A source that backs many claims counts less: 1 / (1 + ln of its number of claims).
     """
     newest = evidence.agg(F.max("retrieved_at").alias("newest"))  # one row
-    by_source = evidence.groupBy(*key, "source").agg(F.max("tier_w").alias("tier_w"), F.max("retrieved_at").alias("at"),
-                                                     F.collect_set(F.struct("tier_w", "retrieved_at")).alias("seen"))
+    trust = F.col("tier_w") * freshness(F.col("retrieved_at"), F.col("newest"), half_life_days, floor)
+    by_source = evidence.crossJoin(F.broadcast(newest)).groupBy(*key, "source").agg(F.max(trust).alias("trust"))
     volume = by_source.groupBy("source").agg(F.count(F.lit(1)).alias("volume"))
-    dated = by_source.join(volume, "source").crossJoin(F.broadcast(newest))
-    trust = F.array_max(F.transform("seen", lambda e: e["tier_w"] * freshness(e["retrieved_at"], F.col("newest"), half_life_days, floor)))
-    return dated.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("support"), F.max(trust).alias("trust"),
+    return by_source.join(volume, "source").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("support"), F.max("trust").alias("trust"),
         (F.lit(1.0) + F.log1p(F.sum(F.lit(1.0) / (F.lit(1.0) + F.ln("volume"))))).alias("agreement"),
     ).withColumn("rank", F.col("trust") * F.col("agreement"))
 

@@ -34,7 +34,7 @@ def _people(spark, d):
 
 
 def blocked_pairs_names(spark, d):
-    """Pairs under the reference's cap of 100 a block. The SQL below still has a cap of 20, so the two differ where a block has 21 rows or more."""
+    """Pairs of entities that share a block, with the rule for blocks of more than 100 rows."""
     return R.candidate_pairs(R.profiles(_people(spark, d)))
 
 
@@ -42,9 +42,9 @@ BLOCKS = r"""WITH e AS (SELECT 'Part:' || p_partkey AS key, p_brand AS type, p_p
 b AS (SELECT key, type, country, 'name' AS kind, unnest(list_distinct([string_split(w, ' ')[1], string_split(w, ' ')[-1]])) AS block FROM e
  UNION ALL SELECT key, type, country, 'domain', 'brand' || k % 7 || '.example.com' FROM e WHERE k % 50 = 0 UNION ALL SELECT key, type, country, 'id', 'reg:' || k % 60 FROM e WHERE k % 40 = 0),
 s AS (SELECT *, count(*) OVER (PARTITION BY type, kind, block) AS n, min(key) OVER (PARTITION BY type, kind, block) AS first, count(*) OVER (PARTITION BY type, kind, block, country) AS m FROM b),
-r AS (SELECT type, kind, block, '' AS part, key FROM s WHERE n <= 20 UNION ALL SELECT type, kind, block, '=' || country, key FROM s WHERE n > 20 AND kind = 'name' AND m <= 20)
+r AS (SELECT type, kind, block, '' AS part, key FROM s WHERE n <= 100 UNION ALL SELECT type, kind, block, '=' || country, key FROM s WHERE n > 100 AND kind = 'name' AND m <= 100)
 SELECT DISTINCT x.key AS a, y.key AS b FROM r x JOIN r y USING (type, kind, block, part) WHERE x.key < y.key
-UNION SELECT first, key FROM s WHERE n > 20 AND kind <> 'name' AND key <> first"""
+UNION SELECT first, key FROM s WHERE n > 100 AND kind <> 'name' AND key <> first"""
 
 
 def token_overlap_scores(spark, d):

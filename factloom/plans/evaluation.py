@@ -118,15 +118,16 @@ SELECT CAST(big AS BIGINT) AS judged, CAST(n AS BIGINT) AS n, round(least(1, gre
 
 
 def mcnemar_flips(spark, d):
-    """All labels. The SQL below still reads doc_id % 7 < 2 only: its pow() underflows past 1074 flips."""
+    """The exact sign test over all labels; the SQL sums the binomial tail in logarithms too."""
     a, b = F.col("quality") == 1, F.col("toxic") == 0
     x = _labels(spark, d).agg(F.count(F.lit(1)).alias("items"), F.count_if(~a & b).alias("gained"), F.count_if(a & ~b).alias("lost"))
     return x.select("items", "gained", "lost", _r(S.mcnemar(F.col("gained"), F.col("lost"))).alias("p_value"))
 
 
-MCNEMAR = """WITH RECURSIVE x AS (SELECT count(*) AS items, CAST(count_if(quality = 0 AND toxic = 0) AS BIGINT) AS g, CAST(count_if(quality = 1 AND toxic = 1) AS BIGINT) AS l FROM labels WHERE doc_id % 7 < 2),
-t(k, term) AS (SELECT 0::BIGINT, pow(0.5::DOUBLE, g + l) FROM x UNION ALL SELECT k + 1, term * ((SELECT g + l FROM x) - k) / (k + 1) FROM t WHERE k < (SELECT least(g, l) FROM x))
-SELECT items, g AS gained, l AS lost, round(least(1, 2 * (SELECT sum(term) FROM t)), 6) AS p_value FROM x"""
+MCNEMAR = """WITH x AS (SELECT count(*) AS items, CAST(count_if(quality = 0 AND toxic = 0) AS BIGINT) AS g, CAST(count_if(quality = 1 AND toxic = 1) AS BIGINT) AS l FROM labels),
+k AS (SELECT items, g, l, unnest(range(0, least(g, l) + 1)) AS k FROM x),
+t AS (SELECT items, g, l, sum(exp(lgamma(g + l + 1) - lgamma(k + 1) - lgamma(g + l - k + 1) + (g + l) * ln(0.5))) AS tail FROM k GROUP BY items, g, l)
+SELECT items, g AS gained, l AS lost, round(least(1, 2 * tail), 6) AS p_value FROM t"""
 
 
 def detection_limits(spark, d):

@@ -27,16 +27,17 @@ EVIDENCE_SQL = """
 ev AS (SELECT l_partkey AS part, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, l_suppkey AS source, l_orderkey AS doc_id,
   [1.0, 0.8, 0.5, 0.2, 0.2][n_regionkey + 1]::DOUBLE AS tier_w, l_shipdate AS retrieved_at
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
-STANDING_SQL = EVIDENCE_SQL + """,
-vol AS (SELECT source, count(DISTINCT (part, price)) AS volume FROM ev GROUP BY source),
-newest AS (SELECT max(retrieved_at) AS newest FROM ev),
-tr AS (SELECT part, price, max(tier_w * (0.5 + 0.5 * pow(0.5, greatest(0, epoch_us(newest) - epoch_us(retrieved_at)) / 86400000000.0 / 365.0))) AS trust
+STANDING_SQL = EVIDENCE_SQL.replace("ev AS (", "ev AS MATERIALIZED (") + """,
+vol AS MATERIALIZED (SELECT source, count(DISTINCT (part, price)) AS volume FROM ev GROUP BY source),
+newest AS MATERIALIZED (SELECT max(retrieved_at) AS newest FROM ev),
+tr AS MATERIALIZED (SELECT part, price, max(tier_w * (0.5 + 0.5 * pow(0.5, greatest(0, epoch_us(newest) - epoch_us(retrieved_at)) / 86400000000.0 / 365.0))) AS trust
   FROM ev, newest GROUP BY part, price),
-ag AS (SELECT part, price, count(*) AS support, 1 + ln(1 + sum(1 / (1 + ln(volume)))) AS agreement
+ag AS MATERIALIZED (SELECT part, price, count(*) AS support, 1 + ln(1 + sum(1 / (1 + ln(volume)))) AS agreement
   FROM (SELECT DISTINCT part, price, source FROM ev) JOIN vol USING (source) GROUP BY part, price),
-st AS (SELECT part, price, support, trust * agreement AS rank FROM tr JOIN ag USING (part, price)),
-w AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY rank DESC, price DESC) AS rn FROM st),
-ct AS (SELECT w.*, CASE WHEN w.rn = 1 THEN b.rank ELSE a.rank END AS top FROM w JOIN w a ON a.part = w.part AND a.rn = 1 LEFT JOIN w b ON b.part = w.part AND b.rn = 2),
+st AS MATERIALIZED (SELECT part, price, support, trust * agreement AS rank FROM tr JOIN ag USING (part, price)),
+w AS MATERIALIZED (SELECT *, row_number() OVER o AS rn, nth_value(rank, 1) OVER o AS best, nth_value(rank, 2) OVER o AS second FROM st
+  WINDOW o AS (PARTITION BY part ORDER BY rank DESC, price DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ct AS (SELECT *, CASE WHEN rn = 1 THEN second ELSE best END AS top FROM w),
 oc AS (SELECT *, CASE WHEN top IS NULL THEN NULL WHEN abs(rank - top) <= 1e-9 * greatest(rank, top) THEN 'tied' WHEN top > rank THEN 'lost' ELSE 'won' END AS outcome FROM ct)"""
 
 

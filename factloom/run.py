@@ -76,11 +76,17 @@ def _tier_weight():
     return F.coalesce(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.col("tier")], F.lit(TIERS["unverified"]))
 
 
-def evidence_of(spark: SparkSession, config: Config) -> DataFrame:
+def documents_of(spark: SparkSession, config: Config) -> DataFrame:
+    tier = config.documents.get("tier", "unverified")
+    return readers.with_path_ids(readers.read_directory(spark, config.documents["path"], tier=tier), config.documents.get("root", config.documents["path"]))
+
+
+def evidence_of(spark: SparkSession, config: Config, docs: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
     """A row per triple that a document evidences: its fact, its span and source. Verdicts of the judge stand where they
-    are recorded; a cited span that is not located gives not_found."""
-    docs = readers.with_path_ids(readers.read_directory(spark, config.documents["path"], tier=config.documents.get("tier", "unverified")), config.documents.get("root", config.documents["path"]))
-    triples = readers.join_by_stem(readers.read_triples(spark, config.triples["path"]), docs).where("doc_id IS NOT NULL")
+    are recorded; a cited span that is not located gives not_found. Documents and triples are the configuration's unless given."""
+    docs = documents_of(spark, config) if docs is None else docs
+    triples = readers.read_triples(spark, config.triples["path"]) if triples is None else triples
+    triples = readers.join_by_stem(triples, docs).where("doc_id IS NOT NULL")
     triples = triples.withColumn("doc", F.col("doc_id"))
     types = None
     if config.ontology.get("types"):
@@ -106,9 +112,8 @@ def facts_of(evidence: DataFrame) -> DataFrame:
     return claims.merge_claims(evidence.withColumn("retrieved_at", F.lit(None).cast("timestamp")), key, "verdict").drop("retrieved_at")
 
 
-def validate(spark: SparkSession, config: Config) -> dict[str, int]:
-    """Documents and another extractor's triples -> grounded, gated, merged facts in the output store. Returns counts."""
-    evidence = evidence_of(spark, config)
+def gated_facts(spark: SparkSession, config: Config, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The facts of some evidence that the gate keeps, and those that it refuses."""
     facts = facts_of(evidence)
     problem = None
     if config.ontology and config.gate.get("schema", True):
@@ -116,7 +121,13 @@ def validate(spark: SparkSession, config: Config) -> dict[str, int]:
         problem = F.col("problem")
     gated = facts.withColumn("gate", verify.gate(F.col("verdict"), problem, config.gate.get("refuse_not_found", False), config.gate.get("mark", False)))
     kept, refused = schema_text.split_gate(gated)
-    kept = kept.withColumn("retired_at", F.lit(None).cast("string")).select(*[c.split()[0] for c in FACTS.split(", ")])
+    return kept.withColumn("retired_at", F.lit(None).cast("string")).select(*[c.split()[0] for c in FACTS.split(", ")]), refused
+
+
+def validate(spark: SparkSession, config: Config) -> dict[str, int]:
+    """Documents and another extractor's triples -> grounded, gated, merged facts in the output store. Returns counts."""
+    evidence = evidence_of(spark, config)
+    kept, refused = gated_facts(spark, config, evidence)
     store = writers.JsonLinesStore(spark, config.output["path"])
     entities = kept.select(F.col("s_type").alias("type"), F.col("s_key").alias("key")).distinct()
     counts = store.replace(facts=kept, entities=entities, evidence=evidence.join(kept.select("sig"), "sig", "left_semi"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,37 +23,48 @@ def manifest(entities: DataFrame, facts: DataFrame, links: DataFrame) -> DataFra
 
 
 class JsonLinesStore:
-    """entities, facts and links as JSON lines in versioned folders; a pointer names the current one."""
+    """entities, facts, links and evidence as JSON lines. A version names, for each table, the folders that make it up: a
+    write replaces or extends the tables it is given, and the others are carried over as they are."""
 
     KEYS = {"entities": ["type", "key"], "facts": ["sig"], "links": ["kind", "source_key", "target_key"], "evidence": ["sig", "doc_id"]}
 
     def __init__(self, spark: SparkSession, path: str):
-        from ..streaming.micro import VersionedStore
+        from ..streaming.micro import Versions
 
         self.spark, self.path = spark, path.rstrip("/")
-        self.pointer = VersionedStore(spark, self.path)
+        self.versions = Versions(spark, self.path)
 
     def read(self, kind: str, schema) -> DataFrame:
-        v = self.pointer.version()
-        return self.spark.createDataFrame([], schema) if v is None else self.spark.read.schema(schema).json(f"{self.path}/v{v}/{kind}")
+        folders = self.versions.note().get("tables", {}).get(kind, [])
+        paths = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(schema).json(paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, tables: dict[str, DataFrame]) -> dict[str, int]:
-        v = self.pointer.version()
+    def counts(self) -> dict[str, int]:
+        return self.versions.note().get("counts", {})
+
+    def _write(self, tables: dict[str, DataFrame], extend: bool) -> dict[str, int]:
+        note, v = self.versions.note(), self.versions.current()
         v = 0 if v is None else v + 1
-        counts = {}
+        held, counts = dict(note.get("tables", {})), dict(note.get("counts", {}))
         for kind, df in tables.items():
-            df.write.mode("overwrite").json(f"{self.path}/v{v}/{kind}")
-            counts[kind] = self.spark.read.schema(df.schema).json(f"{self.path}/v{v}/{kind}").count()
-        self.spark.createDataFrame([(json.dumps(counts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/v{v}/manifest.json")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
-        return counts
+            folder = f"v{v}/{kind}"
+            df.write.mode("overwrite").json(f"{self.path}/{folder}")
+            n = self.spark.read.schema(df.schema).json(f"{self.path}/{folder}").count()
+            held[kind] = [*held.get(kind, []), folder] if extend else [folder]
+            counts[kind] = counts.get(kind, 0) + n if extend else n
+        self.versions.commit(v, {"tables": held, "counts": counts})
+        return {kind: counts[kind] for kind in tables}
 
     def replace(self, **tables: DataFrame) -> dict[str, int]:
-        return self._write(tables)
+        return self._write(tables, False)
+
+    def append(self, **tables: DataFrame) -> dict[str, int]:
+        """Rows are added behind those stored, and counted with them."""
+        return self._write(tables, True)
 
     def merge(self, **tables: DataFrame) -> dict[str, int]:
         """Rows of a known key are replaced, others added."""
-        return self._write({k: upsert(self.read(k, df.schema), df, self.KEYS[k]) for k, df in tables.items()})
+        return self._write({k: upsert(self.read(k, df.schema), df, self.KEYS[k]) for k, df in tables.items()}, False)
 
 
 def plain_facts(facts: DataFrame) -> DataFrame:
