@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import cut
 from .components import connected_components
 
 
@@ -87,38 +88,72 @@ def judge(pairs: DataFrame, p: DataFrame, threshold: float = 0.9, nudge_up: floa
     return y.select("a", "b", kind.alias("kind"), F.when(kind == "same_as", 1.0).otherwise(F.col("score")).alias("score"), reason.alias("reason"))
 
 
+def _fold(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """One contested component: union-find, the smaller cluster into the larger; each cluster keeps its ids by scheme and
+    the clusters that it may not merge with, so a step costs what the smaller one holds."""
+    up = {k: k for k in members["key"]}
+    cluster = {k: [k] for k in up}
+    known = {k: {s: v} if isinstance(v, str) else {} for k, s, v in zip(members["key"], members["scheme"], members["id_value"])}
+    apart: dict[str, set] = {k: set() for k in up}
+    bad = edges["score"] < 0
+    for a, b in zip(edges["a"][bad], edges["b"][bad]):
+        if a in up and b in up:
+            apart[a].add(b)
+            apart[b].add(a)
+
+    def root(k: str) -> str:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for _, a, b in sorted((-s, a, b) for a, b, s in zip(edges["a"], edges["b"], edges["score"]) if s >= 0):
+        if a not in up or b not in up:
+            continue
+        x, y = root(a), root(b)
+        if x == y:
+            continue
+        if len(cluster[x]) + len(apart[x]) < len(cluster[y]) + len(apart[y]):
+            x, y = y, x
+        if y in apart[x] or any(known[x].get(s, v) != v for s, v in known[y].items()):
+            continue
+        up[y] = x
+        cluster[x] += cluster.pop(y)
+        known[x] |= known.pop(y)
+        for z in apart.pop(y):
+            apart[z].discard(y)
+            apart[z].add(x)
+            apart[x].add(z)
+    has_id = {k for k, v in zip(members["key"], members["id_value"]) if isinstance(v, str)}
+    return pd.DataFrame([(k, min(c, key=lambda m: (m not in has_id, m))) for c in cluster.values() for k in c], columns=["key", "canonical"])
+
+
 def merge_components(links: DataFrame, entities: DataFrame) -> DataFrame:
     """Ordered agglomeration: same_as links merge, strongest first, unless the clusters hold two different ids of
     one scheme or a pair that was judged different. -> key, canonical.
 
-    Components of same_as links bound what one fold sees; a refusal only consults clusters inside one. The
-    canonical key has an external id if any member has one, then is the smallest.
+    Components of same_as links bound what can merge. Where a component holds no refused pair and no two ids of one scheme,
+    nothing can be refused: all of it is one cluster, found by aggregation however large it is. Only contested components
+    are folded in order, each in one task, as the order asks. The canonical key has an external id if any member
+    has one, then is the smallest.
     """
-    same = links.where("kind = 'same_as'")
-    parts = connected_components(same.select("a", "b"))
-    apart = links.where("kind = 'different'").select("a", "b", F.lit(-1.0).alias("score"))
-    rows = same.select("a", "b", "score").union(apart).join(parts.select(F.col("node").alias("a"), "component"), "a")
-    ids = entities.select("key", "scheme", "id_value").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key")
-
-    def fold(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        cluster = {k: {k} for k in members["key"]}
-        known = {k: {s: v} if isinstance(v, str) else {} for k, s, v in zip(members["key"], members["scheme"], members["id_value"])}
-        refused = {frozenset(x) for x in zip(edges["a"][edges["score"] < 0], edges["b"][edges["score"] < 0])}
-        for _, a, b in sorted((-s, a, b) for a, b, s in zip(edges["a"], edges["b"], edges["score"]) if s >= 0):
-            x, y = cluster[a], cluster.get(b)
-            if y is None or x is y:
-                continue
-            mine, theirs = known[min(x)], known[min(y)]
-            if any(theirs.get(s, v) != v for s, v in mine.items()) or any(frozenset((i, j)) in refused for i in x for j in y):
-                continue
-            both = x | y
-            known[min(both)] = {**mine, **theirs}
-            for k in both:
-                cluster[k] = both
-        has_id = {k for k, v in zip(members["key"], members["id_value"]) if isinstance(v, str)}
-        return pd.DataFrame([(k, min(c, key=lambda m: (m not in has_id, m))) for k, c in cluster.items()], columns=["key", "canonical"])
-
-    return rows.groupBy("component").cogroup(ids.groupBy("part")).applyInPandas(fold, "key string, canonical string")
+    same = links.where("kind = 'same_as'").select("a", "b", "score")
+    parts = cut(connected_components(same.select("a", "b")))
+    side = {c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")}
+    inside = links.where("kind = 'different'").select("a", "b").join(side["a"], "a").join(side["b"], "b").where("c_a = c_b")
+    ids = cut(entities.select("key", "scheme", "id_value").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key"))
+    clash = ids.where("id_value IS NOT NULL").groupBy("part", "scheme").agg(F.min("id_value").alias("x"), F.max("id_value").alias("y")).where("x <> y").select(F.col("part").alias("component"))
+    contested = cut(inside.select(F.col("c_a").alias("component")).union(clash).distinct())
+
+    quiet = ids.join(contested.withColumnRenamed("component", "part"), "part", "left_anti")
+    head = quiet.groupBy("part").agg(F.min(F.struct(F.col("id_value").isNull().alias("none"), "key"))["key"].alias("canonical"))
+    merged = quiet.join(head, "part").select("key", "canonical")
+
+    loud = same.join(side["a"], "a").withColumnRenamed("c_a", "component").join(contested, "component", "left_semi").select("component", "a", "b", "score")
+    refused = inside.select(F.col("c_a").alias("component"), "a", "b", F.lit(-1.0).alias("score"))
+    members = ids.join(contested.withColumnRenamed("component", "part"), "part", "left_semi")
+    folded = loud.unionByName(refused).groupBy("component").cogroup(members.groupBy("part")).applyInPandas(lambda e, m: _fold(e, m), "key string, canonical string")
+    return merged.union(folded)
 
 
 def rekey(facts: DataFrame, mapping: DataFrame) -> DataFrame:
