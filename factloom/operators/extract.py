@@ -38,7 +38,12 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def table_facts(documents: DataFrame) -> DataFrame:
-    """Pipe tables -> doc_id, table (its header's line), row, column, value. A header is a line of cells above a rule
+    """Pipe tables -> doc_id, table (its header's line), row, column, value, as table_cells has them."""
+    return table_cells(documents).drop("k")
+
+
+def table_cells(documents: DataFrame) -> DataFrame:
+    """Pipe tables -> doc_id, table (its header's line), row, k (the column's place), column, value. A header is a line of cells above a rule
     line of dashes; rows go on while lines are cells; an escaped pipe stays in its cell."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     is_row, is_rule = F.col("line").rlike(r"^\s*\|.*\|\s*$"), F.col("line").rlike(r"^\s*\|(?:\s*:?-+:?\s*\|)+\s*$")
@@ -49,7 +54,7 @@ def table_facts(documents: DataFrame) -> DataFrame:
     names = x.where("head").select("doc_id", "table", F.col("cells").alias("names"))
     body = x.where("NOT head").join(names, ["doc_id", "table"])
     return body.select("doc_id", "table", (F.col("pos") - F.col("table") - 2).alias("row"), F.posexplode("cells").alias("k", "value"), "names").where(
-        (F.col("value") != "") & (F.col("k") < F.size("names"))).select("doc_id", "table", "row", F.get("names", F.col("k")).alias("column"), "value")
+        (F.col("value") != "") & (F.col("k") < F.size("names"))).select("doc_id", "table", "row", "k", F.get("names", F.col("k")).alias("column"), "value")
 
 
 def key_value_facts(documents: DataFrame) -> DataFrame:

@@ -145,3 +145,36 @@ def diagnostics(ontology: dict) -> list[tuple[str, str]]:
             if owner.setdefault(a.casefold(), n) != n:
                 out.append(("shared_alias", f"{at}.aliases"))
     return sorted(set(out))
+
+
+def from_schema(name: str, schemas: dict, version: str = "1") -> dict:
+    """An ontology from Spark schemas by type name: a field is a predicate of its type, a nested struct an edge to a type named by
+    its metadata `type` (or its field), an array holds many values, a field that may not be null is required."""
+    from pyspark.sql import types as T
+
+    kinds = {T.StringType: "string", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "datetime", T.TimestampNTZType: "datetime",
+             T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer", T.FloatType: "number", T.DoubleType: "number", T.DecimalType: "number"}
+    types: dict[str, dict] = {}
+    predicates: dict[str, dict] = {}
+
+    def add(type_name: str, schema) -> None:
+        if type_name in types:
+            return
+        types[type_name] = {}
+        for f in schema.fields:
+            kind, many = f.dataType, False
+            if isinstance(kind, T.ArrayType):
+                kind, many = kind.elementType, True
+            if isinstance(kind, T.StructType):
+                to = f.metadata.get("type") or "".join(w.capitalize() for w in f.name.split("_"))
+                add(to, kind)
+            else:
+                to = kinds.get(type(kind), "string")
+            p = predicates.setdefault(f.name, {"domain": [], "range": to, "cardinality": "multi" if many else "single", "required": not f.nullable})
+            if p["range"] != to:
+                raise ValueError(f"{type_name}.{f.name}: range {to}, but {p['range']} elsewhere")
+            p["domain"].append(type_name)
+
+    for type_name, schema in schemas.items():
+        add(type_name, schema)
+    return {"name": name, "version": version, "types": types, "predicates": predicates}

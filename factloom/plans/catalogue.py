@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame
 
-MODULES: tuple[str, ...] = ("prices", "documents", "entities", "evaluation", "records", "verification", "stores", "folding", "io")
+MODULES: tuple[str, ...] = ("prices", "documents", "entities", "evaluation", "records", "verification", "stores", "folding", "io", "chain")
 
 
 def _entries() -> dict[str, tuple]:
