@@ -22,6 +22,8 @@ SAMPLE = 20_000
 MIN_LETTERS, MIN_SHARE = 100, 0.45
 #: Characters that are turned into vectors at once.
 _CHUNK = 200_000
+#: Texts whose vectors are held at once.
+_ROWS = 256
 _ALPHA: np.ndarray | None = None
 _LETTERS: dict[int, np.ndarray] = {}
 
@@ -129,9 +131,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[str
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            vectors = document_vectors(b["text"].tolist(), dim)
-            for lang, at in b.groupby("lang").indices.items():
-                sums[lang] = sums.get(lang, 0) + vectors[at].sum(axis=0)
+            for lo in range(0, len(b), _ROWS):
+                part = b.iloc[lo:lo + _ROWS]
+                vectors = document_vectors(part["text"].tolist(), dim)
+                for lang, at in part.groupby("lang").indices.items():
+                    sums[lang] = sums.get(lang, 0) + vectors[at].sum(axis=0)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [s.astype(np.int64) for s in sums.values()]})
 
@@ -158,16 +162,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "l
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batches:
             pred, score = np.full(len(text), "und", object), np.zeros(len(text))
-            if langs and len(text):
-                v = document_vectors(text.tolist(), protos.shape[1])
+            for lo in range(0, len(text) if langs else 0, _ROWS):
+                v = document_vectors(text.iloc[lo:lo + _ROWS].tolist(), protos.shape[1])
                 norm = np.linalg.norm(v, axis=1)
                 cos = v @ protos.T / np.maximum(norm, 1e-12)[:, None]
-                some = norm > 0
-                pred[some] = np.array(langs, object)[cos.argmax(axis=1)][some]
-                score[some] = np.clip(cos.max(axis=1), 0, 1)[some]
+                some = np.nonzero(norm > 0)[0]
+                pred[lo + some] = np.array(langs, object)[cos.argmax(axis=1)][some]
+                score[lo + some] = np.clip(cos.max(axis=1), 0, 1)[some]
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.withColumn(name, run("text"))
+    return docs.withColumn(name, run.asNondeterministic()("text"))  # computed once, however often it is used
 
 
 def train_and_predict(docs: DataFrame, name: str = "language") -> DataFrame:
