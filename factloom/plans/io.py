@@ -251,7 +251,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 3"""
 def streamed_identities(spark, d):
     """Parts of even size are stored; those of odd size come as a batch and take the stored key of the same id."""
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    e = p.select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 8, "0")).alias("key"), F.lit("Part").alias("type"), F.concat(F.lit("part number "), k.cast("string")).alias("label"), F.array().cast("array<string>").alias("aliases"),
+    e = p.select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 8, "0")).alias("key"), F.lit("Part").alias("type"), F.concat(F.lit("part"), k.cast("string")).alias("label"), F.array().cast("array<string>").alias("aliases"),
                  F.concat(F.lit("reg:"), F.floor(k / 2).cast("string")).alias("external_id"), F.create_map().cast("map<string,string>").alias("attributes"), k.alias("k"))
     out = runs.identities(e.where("k % 2 = 1").drop("k"), e.where("k % 2 = 0").drop("k"), 100)
     return out
