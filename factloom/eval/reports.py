@@ -138,3 +138,42 @@ def standing(cards: DataFrame, least_agreement: float = 0.6, least_n: int = 50)
     state = (F.when(F.col("n").isNull(), "no card").when(F.col("n") < least_n, "too few labels").when(F.coalesce("kappa", F.lit(-1.0)) < least_agreement, "below agreement")
              .otherwise("in good standing"))
     return cards.select("stage", "model", state.alias("standing"))
+
+
+#: A metric as a function of column totals and the number of items, for means, ratios and bootstraps alike.
+METRICS = {
+    "share": lambda t, n: F.try_divide(t["hits"], n),
+    "ratio": lambda t, n: F.try_divide(t["hits"], t["total"]),
+    "f1": lambda t, n: F.try_divide(2.0 * t["hits"], t["predicted"] + t["gold"]),
+    "mean": lambda t, n: F.try_divide(t["value"], n),
+}
+
+
+def metric(items: DataFrame, name: str, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """A metric of METRICS over items: columns gives the item column of each total. One aggregation, by groups if asked."""
+    totals = {k: F.sum(F.col(c).cast("double")) for k, c in columns.items()}
+    return items.groupBy(*(by or [])).agg(METRICS[name](totals, F.count(F.lit(1)).cast("double")).alias(name))
+
+
+def read_labels(spark, path: str, schema: str) -> DataFrame:
+    """JSON lines by a schema; a line that is no JSON, or lacks a field, is an error that names the file and quotes the line."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"))
+    row = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    bad = row.isNull()
+    for n in names:
+        bad = bad | row[n].isNull()
+    checked = F.when(bad, F.raise_error(F.concat(F.col("_file"), F.lit(": not a label row: "), F.left("value", F.lit(80))))).otherwise(row)
+    return lines.select(checked.alias("r")).select("r.*")
+
+
+def score_harness(gold: DataFrame, facts: DataFrame) -> DataFrame:
+    """Any pipeline's facts (doc_id, subject, predicate, obj) against a corpus's gold (the same): the three-pass outcomes' report, for all and by predicate."""
+    from pyspark.sql import Window
+
+    from .metrics import match_three_passes, outcome_report
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("subject", "predicate", "obj")))
+
+    return outcome_report(match_three_passes(numbered(gold), numbered(facts)), "predicate")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import stages
-from ..eval import equivalence
+from ..eval import equivalence, reports
 from ..operators import ontology
-from ..provider import ANSWERS
+from ..provider import ANSWERS, embedded, read_replies, reextract
 from ..shared import fresh_path
 from ..sources.tables import table
 
@@ -116,7 +116,73 @@ def equivalence_judged(spark, d):
 
 JUDGED = "SELECT o_orderkey AS gold, CASE WHEN o_orderkey % 3 = o_orderkey % 2 THEN true WHEN o_orderkey % 3 = 2 AND o_orderkey % 2 = 0 THEN NULL ELSE false END AS same FROM orders"
 
+
+def _replies(spark, d):
+    """A model's replies about customers: a good candidate, one whose quote is elsewhere, one that is not in the chunk, one without an end, and no JSON."""
+    c = table(spark, d, "customer")
+    text = F.concat(F.lit("Head. "), F.col("c_name"), F.lit(" is of "), F.col("c_mktsegment"))
+    chunks = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.lit(100).alias("start"), text.alias("text"))
+    k = F.col("c_custkey") % 5
+    reply = F.struct(F.when(k == 3, F.lit("")).otherwise(F.col("c_name")).alias("subject"), F.lit("segment").alias("predicate"), F.col("c_mktsegment").alias("object"),
+                     F.when(k == 2, F.lit("never said")).otherwise(F.col("c_mktsegment")).alias("quote"), F.when(k == 0, F.instr(text, " is of ") + 6).otherwise(0).alias("start"),
+                     F.when(k == 0, F.length(text)).otherwise(3).alias("end"))
+    answers = c.select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.when(k == 4, F.lit("I cannot say.")).otherwise(F.to_json(F.array(reply))).alias("answer"))
+    return answers, chunks
+
+
+def model_replies(spark, d):
+    good, dropped = read_replies(*_replies(spark, d))
+    return good.select("doc_id", F.col("start").cast("long").alias("start"), F.lit(None).cast("string").alias("reason")).union(dropped.select("doc_id", F.lit(None).cast("long"), "reason"))
+
+
+REPLIES = """WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS doc_id, c_custkey % 5 AS k, 'Head. ' || c_name || ' is of ' || c_mktsegment AS t, c_mktsegment AS q FROM customer)
+SELECT doc_id, CASE WHEN k < 2 THEN 100 + instr(t, q) - 1 END AS start, CASE k WHEN 2 THEN 'the quote is not in the chunk' WHEN 3 THEN 'an end is missing' WHEN 4 THEN 'not JSON' END AS reason FROM x"""
+
+
+def reextracted(spark, d):
+    """Candidates of even customers; a second extraction over all of them adds what was not there."""
+    c = _cards(spark, d)
+    k = F.regexp_extract("doc_id", r"(\d+)$", 1).cast("long")
+    chunks = c.select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("start"), "text")
+    first = _told(chunks.where(k % 2 == 0))
+    return reextract(first, chunks, _told).groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+REEXTRACTED = "SELECT 'segment' AS predicate, count(*) AS n FROM customer UNION ALL SELECT 'rumour', count(*) FROM customer WHERE c_custkey % 3 = 0 HAVING count(*) > 0"
+
+
+def metric_builders(spark, d):
+    """Shares and F1 of labels by language, from the same totals."""
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(
+        "lang", F.col("quality").alias("gold"), (1 - F.col("toxic")).alias("predicted"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("hits"))
+    share = reports.metric(l, "share", {"hits": "hits"}, ["lang"])
+    f1 = reports.metric(l, "f1", {"hits": "hits", "predicted": "predicted", "gold": "gold"}, ["lang"])
+    return share.join(f1, "lang").select("lang", F.round("share", 6).alias("share"), F.round("f1", 6).alias("f1"))
+
+
+METRIC = """SELECT lang, round(count_if(quality = 1 AND toxic = 0) / count(*), 6) AS share, round(2.0 * count_if(quality = 1 AND toxic = 0) / (count_if(toxic = 0) + count_if(quality = 1)), 6) AS f1
+FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+
+
+def embedded_names(spark, d):
+    """Nation names as vectors of a callable: their lengths and first letters."""
+    return embedded(table(spark, d, "nation"), "n_name", lambda texts: [[float(len(t)), float(ord(t[0]))] for t in texts]).select("n_nationkey", F.col("v")[0].alias("length"), F.col("v")[1].alias("first"))
+
+
+EMBEDDED = "SELECT n_nationkey, CAST(length(n_name) AS FLOAT) AS length, CAST(ord(n_name) AS FLOAT) AS first FROM nation"
+
+
+def harness_score(spark, d):
+    """Order statuses as gold; another pipeline's facts have a third of them wrong."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("subject"), F.lit("status").alias("predicate"), F.col("o_orderstatus").alias("obj"), "o_orderkey")
+    out = reports.score_harness(o.drop("o_orderkey"), o.withColumn("obj", F.when(F.col("o_orderkey") % 3 == 0, "?").otherwise(F.col("obj"))).drop("o_orderkey"))
+    return out.select("predicate", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+HARNESS = """SELECT unnest(['status', NULL]) AS predicate, round(count_if(o_orderkey % 3 <> 0) / count(*), 6) AS precision, round(count_if(o_orderkey % 3 <> 0) / count(*), 6) AS recall FROM orders"""
+
 QUERIES = {
     "document_run": (document_run, RUN), "checked_run": (checked_run, CHECKED), "hybrid_run": (hybrid_run, HYBRID), "resolved_run": (resolved_run, RESOLVED), "schema_ontology": (schema_ontology, SCHEMA),
-    "equivalence_judged": (equivalence_judged, JUDGED),
+    "equivalence_judged": (equivalence_judged, JUDGED), "model_replies": (model_replies, REPLIES), "reextracted": (reextracted, REEXTRACTED), "metric_builders": (metric_builders, METRIC),
+    "embedded_names": (embedded_names, EMBEDDED), "harness_score": (harness_score, HARNESS),
 }
