@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .operators.ordering import running_sums
 
 
-def within_budget(calls: DataFrame, order: list[str], calls_limit: int | None = None, tokens_limit: int | None = None, usd_limit: float | None = None) -> DataFrame:
+def within_budget(calls: DataFrame, order: list[str], calls_limit: int | None = None, tokens_limit: int | None = None,
+    usd_limit: float | None = None) -> DataFrame:
     """calls (input_tokens, output_tokens, usd, others) with allowed: whether the call, in this order, still fits every limit.
 
     A limit holds for what the calls before it and the call itself may spend. The first call that does not fit stops
@@ -23,12 +24,14 @@ def within_budget(calls: DataFrame, order: list[str], calls_limit: int | None =
     sums = {"_calls": F.lit(1), "_tokens": F.col("input_tokens") + F.col("output_tokens"), "_usd": F.coalesce("usd", F.lit(0.0))}
     x = running_sums(calls, order, sums)
     fits: Column = F.lit(True)
-    for limit, spent in ((calls_limit, F.col("_calls") + 1), (tokens_limit, F.col("_tokens") + sums["_tokens"]), (usd_limit, F.col("_usd") + sums["_usd"])):
+    for limit, spent in ((calls_limit, F.col("_calls") + 1), (tokens_limit, F.col("_tokens") + sums["_tokens"]),
+        (usd_limit, F.col("_usd") + sums["_usd"])):
         if limit is not None:
             fits = fits & (spent <= F.lit(limit))
     x = x.withColumn("allowed", fits)
     stop = x.where("NOT allowed").agg(F.min(F.struct(*order)).alias("_stop"))  # one row
-    return x.crossJoin(F.broadcast(stop)).withColumn("allowed", F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))).select(*calls.columns, "allowed")
+    return x.crossJoin(F.broadcast(stop)).withColumn("allowed",
+        F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))).select(*calls.columns, "allowed")
 
 
 def delay(retry: int, retry_after: float | None = None, base: float = 1.0, most: float = 60.0) -> float:
@@ -96,7 +99,8 @@ class EventLog:
         self.run, self.command, self._clock, self.events = run or uuid.uuid4().hex[:12], command, clock, []
 
     def emit(self, event: str, **fields) -> None:
-        self.events.append({"run": self.run, "command": self.command, "ord": len(self.events), "at": self._clock(), "event": event, **fields})
+        self.events.append({"run": self.run, "command": self.command, "ord": len(self.events), "at": self._clock(), "event": event,
+            **fields})
 
     def observed(self, df: DataFrame, stage: str, **measures: Column) -> tuple[DataFrame, Observation]:
         """df with counts taken while it is computed: rows, and the given aggregates. `close` turns them into an event."""

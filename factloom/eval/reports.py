@@ -23,11 +23,15 @@ def corroboration_effect(claims: DataFrame, gold: DataFrame) -> DataFrame:
     configs = F.array(F.lit("off"), F.lit("on"), F.when(F.col("support") >= 2, F.lit("on_two_or_more")))
     each = x.select("edge", "support", "sources", "factual", F.explode(F.array_compact(configs)).alias("config"))
     right, found = F.coalesce(F.col("factual"), F.lit(False)), F.col("sources").isNotNull()
-    made = each.groupBy("config").agg(F.count(F.lit(1)).alias("edges"), F.count_if(right).alias("factual"), F.count_if(found).alias("in_gold"))
-    by = each.where("sources IS NOT NULL").groupBy("config", _bucket(F.col("sources")).alias("bucket")).agg(F.count(F.lit(1)).alias("found"))
+    made = each.groupBy("config").agg(F.count(F.lit(1)).alias("edges"), F.count_if(right).alias("factual"),
+        F.count_if(found).alias("in_gold"))
+    by = each.where("sources IS NOT NULL").groupBy("config",
+        _bucket(F.col("sources")).alias("bucket")).agg(F.count(F.lit(1)).alias("found"))
     owned = gold.where("sources IS NOT NULL").groupBy(_bucket(F.col("sources")).alias("bucket")).agg(F.count(F.lit(1)).alias("gold"))
-    rows = made.crossJoin(F.broadcast(owned)).join(by, ["config", "bucket"], "left").withColumn("found", F.coalesce("found", F.lit(0)))  # at most three buckets
-    return rows.select("config", "bucket", "edges", "factual", "in_gold", "gold", "found", S.ratio(F.col("factual"), F.col("edges")).alias("precision"), S.ratio(F.col("found"), F.col("gold")).alias("recall"))
+    rows = made.crossJoin(F.broadcast(owned)).join(by, ["config", "bucket"], "left").withColumn("found",
+        F.coalesce("found", F.lit(0)))  # at most three buckets
+    return rows.select("config", "bucket", "edges", "factual", "in_gold", "gold", "found",
+        S.ratio(F.col("factual"), F.col("edges")).alias("precision"), S.ratio(F.col("found"), F.col("gold")).alias("recall"))
 
 
 def ablation(facts: DataFrame, gold_size: int) -> DataFrame:
@@ -36,10 +40,12 @@ def ablation(facts: DataFrame, gold_size: int) -> DataFrame:
     configuration that keeps it."""
     grounded = F.col("verdict").isin("supported", "unchecked")
     stands = grounded & (F.coalesce("outcome", F.lit("")) != "lost")
-    configs = F.array_compact(F.array(F.lit("extraction"), F.when(grounded, F.lit("+ grounding")), F.when(stands, F.lit("+ corroboration"))))
+    configs = F.array_compact(F.array(F.lit("extraction"), F.when(grounded, F.lit("+ grounding")),
+        F.when(stands, F.lit("+ corroboration"))))
     each = facts.select("correct", F.explode(configs).alias("config"))
     out = each.groupBy("config").agg(F.count(F.lit(1)).alias("kept"), F.count_if("correct").alias("correct"))
-    return out.withColumn("precision", S.ratio(F.col("correct"), F.col("kept"))).withColumn("recall", S.ratio(F.col("correct"), F.lit(gold_size)))
+    return out.withColumn("precision", S.ratio(F.col("correct"), F.col("kept"))).withColumn("recall",
+        S.ratio(F.col("correct"), F.lit(gold_size)))
 
 
 def adjudicated_precision(facts: DataFrame, votes: DataFrame, needed: int = 2) -> DataFrame:
@@ -49,7 +55,8 @@ def adjudicated_precision(facts: DataFrame, votes: DataFrame, needed: int = 2) -
     x = facts.join(said, "fact", "left")
     hit = F.col("correct") | (F.coalesce("for", F.lit(0)) >= needed)
     out = x.agg(F.count(F.lit(1)).alias("facts"), F.count_if("correct").alias("strict"), F.count_if(hit).alias("hits"))
-    return out.select("facts", S.ratio(F.col("strict"), F.col("facts")).alias("strict"), S.ratio(F.col("hits"), F.col("facts")).alias("adjudicated"))
+    return out.select("facts", S.ratio(F.col("strict"), F.col("facts")).alias("strict"),
+        S.ratio(F.col("hits"), F.col("facts")).alias("adjudicated"))
 
 
 def lenient_score(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -59,9 +66,11 @@ def lenient_score(outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
     taken = decisions.where("same").groupBy("doc_id", "gold_ord").agg(F.min("predicted_ord").alias("predicted_ord"))
     taken = taken.groupBy("doc_id", "predicted_ord").agg(F.min("gold_ord").alias("gold_ord"))
     more = taken.agg(F.count(F.lit(1)).alias("pairs"))
-    n = outcomes.agg(F.count_if(F.col("kind") == "correct").alias("hits"), F.count("gold_ord").alias("gold"), F.count("predicted_ord").alias("predicted")).crossJoin(more)
+    n = outcomes.agg(F.count_if(F.col("kind") == "correct").alias("hits"), F.count("gold_ord").alias("gold"),
+        F.count("predicted_ord").alias("predicted")).crossJoin(more)
     both = F.col("hits") + F.col("pairs")
-    return n.select("hits", "pairs", S.ratio(F.col("hits"), F.col("predicted")).alias("precision"), S.ratio(F.col("hits"), F.col("gold")).alias("recall"),
+    return n.select("hits", "pairs", S.ratio(F.col("hits"), F.col("predicted")).alias("precision"),
+        S.ratio(F.col("hits"), F.col("gold")).alias("recall"),
                     S.ratio(both, F.col("predicted")).alias("lenient_precision"), S.ratio(both, F.col("gold")).alias("lenient_recall"))
 
 
@@ -88,18 +97,22 @@ def price_fixes(causes: DataFrame, rates: DataFrame, judged: bool = False) -> Da
     near names only count once a judge has confirmed them. All inputs are a row per cause or rate.
     """
     spark = causes.sparkSession
-    catalogue = spark.createDataFrame([(k, fix, cause, rate) for k, (fix, buckets, rate) in enumerate(REMEDIES) for cause in buckets], "place int, fix string, cause string, rate string")
+    catalogue = spark.createDataFrame([(k, fix, cause, rate) for k, (fix, buckets, rate) in enumerate(REMEDIES) for cause in buckets],
+        "place int, fix string, cause string, rate string")
     misses = catalogue.join(causes, "cause").groupBy("place", "fix", "rate").agg(F.sum("n").alias("misses")).where("misses > 0")
     gold = rates.where("rate = 'gold'").select(F.col("total").alias("gold"))
     overall = rates.where("rate = 'overall'").select(F.try_divide("hits", "total").alias("overall"))
     own = rates.where("total > 0").select("rate", (F.col("hits") / F.col("total")).alias("own"))
     x = misses.join(own, "rate", "left").crossJoin(gold).crossJoin(overall)
-    share = F.when(F.col("rate") == "exact", 1.0).when(F.col("rate") == "judge", F.lit(1.0 if judged else 0.0)).otherwise(F.coalesce("own", "overall", F.lit(0.0)))
+    share = F.when(F.col("rate") == "exact", 1.0).when(F.col("rate") == "judge",
+        F.lit(1.0 if judged else 0.0)).otherwise(F.coalesce("own", "overall", F.lit(0.0)))
     exact = (F.col("rate") == "exact") | ((F.col("rate") == "judge") & F.lit(judged))
-    out = x.where("gold > 0").select("fix", "misses", (F.col("misses") * share / F.col("gold")).alias("expected"), (F.col("misses") / F.col("gold")).alias("ceiling"), exact.alias("exact"), "place")
+    out = x.where("gold > 0").select("fix", "misses", (F.col("misses") * share / F.col("gold")).alias("expected"),
+        (F.col("misses") / F.col("gold")).alias("ceiling"), exact.alias("exact"), "place")
     from pyspark.sql import Window
 
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("expected"), F.desc("ceiling"), "place"))).drop("place")  # ten rows at most
+    return out.withColumn("rank",
+        F.row_number().over(Window.orderBy(F.desc("expected"), F.desc("ceiling"), "place"))).drop("place")  # ten rows at most
 
 
 def run_id(outcomes: DataFrame) -> str:
@@ -130,12 +143,14 @@ def eval_report(rows: DataFrame, title: str) -> DataFrame:
     by = rows.groupBy("name", "section").agg(F.sort_array(F.collect_list(metric)).alias("metrics"))
     out = by.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("section", "metrics"))).alias("found"))
     sections = F.map_from_entries(F.transform("found", lambda x: F.struct(x["section"], F.map_from_entries(x["metrics"]))))
-    return out.withColumn("sections", F.to_json(sections)).select(F.lit("1.0").alias("schema_version"), F.lit(title).alias("title"), "name", "sections")
+    return out.withColumn("sections", F.to_json(sections)).select(F.lit("1.0").alias("schema_version"), F.lit(title).alias("title"), "name",
+        "sections")
 
 
 def standing(cards: DataFrame, least_agreement: float = 0.6, least_n: int = 50) -> DataFrame:
     """cards (stage, model, n, kappa) -> stage, model, standing: no card, too few labels, below the agreement asked for, or in good standing."""
-    state = (F.when(F.col("n").isNull(), "no card").when(F.col("n") < least_n, "too few labels").when(F.coalesce("kappa", F.lit(-1.0)) < least_agreement, "below agreement")
+    state = (F.when(F.col("n").isNull(), "no card").when(F.col("n") < least_n,
+        "too few labels").when(F.coalesce("kappa", F.lit(-1.0)) < least_agreement, "below agreement")
              .otherwise("in good standing"))
     return cards.select("stage", "model", state.alias("standing"))
 

@@ -17,7 +17,8 @@ def ratio(a: Column, b: Column) -> Column:
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     """F1 is null only if both are; zero if either is null or zero."""
     p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    f1 = F.when(p.isNull() & r.isNull(), None).when((F.coalesce(p, F.lit(0.0)) == 0) | (F.coalesce(r, F.lit(0.0)) == 0), 0.0).otherwise(2 * p * r / (p + r))
+    f1 = F.when(p.isNull() & r.isNull(), None).when((F.coalesce(p, F.lit(0.0)) == 0) | (F.coalesce(r, F.lit(0.0)) == 0),
+        0.0).otherwise(2 * p * r / (p + r))
     return p, r, f1
 
 
@@ -43,11 +44,13 @@ def mcnemar(gained: Column, lost: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("tail"))
     ln_half = F.lit(-0.6931471805599453)
     tail = F.aggregate(F.sequence(F.lit(0).cast("long"), few.cast("long")), start, lambda s, k: F.struct(
-        (s["log"] + F.ln((flips - k) / (k + 1))).alias("log"), (s["tail"] + F.exp(s["log"] + flips * ln_half)).alias("tail")), lambda s: s["tail"])
+        (s["log"] + F.ln((flips - k) / (k + 1))).alias("log"), (s["tail"] + F.exp(s["log"] + flips * ln_half)).alias("tail")),
+        lambda s: s["tail"])
     return F.when(flips > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
 
 
-def prediction_powered(judged: Column, judge_true: Column, n: Column, label_true: Column, judge_true_labelled: Column, disagree: Column, z: float = Z95):
+def prediction_powered(judged: Column, judge_true: Column, n: Column, label_true: Column, judge_true_labelled: Column, disagree: Column,
+    z: float = Z95):
     """Judge's share corrected by labels, with its interval clipped to 0..1: (value, low, high)."""
     value = ratio(judge_true, judged) + ratio(label_true - judge_true_labelled, n)
     share = (label_true + 2) / (n + 4.0)

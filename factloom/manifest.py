@@ -18,11 +18,13 @@ def hash_of(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-def run_manifest(command: str, config: dict, inputs: dict[str, DataFrame], counts: dict[str, int], ontology: dict | None = None, prompts: dict[str, str] | None = None,
+def run_manifest(command: str, config: dict, inputs: dict[str, DataFrame], counts: dict[str, int], ontology: dict | None = None,
+    prompts: dict[str, str] | None = None,
                  spend: dict | None = None, dry_run: bool = False) -> dict:
     """The manifest of a run. Inputs are tables; their hashes do not depend on the order of rows."""
     return {"manifest_version": VERSION, "command": command, "dry_run": dry_run, "config": config, "config_hash": hash_of(config),
-            "inputs": {name: digest(df) for name, df in sorted(inputs.items())}, "ontology_hash": None if ontology is None else hash_of(ontology),
+            "inputs": {name: digest(df) for name, df in sorted(inputs.items())},
+            "ontology_hash": None if ontology is None else hash_of(ontology),
             "prompts": dict(sorted((prompts or {}).items())), "counts": counts, "spend": spend or {}}
 
 
@@ -55,7 +57,8 @@ def read(spark: SparkSession, path: str) -> dict:
     return readable(json.loads(spark.read.text(path, wholetext=True).first()[0]), _KNOWN)
 
 
-def replay_problems(manifest: dict, inputs: dict[str, DataFrame], ontology: dict | None = None, prompts: dict[str, str] | None = None) -> list[str]:
+def replay_problems(manifest: dict, inputs: dict[str, DataFrame], ontology: dict | None = None,
+    prompts: dict[str, str] | None = None) -> list[str]:
     """Why a recorded run cannot be run again as it was: inputs, ontology or prompts that have changed. Empty if it can."""
     out = [] if manifest["config_hash"] == hash_of(manifest["config"]) else ["config: differs from its hash"]
     for name in sorted(manifest["inputs"].keys() | inputs.keys()):
@@ -75,5 +78,7 @@ def replay_problems(manifest: dict, inputs: dict[str, DataFrame], ontology: dict
 def ground_summary(facts: DataFrame) -> DataFrame:
     """facts (verdict, span_status, refused) -> one row: rows, verdict counts, refusals, those without a span or with a located one."""
     count = F.count_if
-    return facts.agg(F.count(F.lit(1)).alias("rows"), *[count(F.col("verdict") == v).alias(v) for v in ("supported", "contradicted", "not_found", "unchecked")],
-                     count(F.col("refused")).alias("refused"), count(F.col("span_status") == "no_span").alias("no_span"), count(F.col("span_status") == "located").alias("located"))
+    return facts.agg(F.count(F.lit(1)).alias("rows"),
+        *[count(F.col("verdict") == v).alias(v) for v in ("supported", "contradicted", "not_found", "unchecked")],
+                     count(F.col("refused")).alias("refused"), count(F.col("span_status") == "no_span").alias("no_span"),
+                     count(F.col("span_status") == "located").alias("located"))

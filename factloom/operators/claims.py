@@ -66,9 +66,11 @@ def contest(ranked: DataFrame, group: list[str], value: str) -> DataFrame:
     best = ranked.groupBy(*group).agg(F.max(F.struct("rank", value)).alias("first"))
     marked = ranked.join(best, group)
     second = marked.where(F.col(value) != F.col("first")[value]).groupBy(*group).agg(F.max("rank").alias("second"))
-    out = marked.join(second, group, "left").withColumn("top", F.when(F.col(value) == F.col("first")[value], F.col("second")).otherwise(F.col("first")["rank"]))
+    out = marked.join(second, group, "left").withColumn("top",
+        F.when(F.col(value) == F.col("first")[value], F.col("second")).otherwise(F.col("first")["rank"]))
     close = F.abs(F.col("rank") - F.col("top")) <= F.lit(1e-9) * F.greatest(F.abs("rank"), F.abs("top"))
-    return out.withColumn("outcome", F.when(F.col("top").isNull(), None).when(close, "tied").when(F.col("top") > F.col("rank"), "lost").otherwise("won")).withColumn(
+    return out.withColumn("outcome",
+        F.when(F.col("top").isNull(), None).when(close, "tied").when(F.col("top") > F.col("rank"), "lost").otherwise("won")).withColumn(
         "ratio", F.when(F.col("outcome") == "lost", F.col("rank") / F.col("top"))).drop("first", "second")
 
 
@@ -76,7 +78,8 @@ def overlapping_rivals(claims: DataFrame, group: list[str], value: str, ident: s
     """Pairs (a, b) of one group with different values whose valid intervals overlap; unknown bounds are open."""
     a, b = claims.alias("a"), claims.alias("b")
     same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    apart = F.coalesce(F.col("a.valid_to") <= F.col("b.valid_from"), F.lit(False)) | F.coalesce(F.col("b.valid_to") <= F.col("a.valid_from"), F.lit(False))
+    apart = F.coalesce(F.col("a.valid_to") <= F.col("b.valid_from"),
+        F.lit(False)) | F.coalesce(F.col("b.valid_to") <= F.col("a.valid_from"), F.lit(False))
     on = ~apart & (F.col(f"a.{value}") != F.col(f"b.{value}"))
     for s in same:
         on = s & on
@@ -123,5 +126,6 @@ def rebase(mine: DataFrame, read: DataFrame, now: DataFrame, key: list[str], col
     """Three-way merge: a column that I changed since I read it is mine, any other is as it is now."""
     m, r, n = (df.select(*key, F.struct(*columns).alias(x)) for df, x in ((mine, "m"), (read, "r"), (now, "n")))
     both = m.join(r, key, "left").join(n, key, "full_outer")
-    return both.select(*key, *[F.when(F.col("m").isNull(), F.col("n")[c]).when(F.col("n").isNull() | ~F.col("m")[c].eqNullSafe(F.col("r")[c]), F.col("m")[c])
+    return both.select(*key, *[F.when(F.col("m").isNull(),
+        F.col("n")[c]).when(F.col("n").isNull() | ~F.col("m")[c].eqNullSafe(F.col("r")[c]), F.col("m")[c])
                                .otherwise(F.col("n")[c]).alias(c) for c in columns])

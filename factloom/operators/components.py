@@ -24,7 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         nxt = cut(large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         centres = nxt.select(F.col("v").alias("u")).distinct()
-        more = nxt.groupBy("u").count().where("count > 1").select("u").union(centres.join(nxt.select("u"), "u", "left_semi")).limit(1).count()
+        more = nxt.groupBy("u").count().where("count > 1").select("u").union(centres.join(nxt.select("u"), "u",
+            "left_semi")).limit(1).count()
         cur = nxt
         if not more:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres.select(F.col("u").alias("node"), F.col("u").alias("component")))
+            return cur.select(F.col("u").alias("node"),
+                F.col("v").alias("component")).union(centres.select(F.col("u").alias("node"), F.col("u").alias("component")))

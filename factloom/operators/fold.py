@@ -37,17 +37,22 @@ def merge_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     x = entities.join(mapping, "key", "left").withColumn("canonical", F.coalesce("canonical", "key"))
     x = x.withColumn("first", F.struct((F.col("key") != F.col("canonical")).alias("other"), F.col("key").alias("k")))
-    heads = x.groupBy("canonical").agg(*[F.min_by(c, F.struct(F.col(c).isNull().alias("none"), "first")).alias(c) for c in ("type", "label", "external_id")])
+    heads = x.groupBy("canonical").agg(*[F.min_by(c, F.struct(F.col(c).isNull().alias("none"), "first")).alias(c) for c in ("type", "label",
+        "external_id")])
 
-    said = x.select("canonical", "first", F.posexplode(F.concat(F.array("label"), F.coalesce("aliases", none))).alias("pos", "said")).where("said IS NOT NULL")
-    forms = said.groupBy("canonical", X.fold(F.col("said")).alias("form")).agg(F.min_by("said", F.struct("first", "pos")).alias("said"), F.min(F.struct("first", "pos")).alias("at"))
+    said = x.select("canonical", "first",
+        F.posexplode(F.concat(F.array("label"), F.coalesce("aliases", none))).alias("pos", "said")).where("said IS NOT NULL")
+    forms = said.groupBy("canonical", X.fold(F.col("said")).alias("form")).agg(F.min_by("said", F.struct("first", "pos")).alias("said"),
+        F.min(F.struct("first", "pos")).alias("at"))
     own = heads.select("canonical", X.fold(F.col("label")).alias("form"))
-    aliases = forms.join(own, ["canonical", "form"], "left_anti").groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "said"))).alias("a"))
+    aliases = forms.join(own, ["canonical", "form"],
+        "left_anti").groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("at", "said"))).alias("a"))
     aliases = aliases.select("canonical", F.transform("a", lambda e: e["said"]).alias("aliases"))
 
     pairs = x.select("canonical", "first", F.explode("attributes").alias("name", "value"))
     chosen = pairs.groupBy("canonical", "name").agg(F.min_by("value", "first").alias("value"))
-    attributes = chosen.groupBy("canonical").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("attributes"))
+    attributes = chosen.groupBy("canonical").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name",
+        "value")))).alias("attributes"))
 
     out = heads.join(aliases, "canonical", "left").join(attributes, "canonical", "left")
     return out.select(F.col("canonical").alias("key"), "type", "label", F.coalesce("aliases", none).alias("aliases"), "external_id",
@@ -57,7 +62,8 @@ def merge_entities(entities: DataFrame, mapping: DataFrame) -> DataFrame:
 def owned_aliases(entities: DataFrame) -> DataFrame:
     """entities (key, ord, aliases) -> key, alias: a spelling that several entities claim belongs to the first of them."""
     each = entities.select("key", "ord", F.explode("aliases").alias("alias"))
-    return each.groupBy(X.fold(F.col("alias")).alias("form")).agg(F.min_by(F.struct("key", "alias"), F.struct("ord", "key")).alias("x")).select("x.key", "x.alias")
+    return each.groupBy(X.fold(F.col("alias")).alias("form")).agg(F.min_by(F.struct("key", "alias"),
+        F.struct("ord", "key")).alias("x")).select("x.key", "x.alias")
 
 
 def lookup_stats(incoming: DataFrame, stored: DataFrame, links: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -75,7 +81,8 @@ def resolve_batch(links: DataFrame, batch: DataFrame, stored: DataFrame) -> Data
     from .components import connected_components
 
     parts = cut(connected_components(links.where("kind = 'same_as'").select("a", "b")))
-    known = parts.join(stored.select(F.col("key").alias("node")), "node", "left_semi").groupBy("component").agg(F.min("node").alias("known"))
+    known = parts.join(stored.select(F.col("key").alias("node")), "node",
+        "left_semi").groupBy("component").agg(F.min("node").alias("known"))
     named = parts.join(known, "component", "left").select(F.col("node").alias("key"), F.coalesce("known", "component").alias("to"))
     return batch.select("key").distinct().join(named, "key", "left").select("key", F.coalesce("to", "key").alias("canonical"))
 
@@ -84,7 +91,8 @@ def with_parents(facts: DataFrame, at: Column) -> DataFrame:
     """facts (sig, parent_sig, retired_at, others): a derived fact retires with the fact it was derived from, in one step."""
     gone = facts.where("retired_at IS NOT NULL").select(F.col("sig").alias("parent_sig"), F.lit(True).alias("_gone")).distinct()
     out = facts.join(gone, "parent_sig", "left")
-    return out.withColumn("retired_at", F.when(F.col("retired_at").isNull() & F.col("_gone"), at).otherwise(F.col("retired_at"))).select(*facts.columns)
+    return out.withColumn("retired_at",
+        F.when(F.col("retired_at").isNull() & F.col("_gone"), at).otherwise(F.col("retired_at"))).select(*facts.columns)
 
 
 def stamp_checked(facts: DataFrame, fingerprint: str) -> DataFrame:

@@ -11,9 +11,11 @@ from ..functions.values import literal_kind, literal_range
 def record_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: rows, values, distinct values, range and whether it names each row (key)."""
     long = rows.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    p = long.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("values"), F.count_distinct("value").alias("distinct"),
+    p = long.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("values"),
+        F.count_distinct("value").alias("distinct"),
                                    F.array_sort(F.collect_set(literal_kind(F.col("value")))).alias("kinds"))
-    return p.select("column", "rows", "values", "distinct", literal_range(F.col("kinds")).alias("range"), ((F.col("distinct") == F.col("rows")) & (F.col("rows") > 0)).alias("key"))
+    return p.select("column", "rows", "values", "distinct", literal_range(F.col("kinds")).alias("range"),
+        ((F.col("distinct") == F.col("rows")) & (F.col("rows") > 0)).alias("key"))
 
 
 def inclusion_dependencies(columns: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
@@ -24,14 +26,17 @@ def inclusion_dependencies(columns: dict[str, DataFrame], least: float = 0.5) ->
         long = x if long is None else long.union(x)
     sizes = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     sets = long.groupBy("v").agg(F.collect_set("c").alias("cs"))  # at most one entry per column
-    common = sets.select(F.explode("cs").alias("a"), "cs").select("a", F.explode("cs").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    return common.join(F.broadcast(sizes.withColumnRenamed("c", "a")), "a").select("a", "b", (F.col("k") / F.col("n")).alias("share")).where(F.col("share") >= least)
+    common = sets.select(F.explode("cs").alias("a"), "cs").select("a", F.explode("cs").alias("b")).where("a != b").groupBy("a",
+        "b").agg(F.count(F.lit(1)).alias("k"))
+    return common.join(F.broadcast(sizes.withColumnRenamed("c", "a")), "a").select("a", "b",
+        (F.col("k") / F.col("n")).alias("share")).where(F.col("share") >= least)
 
 
 def importance(support: DataFrame) -> DataFrame:
     """support (name, support) with importance: ln(1 + support) over that of the largest, 3 places."""
     top = support.agg(F.max("support").alias("top"))
-    return support.crossJoin(F.broadcast(top)).withColumn("importance", F.coalesce(F.bround(F.try_divide(F.log1p("support"), F.log1p("top")), 3), F.lit(0.0))).drop("top")
+    return support.crossJoin(F.broadcast(top)).withColumn("importance",
+        F.coalesce(F.bround(F.try_divide(F.log1p("support"), F.log1p("top")), 3), F.lit(0.0))).drop("top")
 
 
 def mentions(sentences: DataFrame, names: DataFrame, longest: int = 4) -> DataFrame:
@@ -40,12 +45,15 @@ def mentions(sentences: DataFrame, names: DataFrame, longest: int = 4) -> DataFr
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     x = sentences.select("doc_id", "pos", words.alias("w")).where(F.size("w") > 0)
     grams = x.select("doc_id", "pos", F.posexplode("w").alias("at", "first"), "w").select(
-        "doc_id", "pos", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at"))), lambda n: F.struct(
-            n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("g")))).alias("x")).select("doc_id", "pos", "at", "x.n", F.col("x.g").alias("name"))
+        "doc_id", "pos", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("at"))),
+        lambda n: F.struct(
+            n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("g")))).alias("x")).select("doc_id", "pos", "at", "x.n",
+            F.col("x.g").alias("name"))
     hits = grams.join(names.select("name").distinct(), "name")
     best = hits.groupBy("doc_id", "pos", "at").agg(F.max(F.struct("n", "name")).alias("x")).select("doc_id", "pos", "at", "x.n", "x.name")
     w = Window.partitionBy("doc_id", "pos").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("covered", F.max(F.col("at") + F.col("n")).over(w)).where("covered IS NULL OR at >= covered").select("doc_id", "pos", "name", "at", F.col("n").alias("words"))
+    return best.withColumn("covered", F.max(F.col("at") + F.col("n")).over(w)).where("covered IS NULL OR at >= covered").select("doc_id",
+        "pos", "name", "at", F.col("n").alias("words"))
 
 
 def uncovered_sentences(sentences: DataFrame, found: DataFrame, cited: DataFrame) -> DataFrame:
@@ -66,8 +74,11 @@ def proposed_types(sentences: DataFrame) -> DataFrame:
     copula = rf"({_NAME}) (?:is|was) an? (\p{{Ll}}[\p{{Ll}}-]*)"
 
     def found(pattern: str, of: int, what: int):
-        return sentences.select("doc_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(of)).alias("t"), F.regexp_extract_all("text", F.lit(pattern), F.lit(what)).alias("i"))).alias("x"))
+        return sentences.select("doc_id",
+            F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(of)).alias("t"),
+            F.regexp_extract_all("text", F.lit(pattern), F.lit(what)).alias("i"))).alias("x"))
 
-    a = found(listed, 1, 2).select("doc_id", F.regexp_replace("x.t", "s$", "").alias("type"), F.explode(F.split("x.i", r",? (?:and|or) |, ")).alias("instance"))
+    a = found(listed, 1, 2).select("doc_id", F.regexp_replace("x.t", "s$", "").alias("type"),
+        F.explode(F.split("x.i", r",? (?:and|or) |, ")).alias("instance"))
     b = found(copula, 2, 1).select("doc_id", F.col("x.t").alias("type"), F.col("x.i").alias("instance"))
     return a.union(b).groupBy("type", "instance").agg(F.count_distinct("doc_id").alias("support"))

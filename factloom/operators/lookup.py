@@ -24,11 +24,13 @@ def store_candidates(incoming: DataFrame, stored: DataFrame, limit: int = 100) -
     """
     s = block_rows(stored).select("type", "kind", "block", F.col("key").alias("b"))
     i = block_rows(incoming).select("type", "kind", "block", F.col("key").alias("a"))
-    sizes = s.join(i.select("type", "kind", "block").distinct(), ["type", "kind", "block"], "left_semi").groupBy("type", "kind", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = s.join(i.select("type", "kind", "block").distinct(), ["type", "kind", "block"], "left_semi").groupBy("type", "kind",
+        "block").agg(F.count(F.lit(1)).alias("n"))
     pairs = i.join(sizes, ["type", "kind", "block"]).join(s, ["type", "kind", "block"]).where("a != b")
     rare = pairs.where((F.col("kind") != "name") | (F.col("n") <= limit)).select("a", "b")
     common = pairs.where((F.col("kind") == "name") & (F.col("n") > limit)).select("a", "b", "block")
-    named = common.join(incoming.select(F.col("key").alias("a"), F.col("name_key").alias("na")), "a").join(stored.select(F.col("key").alias("b"), F.col("name_key").alias("nb")), "b")
+    named = common.join(incoming.select(F.col("key").alias("a"), F.col("name_key").alias("na")),
+        "a").join(stored.select(F.col("key").alias("b"), F.col("name_key").alias("nb")), "b")
     rank = F.row_number().over(Window.partitionBy("a", "block").orderBy(F.desc(X.token_overlap(F.col("na"), F.col("nb"))), "b"))
     return rare.union(named.withColumn("rank", rank).where(F.col("rank") <= limit).select("a", "b")).distinct()
 
@@ -37,13 +39,15 @@ def surface_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """gold, predicted (doc, id, subject, relation, object) -> doc, gold, predicted, side: facts of one document and
     folded relation of which exactly one end is equal once folded; side names the other. Two equi-joins."""
     def folded(df: DataFrame, name: str) -> DataFrame:
-        return df.select("doc", F.col("id").alias(name), X.fold(F.col("relation")).alias("r"), X.fold(F.col("subject")).alias(f"{name}_s"), X.fold(F.col("object")).alias(f"{name}_o"))
+        return df.select("doc", F.col("id").alias(name), X.fold(F.col("relation")).alias("r"), X.fold(F.col("subject")).alias(f"{name}_s"),
+            X.fold(F.col("object")).alias(f"{name}_o"))
 
     g, p = folded(gold, "gold"), folded(predicted, "predicted")
     out = []
     for same, other, side in (("s", "o", "object"), ("o", "s", "subject")):
         x = g.withColumn("k", F.col(f"gold_{same}")).join(p.withColumn("k", F.col(f"predicted_{same}")), ["doc", "r", "k"])
-        out.append(x.where(F.col(f"gold_{other}") != F.col(f"predicted_{other}")).select("doc", "gold", "predicted", F.lit(side).alias("side")))
+        out.append(x.where(F.col(f"gold_{other}") != F.col(f"predicted_{other}")).select("doc", "gold", "predicted",
+            F.lit(side).alias("side")))
     return out[0].union(out[1])
 
 
@@ -55,8 +59,10 @@ def match_by_ids(predicted: DataFrame, names: DataFrame, gold: DataFrame) -> Dat
     """
     n = names.select("doc", X.fold(F.col("name")).alias("name"), "id").distinct()
     c = predicted.select("doc", "ord", "relation", X.fold(F.col("subject")).alias("sn"), X.fold(F.col("object")).alias("on"))
-    c = c.join(n.select("doc", F.col("name").alias("sn"), F.col("id").alias("s")), ["doc", "sn"]).join(n.select("doc", F.col("name").alias("on"), F.col("id").alias("o")), ["doc", "on"])
-    c = c.join(gold.select("doc", "s", "relation", "o").distinct(), ["doc", "s", "relation", "o"]).select("doc", "ord", "s", "relation", "o")
+    c = c.join(n.select("doc", F.col("name").alias("sn"), F.col("id").alias("s")),
+        ["doc", "sn"]).join(n.select("doc", F.col("name").alias("on"), F.col("id").alias("o")), ["doc", "on"])
+    c = c.join(gold.select("doc", "s", "relation", "o").distinct(), ["doc", "s", "relation", "o"]).select("doc", "ord", "s", "relation",
+        "o")
 
     def once(g: pd.DataFrame) -> pd.DataFrame:
         taken, hits = set(), []
@@ -77,8 +83,10 @@ def adjacent_mentions(mentions: DataFrame, texts: DataFrame, most: int = 4) -> D
     of different names with one to `most` lower-case words between them."""
     w = Window.partitionBy("chunk").orderBy("start", "end")
     x = mentions.withColumn("object", F.lead("name").over(w)).withColumn("at", F.lead("start").over(w)).where("at > end AND object != name")
-    x = x.join(texts.select("chunk", "text"), "chunk").withColumn("phrase", X.squeeze(F.substr("text", F.col("end") + 1, F.col("at") - F.col("end"))))
-    return x.where(F.col("phrase").rlike(rf"^\p{{Ll}}[\p{{Ll}}'-]*(?: \p{{Ll}}[\p{{Ll}}'-]*){{0,{most - 1}}}$")).select("chunk", F.col("name").alias("subject"), "phrase", "object")
+    x = x.join(texts.select("chunk", "text"), "chunk").withColumn("phrase",
+        X.squeeze(F.substr("text", F.col("end") + 1, F.col("at") - F.col("end"))))
+    return x.where(F.col("phrase").rlike(rf"^\p{{Ll}}[\p{{Ll}}'-]*(?: \p{{Ll}}[\p{{Ll}}'-]*){{0,{most - 1}}}$")).select("chunk",
+        F.col("name").alias("subject"), "phrase", "object")
 
 
 def offered_and_used(declared: DataFrame, offered: DataFrame, used: DataFrame) -> DataFrame:
@@ -93,6 +101,8 @@ def reflect(facts: DataFrame) -> DataFrame:
     its entities, else literal), cardinality (single if no subject has two objects) and support: a store's own schema."""
     per = facts.groupBy("predicate", "s_key").agg(F.count(F.lit(1)).alias("n"), F.min("o_repr").alias("lo"), F.max("o_repr").alias("hi"))
     one = per.groupBy("predicate").agg(F.sum("n").alias("support"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("several"))
-    shape = facts.groupBy("predicate").agg(F.sort_array(F.collect_set("s_type")).alias("domain"), F.sort_array(F.collect_set(F.when(F.col("o_kind") == "entity", F.col("o_type")))).alias("to"))
-    return one.join(shape, "predicate").select("predicate", F.array_join("domain", " ").alias("domain"), F.when(F.size("to") > 0, F.array_join("to", " ")).otherwise("literal").alias("range"),
+    shape = facts.groupBy("predicate").agg(F.sort_array(F.collect_set("s_type")).alias("domain"),
+        F.sort_array(F.collect_set(F.when(F.col("o_kind") == "entity", F.col("o_type")))).alias("to"))
+    return one.join(shape, "predicate").select("predicate", F.array_join("domain", " ").alias("domain"),
+        F.when(F.size("to") > 0, F.array_join("to", " ")).otherwise("literal").alias("range"),
                                               F.when(F.col("several") == 1, "multi").otherwise("single").alias("cardinality"), "support")

@@ -47,9 +47,12 @@ def part_of_longer_name(words: DataFrame, matches: DataFrame) -> DataFrame:
     x = words.select("doc_id", "sentence", "pos", "word", "joined", capital.alias("capital"), F.lead("joined").over(w).alias("next_joined"))
     key = ["doc_id", "sentence"]
     inside = matches.join(x, key).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")))
-    names = inside.groupBy(*key, "first", "last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda e: e["word"]), " ").alias("name"),
+    names = inside.groupBy(*key, "first",
+        "last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda e: e["word"]),
+        " ").alias("name"),
                                                       F.max_by("joined", -F.col("pos")).alias("first_joined"))
-    before = x.select(*key, (F.col("pos") + 1).alias("first"), F.col("word").alias("w0"), (F.col("capital") & (F.col("pos") > 0)).alias("c0"))
+    before = x.select(*key, (F.col("pos") + 1).alias("first"), F.col("word").alias("w0"),
+        (F.col("capital") & (F.col("pos") > 0)).alias("c0"))
     after = x.select(*key, (F.col("pos") - 1).alias("last"), F.col("word").alias("w1"), (F.col("capital") & F.col("joined")).alias("c1"))
     y = names.join(before, [*key, "first"], "left").join(after, [*key, "last"], "left")
     own = X.name_key(F.col("name"))
@@ -65,7 +68,8 @@ def cited_context(mentions: DataFrame, sentences: DataFrame, around: int = 1) ->
     first = mentions.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("m")).select("key", "m.*")
     at = first.join(s, "doc_id").where("start >= from AND start < to").select("key", "doc_id", F.col("pos").alias("at"))
     near = at.join(s.select("doc_id", "pos", "text"), "doc_id").where(F.abs(F.col("pos") - F.col("at")) <= around)
-    return near.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda e: e["text"]), " ").alias("context"))
+    return near.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda e: e["text"]),
+        " ").alias("context"))
 
 
 def normalise_values(facts: DataFrame, intervals: list[str], day_first: bool | None = None) -> DataFrame:
@@ -79,15 +83,19 @@ def normalise_values(facts: DataFrame, intervals: list[str], day_first: bool | N
         got = V.normalize_date(c, day_first)
         return F.coalesce(got, c) if date else got
 
-    value = F.when(F.col("o_kind") != "entity", F.coalesce(canonical(F.col("o_repr")), quantity(F.col("o_repr")), F.col("o_repr"))).otherwise(F.col("o_repr"))
+    value = F.when(F.col("o_kind") != "entity",
+        F.coalesce(canonical(F.col("o_repr")), quantity(F.col("o_repr")), F.col("o_repr"))).otherwise(F.col("o_repr"))
     none = F.create_map().cast("map<string,string>")
-    x = facts.withColumn("_value", value).withColumn("qualifiers", F.coalesce("qualifiers", none)).withColumn("source_form", F.coalesce("source_form", none))
-    bound = F.transform_values("qualifiers", lambda k, v: F.when(k.isin(*intervals) if intervals else F.lit(False), canonical(v, True)).otherwise(F.coalesce(canonical(v), v)))
+    x = facts.withColumn("_value", value).withColumn("qualifiers", F.coalesce("qualifiers", none)).withColumn("source_form",
+        F.coalesce("source_form", none))
+    bound = F.transform_values("qualifiers", lambda k,
+        v: F.when(k.isin(*intervals) if intervals else F.lit(False), canonical(v, True)).otherwise(F.coalesce(canonical(v), v)))
     x = x.withColumn("_bound", bound)
     changed = F.map_filter("qualifiers", lambda k, v: ~v.eqNullSafe(F.col("_bound")[k]))
     own = F.when(~F.col("o_repr").eqNullSafe(F.col("_value")), F.create_map(F.lit("object"), F.col("o_repr"))).otherwise(none)
     forms = F.map_concat(F.map_filter(F.map_concat(own, changed), lambda k, v: ~F.map_contains_key("source_form", k)), F.col("source_form"))
-    return x.withColumn("source_form", forms).withColumn("o_repr", F.col("_value")).withColumn("qualifiers", F.col("_bound")).drop("_value", "_bound")
+    return x.withColumn("source_form", forms).withColumn("o_repr", F.col("_value")).withColumn("qualifiers", F.col("_bound")).drop("_value",
+        "_bound")
 
 
 def document_key(text: Column, title: Column) -> Column:

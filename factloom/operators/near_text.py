@@ -38,7 +38,8 @@ def shingle_pairs(documents: DataFrame, threshold: float = 0.8, size: int = 5, o
     both = cand.join(sized.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("all").alias("sa")), "a").join(
         sized.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("all").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    return both.select("a", "b",
+        (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
 def text_classes(documents: DataFrame) -> DataFrame:

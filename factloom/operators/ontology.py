@@ -31,14 +31,18 @@ def load(text: str) -> dict:
 
 
 def types_table(spark: SparkSession, ontology: dict) -> DataFrame:
-    rows = [(n, list(b.get("parents", [])), list(b.get("keys", [])), list(b.get("aliases", []))) for n, b in ontology.get("types", {}).items()]
+    rows = [(n, list(b.get("parents", [])), list(b.get("keys", [])), list(b.get("aliases", []))) for n,
+        b in ontology.get("types", {}).items()]
     return spark.createDataFrame(rows, "name string, parents array<string>, keys array<string>, aliases array<string>")
 
 
 def predicates_table(spark: SparkSession, ontology: dict) -> DataFrame:
-    rows = [(n, list(b.get("domain", [])), b.get("range", "string"), b.get("cardinality", "multi"), list(b.get("cardinality_scope", [])), b.get("inverse_of"),
-             bool(b.get("symmetric", False)), list(b.get("aliases", [])), float(b.get("importance", 0.0))) for n, b in ontology.get("predicates", {}).items()]
-    return spark.createDataFrame(rows, "name string, domain array<string>, range string, cardinality string, scope array<string>, inverse_of string, symmetric boolean, "
+    rows = [(n, list(b.get("domain", [])), b.get("range", "string"), b.get("cardinality", "multi"), list(b.get("cardinality_scope", [])),
+        b.get("inverse_of"),
+             bool(b.get("symmetric", False)), list(b.get("aliases", [])), float(b.get("importance", 0.0))) for n,
+             b in ontology.get("predicates", {}).items()]
+    return spark.createDataFrame(rows,
+        "name string, domain array<string>, range string, cardinality string, scope array<string>, inverse_of string, symmetric boolean, "
                                        "aliases array<string>, importance double")
 
 
@@ -71,20 +75,23 @@ def schema_problems(spark: SparkSession, facts: DataFrame, ontology: dict) -> Da
     first that fails. An ontology without predicates finds none."""
     if not ontology.get("predicates"):
         return facts.withColumn("problem", F.lit(None).cast("string"))
-    preds = predicates_table(spark, ontology).select(F.col("name").alias("predicate"), "domain", "range", F.col("range").isin(*ontology.get("types", {}) or [""]).alias("edge"))
+    preds = predicates_table(spark, ontology).select(F.col("name").alias("predicate"), "domain", "range",
+        F.col("range").isin(*ontology.get("types", {}) or [""]).alias("edge"))
     line = lineage(spark, ontology).groupBy("type").agg(F.collect_set("ancestor").alias("up"))
     x = facts.join(F.broadcast(preds), "predicate", "left")
     x = x.join(F.broadcast(line.select(F.col("type").alias("s_type"), F.col("up").alias("s_up"))), "s_type", "left")
     x = x.join(F.broadcast(line.select(F.col("type").alias("o_type"), F.col("up").alias("o_up"))), "o_type", "left")
     s_up, o_up = F.coalesce("s_up", F.array("s_type")), F.coalesce("o_up", F.array("o_type"))
     problem = (F.when(F.col("range").isNull(), "predicate").when((F.size("domain") > 0) & ~F.arrays_overlap(s_up, "domain"), "domain")
-               .when(F.col("edge") & (F.col("o_type").isNull() | ~F.array_contains(o_up, F.col("range"))), "range").when(~F.col("edge") & F.col("o_type").isNotNull(), "range"))
+               .when(F.col("edge") & (F.col("o_type").isNull() | ~F.array_contains(o_up, F.col("range"))),
+               "range").when(~F.col("edge") & F.col("o_type").isNotNull(), "range"))
     return x.select(*facts.columns, problem.alias("problem"))
 
 
 def entries(spark: SparkSession, ontology: dict) -> DataFrame:
     """(path, value) of every declaration, values as JSON."""
-    rows = [(f"{section}.{n}.{k}", json.dumps(v, sort_keys=True)) for section in ("types", "predicates") for n, b in ontology.get(section, {}).items() for k, v in {"": True, **b}.items()]
+    rows = [(f"{section}.{n}.{k}", json.dumps(v, sort_keys=True)) for section in ("types", "predicates") for n,
+        b in ontology.get(section, {}).items() for k, v in {"": True, **b}.items()]
     return spark.createDataFrame(rows, "path string, value string")
 
 
@@ -96,7 +103,8 @@ def snippet(ontology: dict, type_name: str, limit: int = 25) -> dict:
         new = [t for t in types.get(queue.pop(), {}).get("parents", []) if t not in up]
         up.update(new)
         queue += new
-    fit = sorted((-float(b.get("importance", 0.0)), n) for n, b in ontology.get("predicates", {}).items() if not b.get("domain") or up & set(b["domain"]))
+    fit = sorted((-float(b.get("importance", 0.0)), n) for n,
+        b in ontology.get("predicates", {}).items() if not b.get("domain") or up & set(b["domain"]))
     return {"type": type_name, "predicates": [n for _, n in fit[:limit]], "truncated": len(fit) > limit}
 
 
@@ -106,7 +114,8 @@ def diff(spark: SparkSession, old: dict, new: dict) -> DataFrame:
     a, b = entries(spark, old).withColumnRenamed("value", "was"), entries(spark, new).withColumnRenamed("value", "now")
     x = a.join(b, "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return x.select("path", change.alias("change"), ((change == "removed") | ((change == "changed") & F.col("path").rlike(r"\.(?:domain|range|cardinality)$"))).alias("breaking"))
+    return x.select("path", change.alias("change"),
+        ((change == "removed") | ((change == "changed") & F.col("path").rlike(r"\.(?:domain|range|cardinality)$"))).alias("breaking"))
 
 
 def diagnostics(ontology: dict) -> list[tuple[str, str]]:
@@ -152,8 +161,10 @@ def from_schema(name: str, schemas: dict, version: str = "1") -> dict:
     its metadata `type` (or its field), an array holds many values, a field that may not be null is required."""
     from pyspark.sql import types as T
 
-    kinds = {T.StringType: "string", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "datetime", T.TimestampNTZType: "datetime",
-             T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer", T.FloatType: "number", T.DoubleType: "number", T.DecimalType: "number"}
+    kinds = {T.StringType: "string", T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "datetime",
+        T.TimestampNTZType: "datetime",
+             T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer", T.FloatType: "number",
+             T.DoubleType: "number", T.DecimalType: "number"}
     types: dict[str, dict] = {}
     predicates: dict[str, dict] = {}
 
@@ -170,7 +181,8 @@ def from_schema(name: str, schemas: dict, version: str = "1") -> dict:
                 add(to, kind)
             else:
                 to = kinds.get(type(kind), "string")
-            p = predicates.setdefault(f.name, {"domain": [], "range": to, "cardinality": "multi" if many else "single", "required": not f.nullable})
+            p = predicates.setdefault(f.name,
+                {"domain": [], "range": to, "cardinality": "multi" if many else "single", "required": not f.nullable})
             if p["range"] != to:
                 raise ValueError(f"{type_name}.{f.name}: range {to}, but {p['range']} elsewhere")
             p["domain"].append(type_name)

@@ -27,7 +27,8 @@ def running_sums(rows: DataFrame, order: list[str], sums: dict[str, Column]) ->
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if not totals:
         return x.drop("_part")
-    return x.select(*rows.columns, *[(F.coalesce(F.sum(n).over(w), F.lit(0)) + F.create_map(*offsets[n])[F.col("_part")]).alias(n) for n in names])
+    return x.select(*rows.columns,
+        *[(F.coalesce(F.sum(n).over(w), F.lit(0)) + F.create_map(*offsets[n])[F.col("_part")]).alias(n) for n in names])
 
 
 def text_batches(rows: DataFrame, text: str, order: list[str], size: int) -> DataFrame:
@@ -40,5 +41,6 @@ def text_batches(rows: DataFrame, text: str, order: list[str], size: int) -> Dat
     texts = rows.groupBy(text).agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
     before = running_sums(texts, ["_first", text], {"_before": F.col("_n")}).select(text, "_n", "_before")
     within = Window.partitionBy(text).orderBy(*order)
-    x = rows.join(before, text).withColumn("_i", F.when(F.col("_n") > 2 * size, F.floor((F.row_number().over(within) - 1) / (2 * size))).otherwise(0))
+    x = rows.join(before, text).withColumn("_i",
+        F.when(F.col("_n") > 2 * size, F.floor((F.row_number().over(within) - 1) / (2 * size))).otherwise(0))
     return x.withColumn("batch", F.floor(F.col("_before") / size) + F.col("_i")).drop("_n", "_before", "_i")

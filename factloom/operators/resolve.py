@@ -20,8 +20,10 @@ def profiles(entities: DataFrame) -> DataFrame:
     name = X.name_key(F.coalesce("label", "key"))
     domains = F.array_distinct(F.filter(F.transform(alias, X.domain_of), lambda x: x.isNotNull()))
     others = F.transform(F.filter(alias, lambda a: X.domain_of(a).isNull()), lambda a: X.name_key(a))
-    return entities.withColumn("name_key", name).withColumn("names", F.filter(F.array_distinct(F.concat(F.array("name_key"), others)), lambda n: n != "")).withColumn(
-        "domains", domains).withColumn("scheme", F.when(F.col("external_id").isNotNull(), X.identifier_scheme(F.col("external_id")))).withColumn(
+    return entities.withColumn("name_key", name).withColumn("names",
+        F.filter(F.array_distinct(F.concat(F.array("name_key"), others)), lambda n: n != "")).withColumn(
+        "domains", domains).withColumn("scheme",
+        F.when(F.col("external_id").isNotNull(), X.identifier_scheme(F.col("external_id")))).withColumn(
         "id_value", F.when(F.col("external_id").isNotNull(), X.identifier_value(F.col("external_id"))))
 
 
@@ -30,9 +32,11 @@ def block_rows(p: DataFrame) -> DataFrame:
     words = F.array_distinct(F.flatten(F.transform("names", X.block_tokens)))
     keys = F.concat(F.transform(words, lambda w: F.struct(F.lit("name").alias("kind"), w.alias("block"))),
                     F.transform("domains", lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("block"))),
-                    F.when(F.col("id_value").isNotNull(), F.array(F.struct(F.lit("id").alias("kind"), F.concat_ws(":", "scheme", "id_value").alias("block")))).otherwise(
+                    F.when(F.col("id_value").isNotNull(),
+                    F.array(F.struct(F.lit("id").alias("kind"), F.concat_ws(":", "scheme", "id_value").alias("block")))).otherwise(
                         F.array().cast("array<struct<kind:string,block:string>>")))
-    return p.select("key", "type", F.col("attributes")["country"].alias("country"), F.explode(keys).alias("k")).select("key", "type", "country", "k.kind", "k.block")
+    return p.select("key", "type", F.col("attributes")["country"].alias("country"), F.explode(keys).alias("k")).select("key", "type",
+        "country", "k.kind", "k.block")
 
 
 def candidate_pairs(p: DataFrame, max_block: int = 100) -> DataFrame:
@@ -46,13 +50,17 @@ def candidate_pairs(p: DataFrame, max_block: int = 100) -> DataFrame:
     sizes = rows.groupBy("type", "kind", "block").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
     rows = rows.join(sizes, ["type", "kind", "block"])
     small = rows.where(F.col("n") <= max_block).withColumn("part", F.lit(""))
-    large = rows.where((F.col("n") > max_block) & (F.col("kind") == "name")).withColumn("part", F.concat(F.lit("="), F.coalesce(X.casefold(F.trim("country")), F.lit("\0"))))
+    large = rows.where((F.col("n") > max_block) & (F.col("kind") == "name")).withColumn("part",
+        F.concat(F.lit("="), F.coalesce(X.casefold(F.trim("country")), F.lit("\0"))))
     parts = large.groupBy("type", "block", "part").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= max_block).drop("m")
-    rows_in = small.select("type", "kind", "block", "part", "key").unionByName(large.join(parts, ["type", "block", "part"], "left_semi").select("type", "kind", "block", "part", "key"))
+    rows_in = small.select("type", "kind", "block", "part",
+        "key").unionByName(large.join(parts, ["type", "block", "part"], "left_semi").select("type", "kind", "block", "part", "key"))
     a, b = rows_in.alias("a"), rows_in.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("type", "kind", "block", "part")]
-    pairs = a.join(b, on[0] & on[1] & on[2] & on[3] & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
-    star = rows.where((F.col("n") > max_block) & (F.col("kind") != "name") & (F.col("key") != F.col("first"))).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    pairs = a.join(b, on[0] & on[1] & on[2] & on[3] & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"),
+        F.col("b.key").alias("b"))
+    star = rows.where((F.col("n") > max_block) & (F.col("kind") != "name") & (F.col("key") != F.col("first"))).select(F.col("first").alias("a"),
+        F.col("key").alias("b"))
     return pairs.union(star).distinct()
 
 
@@ -83,9 +91,11 @@ def judge(pairs: DataFrame, p: DataFrame, threshold: float = 0.9, nudge_up: floa
         X.casefold(F.trim(F.col("ta")[k])) == X.casefold(F.trim(F.col("tb")[k])), F.lit(nudge_up)).otherwise(F.lit(-nudge_down)))
     score = F.when(F.col("s") == 0, 0.0).otherwise(F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s") + nudge)), 4))
     y = best.withColumn("score", score)
-    kind = (F.when(F.col("against"), F.when(F.col("agree") | (F.col("score") >= threshold), "different")).when(F.col("agree"), "same_as").when(F.col("score") >= threshold, "similar"))
+    kind = (F.when(F.col("against"), F.when(F.col("agree") | (F.col("score") >= threshold), "different")).when(F.col("agree"),
+        "same_as").when(F.col("score") >= threshold, "similar"))
     reason = F.when(kind == "same_as", F.when(F.col("by_id"), "id").otherwise("domain")).when(kind == "different", "mismatch")
-    return y.select("a", "b", kind.alias("kind"), F.when(kind == "same_as", 1.0).otherwise(F.col("score")).alias("score"), reason.alias("reason"))
+    return y.select("a", "b", kind.alias("kind"), F.when(kind == "same_as", 1.0).otherwise(F.col("score")).alias("score"),
+        reason.alias("reason"))
 
 
 def _fold(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +135,8 @@ def _fold(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             apart[z].add(x)
             apart[x].add(z)
     has_id = {k for k, v in zip(members["key"], members["id_value"]) if isinstance(v, str)}
-    return pd.DataFrame([(k, min(c, key=lambda m: (m not in has_id, m))) for c in cluster.values() for k in c], columns=["key", "canonical"])
+    return pd.DataFrame([(k, min(c, key=lambda m: (m not in has_id, m))) for c in cluster.values() for k in c],
+        columns=["key", "canonical"])
 
 
 def merge_components(links: DataFrame, entities: DataFrame) -> DataFrame:
@@ -141,18 +152,22 @@ def merge_components(links: DataFrame, entities: DataFrame) -> DataFrame:
     parts = cut(connected_components(same.select("a", "b")))
     side = {c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")}
     inside = links.where("kind = 'different'").select("a", "b").join(side["a"], "a").join(side["b"], "b").where("c_a = c_b")
-    ids = cut(entities.select("key", "scheme", "id_value").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key"))
-    clash = ids.where("id_value IS NOT NULL").groupBy("part", "scheme").agg(F.min("id_value").alias("x"), F.max("id_value").alias("y")).where("x <> y").select(F.col("part").alias("component"))
+    ids = cut(entities.select("key", "scheme", "id_value").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")),
+        "key"))
+    clash = ids.where("id_value IS NOT NULL").groupBy("part", "scheme").agg(F.min("id_value").alias("x"),
+        F.max("id_value").alias("y")).where("x <> y").select(F.col("part").alias("component"))
     contested = cut(inside.select(F.col("c_a").alias("component")).union(clash).distinct())
 
     quiet = ids.join(contested.withColumnRenamed("component", "part"), "part", "left_anti")
     head = quiet.groupBy("part").agg(F.min(F.struct(F.col("id_value").isNull().alias("none"), "key"))["key"].alias("canonical"))
     merged = quiet.join(head, "part").select("key", "canonical")
 
-    loud = same.join(side["a"], "a").withColumnRenamed("c_a", "component").join(contested, "component", "left_semi").select("component", "a", "b", "score")
+    loud = same.join(side["a"], "a").withColumnRenamed("c_a", "component").join(contested, "component", "left_semi").select("component",
+        "a", "b", "score")
     refused = inside.select(F.col("c_a").alias("component"), "a", "b", F.lit(-1.0).alias("score"))
     members = ids.join(contested.withColumnRenamed("component", "part"), "part", "left_semi")
-    folded = loud.unionByName(refused).groupBy("component").cogroup(members.groupBy("part")).applyInPandas(lambda e, m: _fold(e, m), "key string, canonical string")
+    folded = loud.unionByName(refused).groupBy("component").cogroup(members.groupBy("part")).applyInPandas(lambda e, m: _fold(e, m),
+        "key string, canonical string")
     return merged.union(folded)
 
 
@@ -176,7 +191,8 @@ def nearest_vectors(vectors: DataFrame, probes: DataFrame, k: int = 5, groups: l
     on = F.col("p.key") != F.col("v.key")
     for g in groups:
         on = on & (F.col(f"p.{g}") == F.col(f"v.{g}"))
-    cos = F.coalesce(F.try_divide(dot(F.col("p.v"), F.col("v.v")), F.sqrt(dot(F.col("p.v"), F.col("p.v"))) * F.sqrt(dot(F.col("v.v"), F.col("v.v")))), F.lit(0.0))
+    cos = F.coalesce(F.try_divide(dot(F.col("p.v"), F.col("v.v")),
+        F.sqrt(dot(F.col("p.v"), F.col("p.v"))) * F.sqrt(dot(F.col("v.v"), F.col("v.v")))), F.lit(0.0))
     from pyspark.sql import Window
 
     scored = a.join(b, on).select(F.col("p.key").alias("probe"), F.col("v.key").alias("key"), F.round(cos, 9).alias("cosine"))

@@ -14,17 +14,22 @@ def gate(verdict: Column, problem: Column | None = None, refuse_not_found: bool
     """struct(action, reason, review): a schema problem is refused; a refused verdict is dropped, or accepted and marked."""
     bad = verdict.isin("contradicted", "not_found") if refuse_not_found else verdict == "contradicted"
     reason = F.when(verdict == "contradicted", "the text contradicts it").otherwise("the text does not state it")
-    out = F.when(bad, F.struct(F.lit("accept" if mark else "refuse").alias("action"), reason.alias("reason"), F.lit("judge" if mark else None).cast("string").alias("review"))).otherwise(
+    out = F.when(bad, F.struct(F.lit("accept" if mark else "refuse").alias("action"), reason.alias("reason"),
+        F.lit("judge" if mark else None).cast("string").alias("review"))).otherwise(
         F.struct(F.lit("accept").alias("action"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("review")))
     if problem is None:
         return out
-    return F.when(problem.isNotNull(), F.struct(F.lit("refuse").alias("action"), F.concat(F.lit("schema: "), problem).alias("reason"), F.lit(None).cast("string").alias("review"))).otherwise(out)
+    return F.when(problem.isNotNull(),
+        F.struct(F.lit("refuse").alias("action"), F.concat(F.lit("schema: "), problem).alias("reason"),
+        F.lit(None).cast("string").alias("review"))).otherwise(out)
 
 
 def render_claim(subject: Column, predicate: Column, obj: Column, polarity: Column, qualifiers: Column | None = None) -> Column:
     """One line for a judge: words of the predicate, polarity spelled out, identity qualifiers behind."""
     words = F.replace(predicate, F.lit("_"), F.lit(" "))
-    line = F.concat_ws(" ", subject, F.when(polarity == "denied", F.concat(F.lit("not "), words)).when(polarity == "partial", F.concat(F.lit("partly "), words)).otherwise(words), obj)
+    line = F.concat_ws(" ", subject,
+        F.when(polarity == "denied", F.concat(F.lit("not "), words)).when(polarity == "partial",
+        F.concat(F.lit("partly "), words)).otherwise(words), obj)
     if qualifiers is None:
         return line
     pairs = F.transform(F.array_sort(F.map_entries(qualifiers)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
@@ -38,22 +43,28 @@ def widen(spans: DataFrame, sentences: DataFrame) -> DataFrame:
     x = spans.join(s, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left")
     g = x.groupBy("id", "doc_id", "start", "end").agg(F.min("_s").alias("lo"), F.max("_e").alias("hi"))
     grew = (F.col("lo") < F.col("start")) | (F.col("hi") > F.col("end"))
-    return g.select("id", "doc_id", "start", "end", F.when(grew, F.least("lo", "start")).alias("wide_start"), F.when(grew, F.greatest("hi", "end")).alias("wide_end"))
+    return g.select("id", "doc_id", "start", "end", F.when(grew, F.least("lo", "start")).alias("wide_start"),
+        F.when(grew, F.greatest("hi", "end")).alias("wide_end"))
 
 
 def reconcile_qualifiers(members: DataFrame, key: list[str]) -> DataFrame:
     """members (key columns, ord, tier_w, retrieved_at, qualifiers map) -> key columns, qualifier, value. One distinct value stays; starts
     take the smallest and ends the largest; else the value of the strongest member: tier, then newest, then first."""
     x = members.select(*key, "ord", "tier_w", "retrieved_at", F.explode("qualifiers").alias("qualifier", "v"))
-    g = x.groupBy(*key, "qualifier").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max_by("v", F.struct("tier_w", "retrieved_at", -F.col("ord"))).alias("best"))
-    return g.select(*key, "qualifier", F.when(F.col("qualifier").isin(*STARTS), F.col("lo")).when(F.col("qualifier").isin(*ENDS), F.col("hi")).otherwise(F.col("best")).alias("value"))
+    g = x.groupBy(*key, "qualifier").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.max_by("v", F.struct("tier_w", "retrieved_at", -F.col("ord"))).alias("best"))
+    return g.select(*key, "qualifier",
+        F.when(F.col("qualifier").isin(*STARTS), F.col("lo")).when(F.col("qualifier").isin(*ENDS),
+        F.col("hi")).otherwise(F.col("best")).alias("value"))
 
 
 def best_type(predicates: DataFrame, domains: DataFrame) -> DataFrame:
     """predicates (item, predicate), domains (predicate, type) -> item, type: most votes, then the type with fewest predicates, then by name."""
     sizes = domains.groupBy("type").agg(F.count(F.lit(1)).alias("size"))
-    votes = predicates.join(F.broadcast(domains), "predicate").groupBy("item", "type").agg(F.count(F.lit(1)).alias("votes")).join(F.broadcast(sizes), "type")
-    return votes.groupBy("item").agg(F.min_by("type", F.struct((-F.col("votes")).alias("v"), "size", "type")).alias("type"), F.max("votes").alias("votes"))
+    votes = predicates.join(F.broadcast(domains), "predicate").groupBy("item",
+        "type").agg(F.count(F.lit(1)).alias("votes")).join(F.broadcast(sizes), "type")
+    return votes.groupBy("item").agg(F.min_by("type", F.struct((-F.col("votes")).alias("v"), "size", "type")).alias("type"),
+        F.max("votes").alias("votes"))
 
 
 def hallucinated(text: Column, subject: Column, obj: Column) -> Column:
@@ -70,9 +81,11 @@ def locate_pair(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     s = sentences.withColumn("t2", F.concat_ws(" ", "text", F.lead("text").over(w))).withColumn("end2", F.lead("end").over(w))
     windows = s.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), "start", "end", F.col("text").alias("t")),
-                                                   F.struct(F.lit(2).alias("n"), "start", F.col("end2").alias("end"), F.col("t2").alias("t")))).alias("x")).select("doc_id", "x.*").where("end IS NOT NULL")
+                                                   F.struct(F.lit(2).alias("n"), "start", F.col("end2").alias("end"),
+                                                   F.col("t2").alias("t")))).alias("x")).select("doc_id", "x.*").where("end IS NOT NULL")
     hit = pairs.join(windows, "doc_id").where(F.contains(F.lower("t"), F.lower("subject")) & F.contains(F.lower("t"), F.lower("object")))
-    return hit.groupBy("id").agg(F.min(F.struct("n", (F.col("end") - F.col("start")).alias("width"), "start", "end")).alias("b")).select("id", "b.n", "b.start", "b.end")
+    return hit.groupBy("id").agg(F.min(F.struct("n", (F.col("end") - F.col("start")).alias("width"), "start",
+        "end")).alias("b")).select("id", "b.n", "b.start", "b.end")
 
 
 def miss_buckets(flags: DataFrame, causes: list[str]) -> DataFrame:
@@ -92,5 +105,7 @@ def cap_supported(rows: DataFrame, most: int) -> DataFrame:
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b (item, right) over the same items -> one row: items, both, gained, lost, only_a and only_b (items that the other run lacks)."""
     x = a.select("item", F.col("right").alias("a")).join(b.select("item", F.col("right").alias("b")), "item", "full_outer")
-    return x.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("items"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(~F.col("a") & F.col("b")).alias("gained"),
-                 F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+    return x.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("items"),
+        F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(~F.col("a") & F.col("b")).alias("gained"),
+                 F.count_if(F.col("a") & ~F.col("b")).alias("lost"), F.count_if(F.col("b").isNull()).alias("only_a"),
+                 F.count_if(F.col("a").isNull()).alias("only_b"))

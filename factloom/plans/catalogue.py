@@ -6,7 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame
 
-MODULES: tuple[str, ...] = ("prices", "documents", "entities", "evaluation", "records", "verification", "stores", "folding", "io", "chain", "names")
+MODULES: tuple[str, ...] = ("prices", "documents", "entities", "evaluation", "records", "verification", "stores", "folding", "io", "chain",
+    "names")
 
 
 def _entries() -> dict[str, tuple]:

@@ -19,7 +19,8 @@ def _docs(spark, d):
 
 def independent_support(spark, d):
     """Sources and documents behind each text that occurs more than once."""
-    out = _docs(spark, d).groupBy(F.sha2("text", 256).alias("sig")).agg(F.count_distinct("source").alias("support"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
+    out = _docs(spark, d).groupBy(F.sha2("text", 256).alias("sig")).agg(F.count_distinct("source").alias("support"),
+        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
     return out.where("documents > 1").select("first", "support", "documents")
 
 
@@ -29,7 +30,8 @@ INDEPENDENT = "SELECT min(doc_id) AS first, count(DISTINCT source) AS support, c
 def repeated_line_support(spark, d):
     """Lines over 20 characters that two or more documents state, with their sources."""
     lines = _docs(spark, d).select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 20")
-    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("source").alias("support")).where("documents > 1")
+    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("documents"),
+        F.count_distinct("source").alias("support")).where("documents > 1")
 
 
 REPEATED = """SELECT line, count(DISTINCT doc_id) AS documents, count(DISTINCT source) AS support
@@ -73,7 +75,8 @@ SELECT d.doc_id, component, coalesce(links, 0) AS links FROM documents d JOIN re
 
 def benchmark_quote_located(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return spans.locate_quotes(_docs(spark, d), quotes).withColumnRenamed("quote_id", "item_id").select("doc_id", "item_id", F.col("start").cast("long"), F.col("end").cast("long"))
+    return spans.locate_quotes(_docs(spark, d), quotes).withColumnRenamed("quote_id", "item_id").select("doc_id", "item_id",
+        F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 QUOTES = """SELECT doc_id, item_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start, CAST(instr(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS "end"
@@ -85,15 +88,18 @@ def _spans(docs):
     n = F.length("text")
     start, end = F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int")
     quote = F.substr("text", start + 1, end - start)
-    kinds = [(start, end, quote, "doc_id"), (start + 1, end + 1, quote, "doc_id"), (start, start, F.lit(""), "doc_id"), (start, n + 5, quote, "doc_id"),
+    kinds = [(start, end, quote, "doc_id"), (start + 1, end + 1, quote, "doc_id"), (start, start, F.lit(""), "doc_id"),
+        (start, n + 5, quote, "doc_id"),
              (start, end, quote, "other"), (F.lit(None).cast("int"), F.lit(None).cast("int"), quote, "doc_id")]
     return docs.withColumn("other", F.col("doc_id") + 1).select("doc_id", "text", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), s.alias("start"), e.alias("end"), q.alias("quote"), F.col(o).alias("span_doc")) for k, (s, e, q, o) in enumerate(kinds)])).alias("s")).select("doc_id", "text", "s.*")
+        F.struct(F.lit(k).alias("k"), s.alias("start"), e.alias("end"), q.alias("quote"), F.col(o).alias("span_doc")) for k,
+        (s, e, q, o) in enumerate(kinds)])).alias("s")).select("doc_id", "text", "s.*")
 
 
 def span_check_status(spark, d):
     s = _spans(_docs(spark, d))
-    return s.select("doc_id", "k", spans.span_status(F.col("span_doc"), F.col("doc_id"), F.col("text"), F.col("start"), F.col("end"), F.col("quote")).alias("status"))
+    return s.select("doc_id", "k",
+        spans.span_status(F.col("span_doc"), F.col("doc_id"), F.col("text"), F.col("start"), F.col("end"), F.col("quote")).alias("status"))
 
 
 SPANS_SQL = """
@@ -110,8 +116,10 @@ SPANS = f"WITH {SPANS_SQL} SELECT doc_id, k, {SPAN_CASE} AS status FROM sp"
 def span_grounding(spark, d):
     """One fact per document, with the spans of span_check_status as evidence for every second document."""
     docs = _docs(spark, d)
-    ev = _spans(docs.where("doc_id % 2 = 0")).where("span_doc = doc_id AND k > 0 OR doc_id % 4 = 0 AND k = 0").select(F.col("doc_id").alias("fact_id"), "doc_id", "start", "end", "quote")
-    facts = docs.select(F.col("doc_id").alias("fact_id"), F.when(F.col("doc_id") % 5 == 0, "supported").otherwise("unchecked").alias("verdict"))
+    ev = _spans(docs.where("doc_id % 2 = 0")).where("span_doc = doc_id AND k > 0 OR doc_id % 4 = 0 AND k = 0").select(F.col("doc_id").alias("fact_id"),
+        "doc_id", "start", "end", "quote")
+    facts = docs.select(F.col("doc_id").alias("fact_id"),
+        F.when(F.col("doc_id") % 5 == 0, "supported").otherwise("unchecked").alias("verdict"))
     return spans.ground_by_span(facts, ev, docs)
 
 
@@ -123,7 +131,8 @@ SELECT d.doc_id AS fact_id, CASE WHEN d.doc_id % 5 = 0 THEN 'supported' WHEN coa
 
 def span_width_by_verdict(spark, d):
     """Widths of the middle quarter of each text by its label: n, quartiles (inclusive, linear), extremes."""
-    w = _docs(spark, d).join(table(spark, d, "labels"), "doc_id").select("quality", (F.floor(F.length("text") / 2) - F.floor(F.length("text") / 4)).alias("w"))
+    w = _docs(spark, d).join(table(spark, d, "labels"), "doc_id").select("quality",
+        (F.floor(F.length("text") / 2) - F.floor(F.length("text") / 4)).alias("w"))
     p = F.percentile("w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return w.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low"), p.alias("p"), F.max("w").alias("high")).select(
         "quality", "n", "low", *[F.col("p")[k].alias(x) for k, x in enumerate(("p25", "median", "p75"))], "high")
@@ -140,7 +149,8 @@ def chunk_pack(spark, d):
 
 
 def sentence_split(spark, d):
-    return spans.sentences(_docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max("words").alias("longest"), F.count_if("opens").alias("paragraphs"))
+    return spans.sentences(_docs(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max("words").alias("longest"),
+        F.count_if("opens").alias("paragraphs"))
 
 
 def html_to_text(spark, d):
@@ -151,7 +161,8 @@ def html_to_text(spark, d):
 def html_links_headings(spark, d):
     """Links, paragraphs and the first heading of each page, by pattern."""
     p = table(spark, d, "pages")
-    return p.select("page_id", F.regexp_count("html", F.lit(r"<a\s")).cast("long").alias("links"), F.regexp_count("html", F.lit(r"<p>")).cast("long").alias("paragraphs"),
+    return p.select("page_id", F.regexp_count("html", F.lit(r"<a\s")).cast("long").alias("links"),
+        F.regexp_count("html", F.lit(r"<p>")).cast("long").alias("paragraphs"),
                     F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1).alias("heading"))
 
 
@@ -171,7 +182,8 @@ def conversation_turn_routes(spark, d):
     """Turns of a conversation as chunks; a system turn after the first stops the document."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"),
                                                 F.when(F.length("text") > 700, "skip").otherwise("extract").alias("action"),
-                                                F.when((F.length("text") > 700) & (F.col("role") == "user"), "document").otherwise("chunk").alias("scope"))
+                                                F.when((F.length("text") > 700) & (F.col("role") == "user"),
+                                                "document").otherwise("chunk").alias("scope"))
     return spans.route_chunks(c)
 
 
@@ -196,9 +208,11 @@ def stratified_quota_sample(spark, d):
     docs = _docs(spark, d).select("doc_id", "lang", F.sha2("text", 256).alias("k"))
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
-    q = sizes.crossJoin(F.broadcast(total)).withColumn("exact", F.lit(80.0) * F.col("n") / F.col("total")).withColumn("base", F.floor("exact"))
+    q = sizes.crossJoin(F.broadcast(total)).withColumn("exact", F.lit(80.0) * F.col("n") / F.col("total")).withColumn("base",
+        F.floor("exact"))
     left = q.agg((F.lit(80) - F.sum("base")).alias("left"))
-    q = q.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.col("base")), "lang"))).crossJoin(F.broadcast(left))
+    q = q.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.col("base")),
+        "lang"))).crossJoin(F.broadcast(left))
     quota = q.select("lang", (F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("quota"))
     ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id")))
     return ranked.join(F.broadcast(quota), "lang").where("rn <= quota").select("lang", "doc_id", F.col("quota").cast("long").alias("quota"))
@@ -216,7 +230,8 @@ def pool_relative_recall(spark, d):
     claims = _docs(spark, d).select("source", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 20").distinct()
     runs = claims.groupBy("line").agg(F.count(F.lit(1)).alias("runs"))
     pool = runs.agg(F.count(F.lit(1)).alias("pool"))
-    return claims.join(runs, "line").groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("runs") == 1).alias("only_here")).crossJoin(
+    return claims.join(runs, "line").groupBy("source").agg(F.count(F.lit(1)).alias("found"),
+        F.count_if(F.col("runs") == 1).alias("only_here")).crossJoin(
         F.broadcast(pool)).select("source", "found", "only_here", F.round(F.col("found") / F.col("pool"), 6).alias("share"))
 
 

@@ -15,7 +15,8 @@ def name_keys(spark, d):
     s = table(spark, d, "supplier").select(F.lit("Supplier").alias("t"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"))
     c = table(spark, d, "customer").select(F.lit("Customer").alias("t"), F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
     x = s.union(c).withColumn("name", F.concat(F.lit("The "), F.col("n"), form))
-    return x.select("t", "k", X.name_key(F.col("name")).alias("name_key"), X.legal_form(F.col("name")).alias("legal_form"), X.entity_key(F.col("t"), F.col("name")).alias("entity_key"))
+    return x.select("t", "k", X.name_key(F.col("name")).alias("name_key"), X.legal_form(F.col("name")).alias("legal_form"),
+        X.entity_key(F.col("t"), F.col("name")).alias("entity_key"))
 
 
 NAME_KEYS = r"""WITH x AS (SELECT 'Supplier' AS t, s_suppkey AS k, s_name AS n FROM supplier UNION ALL SELECT 'Customer', c_custkey, c_name FROM customer),
@@ -27,10 +28,14 @@ t || ':' || regexp_replace(lower(name), '[^\p{L}\p{N}]+$', '') AS entity_key FRO
 
 def _people(spark, d):
     """Part names as entities with an id, a host and a country for some."""
-    p = table(spark, d, "part").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_brand").alias("type"), F.col("p_name").alias("label"), "p_partkey", "p_size")
+    p = table(spark, d, "part").select(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string")).alias("key"),
+        F.col("p_brand").alias("type"), F.col("p_name").alias("label"), "p_partkey", "p_size")
     k = F.col("p_partkey")
-    return p.select("key", "type", "label", F.when(k % 50 == 0, F.array(F.concat(F.lit("https://www.brand"), (k % 7).cast("string"), F.lit(".example.com/")))).otherwise(F.array().cast("array<string>")).alias("aliases"),
-                    F.when(k % 40 == 0, F.concat(F.lit("reg: "), (k % 60).cast("string"))).alias("external_id"), F.create_map(F.lit("country"), (F.col("p_size") % 5).cast("string")).alias("attributes"))
+    return p.select("key", "type", "label",
+        F.when(k % 50 == 0, F.array(F.concat(F.lit("https://www.brand"), (k % 7).cast("string"),
+        F.lit(".example.com/")))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+                    F.when(k % 40 == 0, F.concat(F.lit("reg: "), (k % 60).cast("string"))).alias("external_id"),
+                    F.create_map(F.lit("country"), (F.col("p_size") % 5).cast("string")).alias("attributes"))
 
 
 def blocked_pairs_names(spark, d):
@@ -73,14 +78,16 @@ def resolve_rekey(spark, d):
     """Line items' parts re-keyed to the canonical part of their component, and how many lines each then has."""
     links, p = _links(spark, d)
     mapping = R.merge_components(links, p)
-    facts = table(spark, d, "lineitem").select(F.concat(F.lit("Part:"), F.col("l_partkey").cast("string")).alias("s_key"), F.lit("").alias("o_key"))
+    facts = table(spark, d, "lineitem").select(F.concat(F.lit("Part:"), F.col("l_partkey").cast("string")).alias("s_key"),
+        F.lit("").alias("o_key"))
     return R.rekey(facts, mapping).groupBy("s_key").agg(F.count(F.lit(1)).alias("facts"))
 
 
 def nearest_vectors_k(spark, d):
     """The five nearest by cosine, of one label, for every row whose id is divisible by 20."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"), "label")
-    return R.nearest_vectors(v, v.where("key % 20 = 0"), 5, ["label"]).select("probe", "key", F.col("rank").cast("long").alias("rank"), F.round("cosine", 6).alias("cosine"))
+    return R.nearest_vectors(v, v.where("key % 20 = 0"), 5, ["label"]).select("probe", "key", F.col("rank").cast("long").alias("rank"),
+        F.round("cosine", 6).alias("cosine"))
 
 
 NEAREST = """WITH p AS (SELECT a.vec_id AS probe, b.vec_id AS key, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
@@ -101,7 +108,9 @@ GATE = """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 
 QUERIES = {
-    "name_keys": (name_keys, NAME_KEYS), "blocked_pairs_names": (blocked_pairs_names, BLOCKS), "token_overlap_scores": (token_overlap_scores, OVERLAP),
-    "name_similarity_links": (name_similarity_links, None), "resolve_rekey": (resolve_rekey, None), "nearest_vectors_k": (nearest_vectors_k, NEAREST),
+    "name_keys": (name_keys, NAME_KEYS), "blocked_pairs_names": (blocked_pairs_names, BLOCKS),
+    "token_overlap_scores": (token_overlap_scores, OVERLAP),
+    "name_similarity_links": (name_similarity_links, None), "resolve_rekey": (resolve_rekey, None),
+    "nearest_vectors_k": (nearest_vectors_k, NEAREST),
     "context_cosine_gate": (context_cosine_gate, GATE),
 }

@@ -15,7 +15,8 @@ def _labels(spark, d):
 
 def _scored(spark, d):
     """A confidence for each labelled document, from its id and quality."""
-    return _labels(spark, d).select("doc_id", "quality", "toxic", ((F.col("doc_id") * 37 % 101) / 200.0 + F.col("quality") * 0.495).alias("c"))
+    return _labels(spark, d).select("doc_id", "quality", "toxic",
+        ((F.col("doc_id") * 37 % 101) / 200.0 + F.col("quality") * 0.495).alias("c"))
 
 
 SCORED = "s AS (SELECT doc_id, quality, toxic, (doc_id * 37 % 101) / 200.0::DOUBLE + quality * 0.495::DOUBLE AS c FROM labels)"
@@ -80,7 +81,8 @@ SELECT bin, n, round(m, 6) AS mean_confidence, round(f, 6) AS fraction_true, rou
 
 def brier_ece(spark, d):
     out = M.calibration(_scored(spark, d), "c", "quality")
-    return out.select("n", *[_r(F.col(x)).alias(x) for x in ("brier", "brier_baseline", "ece", "max_gap", "true_rate_at_threshold")], "scored_at_threshold")
+    return out.select("n", *[_r(F.col(x)).alias(x) for x in ("brier", "brier_baseline", "ece", "max_gap", "true_rate_at_threshold")],
+        "scored_at_threshold")
 
 
 BRIER = f"""WITH {SCORED}, b AS (SELECT count(*) AS k, abs(avg(c) - avg(quality)) AS gap FROM s GROUP BY least(floor(c * 10 + 1e-9), 9))
@@ -90,7 +92,8 @@ CAST(count_if(c >= 0.9) AS BIGINT) AS scored_at_threshold FROM s"""
 
 
 def wilson_by_source(spark, d):
-    x = table(spark, d, "documents").join(_labels(spark, d), "doc_id").groupBy("source").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
+    x = table(spark, d, "documents").join(_labels(spark, d), "doc_id").groupBy("source").agg(F.sum("quality").alias("good"),
+        F.count(F.lit(1)).alias("n"))
     low, high = S.wilson(F.col("good"), F.col("n"))
     return x.select("source", "good", "n", _r(low).alias("low"), _r(high).alias("high"))
 
@@ -104,7 +107,8 @@ round(CASE WHEN good = n THEN 1 ELSE least(1, (p + z * z / (2 * n) + z * sqrt(p
 def ppi_precision(spark, d):
     """The judge (no toxic mark) on all labelled rows; people labelled those with an id divisible by 4."""
     f, y, small = F.col("toxic") == 0, F.col("quality") == 1, F.col("doc_id") % 4 == 0
-    n = _labels(spark, d).agg(F.count(F.lit(1)).alias("judged"), F.count_if(f).alias("jt"), F.count_if(small).alias("n"), F.count_if(small & y).alias("lt"),
+    n = _labels(spark, d).agg(F.count(F.lit(1)).alias("judged"), F.count_if(f).alias("jt"), F.count_if(small).alias("n"),
+        F.count_if(small & y).alias("lt"),
                               F.count_if(small & f).alias("jl"), F.count_if(small & (f != y)).alias("dis"))
     value, low, high = S.prediction_powered(*map(F.col, ("judged", "jt", "n", "lt", "jl", "dis")))
     return n.select("judged", "n", _r(value).alias("precision"), _r(low).alias("low"), _r(high).alias("high"))
@@ -131,7 +135,8 @@ SELECT items, g AS gained, l AS lost, round(least(1, 2 * tail), 6) AS p_value FR
 
 
 def detection_limits(spark, d):
-    x = table(spark, d, "documents").join(_labels(spark, d), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("flips"))
+    x = table(spark, d, "documents").join(_labels(spark, d), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("quality") == F.col("toxic")).alias("flips"))
     return x.select("lang", "n", "flips", _r(S.detection_limit(F.col("flips"), F.col("n") * F.col("n"))).alias("limit"))
 
 
@@ -141,21 +146,28 @@ LIMITS = f"""SELECT lang, count(*) AS n, CAST(count_if(quality = toxic) AS BIGIN
 def bootstrap_f1(spark, d):
     """Interval of F1 of the toxic mark against quality 0."""
     items = _labels(spark, d).select(F.col("doc_id").alias("i"), F.col("quality"), F.col("toxic"))
-    tp, pr, gd = (F.sum(F.when(c, F.col("w")).otherwise(0)) for c in ((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("toxic") == 0, F.col("quality") == 1))
+    tp, pr, gd = (F.sum(F.when(c, F.col("w")).otherwise(0)) for c in ((F.col("quality") == 1) & (F.col("toxic") == 0), F.col("toxic") == 0,
+        F.col("quality") == 1))
     return M.bootstrap(spark, items, F.try_divide(2.0 * tp, pr + gd))
 
 
 def paired_runs(spark, d):
     """Run b (no toxic mark) against run a (quality) on the same labelled documents."""
-    return M.paired_bootstrap(spark, _labels(spark, d).select(F.col("doc_id").alias("i"), F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")))
+    return M.paired_bootstrap(spark,
+        _labels(spark, d).select(F.col("doc_id").alias("i"), F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b")))
 
 
 def _gold(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 300).alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 7).alias("subject"),
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 300).alias("doc_id"), F.col("o_orderkey").alias("ord"),
+        (F.col("o_orderkey") % 7).alias("subject"),
                                          F.col("o_orderstatus").alias("predicate"), F.col("o_orderpriority").alias("obj"))
-    pred = table(spark, d, "orders").where("o_orderkey % 11 != 0").select((F.col("o_custkey") % 300).alias("doc_id"), (F.col("o_orderkey") + 1000000).alias("ord"),
-                                                                          ((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 13 == 0, 1).otherwise(0)) % 7).alias("subject"), F.col("o_orderstatus").alias("predicate"),
-                                                                          F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise(F.col("o_orderpriority")).alias("obj"))
+    pred = table(spark, d, "orders").where("o_orderkey % 11 != 0").select((F.col("o_custkey") % 300).alias("doc_id"),
+        (F.col("o_orderkey") + 1000000).alias("ord"),
+                                                                          ((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 13 == 0,
+                                                                          1).otherwise(0)) % 7).alias("subject"),
+                                                                          F.col("o_orderstatus").alias("predicate"),
+                                                                          F.when(F.col("o_orderkey") % 5 == 0,
+                                                                          "other").otherwise(F.col("o_orderpriority")).alias("obj"))
     return o, pred
 
 
@@ -182,7 +194,8 @@ MATCH = f"WITH {MATCH_SQL} SELECT doc AS doc_id, p AS predicate, kind, count(*)
 
 def prf_rollup(spark, d):
     out = M.outcome_report(M.match_three_passes(*_gold(spark, d)), "predicate")
-    return out.select("predicate", "correct", "wrong_value", "wrong_entity", "missing", "spurious", *[_r(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
+    return out.select("predicate", "correct", "wrong_value", "wrong_entity", "missing", "spurious",
+        *[_r(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
 PRF = f"""WITH {MATCH_SQL}, n AS (SELECT p AS predicate, count_if(kind = 'correct') AS c, count_if(kind = 'wrong_value') AS v, count_if(kind = 'wrong_entity') AS e, count_if(kind = 'missing') AS m, count_if(kind = 'spurious') AS s
@@ -192,7 +205,8 @@ round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re)
 
 
 def bcubed_vs_label(spark, d):
-    items = table(spark, d, "embeddings").select("vec_id", "label", F.when(F.element_at("embedding", 1) > 0, F.col("label")).otherwise(F.col("label") % 3).alias("found"))
+    items = table(spark, d, "embeddings").select("vec_id", "label",
+        F.when(F.element_at("embedding", 1) > 0, F.col("label")).otherwise(F.col("label") % 3).alias("found"))
     return M.b_cubed(items, "label", "found").select(*[_r(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -202,7 +216,8 @@ y AS (SELECT avg(n / nf) AS p, avg(n / ng) AS r FROM x) SELECT round(p, 6) AS pr
 
 
 def pairwise_clusters(spark, d):
-    items = table(spark, d, "embeddings").select("vec_id", "label", F.when(F.element_at("embedding", 1) > 0, F.col("label")).otherwise(F.col("label") % 3).alias("found"))
+    items = table(spark, d, "embeddings").select("vec_id", "label",
+        F.when(F.element_at("embedding", 1) > 0, F.col("label")).otherwise(F.col("label") % 3).alias("found"))
     return M.pairwise(items, "label", "found").select(*[_r(F.col(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -214,10 +229,12 @@ def cost_per_stage(spark, d):
     """Event types as stages, value as cost: null if any call has none; per thousand users."""
     e = table(spark, d, "events")
     cost = F.when(F.col("event_id") % 997 == 0, None).otherwise(F.floor(F.col("value") * 100) / 100)
-    g = e.withColumn("cost", cost).groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("cost").isNull()).alias("unpriced"), F.sum("cost").alias("usd"),
+    g = e.withColumn("cost", cost).groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("calls"),
+        F.count_if(F.col("cost").isNull()).alias("unpriced"), F.sum("cost").alias("usd"),
                                                                                    F.count_distinct("user_id").alias("users"))
     usd = F.when(F.col("unpriced") == 0, F.col("usd"))
-    return g.select("stage", "calls", "unpriced", F.round(usd, 2).alias("usd"), F.round(usd / F.col("users") * 1000, 2).alias("usd_per_1000"))
+    return g.select("stage", "calls", "unpriced", F.round(usd, 2).alias("usd"),
+        F.round(usd / F.col("users") * 1000, 2).alias("usd_per_1000"))
 
 
 COST = """WITH c AS (SELECT event_type AS stage, user_id, CASE WHEN event_id % 997 = 0 THEN NULL ELSE floor(value * 100) / 100 END AS cost FROM events),
@@ -227,7 +244,8 @@ SELECT stage, calls, unpriced, round(CASE WHEN unpriced = 0 THEN usd END, 2) AS
 
 def output_saturation(spark, d):
     """Slope of log lines on log characters, by language."""
-    x = table(spark, d, "documents").where("length(text) > 0").select("lang", F.ln(F.size(F.split("text", "\n"))).alias("y"), F.ln(F.length("text")).alias("x"))
+    x = table(spark, d, "documents").where("length(text) > 0").select("lang", F.ln(F.size(F.split("text", "\n"))).alias("y"),
+        F.ln(F.length("text")).alias("x"))
     return x.groupBy("lang").agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.count(F.lit(1)).alias("n"))
 
 
@@ -238,9 +256,12 @@ def stratified_refusals(spark, d):
     """Size-weighted share of good rows over languages, from the labelled ones, with the effective n."""
     docs = table(spark, d, "documents").join(_labels(spark, d), "doc_id", "left")
     s = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.count("quality").alias("n"), F.sum("quality").alias("good"))
-    t = s.crossJoin(F.broadcast(s.agg(F.sum("size").alias("total")))).withColumn("w", F.col("size") / F.col("total")).withColumn("p", F.col("good") / F.col("n"))
-    x = t.agg(F.sum(F.col("w") * F.col("p")).alias("share"), F.sum(F.col("w") * F.col("w") * F.col("p") * (1 - F.col("p")) / F.col("n")).alias("var"), F.sum("n").alias("n"))
-    return x.select("n", _r(F.col("share")).alias("share"), _r(F.col("share") * (1 - F.col("share")) / F.col("var"), 3).alias("effective_n"))
+    t = s.crossJoin(F.broadcast(s.agg(F.sum("size").alias("total")))).withColumn("w", F.col("size") / F.col("total")).withColumn("p",
+        F.col("good") / F.col("n"))
+    x = t.agg(F.sum(F.col("w") * F.col("p")).alias("share"),
+        F.sum(F.col("w") * F.col("w") * F.col("p") * (1 - F.col("p")) / F.col("n")).alias("var"), F.sum("n").alias("n"))
+    return x.select("n", _r(F.col("share")).alias("share"),
+        _r(F.col("share") * (1 - F.col("share")) / F.col("var"), 3).alias("effective_n"))
 
 
 REFUSALS = """WITH s AS (SELECT lang, count(*) AS size, count(quality) AS n, sum(quality) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang),
@@ -248,10 +269,15 @@ t AS (SELECT *, size / (SELECT sum(size) FROM s) AS w, good / n AS p FROM s), x
 SELECT CAST(n AS BIGINT) AS n, round(sh, 6) AS share, round(sh * (1 - sh) / v, 3) AS effective_n FROM x"""
 
 QUERIES = {
-    "confusion_quality_toxic": (confusion_quality_toxic, CONFUSION), "per_class_quality": (per_class_quality, PER_CLASS), "kappa_quality_toxic": (kappa_quality_toxic, KAPPA),
-    "routing_report": (routing_report, ROUTING), "calibration_curve": (calibration_curve, CURVE), "brier_ece": (brier_ece, BRIER), "wilson_by_source": (wilson_by_source, WILSON),
-    "ppi_precision": (ppi_precision, PPI), "mcnemar_flips": (mcnemar_flips, MCNEMAR), "detection_limits": (detection_limits, LIMITS), "bootstrap_f1": (bootstrap_f1, None),
+    "confusion_quality_toxic": (confusion_quality_toxic, CONFUSION), "per_class_quality": (per_class_quality, PER_CLASS),
+    "kappa_quality_toxic": (kappa_quality_toxic, KAPPA),
+    "routing_report": (routing_report, ROUTING), "calibration_curve": (calibration_curve, CURVE), "brier_ece": (brier_ece, BRIER),
+    "wilson_by_source": (wilson_by_source, WILSON),
+    "ppi_precision": (ppi_precision, PPI), "mcnemar_flips": (mcnemar_flips, MCNEMAR), "detection_limits": (detection_limits, LIMITS),
+    "bootstrap_f1": (bootstrap_f1, None),
     "paired_runs": (paired_runs, None),
-    "gold_match_three_pass": (gold_match_three_pass, MATCH), "prf_rollup": (prf_rollup, PRF), "bcubed_vs_label": (bcubed_vs_label, BCUBED), "pairwise_clusters": (pairwise_clusters, PAIRWISE),
-    "cost_per_stage": (cost_per_stage, COST), "output_saturation": (output_saturation, SATURATION), "stratified_refusals": (stratified_refusals, REFUSALS),
+    "gold_match_three_pass": (gold_match_three_pass, MATCH), "prf_rollup": (prf_rollup, PRF), "bcubed_vs_label": (bcubed_vs_label, BCUBED),
+    "pairwise_clusters": (pairwise_clusters, PAIRWISE),
+    "cost_per_stage": (cost_per_stage, COST), "output_saturation": (output_saturation, SATURATION),
+    "stratified_refusals": (stratified_refusals, REFUSALS),
 }

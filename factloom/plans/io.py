@@ -33,14 +33,16 @@ def _nation_files(spark, d, suffix: str, body) -> str:
                 name = part.getPath().getName()
                 if name.startswith("part-"):
                     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{where}/docs"))
-                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{where}/docs/n{folder.getPath().getName().split('=')[1]}.{suffix}"))
+                    fs.rename(part.getPath(),
+                        jvm.org.apache.hadoop.fs.Path(f"{where}/docs/n{folder.getPath().getName().split('=')[1]}.{suffix}"))
     return f"{where}/docs"
 
 
 def text_files(spark, d):
     """Nations as text files, read back one document a file."""
     where = _nation_files(spark, d, "txt", F.concat(F.col("n_name"), F.lit("\nregion "), _text("n_regionkey")))
-    return readers.read_text(spark, where).select(F.regexp_extract("uri", r"/(n\d+)\.txt$", 1).alias("name"), F.regexp_replace("text", r"\n$", "").alias("text"), "modality", "tier")
+    return readers.read_text(spark, where).select(F.regexp_extract("uri", r"/(n\d+)\.txt$", 1).alias("name"),
+        F.regexp_replace("text", r"\n$", "").alias("text"), "modality", "tier")
 
 
 TEXT = "SELECT 'n' || n_nationkey AS name, n_name || chr(10) || 'region ' || n_regionkey AS text, 'unstructured' AS modality, 'unverified' AS tier FROM nation"
@@ -48,9 +50,11 @@ TEXT = "SELECT 'n' || n_nationkey AS name, n_name || chr(10) || 'region ' || n_r
 
 def markdown_files(spark, d):
     """Nations as Markdown: the first heading is the title, and all are listed."""
-    where = _nation_files(spark, d, "md", F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\nText.\n\n## Region "), _text("n_regionkey"), F.lit("\n")))
+    where = _nation_files(spark, d, "md",
+        F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\nText.\n\n## Region "), _text("n_regionkey"), F.lit("\n")))
     x = readers.read_markdown(spark, where)
-    return x.select(F.regexp_extract("uri", r"/(n\d+)\.md$", 1).alias("name"), "title", F.get_json_object("metadata", "$.headings[1].text").alias("second"))
+    return x.select(F.regexp_extract("uri", r"/(n\d+)\.md$", 1).alias("name"), "title",
+        F.get_json_object("metadata", "$.headings[1].text").alias("second"))
 
 
 MARKDOWN = "SELECT 'n' || n_nationkey AS name, n_name AS title, 'Region ' || n_regionkey AS second FROM nation"
@@ -58,8 +62,11 @@ MARKDOWN = "SELECT 'n' || n_nationkey AS name, n_name AS title, 'Region ' || n_r
 
 def html_files(spark, d):
     """Nations as pages: text without markup, title from the head."""
-    where = _nation_files(spark, d, "html", F.concat(F.lit("<html><head><title>"), F.col("n_name"), F.lit("</title></head><body><p>region <b>"), _text("n_regionkey"), F.lit("</b></p></body></html>")))
-    return readers.read_html(spark, where).select(F.regexp_extract("uri", r"/(n\d+)\.html$", 1).alias("name"), F.trim("text").alias("text"), "title")
+    where = _nation_files(spark, d, "html",
+        F.concat(F.lit("<html><head><title>"), F.col("n_name"), F.lit("</title></head><body><p>region <b>"), _text("n_regionkey"),
+        F.lit("</b></p></body></html>")))
+    return readers.read_html(spark, where).select(F.regexp_extract("uri", r"/(n\d+)\.html$", 1).alias("name"), F.trim("text").alias("text"),
+        "title")
 
 
 HTML = "SELECT 'n' || n_nationkey AS name, 'region ' || n_regionkey AS text, n_name AS title FROM nation"
@@ -69,7 +76,8 @@ def mixed_folder(spark, d):
     """A folder of JSON lines, TSV and files of no known kind, by the reader of each suffix."""
     where = _nation_files(spark, d, "jsonl", F.to_json(F.struct("n_nationkey", "n_name")))
     spark.createDataFrame([("n_name\tn_regionkey\nATLANTIS\t9",)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}-tsv")
-    return readers.read_directory(spark, where).select("modality", F.get_json_object("metadata", "$.row.n_name").alias("name"), F.get_json_object("metadata", "$.row.n_nationkey").cast("int").alias("k"))
+    return readers.read_directory(spark, where).select("modality", F.get_json_object("metadata", "$.row.n_name").alias("name"),
+        F.get_json_object("metadata", "$.row.n_nationkey").cast("int").alias("k"))
 
 
 MIXED = "SELECT 'structured' AS modality, n_name AS name, n_nationkey AS k FROM nation"
@@ -80,7 +88,8 @@ def _nation_table(spark, d):
 
 
 def _rows(docs):
-    return docs.select(F.get_json_object("metadata", "$.row.n_nationkey").cast("int").alias("k"), F.get_json_object("metadata", "$.row.n_name").alias("name"), "modality")
+    return docs.select(F.get_json_object("metadata", "$.row.n_nationkey").cast("int").alias("k"),
+        F.get_json_object("metadata", "$.row.n_name").alias("name"), "modality")
 
 
 NATIONS = "SELECT n_nationkey AS k, n_name AS name, 'structured' AS modality FROM nation"
@@ -112,7 +121,8 @@ def parquet_rows(spark, d):
     where = fresh_path(spark, "orders")
     table(spark, d, "orders").write.parquet(where)
     x = readers.read_parquet(spark, where, ["o_orderkey", "o_orderstatus"])
-    return x.select(F.get_json_object("metadata", "$.row.o_orderkey").cast("long").alias("k"), F.get_json_object("metadata", "$.row.o_orderstatus").alias("status"), "modality")
+    return x.select(F.get_json_object("metadata", "$.row.o_orderkey").cast("long").alias("k"),
+        F.get_json_object("metadata", "$.row.o_orderstatus").alias("status"), "modality")
 
 
 PARQUET = "SELECT o_orderkey AS k, o_orderstatus AS status, 'structured' AS modality FROM orders"
@@ -120,7 +130,8 @@ PARQUET = "SELECT o_orderkey AS k, o_orderstatus AS status, 'structured' AS moda
 
 def json_array(spark, d):
     """Nations as one JSON array below a key, an element a document."""
-    n = _nation_table(spark, d).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("items"))).alias("value"))
+    n = _nation_table(spark, d).agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("n_nationkey",
+        "n_name"))).alias("items"))).alias("value"))
     where = fresh_path(spark, "array")
     n.coalesce(1).write.text(where)
     return _rows(readers.read_json(spark, where, "$.items"))
@@ -128,10 +139,12 @@ def json_array(spark, d):
 
 def triples_scan(spark, d):
     """Orders as rows of another extractor: read with the fixed schema, absent fields are null."""
-    o = table(spark, d, "orders").select(F.concat(F.lit("doc"), _text("o_custkey")).alias("doc"), _text("o_orderkey").alias("subject"), F.lit("status").alias("predicate"), F.col("o_orderstatus").alias("object"))
+    o = table(spark, d, "orders").select(F.concat(F.lit("doc"), _text("o_custkey")).alias("doc"), _text("o_orderkey").alias("subject"),
+        F.lit("status").alias("predicate"), F.col("o_orderstatus").alias("object"))
     where = fresh_path(spark, "triples")
     o.write.json(where)
-    return readers.read_triples(spark, where).select("doc", "subject", "predicate", "object", F.coalesce("object_type", F.lit("none")).alias("object_type"))
+    return readers.read_triples(spark, where).select("doc", "subject", "predicate", "object",
+        F.coalesce("object_type", F.lit("none")).alias("object_type"))
 
 
 TRIPLES = "SELECT 'doc' || o_custkey AS doc, CAST(o_orderkey AS VARCHAR) AS subject, 'status' AS predicate, o_orderstatus AS object, 'none' AS object_type FROM orders"
@@ -147,7 +160,8 @@ def store_append_and_replace(spark, d):
     n = store.counts()
     facts = store.read("facts", "sig string, o_orderstatus string")
     return facts.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("facts")).crossJoin(
-        store.read("links", "source_key string").agg(F.count(F.lit(1)).alias("links"))).withColumn("counted", F.lit(n["facts"]).cast("long"))
+        store.read("links", "source_key string").agg(F.count(F.lit(1)).alias("links"))).withColumn("counted",
+        F.lit(n["facts"]).cast("long"))
 
 
 APPENDED = "SELECT o_orderstatus, count(*) AS facts, (SELECT count(*) FROM nation) AS links, (SELECT count(*) FROM orders) AS counted FROM orders GROUP BY o_orderstatus"
@@ -168,10 +182,14 @@ ROUND = "SELECT CAST(o_orderkey AS VARCHAR) AS sig, CASE WHEN o_orderkey % 3 = 0
 def _facts(spark, d):
     o = table(spark, d, "orders")
     key = F.concat(F.lit("Order:"), _text("o_orderkey"))
-    edge = o.select(claims.signature(key, F.lit("placed_by"), _text("o_custkey")).alias("sig"), key.alias("s_key"), F.lit("Order").alias("s_type"), F.lit("placed_by").alias("predicate"), F.lit("entity").alias("o_kind"),
-                    F.concat(F.lit("Customer:"), _text("o_custkey")).alias("o_key"), F.lit("Customer").alias("o_type"), F.lit(None).cast("string").alias("o_repr"))
-    value = o.select(claims.signature(key, F.lit("status"), F.col("o_orderstatus")), key, F.lit("Order"), F.lit("status"), F.lit("value"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderstatus"))
-    return edge.union(value).withColumn("confidence", F.lit(0.5)).withColumn("polarity", F.lit("asserted")).withColumn("qualifiers", F.create_map().cast("map<string,string>")).withColumn("outcome", F.lit("")).withColumn("retired_at", F.lit(None).cast("string"))
+    edge = o.select(claims.signature(key, F.lit("placed_by"), _text("o_custkey")).alias("sig"), key.alias("s_key"),
+        F.lit("Order").alias("s_type"), F.lit("placed_by").alias("predicate"), F.lit("entity").alias("o_kind"),
+                    F.concat(F.lit("Customer:"), _text("o_custkey")).alias("o_key"), F.lit("Customer").alias("o_type"),
+                    F.lit(None).cast("string").alias("o_repr"))
+    value = o.select(claims.signature(key, F.lit("status"), F.col("o_orderstatus")), key, F.lit("Order"), F.lit("status"), F.lit("value"),
+        F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("o_orderstatus"))
+    return edge.union(value).withColumn("confidence", F.lit(0.5)).withColumn("polarity", F.lit("asserted")).withColumn("qualifiers",
+        F.create_map().cast("map<string,string>")).withColumn("outcome", F.lit("")).withColumn("retired_at", F.lit(None).cast("string"))
 
 
 def ntriples_lines(spark, d):
@@ -185,7 +203,8 @@ NTRIPLES = """WITH n AS (SELECT count(*) AS n FROM orders) SELECT unnest(['type'
 
 def cypher_lines(spark, d):
     x = writers.cypher(_facts(spark, d))
-    return x.groupBy(F.col("value").contains("-[:").alias("edge"), F.col("value").contains(" SET ").alias("sets")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(F.col("value").contains("-[:").alias("edge"),
+        F.col("value").contains(" SET ").alias("sets")).agg(F.count(F.lit(1)).alias("n"))
 
 
 CYPHER = "SELECT true AS edge, false AS sets, count(*) AS n FROM orders UNION ALL SELECT false, true, count(*) FROM orders"
@@ -194,7 +213,8 @@ CYPHER = "SELECT true AS edge, false AS sets, count(*) AS n FROM orders UNION AL
 def graph_csv(spark, d):
     """Nodes and relations as CSV folders, read back."""
     where = fresh_path(spark, "csv")
-    c = table(spark, d, "customer").select(F.lit("Customer").alias("type"), F.concat(F.lit("Customer:"), _text("c_custkey")).alias("key"), F.col("c_name").alias("label"), F.lit(None).cast("string").alias("external_id"), F.col("c_custkey").alias("ord"))
+    c = table(spark, d, "customer").select(F.lit("Customer").alias("type"), F.concat(F.lit("Customer:"), _text("c_custkey")).alias("key"),
+        F.col("c_name").alias("label"), F.lit(None).cast("string").alias("external_id"), F.col("c_custkey").alias("ord"))
     writers.write_graph_csv(c, _facts(spark, d), where)
     nodes, relations = spark.read.option("header", True).csv(f"{where}/nodes"), spark.read.option("header", True).csv(f"{where}/relations")
     return nodes.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")).union(
@@ -207,7 +227,8 @@ GRAPH_CSV = "SELECT 'Customer' AS name, count(*) AS n, count(*) AS keys FROM cus
 def transactions(spark, d):
     """Orders packed by key into transactions of 500."""
     x = writers.transaction_groups(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 500)
-    return x.groupBy("transaction").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    return x.groupBy("transaction").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first"),
+        F.max("o_orderkey").alias("last"))
 
 
 TRANSACTIONS = "SELECT t AS transaction, count(*) AS rows, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS BIGINT) AS t FROM orders) GROUP BY t"
@@ -230,8 +251,12 @@ REPLAY = "SELECT * FROM (VALUES ('same', ''), ('fewer rows', 'input nation: chan
 
 def streamed_equals_whole(spark, d):
     """Order statuses as triples over customers as documents, validated file by file: the facts of one whole run."""
-    docs = table(spark, d, "customer").select(_text("c_custkey").alias("doc_id"), F.concat(F.col("c_name"), F.lit(" ordered F or O or P.")).alias("text"), F.lit("file:///x").alias("uri"), F.lit("curated").alias("tier"))
-    o = table(spark, d, "orders").select(_text("o_custkey").alias("doc"), F.concat(F.lit("N"), (F.col("o_custkey") % 50).cast("string")).alias("subject"), F.lit("status").alias("predicate"), F.col("o_orderstatus").alias("object"))
+    docs = table(spark, d, "customer").select(_text("c_custkey").alias("doc_id"),
+        F.concat(F.col("c_name"), F.lit(" ordered F or O or P.")).alias("text"), F.lit("file:///x").alias("uri"),
+        F.lit("curated").alias("tier"))
+    o = table(spark, d, "orders").select(_text("o_custkey").alias("doc"),
+        F.concat(F.lit("N"), (F.col("o_custkey") % 50).cast("string")).alias("subject"), F.lit("status").alias("predicate"),
+        F.col("o_orderstatus").alias("object"))
     where = fresh_path(spark, "streamed")
     o.repartition(4).write.json(f"{where}/in")
     config = run.Config(documents={"path": ""}, triples={"path": ""}, output={"path": ""})
@@ -251,8 +276,10 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 3"""
 def streamed_identities(spark, d):
     """Parts of even size are stored; those of odd size come as a batch and take the stored key of the same id."""
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    e = p.select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 8, "0")).alias("key"), F.lit("Part").alias("type"), F.concat(F.lit("part"), k.cast("string")).alias("label"), F.array().cast("array<string>").alias("aliases"),
-                 F.concat(F.lit("reg:"), F.floor(k / 2).cast("string")).alias("external_id"), F.create_map().cast("map<string,string>").alias("attributes"), k.alias("k"))
+    e = p.select(F.concat(F.lit("P"), F.lpad(k.cast("string"), 8, "0")).alias("key"), F.lit("Part").alias("type"),
+        F.concat(F.lit("part"), k.cast("string")).alias("label"), F.array().cast("array<string>").alias("aliases"),
+                 F.concat(F.lit("reg:"), F.floor(k / 2).cast("string")).alias("external_id"),
+                 F.create_map().cast("map<string,string>").alias("attributes"), k.alias("k"))
     out = runs.identities(e.where("k % 2 = 1").drop("k"), e.where("k % 2 = 0").drop("k"), 100)
     return out
 
@@ -266,12 +293,17 @@ def ontology_statements(spark, d):
 
     names = [r[0] for r in table(spark, d, "region").select("r_name").orderBy("r_name").collect()]  # five rows
     o = {"types": {n.title().replace(" ", ""): {"keys": ["name"]} for n in names}, "predicates": {}}
-    return spark.createDataFrame([(json.dumps(x)[:6],) for x in schema_text.ddl(o)], "start string").groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(json.dumps(x)[:6],) for x in schema_text.ddl(o)],
+        "start string").groupBy("start").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
-    "text_files": (text_files, TEXT), "markdown_files": (markdown_files, MARKDOWN), "html_files": (html_files, HTML), "mixed_folder": (mixed_folder, MIXED), "csv_rows": (csv_rows, NATIONS), "tsv_rows": (tsv_rows, NATIONS),
-    "jsonl_rows": (jsonl_rows, NATIONS), "parquet_rows": (parquet_rows, PARQUET), "json_array": (json_array, NATIONS), "triples_scan": (triples_scan, TRIPLES), "store_append_and_replace": (store_append_and_replace, APPENDED),
-    "store_round_trip": (store_round_trip, ROUND), "ntriples_lines": (ntriples_lines, NTRIPLES), "cypher_lines": (cypher_lines, CYPHER), "graph_csv": (graph_csv, GRAPH_CSV), "transactions": (transactions, TRANSACTIONS),
-    "manifest_replay": (manifest_replay, REPLAY), "streamed_equals_whole": (streamed_equals_whole, STREAMED), "streamed_identities": (streamed_identities, IDENTITIES), "ontology_statements": (ontology_statements, None),
+    "text_files": (text_files, TEXT), "markdown_files": (markdown_files, MARKDOWN), "html_files": (html_files, HTML),
+    "mixed_folder": (mixed_folder, MIXED), "csv_rows": (csv_rows, NATIONS), "tsv_rows": (tsv_rows, NATIONS),
+    "jsonl_rows": (jsonl_rows, NATIONS), "parquet_rows": (parquet_rows, PARQUET), "json_array": (json_array, NATIONS),
+    "triples_scan": (triples_scan, TRIPLES), "store_append_and_replace": (store_append_and_replace, APPENDED),
+    "store_round_trip": (store_round_trip, ROUND), "ntriples_lines": (ntriples_lines, NTRIPLES), "cypher_lines": (cypher_lines, CYPHER),
+    "graph_csv": (graph_csv, GRAPH_CSV), "transactions": (transactions, TRANSACTIONS),
+    "manifest_replay": (manifest_replay, REPLAY), "streamed_equals_whole": (streamed_equals_whole, STREAMED),
+    "streamed_identities": (streamed_identities, IDENTITIES), "ontology_statements": (ontology_statements, None),
 }

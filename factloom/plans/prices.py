@@ -20,7 +20,8 @@ def price_evidence(spark, d):
     lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_extendedprice", "l_quantity", "l_shipdate")
     return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_partkey").alias("part"), (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100).alias("price"),
-        F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("doc_id"), _tier_weight().alias("tier_w"), F.col("l_shipdate").cast("timestamp").alias("retrieved_at"))
+        F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("doc_id"), _tier_weight().alias("tier_w"),
+        F.col("l_shipdate").cast("timestamp").alias("retrieved_at"))
 
 
 EVIDENCE_SQL = """
@@ -46,7 +47,8 @@ def ranked_prices(spark, d):
 
 
 def price_contest(spark, d):
-    return ranked_prices(spark, d).select("part", "price", "support", F.round("rank", 6).alias("rank"), F.round("top", 6).alias("top"), "outcome", F.round("ratio", 4).alias("ratio"))
+    return ranked_prices(spark, d).select("part", "price", "support", F.round("rank", 6).alias("rank"), F.round("top", 6).alias("top"),
+        "outcome", F.round("ratio", 4).alias("ratio"))
 
 
 PRICE_CONTEST = f"""WITH {STANDING_SQL}
@@ -65,7 +67,8 @@ SELECT part, price, round((1 - pow(0.2, 1 + ln(greatest(1, support)))) * CASE WH
 
 def price_support_list(spark, d):
     out = C.support_list(price_evidence(spark, d), ["part", "price"])
-    return out.select("part", "price", "source", F.size("doc_ids").cast("long").alias("documents"), "tier_w", F.date_format("retrieved_at", "yyyy-MM-dd").alias("newest"))
+    return out.select("part", "price", "source", F.size("doc_ids").cast("long").alias("documents"), "tier_w",
+        F.date_format("retrieved_at", "yyyy-MM-dd").alias("newest"))
 
 
 PRICE_SUPPORT = f"""WITH {EVIDENCE_SQL}
@@ -93,16 +96,20 @@ def _status_evidence(spark, d):
     """Order status claims of a customer, valid for the order's year."""
     o = table(spark, d, "orders")
     at = F.col("o_orderdate").cast("timestamp")
-    return o.select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("doc_id"),
-                    F.lit(0.5).alias("tier_w"), at.alias("retrieved_at"), at.alias("valid_from"), (at + F.expr("INTERVAL 30 DAYS")).alias("valid_to"),
+    return o.select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"),
+        F.col("o_orderkey").alias("doc_id"),
+                    F.lit(0.5).alias("tier_w"), at.alias("retrieved_at"), at.alias("valid_from"),
+                    (at + F.expr("INTERVAL 30 DAYS")).alias("valid_to"),
                     F.round(F.lit(0.5) + F.col("o_orderkey") % 50 / 100, 2).alias("confidence"),
-                    F.element_at(F.array(*map(F.lit, ("supported", "contradicted", "not_found", "unchecked"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("v"))
+                    F.element_at(F.array(*map(F.lit, ("supported", "contradicted", "not_found", "unchecked"))),
+                    (F.col("o_orderkey") % 4 + 1).cast("int")).alias("v"))
 
 
 def claim_merge_valid_clock(spark, d):
     out = C.merge_claims(_status_evidence(spark, d), ["customer", "status"], "v")
     day = "yyyy-MM-dd"
-    return out.select("customer", "status", "support", "documents", F.date_format("valid_from", day).alias("valid_from"), F.date_format("valid_to", day).alias("valid_to"), "confidence", "verdict")
+    return out.select("customer", "status", "support", "documents", F.date_format("valid_from", day).alias("valid_from"),
+        F.date_format("valid_to", day).alias("valid_to"), "confidence", "verdict")
 
 
 STATUS_SQL = """
@@ -130,7 +137,8 @@ def store_merge_upsert(spark, d):
     """Customer status facts: orders before 1998 are the store, later ones the batch."""
     o = table(spark, d, "orders")
     facts = o.groupBy(F.col("o_custkey").alias("customer"), (F.year("o_orderdate") >= 1998).alias("late")).agg(
-        F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("x")).select("customer", "late", F.col("x.o_orderkey").alias("orderkey"), F.col("x.o_orderstatus").alias("status"))
+        F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("x")).select("customer", "late",
+        F.col("x.o_orderkey").alias("orderkey"), F.col("x.o_orderstatus").alias("status"))
     return C.upsert(facts.where("NOT late").drop("late"), facts.where("late").drop("late"), ["customer"])
 
 
@@ -143,7 +151,8 @@ def rebase_three_way(spark, d):
     """Three-way merge of part rows: I changed sizes of even parts, another writer changed prices of parts divisible by 3."""
     read = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
     mine = read.withColumn("p_size", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
-    now = read.withColumn("p_retailprice", F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))).where("p_partkey % 5 != 0")
+    now = read.withColumn("p_retailprice",
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))).where("p_partkey % 5 != 0")
     out = C.rebase(mine, read, now, ["p_partkey"], ["p_size", "p_retailprice"])
     return out.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("p_retailprice"))
 
@@ -155,8 +164,10 @@ round(p_retailprice + CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 1
 def partners_antijoin(spark, d):
     """part_of edges of nations and a few stated contains edges give the missing contains edges."""
     n = table(spark, d, "nation")
-    part = n.select(F.concat(F.lit("Nation:"), "n_name").alias("s_key"), F.lit("part_of").alias("predicate"), F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("o_key"))
-    stated = n.where("n_nationkey % 4 = 0").select(F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("s_key"), F.lit("contains").alias("predicate"),
+    part = n.select(F.concat(F.lit("Nation:"), "n_name").alias("s_key"), F.lit("part_of").alias("predicate"),
+        F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("o_key"))
+    stated = n.where("n_nationkey % 4 = 0").select(F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("s_key"),
+        F.lit("contains").alias("predicate"),
                                                    F.concat(F.lit("Nation:"), "n_name").alias("o_key"))
     inverses = spark.sql("SELECT * FROM VALUES ('part_of', 'contains'), ('contains', 'part_of'), ('borders', 'borders') AS v(predicate, inverse)")
     return C.partners(part.union(stated), inverses)

@@ -14,15 +14,20 @@ from ..sources.tables import table
 from ..streaming import micro
 
 ONTOLOGY = {
-    "types": {"Thing": {}, "Agent": {"parents": ["Thing"]}, "Company": {"parents": ["Agent"]}, "Customer": {"parents": ["Company"]}, "Place": {"parents": ["Thing"]},
+    "types": {"Thing": {}, "Agent": {"parents": ["Thing"]}, "Company": {"parents": ["Agent"]}, "Customer": {"parents": ["Company"]},
+    "Place": {"parents": ["Thing"]},
               "Nation": {"parents": ["Place"]}, "Region": {"parents": ["Place"]}, "Port": {"parents": ["Place", "Company"]}},
-    "predicates": {"segment": {"domain": ["Company"], "range": "string", "aliases": ["c_mktsegment"]}, "balance": {"domain": ["Agent"], "range": "number", "aliases": ["c_acctbal"]},
-                   "located_in": {"domain": ["Agent"], "range": "Place", "inverse_of": "hosts"}, "hosts": {"domain": ["Place"], "range": "Agent", "inverse_of": "located_in"},
-                   "borders": {"domain": ["Nation"], "range": "Nation", "symmetric": True}, "population": {"domain": ["Nation"], "range": "integer", "cardinality": "single"}},
+    "predicates": {"segment": {"domain": ["Company"], "range": "string", "aliases": ["c_mktsegment"]},
+    "balance": {"domain": ["Agent"], "range": "number", "aliases": ["c_acctbal"]},
+                   "located_in": {"domain": ["Agent"], "range": "Place", "inverse_of": "hosts"},
+                   "hosts": {"domain": ["Place"], "range": "Agent", "inverse_of": "located_in"},
+                   "borders": {"domain": ["Nation"], "range": "Nation", "symmetric": True},
+                   "population": {"domain": ["Nation"], "range": "integer", "cardinality": "single"}},
 }
 LATER = {
     "types": {**{k: v for k, v in ONTOLOGY["types"].items() if k != "Port"}, "Harbour": {"parents": ["Place"]}},
-    "predicates": {**{k: v for k, v in ONTOLOGY["predicates"].items() if k != "borders"}, "balance": {"domain": ["Agent"], "range": "integer", "aliases": ["c_acctbal"]},
+    "predicates": {**{k: v for k, v in ONTOLOGY["predicates"].items() if k != "borders"},
+    "balance": {"domain": ["Agent"], "range": "integer", "aliases": ["c_acctbal"]},
                    "population": {"domain": ["Nation"], "range": "integer", "cardinality": "single", "aliases": ["inhabitants"]}},
 }
 
@@ -30,7 +35,8 @@ LATER = {
 def record_unpivot_facts(spark, d):
     c = table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 == 0, None).otherwise(F.col("c_mktsegment")))
     facts = E.unpivot_facts(c, F.concat(F.lit("Customer:"), F.lower("c_name")), "Customer", ["c_mktsegment", "c_nationkey", "c_custkey"])
-    names = spark.createDataFrame([(a, n, p) for n, b in ONTOLOGY["predicates"].items() for p, a in enumerate((n, *b.get("aliases", [])))] + [("C-NationKey", "located_in", 1)], "form string, name string, priority int")
+    names = spark.createDataFrame([(a, n, p) for n, b in ONTOLOGY["predicates"].items() for p,
+        a in enumerate((n, *b.get("aliases", [])))] + [("C-NationKey", "located_in", 1)], "form string, name string, priority int")
     return E.match_predicates(facts, names).select("s_key", "s_type", "predicate", "value")
 
 
@@ -71,8 +77,12 @@ INVERSES = "SELECT * FROM (VALUES ('borders', 'borders'), ('located_in', 'hosts'
 def schema_problems(spark, d):
     """One fact per customer, its predicate and types by its key; which of them the ontology has no room for."""
     k = F.col("c_custkey") % 6
-    f = table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("segment", "balance", "located_in", "owns", "population", "located_in"))), (k + 1).cast("int")).alias("predicate"),
-                                           F.lit("Customer").alias("s_type"), F.when(k == 2, "Nation").when(k == 5, "Customer").when(k == 1, F.when(F.col("c_nationkey") > 12, "Place")).alias("o_type"))
+    f = table(spark, d, "customer").select("c_custkey",
+        F.element_at(F.array(*map(F.lit, ("segment", "balance", "located_in", "owns", "population", "located_in"))),
+        (k + 1).cast("int")).alias("predicate"),
+                                           F.lit("Customer").alias("s_type"),
+                                           F.when(k == 2, "Nation").when(k == 5, "Customer").when(k == 1,
+                                           F.when(F.col("c_nationkey") > 12, "Place")).alias("o_type"))
     return O.schema_problems(spark, f, ONTOLOGY).select("c_custkey", "predicate", "problem")
 
 
@@ -91,7 +101,8 @@ DIFF = """SELECT * FROM (VALUES ('types.Port.', 'removed', true), ('types.Port.p
 
 def ontology_diagnostics(spark, d):
     bad = {"types": {"A": {"parents": ["B"]}, "B": {"parents": ["A", "Nowhere"]}}, "predicates": {
-        "p": {"domain": ["C"], "range": "text", "inverse_of": "q", "aliases": ["same"]}, "q": {"range": "A", "inverse_of": "r", "aliases": ["Same"]}, "r": {"range": "string", "symmetric": True, "cardinality": "one"}}}
+        "p": {"domain": ["C"], "range": "text", "inverse_of": "q", "aliases": ["same"]},
+        "q": {"range": "A", "inverse_of": "r", "aliases": ["Same"]}, "r": {"range": "string", "symmetric": True, "cardinality": "one"}}}
     return spark.createDataFrame(O.diagnostics(bad), "code string, path string")
 
 
@@ -102,7 +113,8 @@ DIAGNOSTICS = """SELECT * FROM (VALUES ('inheritance_cycle', 'types.A.parents'),
 def event_props_json(spark, d):
     """The JSON property of events: its literal range and totals by type."""
     e = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
-    g = e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum(F.col("k").cast("long")).alias("total"), F.array_sort(F.collect_set(V.literal_kind(F.col("k")))).alias("kinds"))
+    g = e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum(F.col("k").cast("long")).alias("total"),
+        F.array_sort(F.collect_set(V.literal_kind(F.col("k")))).alias("kinds"))
     return g.select("event_type", "n", "total", V.literal_range(F.col("kinds")).alias("range"))
 
 
@@ -115,12 +127,15 @@ def record_shape_profile(spark, d):
 
 PROFILE = "WITH n AS (SELECT count(*) AS k FROM orders) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", k AS rows, k AS \"values\", (SELECT count(DISTINCT {c}) FROM orders) AS \"distinct\", '{r}' AS range, (SELECT count(DISTINCT {c}) FROM orders) = k AS key FROM n"
-    for c, r in (("o_orderkey", "integer"), ("o_custkey", "integer"), ("o_orderstatus", "string"), ("o_orderpriority", "string"), ("o_totalprice", "number")))
+    for c, r in (("o_orderkey", "integer"), ("o_custkey", "integer"), ("o_orderstatus", "string"), ("o_orderpriority", "string"),
+    ("o_totalprice", "number")))
 
 
 def inclusion_dependencies(spark, d):
-    cols = {"customer.c_custkey": ("customer", "c_custkey"), "orders.o_custkey": ("orders", "o_custkey"), "nation.n_nationkey": ("nation", "n_nationkey"), "supplier.s_nationkey": ("supplier", "s_nationkey"),
-            "supplier.s_suppkey": ("supplier", "s_suppkey"), "lineitem.l_suppkey": ("lineitem", "l_suppkey"), "nation.n_name": ("nation", "n_name")}
+    cols = {"customer.c_custkey": ("customer", "c_custkey"), "orders.o_custkey": ("orders", "o_custkey"),
+        "nation.n_nationkey": ("nation", "n_nationkey"), "supplier.s_nationkey": ("supplier", "s_nationkey"),
+            "supplier.s_suppkey": ("supplier", "s_suppkey"), "lineitem.l_suppkey": ("lineitem", "l_suppkey"),
+            "nation.n_name": ("nation", "n_name")}
     out = I.inclusion_dependencies({k: table(spark, d, t).select(c) for k, (t, c) in cols.items()})
     return out.select("a", "b", F.round("share", 6).alias("share"))
 
@@ -142,7 +157,8 @@ def value_normalise_dates(spark, d):
     """Order dates written in six ways, read back."""
     t = F.col("o_orderdate")
     k = (F.col("o_orderkey") % 6 + 1).cast("int")
-    forms = F.array(F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "d MMMM yyyy"), F.date_format(t, "MMM d, yyyy"), F.date_format(t, "dd/MM/yyyy"), F.date_format(t, "MMMM yyyy"), F.date_format(t, "yyyy.M.d"))
+    forms = F.array(F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "d MMMM yyyy"), F.date_format(t, "MMM d, yyyy"),
+        F.date_format(t, "dd/MM/yyyy"), F.date_format(t, "MMMM yyyy"), F.date_format(t, "yyyy.M.d"))
     return table(spark, d, "orders").select("o_orderkey", V.normalize_date(F.element_at(forms, k)).alias("value"))
 
 
@@ -168,18 +184,21 @@ def _sentences(spark, d):
 
 def mention_coverage(spark, d):
     """Sentences that name two or more known names and that no benchmark passage cites, by document."""
-    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"), F.lit(0))).alias("name")).distinct()
+    names = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"),
+        F.lit(0))).alias("name")).distinct()
     s = _sentences(spark, d)
     found = I.mentions(s.select("doc_id", "pos", "text"), names)
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     cited = spans.locate_quotes(table(spark, d, "documents"), quotes)
-    return I.uncovered_sentences(s.drop("text"), found, cited).groupBy("doc_id").agg(F.count(F.lit(1)).alias("uncovered"), F.max("names").alias("most"))
+    return I.uncovered_sentences(s.drop("text"), found, cited).groupBy("doc_id").agg(F.count(F.lit(1)).alias("uncovered"),
+        F.max("names").alias("most"))
 
 
 def extract_key_values(spark, d):
     """Key: value lines and pipe tables made from the dimension tables, read back as facts."""
     text, _ = E.render_record(["n_name", "n_regionkey"])
-    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("# Nation\n"), text, F.lit("\n\nSome prose.\n")).alias("text"))
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"),
+        F.concat(F.lit("# Nation\n"), text, F.lit("\n\nSome prose.\n")).alias("text"))
     return E.key_value_facts(docs).select("doc_id", "heading", "key", "value")
 
 
@@ -188,7 +207,8 @@ KEY_VALUES = """SELECT n_nationkey AS doc_id, 'Nation' AS heading, 'n_name' AS k
 
 def extract_pipe_tables(spark, d):
     n = table(spark, d, "nation")
-    rows = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(
+    rows = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey",
+        "n_name"))), lambda x: F.concat(
         F.lit("| "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit(r" \| x |"))), "\n").alias("body"))
     docs = rows.select("doc_id", F.concat(F.lit("Intro\n| id | name |\n|---|:--|\n"), F.col("body"), F.lit("\nEnd")).alias("text"))
     return E.table_facts(docs).select("doc_id", "row", "column", "value")
@@ -202,11 +222,14 @@ def triples_to_facts(spark, d):
     """A triple per document: its source says its language, cited by offsets, by quote, or by the whole text."""
     docs = table(spark, d, "documents")
     k = F.col("doc_id") % 3
-    t = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("subject"), F.lit("language").alias("predicate"), F.col("lang").alias("object"), F.lit("site").alias("subject_type"),
-                    F.lit(None).cast("string").alias("object_type"), F.when(k == 0, 0).alias("start"), F.when(k == 0, F.least(F.length("text"), F.lit(10))).alias("end"),
+    t = docs.select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("subject"), F.lit("language").alias("predicate"),
+        F.col("lang").alias("object"), F.lit("site").alias("subject_type"),
+                    F.lit(None).cast("string").alias("object_type"), F.when(k == 0, 0).alias("start"),
+                    F.when(k == 0, F.least(F.length("text"), F.lit(10))).alias("end"),
                     F.when(k == 1, F.substr("text", F.lit(2), F.lit(12))).alias("quote"), F.when(k == 2, 0.9).alias("confidence"))
     types = spark.createDataFrame([("site", "Website")], "alias string, name string")
-    return E.triples_to_facts(t, docs, types).select("doc", "s_key", "s_type", "o_kind", "o_repr", F.col("start").cast("long"), F.col("end").cast("long"), "origin", "confidence")
+    return E.triples_to_facts(t, docs, types).select("doc", "s_key", "s_type", "o_kind", "o_repr", F.col("start").cast("long"),
+        F.col("end").cast("long"), "origin", "confidence")
 
 
 TRIPLES = """SELECT CAST(doc_id AS VARCHAR) AS doc, 'Website:' || source AS s_key, 'Website' AS s_type, 'value' AS o_kind, lang AS o_repr,
@@ -217,7 +240,8 @@ CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND substring(text, 2, 12) <> '') TH
 
 def hybrid_best_per_claim(spark, d):
     """Two extractors' facts on parts: the more confident stays, the first of a tie."""
-    p = table(spark, d, "part").select(F.col("p_brand").alias("s_key"), F.col("p_type").alias("predicate"), F.col("p_partkey").alias("ord"), (F.col("p_size") % 7 / 10.0).alias("confidence"), F.col("p_name").alias("quote"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("s_key"), F.col("p_type").alias("predicate"), F.col("p_partkey").alias("ord"),
+        (F.col("p_size") % 7 / 10.0).alias("confidence"), F.col("p_name").alias("quote"))
     return E.best_per_claim(p, ["s_key", "predicate"]).select("s_key", "predicate", "ord", "confidence", "quote")
 
 
@@ -228,7 +252,8 @@ HYBRID = """SELECT s_key, predicate, ord, confidence, quote FROM (SELECT p_brand
 def microbatch_equals_batch(spark, d):
     """Order claims merged file by file by the streaming upsert; support of each claim, as a batch would have it."""
     where = fresh_path(spark, "micro")
-    claims = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"))
+    claims = table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("source"))
     claims.repartition(4).write.parquet(f"{where}/in")
     stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
     store = micro.VersionedStore(spark, f"{where}/store")
@@ -271,10 +296,16 @@ def projected_graph_counts(spark, d):
 COUNTS = "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS entities, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS edges, (SELECT count(c_mktsegment) FROM customer) AS properties"
 
 QUERIES = {
-    "record_unpivot_facts": (record_unpivot_facts, UNPIVOT), "record_render_offsets": (record_render_offsets, RENDER), "lineage_closure": (lineage_closure, LINEAGE), "inverse_map": (inverse_map, INVERSES),
-    "schema_problems": (schema_problems, SCHEMA), "ontology_diff": (ontology_diff, DIFF), "ontology_diagnostics": (ontology_diagnostics, DIAGNOSTICS), "event_props_json": (event_props_json, PROPS),
-    "record_shape_profile": (record_shape_profile, PROFILE), "inclusion_dependencies": (inclusion_dependencies, INCLUSION), "predicate_importance": (predicate_importance, IMPORTANCE),
-    "value_normalise_dates": (value_normalise_dates, DATES), "value_normalise_quantities": (value_normalise_quantities, QUANTITIES), "mention_coverage": (mention_coverage, None),
-    "extract_key_values": (extract_key_values, KEY_VALUES), "extract_pipe_tables": (extract_pipe_tables, PIPES), "triples_to_facts": (triples_to_facts, TRIPLES), "hybrid_best_per_claim": (hybrid_best_per_claim, HYBRID),
-    "microbatch_equals_batch": (microbatch_equals_batch, MICRO), "event_windows": (event_windows, WINDOWS), "event_sessions": (event_sessions, SESSIONS), "projected_graph_counts": (projected_graph_counts, COUNTS),
+    "record_unpivot_facts": (record_unpivot_facts, UNPIVOT), "record_render_offsets": (record_render_offsets, RENDER),
+    "lineage_closure": (lineage_closure, LINEAGE), "inverse_map": (inverse_map, INVERSES),
+    "schema_problems": (schema_problems, SCHEMA), "ontology_diff": (ontology_diff, DIFF),
+    "ontology_diagnostics": (ontology_diagnostics, DIAGNOSTICS), "event_props_json": (event_props_json, PROPS),
+    "record_shape_profile": (record_shape_profile, PROFILE), "inclusion_dependencies": (inclusion_dependencies, INCLUSION),
+    "predicate_importance": (predicate_importance, IMPORTANCE),
+    "value_normalise_dates": (value_normalise_dates, DATES), "value_normalise_quantities": (value_normalise_quantities, QUANTITIES),
+    "mention_coverage": (mention_coverage, None),
+    "extract_key_values": (extract_key_values, KEY_VALUES), "extract_pipe_tables": (extract_pipe_tables, PIPES),
+    "triples_to_facts": (triples_to_facts, TRIPLES), "hybrid_best_per_claim": (hybrid_best_per_claim, HYBRID),
+    "microbatch_equals_batch": (microbatch_equals_batch, MICRO), "event_windows": (event_windows, WINDOWS),
+    "event_sessions": (event_sessions, SESSIONS), "projected_graph_counts": (projected_graph_counts, COUNTS),
 }

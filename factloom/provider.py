@@ -20,7 +20,8 @@ def cache_key(*parts) -> Column:
     return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
-def call(requests: DataFrame, provider: Callable[[str], tuple[str, int, int]], retries: int = 1, most_partitions: int | None = None) -> DataFrame:
+def call(requests: DataFrame, provider: Callable[[str], tuple[str, int, int]], retries: int = 1,
+    most_partitions: int | None = None) -> DataFrame:
     """requests (cache_key, prompt) -> ANSWERS. most_partitions bounds the calls in flight."""
 
     def run(batches):
@@ -49,7 +50,8 @@ def answered(requests: DataFrame, recorded: DataFrame, provider: Callable | None
         return known
     missing = requests.join(recorded, "cache_key", "left_anti")
     fresh = call(missing, provider, **options).select("cache_key", F.col("answer").alias("_a"), F.col("error").alias("_e"))
-    return known.join(fresh, "cache_key", "left").withColumn("answer", F.coalesce("answer", "_a")).withColumn("error", F.coalesce("error", "_e")).drop("_a", "_e")
+    return known.join(fresh, "cache_key", "left").withColumn("answer", F.coalesce("answer", "_a")).withColumn("error",
+        F.coalesce("error", "_e")).drop("_a", "_e")
 
 
 def without_failed_documents(facts: DataFrame, answers: DataFrame) -> DataFrame:
@@ -68,7 +70,8 @@ def two_of_three(votes: list) -> Column:
     return sum((F.when(v == "refuse", 1).otherwise(0) for v in votes[1:]), F.when(votes[0] == "refuse", 1).otherwise(0)) >= 2
 
 
-def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]], name: str = "v", batch: int = 256) -> DataFrame:
+def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]], name: str = "v",
+    batch: int = 256) -> DataFrame:
     """texts with a vector for each text of a column: embed is called with lists of at most `batch` texts."""
     @F.pandas_udf("array<float>")
     def run(c: pd.Series) -> pd.Series:
@@ -82,7 +85,8 @@ def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[li
 
 def embedding_text(label: Column, type_name: Column, aliases: Column) -> Column:
     """What of an entity is embedded: its type, its label and its aliases."""
-    return F.concat_ws(" ", F.concat(type_name, F.lit(":")), label, F.when(F.size(aliases) > 0, F.concat(F.lit("("), F.array_join(aliases, ", "), F.lit(")"))))
+    return F.concat_ws(" ", F.concat(type_name, F.lit(":")), label,
+        F.when(F.size(aliases) > 0, F.concat(F.lit("("), F.array_join(aliases, ", "), F.lit(")"))))
 
 
 REPLY = "array<struct<subject:string,predicate:string,object:string,quote:string,start:int,end:int,confidence:double>>"
@@ -95,17 +99,22 @@ def read_replies(replies: DataFrame, chunks: DataFrame, known: list[str] | None
     Offsets in a reply are the chunk's; a quote that stands elsewhere in the chunk is placed there."""
     x = replies.join(chunks.select("doc_id", "idx", F.col("start").alias("_from"), F.col("text").alias("_text")), ["doc_id", "idx"])
     parsed = F.from_json("answer", REPLY)
-    broken = x.where(parsed.isNull()).select("doc_id", "idx", F.lit(None).cast("string").alias("predicate"), F.lit("not JSON").alias("reason"))
+    broken = x.where(parsed.isNull()).select("doc_id", "idx", F.lit(None).cast("string").alias("predicate"),
+        F.lit("not JSON").alias("reason"))
     each = x.select("doc_id", "idx", "_from", "_text", F.explode(parsed).alias("c")).select("doc_id", "idx", "_from", "_text", "c.*")
     cited = F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quote")
     found = F.expr("locate(quote, _text)")
     place = F.when(F.coalesce(cited, F.lit(False)), F.col("start")).when(found > 0, found - 1)
     missing = F.coalesce(F.trim("subject"), F.lit("")) == ""
-    reason = (F.when(missing | (F.coalesce(F.trim("object"), F.lit("")) == ""), "an end is missing").when(~F.col("predicate").isin(*known) if known else F.lit(False), "unknown predicate")
-              .when(F.col("predicate").isNull(), "unknown predicate").when(F.col("quote").isNotNull() & place.isNull(), "the quote is not in the chunk"))
+    reason = (F.when(missing | (F.coalesce(F.trim("object"), F.lit("")) == ""),
+        "an end is missing").when(~F.col("predicate").isin(*known) if known else F.lit(False), "unknown predicate")
+              .when(F.col("predicate").isNull(), "unknown predicate").when(F.col("quote").isNotNull() & place.isNull(),
+              "the quote is not in the chunk"))
     y = each.withColumn("reason", reason).withColumn("_at", place)
-    good = y.where("reason IS NULL").select("doc_id", "idx", "subject", "predicate", "object", "quote", (F.col("_from") + F.col("_at")).cast("int").alias("start"),
-                                            (F.col("_from") + F.col("_at") + F.length("quote")).cast("int").alias("end"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    good = y.where("reason IS NULL").select("doc_id", "idx", "subject", "predicate", "object", "quote",
+        (F.col("_from") + F.col("_at")).cast("int").alias("start"),
+                                            (F.col("_from") + F.col("_at") + F.length("quote")).cast("int").alias("end"),
+                                            F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
     return good, broken.union(y.where("reason IS NOT NULL").select("doc_id", "idx", "predicate", "reason"))
 
 

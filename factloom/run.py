@@ -23,7 +23,8 @@ from .schema import TIERS
 from .sinks import schema_text, writers
 from .sources import readers
 
-_KEYS = {"documents": ("path", "root", "tier"), "triples": ("path",), "ontology": None, "gate": ("refuse_not_found", "mark", "schema"), "verdicts": ("path",), "output": ("path",)}
+_KEYS = {"documents": ("path", "root", "tier"), "triples": ("path",), "ontology": None, "gate": ("refuse_not_found", "mark", "schema"),
+    "verdicts": ("path",), "output": ("path",)}
 _REQUIRED = ("documents.path", "triples.path", "output.path")
 EVIDENCE = "sig string, s_key string, s_type string, predicate string, o_kind string, o_repr string, o_type string, doc_id string, source string, tier_w double, start int, end int, origin string, confidence double, verdict string"
 FACTS = "sig string, s_key string, s_type string, predicate string, o_kind string, o_repr string, o_type string, support bigint, documents bigint, tier_w double, confidence double, verdict string, review string, retired_at string"
@@ -78,7 +79,8 @@ def _tier_weight():
 
 def documents_of(spark: SparkSession, config: Config) -> DataFrame:
     tier = config.documents.get("tier", "unverified")
-    return readers.with_path_ids(readers.read_directory(spark, config.documents["path"], tier=tier), config.documents.get("root", config.documents["path"]))
+    return readers.with_path_ids(readers.read_directory(spark, config.documents["path"], tier=tier),
+        config.documents.get("root", config.documents["path"]))
 
 
 def evidence_of(spark: SparkSession, config: Config, docs: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
@@ -98,9 +100,11 @@ def evidence_of(spark: SparkSession, config: Config, docs: DataFrame | None = No
     x = x.withColumn("verdict", F.when(status == "located", "unchecked").otherwise("not_found"))
     if config.verdicts.get("path"):
         key = ["doc_id", "s_key", "predicate", "o_repr"]
-        said = spark.read.schema("doc string, s_key string, predicate string, o_repr string, verdict string").json(config.verdicts["path"]).withColumnRenamed("doc", "doc_id")
+        said = spark.read.schema("doc string, s_key string, predicate string, o_repr string, verdict string").json(config.verdicts["path"]).withColumnRenamed("doc",
+            "doc_id")
         said = said.groupBy(*key).agg(F.max("verdict").alias("_said"))
-        x = x.join(said, key, "left").withColumn("verdict", F.when(F.col("verdict") == "unchecked", F.coalesce("_said", "verdict")).otherwise(F.col("verdict")))
+        x = x.join(said, key, "left").withColumn("verdict",
+            F.when(F.col("verdict") == "unchecked", F.coalesce("_said", "verdict")).otherwise(F.col("verdict")))
     sig = claims.signature(F.col("s_key"), F.col("predicate"), F.col("o_repr"))
     x = x.withColumn("sig", sig).withColumn("source", source_of(F.col("uri"), F.col("doc_id"))).withColumn("tier_w", _tier_weight())
     return x.select(*[c.split()[0] for c in EVIDENCE.split(", ")])
@@ -119,7 +123,8 @@ def gated_facts(spark: SparkSession, config: Config, evidence: DataFrame) -> tup
     if config.ontology and config.gate.get("schema", True):
         facts = ontology.schema_problems(spark, facts, config.ontology)
         problem = F.col("problem")
-    gated = facts.withColumn("gate", verify.gate(F.col("verdict"), problem, config.gate.get("refuse_not_found", False), config.gate.get("mark", False)))
+    gated = facts.withColumn("gate",
+        verify.gate(F.col("verdict"), problem, config.gate.get("refuse_not_found", False), config.gate.get("mark", False)))
     kept, refused = schema_text.split_gate(gated)
     return kept.withColumn("retired_at", F.lit(None).cast("string")).select(*[c.split()[0] for c in FACTS.split(", ")]), refused
 
@@ -144,18 +149,21 @@ def reconcile(spark: SparkSession, path: str, gone: list[str], at: str, hard_del
     left = claims.retract(evidence, ["sig"], named)
     x = facts.join(left.select("sig", F.col("support").alias("_left"), "cited", "retired"), "sig", "left")
     hit = F.coalesce("cited", F.lit(False)) & F.col("retired_at").isNull()
-    out = x.withColumn("support", F.when(hit, F.col("_left")).otherwise(F.col("support"))).withColumn("retired_at", F.when(hit & F.col("retired"), F.lit(at)).otherwise(F.col("retired_at")))
+    out = x.withColumn("support", F.when(hit, F.col("_left")).otherwise(F.col("support"))).withColumn("retired_at",
+        F.when(hit & F.col("retired"), F.lit(at)).otherwise(F.col("retired_at")))
     if hard_delete:
         out = out.where("retired_at IS NULL")
     counts = x.agg(F.count_if(hit).alias("cited"), F.count_if(hit & F.col("retired")).alias("retired")).first().asDict()
-    written = store.replace(facts=out.select(*facts.columns), entities=store.read("entities", ENTITIES), evidence=evidence.join(named, "doc_id", "left_anti").select(*evidence.columns))
+    written = store.replace(facts=out.select(*facts.columns), entities=store.read("entities", ENTITIES),
+        evidence=evidence.join(named, "doc_id", "left_anti").select(*evidence.columns))
     return counts | written
 
 
 def evaluate(spark: SparkSession, gold: str, predicted: str) -> DataFrame:
     """Gold and predicted facts (JSON lines of doc_id, ord, subject, predicate, obj) -> the extraction report."""
     schema = "doc_id string, ord bigint, subject string, predicate string, obj string"
-    return metrics.outcome_report(metrics.match_three_passes(spark.read.schema(schema).json(gold), spark.read.schema(schema).json(predicted)), "predicate")
+    return metrics.outcome_report(metrics.match_three_passes(spark.read.schema(schema).json(gold),
+        spark.read.schema(schema).json(predicted)), "predicate")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -200,7 +208,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "label":
         s = session()
         if a.what == "make":
-            judges.make_sheets(s.read.schema("id string, question string").json(a.source), a.choices, a.per_sheet).write.mode("overwrite").json(a.out)
+            judges.make_sheets(s.read.schema("id string, question string").json(a.source), a.choices,
+                a.per_sheet).write.mode("overwrite").json(a.out)
         else:
             judges.read_sheets(s.read.schema("sheet bigint, text string").json(a.source)).write.mode("overwrite").json(a.out)
     else:

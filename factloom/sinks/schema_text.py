@@ -35,4 +35,5 @@ def split_gate(facts: DataFrame, gate: str = "gate") -> tuple[DataFrame, DataFra
 def write_node_link(entities: DataFrame, facts: DataFrame, path: str) -> None:
     """nodes and links as JSON lines, each in its folder, written in parallel."""
     entities.select(F.col("key").alias("id"), "type", "label").write.mode("overwrite").json(f"{path}/nodes")
-    facts.where("o_kind = 'entity'").select(F.col("s_key").alias("source"), F.col("o_key").alias("target"), F.col("predicate").alias("key"), "confidence").write.mode("overwrite").json(f"{path}/links")
+    facts.where("o_kind = 'entity'").select(F.col("s_key").alias("source"), F.col("o_key").alias("target"), F.col("predicate").alias("key"),
+        "confidence").write.mode("overwrite").json(f"{path}/links")

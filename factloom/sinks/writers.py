@@ -18,7 +18,8 @@ def scoped(key, tenant: str | None):
 
 def manifest(entities: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     """One row: counts of entities, facts, edges, properties and links."""
-    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("o_kind") == "entity").alias("edges"), F.count_if(F.col("o_kind") != "entity").alias("properties"))
+    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("o_kind") == "entity").alias("edges"),
+        F.count_if(F.col("o_kind") != "entity").alias("properties"))
     return entities.agg(F.count(F.lit(1)).alias("entities")).crossJoin(f).crossJoin(links.agg(F.count(F.lit(1)).alias("links")))
 
 
@@ -69,7 +70,8 @@ class JsonLinesStore:
 
 def plain_facts(facts: DataFrame) -> DataFrame:
     """Facts that may stand as a plain triple: asserted, in no scope, not outvoted, not retired."""
-    return facts.where((F.col("polarity") == "asserted") & (F.size(F.coalesce("qualifiers", F.create_map().cast("map<string,string>"))) == 0)
+    return facts.where((F.col("polarity") == "asserted") & (F.size(F.coalesce("qualifiers",
+        F.create_map().cast("map<string,string>"))) == 0)
                        & (F.coalesce("outcome", F.lit("")) != "lost") & F.col("retired_at").isNull())
 
 
@@ -89,10 +91,13 @@ def ntriples(facts: DataFrame) -> DataFrame:
     obj = F.when(F.col("o_kind") == "entity", _iri(F.col("o_key"))).otherwise(_literal(F.col("o_repr")))
     node = F.concat(F.lit("_:"), F.concat(F.lit("f"), F.left("sig", F.lit(32))))
     rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-    parts = [(f"<{rdf}type>", F.lit(f"<{rdf}Statement>")), (f"<{rdf}subject>", _iri(F.col("s_key"))), (f"<{rdf}predicate>", _iri(F.col("predicate"))), (f"<{rdf}object>", obj),
-             ("<urn:factloom:confidence>", F.concat(_literal(F.col("confidence").cast("string")), F.lit("^^<http://www.w3.org/2001/XMLSchema#double>")))]
+    parts = [(f"<{rdf}type>", F.lit(f"<{rdf}Statement>")), (f"<{rdf}subject>", _iri(F.col("s_key"))),
+        (f"<{rdf}predicate>", _iri(F.col("predicate"))), (f"<{rdf}object>", obj),
+             ("<urn:factloom:confidence>",
+             F.concat(_literal(F.col("confidence").cast("string")), F.lit("^^<http://www.w3.org/2001/XMLSchema#double>")))]
     reified = facts.select(F.explode(F.array(*[F.concat_ws(" ", node, F.lit(p), o, F.lit(".")) for p, o in parts])).alias("value"))
-    return reified.union(plain_facts(facts).select(F.concat_ws(" ", _iri(F.col("s_key")), _iri(F.col("predicate")), obj, F.lit(".")).alias("value")))
+    return reified.union(plain_facts(facts).select(F.concat_ws(" ", _iri(F.col("s_key")), _iri(F.col("predicate")), obj,
+        F.lit(".")).alias("value")))
 
 
 def cypher(facts: DataFrame) -> DataFrame:
@@ -104,7 +109,8 @@ def cypher(facts: DataFrame) -> DataFrame:
         return F.concat(F.lit("`"), F.replace(c, F.lit("`"), F.lit("``")), F.lit("`"))
 
     s = F.concat(F.lit("MERGE (s:"), name(F.col("s_type")), F.lit(" {key: "), q(F.col("s_key")), F.lit("}) "))
-    edge = F.concat(s, F.lit("MERGE (o:"), name(F.col("o_type")), F.lit(" {key: "), q(F.col("o_key")), F.lit("}) MERGE (s)-[:"), name(F.col("predicate")), F.lit(" {sig: "), q(F.col("sig")), F.lit("}]->(o);"))
+    edge = F.concat(s, F.lit("MERGE (o:"), name(F.col("o_type")), F.lit(" {key: "), q(F.col("o_key")), F.lit("}) MERGE (s)-[:"),
+        name(F.col("predicate")), F.lit(" {sig: "), q(F.col("sig")), F.lit("}]->(o);"))
     prop = F.concat(s, F.lit("SET s."), name(F.col("predicate")), F.lit(" = "), q(F.col("o_repr")), F.lit(";"))
     return facts.select(F.when(F.col("o_kind") == "entity", edge).otherwise(prop).alias("value"))
 
@@ -113,7 +119,8 @@ def write_graph_csv(entities: DataFrame, facts: DataFrame, path: str) -> None:
     """Node rows by type and relation rows by predicate, partitioned, with a header; the last row of a key wins."""
     last = entities.groupBy("type", "key").agg(F.max_by(F.struct("label", "external_id"), "ord").alias("x")).select("type", "key", "x.*")
     last.write.mode("overwrite").partitionBy("type").option("header", True).csv(f"{path}/nodes")
-    facts.where("o_kind = 'entity'").select("predicate", F.col("s_key").alias("start"), F.col("o_key").alias("end"), "confidence").write.mode("overwrite").partitionBy("predicate").option(
+    facts.where("o_kind = 'entity'").select("predicate", F.col("s_key").alias("start"), F.col("o_key").alias("end"),
+        "confidence").write.mode("overwrite").partitionBy("predicate").option(
         "header", True).csv(f"{path}/relations")
 
 
@@ -127,7 +134,8 @@ def digest(rows: DataFrame) -> str:
 
 def transaction_groups(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Rows packed in order into groups of at most size, without one task that sorts them all: ranges first, then counts."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i",
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     parts = cut(parts)
     sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one entry per partition
     starts, total = {}, 0

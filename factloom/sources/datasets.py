@@ -41,7 +41,8 @@ def docred(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     def first(side: str) -> Column:
         return F.get(F.get(F.col("vertexSet"), F.col(f"l.{side}")), F.lit(0))
 
-    gold = facts.select("doc_id", "ord", first("h")["name"].alias("subject"), first("h")["type"].alias("s_type"), F.col("l.r").alias("relation"),
+    gold = facts.select("doc_id", "ord", first("h")["name"].alias("subject"), first("h")["type"].alias("s_type"),
+        F.col("l.r").alias("relation"),
                         first("t")["name"].alias("object"), first("t")["type"].alias("o_type"), F.col("l.evidence").alias("evidence"))
     return x.select("doc_id", detokenize(F.col("sents")).alias("text"), "title"), gold
 
@@ -49,10 +50,12 @@ def docred(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def trex(spark: SparkSession, path: str, annotators: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Abstracts with aligned triples -> documents and gold; of triples only those that one of `annotators` made, if given, and whose both ends are named."""
     x = spark.read.schema(TREX).option("multiLine", True).json(path).withColumn("doc_id", F.concat(F.lit("trex:"), "docid"))
-    t = x.select("doc_id", F.posexplode("triples").alias("ord", "t")).where("t.subject.surfaceform IS NOT NULL AND t.object.surfaceform IS NOT NULL")
+    t = x.select("doc_id", F.posexplode("triples").alias("ord",
+        "t")).where("t.subject.surfaceform IS NOT NULL AND t.object.surfaceform IS NOT NULL")
     if annotators is not None:
         t = t.where(F.col("t.annotator").isin(*annotators))
-    gold = t.select("doc_id", "ord", F.col("t.subject.surfaceform").alias("subject"), F.col("t.subject.uri").alias("s_id"), F.element_at(F.split("t.predicate.uri", "/"), -1).alias("relation"),
+    gold = t.select("doc_id", "ord", F.col("t.subject.surfaceform").alias("subject"), F.col("t.subject.uri").alias("s_id"),
+        F.element_at(F.split("t.predicate.uri", "/"), -1).alias("relation"),
                     F.col("t.object.surfaceform").alias("object"), F.col("t.object.uri").alias("o_id"))
     return x.select("doc_id", "text", "title"), gold
 
@@ -73,7 +76,8 @@ def observed_predicates(gold: DataFrame) -> DataFrame:
     seen = gold.groupBy("relation").agg(F.array_sort(F.collect_set("s_type")).alias("domain"), F.count(F.lit(1)).alias("seen"))
     most = seen.agg(F.max("seen").alias("most"))
     weight = F.round(F.lit(0.05) + F.lit(0.95) * F.log1p("seen") / F.log1p("most"), 4)
-    return seen.join(best, "relation").crossJoin(F.broadcast(most)).select("relation", snake(F.col("relation")).alias("predicate"), "domain", "range", "seen", weight.alias("importance"))
+    return seen.join(best, "relation").crossJoin(F.broadcast(most)).select("relation", snake(F.col("relation")).alias("predicate"),
+        "domain", "range", "seen", weight.alias("importance"))
 
 
 def observed_ontology(gold: DataFrame, name: str) -> dict:
@@ -81,7 +85,8 @@ def observed_ontology(gold: DataFrame, name: str) -> dict:
     rows = observed_predicates(gold).orderBy("relation").collect()
     kinds = sorted({t for r in rows for t in [*r["domain"], r["range"]] if t})
     return {"name": name, "version": name, "types": {t: {} for t in kinds},
-            "predicates": {r["predicate"]: {"domain": list(r["domain"]), "range": r["range"], "aliases": [r["relation"]], "importance": r["importance"]} for r in rows}}
+            "predicates": {r["predicate"]: {"domain": list(r["domain"]), "range": r["range"], "aliases": [r["relation"]],
+            "importance": r["importance"]} for r in rows}}
 
 
 def seeded_selection(documents: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:

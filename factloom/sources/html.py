@@ -129,7 +129,8 @@ def html_documents(pages: DataFrame, strip_boilerplate: bool = False) -> DataFra
     def run(batches):
         for b in batches:
             got = [html_text(h, strip_boilerplate) for h in b["html"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "uri": b["uri"], "text": [g[0] for g in got], "title": [g[1] for g in got], "modality": [g[2] for g in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "uri": b["uri"], "text": [g[0] for g in got], "title": [g[1] for g in got],
+                "modality": [g[2] for g in got]})
 
     kind = pages.schema["doc_id"].dataType.simpleString()
     return pages.select("doc_id", "uri", "html").mapInPandas(run, f"doc_id {kind}, uri string, text string, title string, modality string")

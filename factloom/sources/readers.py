@@ -33,7 +33,8 @@ def _as_documents(df: DataFrame, tier: str, modality: str = "unstructured") -> D
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("uri"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"),
+        F.col("_metadata.file_path").alias("uri"))
 
 
 def read_text(spark: SparkSession, path: str, tier: str = "unverified") -> DataFrame:
@@ -45,7 +46,8 @@ def read_markdown(spark: SparkSession, path: str, tier: str = "unverified") -> D
     """As text, with the headings (level, text, start) as metadata and the first as title."""
     x = _whole(spark, path).withColumn("doc_id", F.col("uri"))
     found = F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6}[ \t]+\S.*?)[ \t]*$"), F.lit(1))
-    heads = F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, r"^(#+)", 1)).alias("level"), F.regexp_replace(h, r"^#+\s+", "").alias("text")))
+    heads = F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, r"^(#+)", 1)).alias("level"),
+        F.regexp_replace(h, r"^#+\s+", "").alias("text")))
     x = x.withColumn("title", F.get(heads, F.lit(0))["text"]).withColumn("metadata", F.to_json(F.struct(heads.alias("headings"))))
     return _as_documents(x, tier)
 
@@ -54,9 +56,11 @@ def read_html(spark: SparkSession, path: str, tier: str = "unverified", strip_bo
     def run(batches):
         for b in batches:
             got = [html_text(h, strip_boilerplate) for h in b["text"]]
-            yield pd.DataFrame({"doc_id": b["uri"], "text": [g[0] for g in got], "uri": b["uri"], "title": [g[1] for g in got], "modality": [g[2] for g in got]})
+            yield pd.DataFrame({"doc_id": b["uri"], "text": [g[0] for g in got], "uri": b["uri"], "title": [g[1] for g in got],
+                "modality": [g[2] for g in got]})
 
-    return _as_documents(_whole(spark, path).mapInPandas(run, "doc_id string, text string, uri string, title string, modality string"), tier)
+    return _as_documents(_whole(spark, path).mapInPandas(run, "doc_id string, text string, uri string, title string, modality string"),
+        tier)
 
 
 def docx_text(content: bytes) -> tuple[str, str | None, str]:
@@ -89,7 +93,8 @@ def read_docx(spark: SparkSession, path: str, tier: str = "unverified") -> DataF
     def run(batches):
         for b in batches:
             got = [docx_text(c) for c in b["content"]]
-            yield pd.DataFrame({"doc_id": b["path"], "text": [g[0] for g in got], "uri": b["path"], "title": [g[1] for g in got], "modality": [g[2] for g in got]})
+            yield pd.DataFrame({"doc_id": b["path"], "text": [g[0] for g in got], "uri": b["path"], "title": [g[1] for g in got],
+                "modality": [g[2] for g in got]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return _as_documents(files.mapInPandas(run, "doc_id string, text string, uri string, title string, modality string"), tier)
@@ -121,7 +126,8 @@ def record_documents(rows: DataFrame, uri, tier: str = "unverified", ordinal=Non
         for b in batches:
             got = [render(json.loads(r)) for r in b["record"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "uri": b["uri"], "text": [t for t, _ in got],
-                                "metadata": [json.dumps({"row": json.loads(r), "fields": f}, ensure_ascii=False) for r, (_, f) in zip(b["record"], got)]})
+                                "metadata": [json.dumps({"row": json.loads(r), "fields": f}, ensure_ascii=False) for r,
+                                (_, f) in zip(b["record"], got)]})
 
     place = ordinal if ordinal is not None else F.sha2(payload, 256)
     x = rows.select(F.concat_ws("#", uri, place.cast("string")).alias("doc_id"), uri.alias("uri"), payload.alias("record"))
@@ -170,13 +176,15 @@ def read_tsv(spark: SparkSession, path: str, tier: str = "unverified") -> DataFr
 def read_jsonl(spark: SparkSession, path: str, tier: str = "unverified", schema: StructType | str | None = None) -> DataFrame:
     """A document per line; blank lines are skipped, a line that is no JSON is an error that quotes it."""
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("uri"), "value")
-    ok = F.when(F.expr("try_parse_json(value)").isNull(), F.raise_error(F.concat(F.col("uri"), F.lit(": not JSON: "), F.left("value", F.lit(80))))).otherwise(F.col("value"))
+    ok = F.when(F.expr("try_parse_json(value)").isNull(),
+        F.raise_error(F.concat(F.col("uri"), F.lit(": not JSON: "), F.left("value", F.lit(80))))).otherwise(F.col("value"))
 
     def run(batches):
         for b in batches:
             rows = [json.loads(v) for v in b["value"]]
             got = [render(r) if isinstance(r, dict) else render({"value": r}) for r in rows]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "uri": b["uri"], "text": [t for t, _ in got], "metadata": [json.dumps({"row": r, "fields": f}, ensure_ascii=False) for r, (_, f) in zip(rows, got)]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "uri": b["uri"], "text": [t for t, _ in got],
+                "metadata": [json.dumps({"row": r, "fields": f}, ensure_ascii=False) for r, (_, f) in zip(rows, got)]})
 
     x = lines.select(F.concat_ws("#", "uri", F.sha2("value", 256)).alias("doc_id"), "uri", ok.alias("value"))
     return _as_documents(x.mapInPandas(run, "doc_id string, uri string, text string, metadata string"), tier, "structured")
@@ -184,7 +192,8 @@ def read_jsonl(spark: SparkSession, path: str, tier: str = "unverified", schema:
 
 def read_json(spark: SparkSession, path: str, records: str | None = None, tier: str = "unverified") -> DataFrame:
     """An array is a document per element, an object one; `records` (a JSON path such as $.items) selects a nested array."""
-    whole = _whole(spark, path).select("uri", F.expr(f"parse_json({'get_json_object(text, ' + repr(records) + ')' if records else 'text'})").alias("v"))
+    whole = _whole(spark, path).select("uri",
+        F.expr(f"parse_json({'get_json_object(text, ' + repr(records) + ')' if records else 'text'})").alias("v"))
     whole.createOrReplaceTempView("_factloom_json")
     arrays = spark.sql("SELECT uri, pos, to_json(value) AS value FROM _factloom_json, LATERAL variant_explode(CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN v END)")
     single = whole.where("schema_of_variant(v) NOT LIKE 'ARRAY%'").selectExpr("uri", "0 AS pos", "to_json(v) AS value")
@@ -196,7 +205,8 @@ def read_json(spark: SparkSession, path: str, records: str | None = None, tier:
             yield pd.DataFrame({"doc_id": [f"{u}#{p}" for u, p in zip(b["uri"], b["pos"])], "uri": b["uri"], "text": [t for t, _ in got],
                                 "metadata": [json.dumps({"row": r, "fields": f}, ensure_ascii=False) for r, (_, f) in zip(rows, got)]})
 
-    return _as_documents(arrays.union(single).mapInPandas(run, "doc_id string, uri string, text string, metadata string"), tier, "structured")
+    return _as_documents(arrays.union(single).mapInPandas(run, "doc_id string, uri string, text string, metadata string"), tier,
+        "structured")
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, tier: str = "unverified") -> DataFrame:
@@ -210,23 +220,28 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     line that breaks a rule is an error. object keeps its JSON spelling."""
     x = spark.read.schema(struct(TRIPLES)).option("mode", "FAILFAST").json(path)
     bad = (F.when(F.coalesce(F.split_part("schema_version", F.lit("."), F.lit(1)), F.lit("1")) != "1", "newer major version")
-           .when(F.col("doc").isNull() | F.col("subject").isNull() | F.col("predicate").isNull() | F.col("object").isNull(), "missing field")
-           .when(F.col("start").isNull() != F.col("end").isNull(), "start without end").when(~F.col("confidence").between(0, 1), "confidence out of range"))
-    return x.withColumn("doc", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("triple "), F.coalesce("doc", F.lit("?")), F.lit(": "), bad))).otherwise(F.col("doc")))
+           .when(F.col("doc").isNull() | F.col("subject").isNull() | F.col("predicate").isNull() | F.col("object").isNull(),
+           "missing field")
+           .when(F.col("start").isNull() != F.col("end").isNull(), "start without end").when(~F.col("confidence").between(0, 1),
+           "confidence out of range"))
+    return x.withColumn("doc", F.when(bad.isNotNull(),
+        F.raise_error(F.concat(F.lit("triple "), F.coalesce("doc", F.lit("?")), F.lit(": "), bad))).otherwise(F.col("doc")))
 
 
 def from_graph_documents(rows: DataFrame) -> DataFrame:
     """Graph documents (source struct with page_content, relationships array of source, target, type) -> triples, each
     with the whole document as context."""
     r = rows.select(F.sha2("source.page_content", 256).alias("doc"), F.explode("relationships").alias("r"))
-    return r.select("doc", F.col("r.source.id").alias("subject"), F.col("r.type").alias("predicate"), F.col("r.target.id").alias("object"), F.col("r.source.type").alias("subject_type"),
+    return r.select("doc", F.col("r.source.id").alias("subject"), F.col("r.type").alias("predicate"), F.col("r.target.id").alias("object"),
+        F.col("r.source.type").alias("subject_type"),
                     F.col("r.target.type").alias("object_type"))
 
 
 def from_annotated(rows: DataFrame) -> DataFrame:
     """Annotated documents (document_id, extractions of text, attributes map, char_interval) -> a triple per attribute."""
     e = rows.select(F.col("document_id").alias("doc"), F.explode("extractions").alias("e"))
-    return e.select("doc", F.col("e.extraction_text").alias("subject"), F.explode("e.attributes").alias("predicate", "object"), F.col("e.extraction_class").alias("subject_type"),
+    return e.select("doc", F.col("e.extraction_text").alias("subject"), F.explode("e.attributes").alias("predicate", "object"),
+        F.col("e.extraction_class").alias("subject_type"),
                     F.col("e.char_interval.start_pos").alias("start"), F.col("e.char_interval.end_pos").alias("end"),
                     F.when(F.col("e.alignment_status") == "match_exact", F.col("e.extraction_text")).alias("quote"))
 
@@ -234,13 +249,17 @@ def from_annotated(rows: DataFrame) -> DataFrame:
 def from_lexical_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (id, name, label, chunks array) and edges (source, target, type) -> triples; a relation whose ends share one
     chunk is evidenced by it, else by the document."""
-    s = nodes.select(F.col("id").alias("source"), F.col("name").alias("subject"), F.col("label").alias("subject_type"), F.col("chunks").alias("cs"))
-    t = nodes.select(F.col("id").alias("target"), F.col("name").alias("object"), F.col("label").alias("object_type"), F.col("chunks").alias("ct"))
+    s = nodes.select(F.col("id").alias("source"), F.col("name").alias("subject"), F.col("label").alias("subject_type"),
+        F.col("chunks").alias("cs"))
+    t = nodes.select(F.col("id").alias("target"), F.col("name").alias("object"), F.col("label").alias("object_type"),
+        F.col("chunks").alias("ct"))
     x = edges.join(s, "source").join(t, "target").withColumn("both", F.array_intersect("cs", "ct"))
-    return x.select("subject", F.col("type").alias("predicate"), "object", "subject_type", "object_type", F.when(F.size("both") == 1, F.get("both", F.lit(0))).alias("chunk"))
+    return x.select("subject", F.col("type").alias("predicate"), "object", "subject_type", "object_type",
+        F.when(F.size("both") == 1, F.get("both", F.lit(0))).alias("chunk"))
 
 
-READERS = {"txt": read_text, "md": read_markdown, "html": read_html, "htm": read_html, "csv": read_csv, "tsv": read_tsv, "json": read_json, "jsonl": read_jsonl, "parquet": read_parquet,
+READERS = {"txt": read_text, "md": read_markdown, "html": read_html, "htm": read_html, "csv": read_csv, "tsv": read_tsv, "json": read_json,
+    "jsonl": read_jsonl, "parquet": read_parquet,
            "docx": read_docx, "pdf": read_pdf}
 
 
@@ -268,5 +287,7 @@ def join_by_stem(triples: DataFrame, documents: DataFrame) -> DataFrame:
     """triples (doc) with doc_id: the document of that id, else the first (by ord, or by uri
     where there is none) whose file stem it is."""
     by_id = documents.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("_id"))
-    stems = documents.withColumn("doc", stem_of_path(F.col("uri"))).groupBy("doc").agg(F.min_by("doc_id", "ord" if "ord" in documents.columns else "uri").alias("_stem"))
-    return triples.join(by_id, "doc", "left").join(stems, "doc", "left").withColumn("doc_id", F.coalesce("_id", "_stem")).drop("_id", "_stem")
+    stems = documents.withColumn("doc",
+        stem_of_path(F.col("uri"))).groupBy("doc").agg(F.min_by("doc_id", "ord" if "ord" in documents.columns else "uri").alias("_stem"))
+    return triples.join(by_id, "doc", "left").join(stems, "doc", "left").withColumn("doc_id", F.coalesce("_id", "_stem")).drop("_id",
+        "_stem")

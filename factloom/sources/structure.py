@@ -15,7 +15,8 @@ RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
-XSD_RANGES = {"string": "string", "integer": "integer", "int": "integer", "long": "integer", "decimal": "number", "double": "number", "float": "number",
+XSD_RANGES = {"string": "string", "integer": "integer", "int": "integer", "long": "integer", "decimal": "number", "double": "number",
+    "float": "number",
               "boolean": "boolean", "date": "date", "dateTime": "datetime"}
 
 
@@ -60,11 +61,13 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     form = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$'
     x = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     line = F.when(F.col("value").rlike(form), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no triple: "), F.col("value"))))
-    x = x.select(line.alias("value")).select(*[F.regexp_extract("value", form, k).alias(f"g{k}") for k in range(1, 9)], F.col("value").rlike(r'^\s*\S+\s+<[^>]*>\s+"').alias("literal"))
+    x = x.select(line.alias("value")).select(*[F.regexp_extract("value", form, k).alias(f"g{k}") for k in range(1, 9)],
+        F.col("value").rlike(r'^\s*\S+\s+<[^>]*>\s+"').alias("literal"))
     text = F.col("g6")
     for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    return x.select(F.concat("g1", "g2").alias("s"), F.col("g3").alias("p"), F.when(F.col("literal"), text).otherwise(F.concat("g4", "g5")).alias("o"), "literal", F.concat("g7", "g8").alias("tag"))
+    return x.select(F.concat("g1", "g2").alias("s"), F.col("g3").alias("p"),
+        F.when(F.col("literal"), text).otherwise(F.concat("g4", "g5")).alias("o"), "literal", F.concat("g7", "g8").alias("tag"))
 
 
 def local_name(iri: Column) -> Column:
@@ -74,7 +77,8 @@ def local_name(iri: Column) -> Column:
 def ontology_from_rdf(triples: DataFrame) -> dict:
     """Classes, sub-classes, domains, ranges, functional and symmetric properties, inverses and labels -> an ontology
     dictionary. Only declarations reach the driver; statements about instances are filtered out before."""
-    kinds = [RDFS + "Class", OWL + "Class", SKOS + "Concept", RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "FunctionalProperty", OWL + "SymmetricProperty"]
+    kinds = [RDFS + "Class", OWL + "Class", SKOS + "Concept", RDF + "Property", OWL + "ObjectProperty", OWL + "DatatypeProperty",
+        OWL + "FunctionalProperty", OWL + "SymmetricProperty"]
     links = [RDFS + "subClassOf", SKOS + "broader", RDFS + "domain", RDFS + "range", OWL + "inverseOf"]
     names = [RDFS + "label", SKOS + "prefLabel", SKOS + "altLabel"]
     declared = triples.where((F.col("p").isin(links)) | ((F.col("p") == RDF + "type") & F.col("o").isin(kinds)))
@@ -118,5 +122,6 @@ def source_places(parts: Column, start: Column, end: Column) -> Column:
     """parts array of struct(start, end, unit, from): where pieces of a source's units went in the text -> array of
     struct(unit, start, end): the places in the source that a span of the text covers."""
     hit = F.filter(parts, lambda p: (p["start"] < end) & (p["end"] > start))
-    return F.transform(hit, lambda p: F.struct(p["unit"].alias("unit"), (p["from"] + F.greatest(start - p["start"], F.lit(0))).alias("start"),
+    return F.transform(hit, lambda p: F.struct(p["unit"].alias("unit"),
+        (p["from"] + F.greatest(start - p["start"], F.lit(0))).alias("start"),
                                                (p["from"] + F.least(end, p["end"]) - p["start"]).alias("end")))

@@ -96,7 +96,8 @@ def words(max_words: int = 200, overlap: int = 0) -> Stage:
 @builtin("chunker", "document")
 def whole_documents() -> Stage:
     """A chunk a document."""
-    return lambda context, t: {"chunks": t["documents"].select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("start"), F.length("text").alias("end"), "text")}
+    return lambda context, t: {"chunks": t["documents"].select("doc_id", F.lit(0).alias("idx"), F.lit(0).alias("start"),
+        F.length("text").alias("end"), "text")}
 
 
 @builtin("router", "length")
@@ -113,21 +114,26 @@ def by_length(least: int = 1, scope: str = "chunk") -> Stage:
 
 def _candidates(rows: DataFrame, extractor: str, confidence: float) -> DataFrame:
     """Rows (doc_id, subject, s_type, predicate, value) as candidates."""
-    return rows.select("doc_id", "subject", "s_type", "predicate", F.col("value").alias("object"), F.lit(None).cast("string").alias("o_type"), F.col("value").alias("quote"),
-                       F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(extractor).alias("extractor"), F.lit(confidence).alias("confidence"))
+    return rows.select("doc_id", "subject", "s_type", "predicate", F.col("value").alias("object"),
+        F.lit(None).cast("string").alias("o_type"), F.col("value").alias("quote"),
+                       F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(extractor).alias("extractor"),
+                       F.lit(confidence).alias("confidence"))
 
 
 def pattern_candidates(context: Context, documents: DataFrame, subject: str) -> DataFrame:
     """Key-value blocks (the key folded to `subject` names what a block is about) and pipe tables (their first column does)."""
     kv = extract.key_value_facts(documents)
     about = kv.where(X.fold(F.col("key")) == X.fold(F.lit(subject))).groupBy("doc_id", "block").agg(F.min("value").alias("subject"))
-    blocks = kv.join(about, ["doc_id", "block"]).where(X.fold(F.col("key")) != X.fold(F.lit(subject))).select("doc_id", "subject", F.lit("Thing").alias("s_type"), F.col("key").alias("predicate"), "value")
+    blocks = kv.join(about, ["doc_id", "block"]).where(X.fold(F.col("key")) != X.fold(F.lit(subject))).select("doc_id", "subject",
+        F.lit("Thing").alias("s_type"), F.col("key").alias("predicate"), "value")
     cells = extract.table_cells(documents)
     lead = cells.where("k = 0").select("doc_id", "table", "row", F.col("value").alias("subject"))
-    rows = cells.where("k > 0").join(lead, ["doc_id", "table", "row"]).select("doc_id", "subject", F.lit("Thing").alias("s_type"), F.col("column").alias("predicate"), "value")
+    rows = cells.where("k > 0").join(lead, ["doc_id", "table", "row"]).select("doc_id", "subject", F.lit("Thing").alias("s_type"),
+        F.col("column").alias("predicate"), "value")
     found = blocks.union(rows)
     if context.ontology.get("predicates"):
-        names = [(form, n, place) for n, b in context.ontology["predicates"].items() for form, place in [(n, 0), *((a, 2) for a in b.get("aliases", []))]]
+        names = [(form, n, place) for n, b in context.ontology["predicates"].items() for form,
+            place in [(n, 0), *((a, 2) for a in b.get("aliases", []))]]
         found = extract.match_predicates(found, context.spark.createDataFrame(names, "form string, name string, priority int"))
     return _candidates(found.select("doc_id", "subject", "s_type", "predicate", "value"), "pattern", 0.9)
 
@@ -163,8 +169,10 @@ def hybrid(subject: str = "name") -> Stage:
 def values(intervals: list[str] | None = None, day_first: bool | None = None) -> Stage:
     def stage(context: Context, t: Tables) -> Tables:
         none = F.create_map().cast("map<string,string>")
-        x = t["candidates"].withColumn("o_kind", F.when(F.col("o_type").isNotNull(), "entity").otherwise("value")).withColumn("o_repr", F.col("object"))
-        x = naming.normalise_values(x.withColumn("qualifiers", none).withColumn("source_form", none), intervals or ["start_time", "end_time"], day_first)
+        x = t["candidates"].withColumn("o_kind", F.when(F.col("o_type").isNotNull(), "entity").otherwise("value")).withColumn("o_repr",
+            F.col("object"))
+        x = naming.normalise_values(x.withColumn("qualifiers", none).withColumn("source_form", none),
+            intervals or ["start_time", "end_time"], day_first)
         return {"candidates": x.withColumn("object", F.col("o_repr")).drop("o_kind", "o_repr", "qualifiers", "source_form")}
 
     return stage
@@ -175,15 +183,18 @@ def _evidence(t: Tables) -> DataFrame:
     docs = t["documents"].select("doc_id", F.col("text").alias("_text"), "uri", "tier")
     x = t["candidates"].join(docs, "doc_id")
     found = F.when(F.col("quote") != "", F.expr("locate(quote, _text)"))
-    x = x.withColumn("start", F.coalesce("start", F.when(found > 0, (found - 1).cast("int")))).withColumn("end", F.coalesce("end", F.when(found > 0, (found - 1 + F.length("quote")).cast("int"))))
-    x = x.withColumn("status", spans.span_status(F.col("doc_id"), F.col("doc_id"), F.col("_text"), F.col("start"), F.col("end"), F.col("quote"))).drop("_text")
+    x = x.withColumn("start", F.coalesce("start", F.when(found > 0, (found - 1).cast("int")))).withColumn("end",
+        F.coalesce("end", F.when(found > 0, (found - 1 + F.length("quote")).cast("int"))))
+    x = x.withColumn("status", spans.span_status(F.col("doc_id"), F.col("doc_id"), F.col("_text"), F.col("start"), F.col("end"),
+        F.col("quote"))).drop("_text")
     return x
 
 
 @builtin("grounder", "span")
 def span() -> Stage:
     """A candidate whose span is not in its document is not found; the others stay unchecked."""
-    return lambda context, t: {"candidates": _evidence(t).withColumn("verdict", F.when(F.col("status") == "located", "unchecked").otherwise("not_found")).drop("status")}
+    return lambda context, t: {"candidates": _evidence(t).withColumn("verdict",
+        F.when(F.col("status") == "located", "unchecked").otherwise("not_found")).drop("status")}
 
 
 @builtin("grounder", "checked")
@@ -220,12 +231,15 @@ def merge() -> Stage:
             x = x.join(t["documents"].select("doc_id", "uri", "tier"), "doc_id")
         s_key, o_key = X.entity_key(F.col("s_type"), F.col("subject")), X.entity_key(F.coalesce("o_type", F.lit("Thing")), F.col("object"))
         entity = F.col("o_type").isNotNull()
-        x = x.withColumn("s_key", s_key).withColumn("o_kind", F.when(entity, "entity").otherwise("value")).withColumn("o_key", F.when(entity, o_key)).withColumn("o_repr", F.col("object"))
-        x = x.withColumn("source", X.source_of(F.col("uri"), F.col("doc_id"))).withColumn("tier_w", _tier_weight()).withColumn("retrieved_at", F.lit(None).cast("timestamp"))
+        x = x.withColumn("s_key", s_key).withColumn("o_kind", F.when(entity, "entity").otherwise("value")).withColumn("o_key",
+            F.when(entity, o_key)).withColumn("o_repr", F.col("object"))
+        x = x.withColumn("source", X.source_of(F.col("uri"), F.col("doc_id"))).withColumn("tier_w",
+            _tier_weight()).withColumn("retrieved_at", F.lit(None).cast("timestamp"))
         x = x.withColumn("sig", claims.signature(F.col("s_key"), F.col("predicate"), F.coalesce("o_key", "o_repr")))
         key = ["sig", "s_key", "s_type", "predicate", "o_kind", "o_key", "o_type", "o_repr", "problem"]
         facts = claims.merge_claims(x, key, "verdict").drop("retrieved_at")
-        ends = x.select(F.col("s_key").alias("key"), F.col("s_type").alias("type"), F.col("subject").alias("label")).union(x.where(entity).select("o_key", "o_type", "object"))
+        ends = x.select(F.col("s_key").alias("key"), F.col("s_type").alias("type"),
+            F.col("subject").alias("label")).union(x.where(entity).select("o_key", "o_type", "object"))
         return {"evidence": x, "facts": facts, "entities": ends.groupBy("key", "type").agg(F.min("label").alias("label"))}
 
     return stage
@@ -236,7 +250,8 @@ def names(threshold: float = 0.9, max_block: int = 100) -> Stage:
     """Entities of one name become one: facts are re-keyed and merged again."""
 
     def stage(context: Context, t: Tables) -> Tables:
-        e = t["entities"].withColumn("aliases", F.array().cast("array<string>")).withColumn("external_id", F.lit(None).cast("string")).withColumn("attributes", F.create_map().cast("map<string,string>"))
+        e = t["entities"].withColumn("aliases", F.array().cast("array<string>")).withColumn("external_id",
+            F.lit(None).cast("string")).withColumn("attributes", F.create_map().cast("map<string,string>"))
         p = cut(resolve.profiles(e))
         links = cut(resolve.judge(cut(resolve.candidate_pairs(p, max_block)), p, threshold))
         same = links.withColumn("kind", F.when(F.col("kind") == "similar", "same_as").otherwise(F.col("kind")))
@@ -244,13 +259,16 @@ def names(threshold: float = 0.9, max_block: int = 100) -> Stage:
         facts = resolve.rekey(t["facts"], mapping)
         facts = facts.withColumn("sig", claims.signature(F.col("s_key"), F.col("predicate"), F.coalesce("o_key", "o_repr")))
         key = ["sig", "s_key", "s_type", "predicate", "o_kind", "o_key", "o_type", "o_repr", "problem"]
-        best = F.min_by("verdict", F.array_position(F.array(*map(F.lit, ("supported", "contradicted", "not_found", "unchecked"))), F.col("verdict")))
+        best = F.min_by("verdict",
+            F.array_position(F.array(*map(F.lit, ("supported", "contradicted", "not_found", "unchecked"))), F.col("verdict")))
         # sources of re-keyed facts are counted over the evidence of all of them
-        to = mapping.select(F.col("key").alias("s_key"), F.col("canonical").alias("_s")), mapping.select(F.col("key").alias("o_key"), F.col("canonical").alias("_o"))
+        to = mapping.select(F.col("key").alias("s_key"), F.col("canonical").alias("_s")), mapping.select(F.col("key").alias("o_key"),
+            F.col("canonical").alias("_o"))
         ev = t["evidence"].join(to[0], "s_key", "left").join(to[1], "o_key", "left")
         ev = ev.withColumn("sig", claims.signature(F.coalesce("_s", "s_key"), F.col("predicate"), F.coalesce("_o", "o_key", "o_repr")))
         counted = ev.groupBy("sig").agg(F.count_distinct("source").alias("support"), F.count_distinct("doc_id").alias("documents"))
-        merged = facts.groupBy(*key).agg(F.max("tier_w").alias("tier_w"), F.max("confidence").alias("confidence"), best.alias("verdict")).join(counted, "sig")
+        merged = facts.groupBy(*key).agg(F.max("tier_w").alias("tier_w"), F.max("confidence").alias("confidence"),
+            best.alias("verdict")).join(counted, "sig")
         kept = t["entities"].join(mapping.where("key <> canonical").select("key"), "key", "left_anti")
         return {"facts": merged.select(*t["facts"].columns), "links": links.where("kind IS NOT NULL"), "entities": kept, "mapping": mapping}
 

@@ -79,7 +79,8 @@ class VersionedStore:
         """The last batch of a stream that is stored, -1 if none is."""
         return self.versions.note().get("streams", {}).get(stream, -1)
 
-    def replace(self, df: DataFrame, touched: list[int] | None = None, stream: str | None = None, batch: int = 0, totals: dict | None = None) -> None:
+    def replace(self, df: DataFrame, touched: list[int] | None = None, stream: str | None = None, batch: int = 0,
+        totals: dict | None = None) -> None:
         """Write df as the rows of the touched buckets (all of them by default) in a new version."""
         note, v = self.versions.note(), (self.version() if self.version() is not None else -1) + 1
         df.withColumn("_bucket", self._bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/v{v}")
@@ -99,7 +100,8 @@ class VersionedStore:
         """Sums of what the batches counted."""
         return self.versions.note().get("totals", {})
 
-    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], stream: str | None = None, number: int = 0,
+    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], stream: str | None = None,
+        number: int = 0,
                totals: dict | None = None) -> None:
         """merge(stored rows or None, batch) becomes the rows of the buckets that the batch's keys fall into."""
         if stream is not None and self.done(stream) >= number:
@@ -109,7 +111,8 @@ class VersionedStore:
             self.replace(merge(self.read(touched), batch), touched, stream, number, totals)
 
 
-def upsert_stream(source: DataFrame, store: VersionedStore, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str) -> None:
+def upsert_stream(source: DataFrame, store: VersionedStore, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+    checkpoint: str) -> None:
     """Run every available micro-batch of a streaming DataFrame: merge(stored rows of the same buckets or None, batch) replaces
     them. A batch that is run again after a failure is not applied twice; a new checkpoint is a new stream, which goes
     on from what is stored."""
@@ -141,4 +144,5 @@ def tumbling(events: DataFrame, time: str, width: str, late: str, *aggs) -> Data
 def sessions(events: DataFrame, key: str, time: str, gap: str, *aggs) -> DataFrame:
     """Extension: sessions of a key that end after `gap` without an event."""
     w = events.groupBy(key, F.session_window(time, gap)).agg(*aggs)
-    return w.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *[c for c in w.columns if c not in (key, "session_window")])
+    return w.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"),
+        *[c for c in w.columns if c not in (key, "session_window")])

@@ -88,7 +88,8 @@ class StreamedValidation:
         return run.gated_facts(self.spark, self.config, stored)
 
 
-def streamed_stages(source: DataFrame, stages: list[Callable[[DataFrame], DataFrame]], store: VersionedStore, key: list[str], checkpoint: str) -> None:
+def streamed_stages(source: DataFrame, stages: list[Callable[[DataFrame], DataFrame]], store: VersionedStore, key: list[str],
+    checkpoint: str) -> None:
     """A streamed run of any stages: each micro-batch goes through all of them and is added to the store by `key`."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
@@ -119,5 +120,6 @@ def serve_names(names: VersionedStore, batch: DataFrame) -> DataFrame:
     """batch (stem, doc_id) of documents seen -> stem, doc_id for all names served so far: the first document that had a name keeps it, in
     later batches too."""
     first = batch.groupBy("stem").agg(F.min("doc_id").alias("doc_id"))
-    names.upsert(first, lambda before, new: new if before is None else before.unionByName(new.join(before.select("stem"), "stem", "left_anti")))
+    names.upsert(first, lambda before,
+        new: new if before is None else before.unionByName(new.join(before.select("stem"), "stem", "left_anti")))
     return names.read()

@@ -26,7 +26,8 @@ def values(spark, texts, *exprs):
 
 
 @pytest.mark.parametrize("text, key, form", [
-    ("Acme, Inc.", "acme", "inc"), ("ACME Corporation Ltd", "acme", "ltd"), ("The Limited", "limited", "ltd"), ("Société Générale S.A.", "societe generale", "sa"),
+    ("Acme, Inc.", "acme", "inc"), ("ACME Corporation Ltd", "acme", "ltd"), ("The Limited", "limited", "ltd"),
+    ("Société Générale S.A.", "societe generale", "sa"),
     ("Smith & Sons", "smith and sons", None), ("Straße GmbH", "strasse", "gmbh"), ("I.B.M. Company", "ibm", "co"), ("", "", None)])
 def test_names(spark, text, key, form):
     assert values(spark, [text], X.name_key(F.col("t")), X.legal_form(F.col("t"))) == [(key, form)]
@@ -38,25 +39,31 @@ def test_person_names(spark):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("https://www.acme.com/", "acme.com"), ("acme.com", "acme.com"), ("https://www.linkedin.com/in/alice", None), ("ACME.co.uk:8080", "acme.co.uk"), ("no domain", None), ("-a.com", None)])
+    ("https://www.acme.com/", "acme.com"), ("acme.com", "acme.com"), ("https://www.linkedin.com/in/alice", None),
+    ("ACME.co.uk:8080", "acme.co.uk"), ("no domain", None), ("-a.com", None)])
 def test_domain(spark, text, want):
     assert values(spark, [text], X.domain_of(F.col("t"))) == [(want,)]
 
 
 @pytest.mark.parametrize("text, want", [
-    ("10 December 1815", "1815-12-10"), ("Dec. 10th, 1815", "1815-12-10"), ("1815/12/10", "1815-12-10"), ("03/04/2020", None), ("31/12/2020", "2020-12-31"), ("05/05/2020", "2020-05-05"),
-    ("31 February 2020", None), ("2020-13", None), ("2020-7", "2020-07"), ("May 1999", "1999-05"), ("Foo 1999", None), ("2020-01-02 03:04", "2020-01-02T03:04"), ("", None), ("soon", None)])
+    ("10 December 1815", "1815-12-10"), ("Dec. 10th, 1815", "1815-12-10"), ("1815/12/10", "1815-12-10"), ("03/04/2020", None),
+    ("31/12/2020", "2020-12-31"), ("05/05/2020", "2020-05-05"),
+    ("31 February 2020", None), ("2020-13", None), ("2020-7", "2020-07"), ("May 1999", "1999-05"), ("Foo 1999", None),
+    ("2020-01-02 03:04", "2020-01-02T03:04"), ("", None), ("soon", None)])
 def test_dates(spark, text, want):
     assert values(spark, [text], V.normalize_date(F.col("t"))) == [(want,)]
 
 
 def test_day_first(spark):
-    assert values(spark, ["03/04/2020"], V.normalize_date(F.col("t"), True), V.normalize_date(F.col("t"), False)) == [("2020-04-03", "2020-03-04")]
+    assert values(spark, ["03/04/2020"], V.normalize_date(F.col("t"), True),
+        V.normalize_date(F.col("t"), False)) == [("2020-04-03", "2020-03-04")]
 
 
 @pytest.mark.parametrize("text, want", [
-    ("1,234", "1234"), ("5 km", "5000 m"), ("12.5 percent", "12.5 %"), ("€1.2bn", "1200000000 EUR"), ("$1.2bn", "1200000000 $"), ("1.5 GiB", "1610612736 B"), ("0123", None), ("1,5 km", None),
-    ("5 m", "5 m"), ("5 million", "5000000"), ("USD 5", "5 USD"), ("5 Mb", None), ("3 lbs", "1.36077711 kg"), ("", None), (None, None), ("US$5", "5 USD"), ("5 k", None), ("5 k EUR", "5000 EUR")])
+    ("1,234", "1234"), ("5 km", "5000 m"), ("12.5 percent", "12.5 %"), ("€1.2bn", "1200000000 EUR"), ("$1.2bn", "1200000000 $"),
+    ("1.5 GiB", "1610612736 B"), ("0123", None), ("1,5 km", None),
+    ("5 m", "5 m"), ("5 million", "5000000"), ("USD 5", "5 USD"), ("5 Mb", None), ("3 lbs", "1.36077711 kg"), ("", None), (None, None),
+    ("US$5", "5 USD"), ("5 k", None), ("5 k EUR", "5000 EUR")])
 def test_quantities(text, want):
     assert V.quantity(text) == want
 
@@ -71,8 +78,10 @@ def test_shingles_and_overlap(spark):
 
 
 def test_other_names(spark):
-    df = spark.createDataFrame([("bornInCity", "/a/b%20c.tar.gz", "bolt://me:pw@h/x", "wikidata: Q 95")], "n string, p string, u string, i string")
-    r = df.select(X.snake(F.col("n")), X.pascal(F.col("n")), X.stem_of_path(F.col("p")), X.without_password(F.col("u")), X.identifier_scheme(F.col("i")), X.identifier_value(F.col("i"))).first()
+    df = spark.createDataFrame([("bornInCity", "/a/b%20c.tar.gz", "bolt://me:pw@h/x", "wikidata: Q 95")],
+        "n string, p string, u string, i string")
+    r = df.select(X.snake(F.col("n")), X.pascal(F.col("n")), X.stem_of_path(F.col("p")), X.without_password(F.col("u")),
+        X.identifier_scheme(F.col("i")), X.identifier_value(F.col("i"))).first()
     assert tuple(r) == ("born_in_city", "BornInCity", "b c.tar", "bolt://me:***@h/x", "wikidata", "q95")
     assert values(spark, ["robert iii 1902", "mix civil"], X.name_numbers(F.col("t"))) == [(["1902", "iii"],), ([],)]
 
@@ -99,9 +108,11 @@ def test_chunks_cover_the_text(spark):
 
 
 def test_contest_ties_and_single(spark):
-    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 2.0), ("c", 1, 2.0), ("c", 2, 1.0), ("c", 3, 0.5)], "g string, v int, rank double")
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("b", 1, 2.0), ("c", 1, 2.0), ("c", 2, 1.0), ("c", 3, 0.5)],
+        "g string, v int, rank double")
     got = {(r["g"], r["v"]): (r["outcome"], r["ratio"]) for r in C.contest(df, ["g"], "v").collect()}
-    assert got == {("a", 1): ("tied", None), ("a", 2): ("tied", None), ("b", 1): (None, None), ("c", 1): ("won", None), ("c", 2): ("lost", 0.5), ("c", 3): ("lost", 0.25)}
+    assert got == {("a", 1): ("tied", None), ("a", 2): ("tied", None), ("b", 1): (None, None), ("c", 1): ("won", None),
+        ("c", 2): ("lost", 0.5), ("c", 3): ("lost", 0.25)}
 
 
 def test_interval_overlap(spark):
@@ -116,7 +127,8 @@ def test_rebase_and_upsert(spark):
 
     out = C.rebase(t((1, 9, 2)), t((1, 1, 2)), t((1, 1, 7), (2, 5, 5)), ["k"], ["a", "b"])
     assert sorted(map(tuple, out.collect())) == [(1, 9, 7), (2, 5, 5)]
-    assert sorted(map(tuple, C.upsert(t((1, 1, 1), (2, 2, 2)), t((2, 3, 3), (4, 4, 4)), ["k"]).collect())) == [(1, 1, 1), (2, 3, 3), (4, 4, 4)]
+    assert sorted(map(tuple, C.upsert(t((1, 1, 1), (2, 2, 2)), t((2, 3, 3), (4, 4, 4)), ["k"]).collect())) == [(1, 1, 1), (2, 3, 3),
+        (4, 4, 4)]
 
 
 def test_components(spark):
@@ -129,14 +141,16 @@ def test_components(spark):
 def test_near_pairs(spark):
     base = [f"w{k}" for k in range(60)]
     near = base[:30] + ["other"] + base[31:]
-    docs = spark.createDataFrame([(1, " ".join(base), "a"), (2, " ".join(near), "b"), (3, " ".join(base), "c"), (4, "x y z", "a"), (5, None, "b")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, " ".join(base), "a"), (2, " ".join(near), "b"), (3, " ".join(base), "c"), (4, "x y z", "a"),
+        (5, None, "b")], "doc_id long, text string, source string")
     got = shingle_pairs(docs, 0.8).collect()
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["jaccard"] == pytest.approx(51 / 61)
 
 
 def test_resolution_refusals(spark):
     schema = "key string, type string, label string, aliases array<string>, external_id string, attributes map<string,string>"
-    rows = [("a", "T", "Acme Inc", ["acme.com"], "reg:1", {}), ("b", "T", "Acme Ltd", ["acme.com"], None, {}), ("c", "T", "Acme", ["acme.com"], "reg:2", {}), ("d", "T", "Zeta", [], None, {})]
+    rows = [("a", "T", "Acme Inc", ["acme.com"], "reg:1", {}), ("b", "T", "Acme Ltd", ["acme.com"], None, {}),
+        ("c", "T", "Acme", ["acme.com"], "reg:2", {}), ("d", "T", "Zeta", [], None, {})]
     p = R.profiles(spark.createDataFrame(rows, schema))
     links = R.judge(R.candidate_pairs(p), p)
     kinds = {(r["a"], r["b"]): r["kind"] for r in links.collect()}
@@ -160,7 +174,8 @@ def test_matching_consumes_pairs(spark):
     schema = "doc_id long, ord long, subject string, predicate string, obj string"
     gold = spark.createDataFrame([(1, 1, "a", "p", "x"), (1, 2, "a", "p", "y"), (1, 3, "b", "p", "z"), (1, 4, "c", "q", "v")], schema)
     pred = spark.createDataFrame([(1, 1, "a", "p", "x"), (1, 2, "a", "p", "w"), (1, 3, "d", "p", "z"), (1, 4, "e", "r", "u")], schema)
-    got = sorted((r["kind"], r["gold_ord"], r["predicted_ord"]) for r in M.match_three_passes(gold, pred).collect() if r["gold_ord"] and r["predicted_ord"])
+    got = sorted((r["kind"], r["gold_ord"], r["predicted_ord"]) for r in M.match_three_passes(gold,
+        pred).collect() if r["gold_ord"] and r["predicted_ord"])
     assert got == [("correct", 1, 1), ("wrong_entity", 3, 3), ("wrong_value", 2, 2)]
 
 
@@ -175,8 +190,10 @@ def test_ontology_rules(spark):
 def test_extraction(spark):
     doc = "# Team\nName: Ada\nRole: lead\n\ntext\n| a | b |\n| --- | --- |\n| 1 | x \\| y |\n| 2 |  |\n## Sub\nEnd: 1"
     docs = spark.createDataFrame([(1, doc), (2, "no structure"), (3, None)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in E.key_value_facts(docs).select("heading", "key", "value").collect()) == [("Sub", "End", "1"), ("Team", "Name", "Ada"), ("Team", "Role", "lead")]
-    assert sorted(tuple(r) for r in E.table_facts(docs).select("row", "column", "value").collect()) == [(0, "a", "1"), (0, "b", "x | y"), (1, "a", "2")]
+    assert sorted(tuple(r) for r in E.key_value_facts(docs).select("heading", "key", "value").collect()) == [("Sub", "End", "1"),
+        ("Team", "Name", "Ada"), ("Team", "Role", "lead")]
+    assert sorted(tuple(r) for r in E.table_facts(docs).select("row", "column", "value").collect()) == [(0, "a", "1"), (0, "b", "x | y"),
+        (1, "a", "2")]
     assert [r["path"] for r in E.headings(docs).orderBy("pos").collect()] == ["Team", "Team > Sub"]
 
 

@@ -20,16 +20,21 @@ def test_paths():
 
 
 def test_at_path(spark):
-    df = spark.createDataFrame([(1, '{"a": [{"b": 1}, {"c": 2}, {"b": {"d": null}}]}'), (2, "{}"), (3, None), (4, "not json")], "id long, j string")
-    assert [(r["id"], r["pos"], r["value"]) for r in S.at_path(df, "j", "a[*].b").orderBy("pos").collect()] == [(1, [0], "1"), (1, [2], '{"d":null}')]
+    df = spark.createDataFrame([(1, '{"a": [{"b": 1}, {"c": 2}, {"b": {"d": null}}]}'), (2, "{}"), (3, None), (4, "not json")],
+        "id long, j string")
+    assert [(r["id"], r["pos"], r["value"]) for r in S.at_path(df, "j", "a[*].b").orderBy("pos").collect()] == [(1, [0], "1"),
+        (1, [2], '{"d":null}')]
     assert S.at_path(df, "j", "a[1].c").first()["value"] == "2"
 
 
 def test_rdf_ontology(spark, tmp_path):
     x = "http://e.org/v#"
-    lines = [f"<{x}Town> <{S.RDFS}subClassOf> <{x}Place> .", f"<{x}Place> <{S.RDF}type> <{S.OWL}Class> .", f'<{x}Place> <{S.RDFS}label> "spot \\"x\\""@en .',
-             f"<{x}in> <{S.RDFS}domain> <{x}Town> .", f"<{x}in> <{S.RDFS}range> <{x}Place> .", f"<{x}in> <{S.OWL}inverseOf> <{x}holds> .", f"<{x}holds> <{S.RDF}type> <{S.OWL}ObjectProperty> .",
-             f"<{x}size> <{S.RDFS}range> <{S.XSD}int> .", f"<{x}size> <{S.RDF}type> <{S.OWL}FunctionalProperty> .", "# note", "", f'<{x}t1> <{x}size> "5"^^<{S.XSD}int> .']
+    lines = [f"<{x}Town> <{S.RDFS}subClassOf> <{x}Place> .", f"<{x}Place> <{S.RDF}type> <{S.OWL}Class> .",
+        f'<{x}Place> <{S.RDFS}label> "spot \\"x\\""@en .',
+             f"<{x}in> <{S.RDFS}domain> <{x}Town> .", f"<{x}in> <{S.RDFS}range> <{x}Place> .", f"<{x}in> <{S.OWL}inverseOf> <{x}holds> .",
+             f"<{x}holds> <{S.RDF}type> <{S.OWL}ObjectProperty> .",
+             f"<{x}size> <{S.RDFS}range> <{S.XSD}int> .", f"<{x}size> <{S.RDF}type> <{S.OWL}FunctionalProperty> .", "# note", "",
+             f'<{x}t1> <{x}size> "5"^^<{S.XSD}int> .']
     (tmp_path / "o.nt").write_text("\n".join(lines))
     o = S.ontology_from_rdf(S.read_ntriples(spark, str(tmp_path / "o.nt")))
     assert o["types"] == {"Town": {"parents": ["Place"], "aliases": []}, "Place": {"parents": [], "aliases": ['spot "x"']}}
@@ -47,7 +52,8 @@ def test_source_places(spark):
 
 
 def test_match_by_ids_takes_each_gold_once(spark):
-    p = spark.createDataFrame([("d", 1, "Ann", "r", "B"), ("d", 2, "ann", "r", "b"), ("d", 3, "X", "r", "B")], "doc string, ord long, subject string, relation string, object string")
+    p = spark.createDataFrame([("d", 1, "Ann", "r", "B"), ("d", 2, "ann", "r", "b"), ("d", 3, "X", "r", "B")],
+        "doc string, ord long, subject string, relation string, object string")
     n = spark.createDataFrame([("d", "Ann", "1"), ("d", "ann", "2"), ("d", "b", "9")], "doc string, name string, id string")
     g = spark.createDataFrame([("d", "1", "r", "9"), ("d", "2", "r", "9")], "doc string, s string, relation string, o string")
     assert [r["matched"] for r in L.match_by_ids(p, n, g).orderBy("ord").collect()] == [True, True, False]
@@ -64,9 +70,13 @@ def test_sheets_round_trip(spark):
 
 
 def test_ontology_texts():
-    o = {"types": {"T": {"keys": ["n"]}, "U": {"parents": ["T"]}}, "predicates": {"n": {"domain": ["T"], "importance": 0.2}, "r": {"domain": ["U"], "range": "T", "importance": 0.9}, "z": {"domain": ["V"]}}}
-    assert O.snippet(o, "U", 1) == {"type": "U", "predicates": ["r"], "truncated": True} and O.snippet(o, "T") == {"type": "T", "predicates": ["n"], "truncated": False}
-    assert D.ddl(o) == ["CREATE CONSTRAINT IF NOT EXISTS FOR (n:`T`) REQUIRE n.key IS UNIQUE;", "CREATE CONSTRAINT IF NOT EXISTS FOR (n:`U`) REQUIRE n.key IS UNIQUE;",
+    o = {"types": {"T": {"keys": ["n"]}, "U": {"parents": ["T"]}},
+        "predicates": {"n": {"domain": ["T"], "importance": 0.2}, "r": {"domain": ["U"], "range": "T", "importance": 0.9},
+        "z": {"domain": ["V"]}}}
+    assert O.snippet(o, "U", 1) == {"type": "U", "predicates": ["r"], "truncated": True} and O.snippet(o, "T") == {"type": "T",
+        "predicates": ["n"], "truncated": False}
+    assert D.ddl(o) == ["CREATE CONSTRAINT IF NOT EXISTS FOR (n:`T`) REQUIRE n.key IS UNIQUE;",
+        "CREATE CONSTRAINT IF NOT EXISTS FOR (n:`U`) REQUIRE n.key IS UNIQUE;",
                         "CREATE INDEX IF NOT EXISTS FOR (n:`T`) ON (n.`n`);", "CREATE INDEX IF NOT EXISTS FOR ()-[r:`r`]-() ON (r.sig);"]
 
 
@@ -74,7 +84,8 @@ def test_config_errors():
     ok = {"documents": {"path": "d"}, "triples": {"path": "t"}, "output": {"path": "/o"}}
     c = run.load_config(json.dumps(ok), "/base")
     assert c.documents["path"] == "/base/d" and c.output["path"] == "/o"
-    for broken, message in (({**ok, "documnts": {}}, "did you mean 'documents'"), ({**ok, "gate": {"marks": 1}}, "gate.marks: unknown key, did you mean 'mark'"), ({**ok, "output": {}}, "output.path: missing")):
+    for broken, message in (({**ok, "documnts": {}}, "did you mean 'documents'"),
+        ({**ok, "gate": {"marks": 1}}, "gate.marks: unknown key, did you mean 'mark'"), ({**ok, "output": {}}, "output.path: missing")):
         with pytest.raises(ValueError, match=message):
             run.load_config(json.dumps(broken))
 
@@ -84,13 +95,18 @@ def test_whole_run_and_reconcile(spark, tmp_path, capsys):
     docs.mkdir()
     (docs / "a.txt").write_text("Ann lives in Rome.")
     (docs / "b.txt").write_text("Ann is in Rome, not Oslo.")
-    rows = [{"doc": d, "subject": "Ann", "predicate": "lives_in", "object": o, "subject_type": "Person", "object_type": "City", "confidence": 0.8, **more}
-            for d, o, more in (("a", "Rome", {"start": 0, "end": 17}), ("b", "Rome", {"quote": "in Rome"}), ("b", "Oslo", {}), ("a", "Bern", {"start": 5, "end": 500}))]
+    rows = [{"doc": d, "subject": "Ann", "predicate": "lives_in", "object": o, "subject_type": "Person", "object_type": "City",
+        "confidence": 0.8, **more}
+            for d, o, more in (("a", "Rome", {"start": 0, "end": 17}), ("b", "Rome", {"quote": "in Rome"}), ("b", "Oslo", {}),
+            ("a", "Bern", {"start": 5, "end": 500}))]
     rows.append({"doc": "a", "subject": "Ann", "predicate": "owns", "object": "Rome", "subject_type": "Person", "object_type": "City"})
     (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, rows)))
-    (tmp_path / "o.json").write_text(json.dumps({"types": {"Person": {}, "City": {}}, "predicates": {"lives_in": {"domain": ["Person"], "range": "City"}}}))
-    (tmp_path / "v.jsonl").write_text(json.dumps({"doc": "b.txt", "s_key": "Person:ann", "predicate": "lives_in", "o_repr": "Oslo", "verdict": "contradicted"}))
-    (tmp_path / "c.json").write_text(json.dumps({"documents": {"path": "docs"}, "triples": {"path": "t.jsonl"}, "ontology": "o.json", "verdicts": {"path": "v.jsonl"}, "gate": {"refuse_not_found": True}, "output": {"path": "out"}}))
+    (tmp_path / "o.json").write_text(json.dumps({"types": {"Person": {}, "City": {}},
+        "predicates": {"lives_in": {"domain": ["Person"], "range": "City"}}}))
+    (tmp_path / "v.jsonl").write_text(json.dumps({"doc": "b.txt", "s_key": "Person:ann", "predicate": "lives_in", "o_repr": "Oslo",
+        "verdict": "contradicted"}))
+    (tmp_path / "c.json").write_text(json.dumps({"documents": {"path": "docs"}, "triples": {"path": "t.jsonl"}, "ontology": "o.json",
+        "verdicts": {"path": "v.jsonl"}, "gate": {"refuse_not_found": True}, "output": {"path": "out"}}))
     assert run.main(["validate", str(tmp_path / "c.json")], spark) == 0
     counts = json.loads(capsys.readouterr().out)
     assert counts == {"facts": 1, "entities": 1, "evidence": 2, "refused": 3}
@@ -106,7 +122,8 @@ def test_whole_run_and_reconcile(spark, tmp_path, capsys):
 
 
 def test_eval_command(spark, tmp_path, capsys):
-    gold = [{"doc_id": "d", "ord": 0, "subject": "a", "predicate": "p", "obj": "x"}, {"doc_id": "d", "ord": 1, "subject": "a", "predicate": "q", "obj": "y"}]
+    gold = [{"doc_id": "d", "ord": 0, "subject": "a", "predicate": "p", "obj": "x"},
+        {"doc_id": "d", "ord": 1, "subject": "a", "predicate": "q", "obj": "y"}]
     (tmp_path / "g.jsonl").write_text("\n".join(map(json.dumps, gold)))
     (tmp_path / "p.jsonl").write_text(json.dumps(gold[0]))
     run.main(["eval", str(tmp_path / "g.jsonl"), str(tmp_path / "p.jsonl")], spark)

@@ -78,7 +78,8 @@ def test_store_is_idempotent(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
-    facts = spark.createDataFrame([("s1", "a", "T", "knows", "entity", "b", "T", None, "asserted", {}, None, None, 0.9), ("s2", "a", "T", "size", "value", None, None, 'it\'s "5"', "denied", {}, None, None, 0.5)],
+    facts = spark.createDataFrame([("s1", "a", "T", "knows", "entity", "b", "T", None, "asserted", {}, None, None, 0.9),
+        ("s2", "a", "T", "size", "value", None, None, 'it\'s "5"', "denied", {}, None, None, 0.5)],
                                   "sig string, s_key string, s_type string, predicate string, o_kind string, o_key string, o_type string, o_repr string, polarity string, qualifiers map<string,string>, "
                                   "outcome string, retired_at timestamp, confidence double")
     lines = [r[0] for r in W.ntriples(facts).collect()]
@@ -99,7 +100,8 @@ def test_incremental_equals_whole(spark, tmp_path):
 
 
 def test_provider(spark):
-    req = spark.createDataFrame([("d1", "x"), ("d2", "boom")], "doc_id string, prompt string").withColumn("cache_key", P.cache_key(F.col("prompt")))
+    req = spark.createDataFrame([("d1", "x"), ("d2", "boom")], "doc_id string, prompt string").withColumn("cache_key",
+        P.cache_key(F.col("prompt")))
     recorded = spark.createDataFrame([], P.ANSWERS)
 
     def model(prompt):

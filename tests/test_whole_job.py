@@ -25,7 +25,8 @@ def test_mcnemar_reads_every_label(spark, tmp_path, gained, lost, same):
     marks = [(0, 0)] * gained + [(1, 1)] * lost + [(1, 0)] * same
     d = table_of(spark, tmp_path, "labels", [(k, q, t) for k, (q, t) in enumerate(marks)], "doc_id long, quality int, toxic int")
     r = evaluation.mcnemar_flips(spark, d).first()
-    assert (r["items"], r["gained"], r["lost"]) == (len(marks), gained, lost) and r["p_value"] == pytest.approx(exact_p(gained, lost), abs=1e-6)
+    assert (r["items"], r["gained"], r["lost"]) == (len(marks), gained, lost) and r["p_value"] == pytest.approx(exact_p(gained, lost),
+        abs=1e-6)
 
 
 def test_mcnemar_against_the_whole_table(spark, duck):
@@ -56,7 +57,9 @@ def test_links_of_country_parts_of_21_to_100_rows(spark, tmp_path):
     assert entities.name_similarity_links(spark, d).where("kind = 'similar'").count() > 0
 
 
-@pytest.mark.parametrize("gained, lost, verdict", [(60, 10, "better"), (10, 60, "worse"), (30, 28, "inconclusive"), (4, 0, "inconclusive"), (0, 0, "inconclusive")])  # four one-way flips: p is 0.125
+@pytest.mark.parametrize("gained, lost, verdict",
+    [(60, 10, "better"), (10, 60, "worse"), (30, 28, "inconclusive"), (4, 0, "inconclusive"),
+    (0, 0, "inconclusive")])  # four one-way flips: p is 0.125
 def test_paired_bootstrap_of_passes(spark, gained, lost, verdict):
     runs = [(0, 1)] * gained + [(1, 0)] * lost + [(1, 1)] * (200 - gained - lost)
     items = spark.createDataFrame([(k, *r) for k, r in enumerate(runs)], "i long, a int, b int")
@@ -69,7 +72,8 @@ def test_paired_bootstrap_of_passes(spark, gained, lost, verdict):
 
 
 def test_paired_bootstrap_of_counts(spark):
-    items = spark.createDataFrame([(k, (3, 1), (3, 1 if k % 2 else 0)) for k in range(100)], "i long, a struct<tp:int,fp:int>, b struct<tp:int,fp:int>")
+    items = spark.createDataFrame([(k, (3, 1), (3, 1 if k % 2 else 0)) for k in range(100)],
+        "i long, a struct<tp:int,fp:int>, b struct<tp:int,fp:int>")
 
     def precision(run):
         tp, fp = (F.sum(F.col(f"{run}.{c}") * F.col("w")) for c in ("tp", "fp"))
