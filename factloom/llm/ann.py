@@ -226,7 +226,8 @@ def _count_cells(df: DataFrame, plans: dict[int, Plan]) -> dict[tuple[int, int],
                     yield pd.DataFrame({"dim": d, "t": t, "cell": cell, "n": n})
 
     out = {(d, t): np.zeros(4 ** p.prefix, np.int64) for d, p in plans.items() for t in range(TABLES)}
-    for r in df.select("dim", "v").mapInPandas(run, "dim int, t int, cell long, n long").groupBy("dim", "t", "cell").agg(F.sum("n").alias("n")).collect():
+    for r in df.select("dim", "v").mapInPandas(run, "dim int, t int, cell long, n long").groupBy("dim", "t",
+        "cell").agg(F.sum("n").alias("n")).collect():
         out[r["dim"], r["t"]][r["cell"]] = r["n"]
     return out
 
@@ -245,7 +246,8 @@ def _deal_rows(rows: DataFrame, plans: dict, salts: dict, blocks: dict) -> DataF
                     block = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
                     for lo in range(0, len(at), 4096):
                         p = at[lo:lo + 4096]
-                        yield pd.DataFrame({"dim": d, "t": t, "cell": cell[p], "salt": salt[p], "block": block[lo:lo + 4096], "vec_id": ids[p], "n": n[p], "v": list(x[p])})
+                        yield pd.DataFrame({"dim": d, "t": t, "cell": cell[p], "salt": salt[p], "block": block[lo:lo + 4096],
+                            "vec_id": ids[p], "n": n[p], "v": list(x[p])})
 
     return rows.mapInPandas(run, f"{_KEY}, vec_id long, n long, v array<double>")
 
@@ -270,7 +272,8 @@ def nearest(df: DataFrame, is_query, k: int = 10) -> DataFrame:
     Null, zero and non-finite vectors take no part, other columns do not matter, and without valid vectors there are no rows.
     """
     spark = df.sparkSession
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()),
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()),
+        T.StructField("vec_id", T.LongType()),
                            T.StructField("score", T.DoubleType()), T.StructField("visited", T.LongType())])
     valid = valid_vectors(df)
     rows = cut(_candidates(valid, k))
@@ -294,7 +297,8 @@ def nearest(df: DataFrame, is_query, k: int = 10) -> DataFrame:
         found = search(plans[d], t, ids, np.stack(r["v"].to_numpy()), s["query_id"].to_numpy(), np.stack(s["v"].to_numpy()), k, first_rows,
                        np.stack(s["stops"].to_numpy()) if some else None, s["bound"].to_numpy() if some else None)
         at = np.array([f[1] for f in found])
-        return pd.DataFrame({"query_id": [f[0] for f in found], "vec_id": pd.array(np.where(at < 0, 0, ids[at]), "Int64").copy(), "score": [f[2] for f in found],
+        return pd.DataFrame({"query_id": [f[0] for f in found], "vec_id": pd.array(np.where(at < 0, 0, ids[at]), "Int64").copy(),
+            "score": [f[2] for f in found],
                              "n": np.where(at < 0, 0, n[at]), "seen": [f[3] for f in found]})
 
     def visit(sent: DataFrame, queries: dict) -> DataFrame:
@@ -311,14 +315,16 @@ def nearest(df: DataFrame, is_query, k: int = 10) -> DataFrame:
                     many = salts[d, t][cell]
                     at = np.repeat(np.arange(len(cell)), many)
                     salt = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    yield pd.DataFrame({"dim": d, "t": t, "cell": cell[at], "salt": salt, "block": 0, "query_id": g["vec_id"].to_numpy()[at], "v": list(x[at]), "bound": np.nan, "stops": None})
+                    yield pd.DataFrame({"dim": d, "t": t, "cell": cell[at], "salt": salt, "block": 0,
+                        "query_id": g["vec_id"].to_numpy()[at], "v": list(x[at]), "bound": np.nan, "stops": None})
 
     sent_schema = f"{_KEY}, query_id long, v array<double>, bound double, stops array<double>"
     opening = cut(visit(asked.mapInPandas(home, sent_schema), _count_cells(asked, plans)))
     real = opening.where("seen = 0 AND n > 0").select("query_id", F.struct("score", "vec_id", "n").alias("x")).distinct()
     # at most k rows of each table and query; repeated rows count
     reached = real.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select(
-        "query_id", F.get(F.flatten(F.transform("x", lambda e: F.array_repeat(e["score"], F.least(e["n"], F.lit(k)).cast("int")))), k - 1).alias("reached"))
+        "query_id", F.get(F.flatten(F.transform("x", lambda e: F.array_repeat(e["score"], F.least(e["n"], F.lit(k)).cast("int")))),
+        k - 1).alias("reached"))
     bounded = asked.join(reached, asked["vec_id"] == reached["query_id"], "left").select("vec_id", "v", "dim", "reached")
 
     def route(batches):
@@ -350,8 +356,10 @@ def nearest(df: DataFrame, is_query, k: int = 10) -> DataFrame:
     entry = F.when(F.col("n") > 0, F.struct("score", "vec_id", "n"))
     parts = near.groupBy("query_id", F.pmod("vec_id", F.lit(16)).alias("part")).agg(
         F.slice(F.sort_array(F.collect_set(entry)), 1, k).alias("best"), F.sum("seen").alias("seen"))
-    best = parts.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"), F.sum("seen").alias("visited"))
-    repeated = F.flatten(F.transform("best", lambda e: F.array_repeat(F.struct(e["score"].alias("score"), e["vec_id"].alias("vec_id")), F.least(e["n"], F.lit(k)).cast("int"))))
+    best = parts.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"),
+        F.sum("seen").alias("visited"))
+    repeated = F.flatten(F.transform("best",
+        lambda e: F.array_repeat(F.struct(e["score"].alias("score"), e["vec_id"].alias("vec_id")), F.least(e["n"], F.lit(k)).cast("int"))))
     return best.select("query_id", "visited", F.posexplode(F.slice(repeated, 1, k)).alias("rank", "b")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), "b.vec_id", "b.score", "visited")
 

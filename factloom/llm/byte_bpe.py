@@ -189,7 +189,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 256):
                 ids = [bpe.encode(t) for t in b["text"].iloc[at:at + 256]]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:at + 256].to_numpy(), "ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:at + 256].to_numpy(), "ids": ids,
+                    "decoded": [bpe.decode(i) for i in ids]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
 
@@ -204,7 +205,8 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids = bpe.encode(text)
-                rows.append((doc_id, len(ids), hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                rows.append((doc_id, len(ids), hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest(),
+                    hashlib.sha256(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -214,4 +216,5 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN)

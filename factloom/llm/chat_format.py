@@ -75,7 +75,8 @@ def format_chat(rows: DataFrame, mask_role: str = "assistant") -> DataFrame:
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
     turns = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    no, conflict, yes = (lambda t: F.lit(False)), (lambda t: F.contains(t["text"], F.lit(START)) | F.contains(t["text"], F.lit(END))), (lambda t: F.lit(True))
+    no, conflict, yes = (lambda t: F.lit(False)), (lambda t: F.contains(t["text"], F.lit(START)) | F.contains(t["text"],
+        F.lit(END))), (lambda t: F.lit(True))
     step = turns.withColumn("f0", _render(no)).withColumn("p0", _parse("f0")).withColumn("ok0", _same("p0"))
     # a later rendering is made only for conversations that need it
     step = step.withColumn("f1", F.when(~F.col("ok0"), _render(conflict))).withColumn("p1", F.when(~F.col("ok0"), _parse("f1")))
@@ -89,14 +90,18 @@ def format_chat(rows: DataFrame, mask_role: str = "assistant") -> DataFrame:
     out = step.select("conv_id", pick("f").alias("formatted"), pick("p").alias("parsed"),
                       F.when(F.col("ok0"), 0).when(F.col("ok1"), 1).otherwise(2).alias("level"))
     # starts are running lengths: "<s>[" + label + mark + "] " + body + "</s>"
-    places = F.aggregate("parsed", F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,length:int>>)").alias("spans")),
+    places = F.aggregate("parsed",
+        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,length:int>>)").alias("spans")),
                          lambda acc, x: F.struct(
                              (acc["at"] + x["lead"] + F.length(x["body"]) + F.lit(len(END))).alias("at"),
                              F.when(x["role"] == mask_role, F.array_append(acc["spans"], F.struct(
-                                 (acc["at"] + x["lead"]).alias("start"), F.length(x["body"]).alias("length")))).otherwise(acc["spans"]).alias("spans")),
+                                 (acc["at"] + x["lead"]).alias("start"),
+                                 F.length(x["body"]).alias("length")))).otherwise(acc["spans"]).alias("spans")),
                          lambda acc: acc["spans"])
     return out.withColumn("loss_spans", places).select(
-        "conv_id", "formatted", F.transform("parsed", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["escaped"].alias("escaped"))).alias("turns"),
+        "conv_id", "formatted",
+        F.transform("parsed", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"),
+        x["escaped"].alias("escaped"))).alias("turns"),
         "loss_spans", "level")
 
 

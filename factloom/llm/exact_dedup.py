@@ -94,7 +94,8 @@ def _perhaps(docs: DataFrame, hits: DataFrame) -> DataFrame:
     other rows are then neither read into a shuffle nor compared. With very many hits more rows pass, and the join decides.
     """
     slot = _slot("path", "row_index")
-    bits = hits.groupBy(F.shiftright(slot, 6).alias("_fl_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(path, row_index) & 63 AS INT))")).alias("_fl_bits"))
+    bits = hits.groupBy(F.shiftright(slot,
+        6).alias("_fl_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(path, row_index) & 63 AS INT))")).alias("_fl_bits"))
     located = _with_locator(docs).withColumn("_fl_slot", _slot("path", "row_index"))
     return located.withColumn("_fl_word", F.shiftright("_fl_slot", 6)).join(F.broadcast(bits), "_fl_word").where(
         F.expr("(shiftright(_fl_bits, CAST(_fl_slot & 63 AS INT)) & 1) = 1"))

@@ -90,7 +90,8 @@ def _points(name: str, attrs: str, around: int) -> int:
         return around + STRONG
     if attrs:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-        if found.get("role", "").lower() in _BAD_ROLES or "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) or found.get("aria-hidden") == "true":
+        if found.get("role", "").lower() in _BAD_ROLES or "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|$)",
+            attrs) or found.get("aria-hidden") == "true":
             return around + STRONG
         if name in _NAMED:
             return around + _name_points(f"{found.get('class') or ''} {found.get('id') or ''}")
@@ -216,7 +217,8 @@ def classify(found: list[Block]) -> None:
             b.label = 1 if total > 0 else 0 if total < 0 else None
     if not any(b.label for b in found):  # nothing stands out: what is neither links nor in boilerplate is the text
         for b in found:
-            b.label = int(b.points > STRONG + ARTICLE and (density_points(b) in (None, -1) and b.link_chars <= MAX_LINK_DENSITY * len(b.text)))
+            b.label = int(b.points > STRONG + ARTICLE and (density_points(b) in (None,
+                -1) and b.link_chars <= MAX_LINK_DENSITY * len(b.text)))
         return
     first = [b.label for b in found]
     everywhere = [k for k, v in enumerate(first) if v is not None]

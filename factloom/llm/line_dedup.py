@@ -30,8 +30,10 @@ def masked(lines: DataFrame) -> DataFrame:
     """lines (line, others) with w: its tokens, each with a digit as <*>, joined by single spaces, and
     n, their number; without blank lines. A step is a column of its own, so that each is computed once."""
     out = lines.withColumn("w", F.trim("line")).drop("line")
-    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"[\t\r\x0b\f]|  ")), F.trim(F.regexp_replace("w", r"\s+", " "))).otherwise(F.col("w"))).where("w != ''")
-    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"\d")), F.regexp_replace("w", r"(?<!\S)[^\s\d]*+\d\S*", "<*>")).otherwise(F.col("w")))
+    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"[\t\r\x0b\f]|  ")),
+        F.trim(F.regexp_replace("w", r"\s+", " "))).otherwise(F.col("w"))).where("w != ''")
+    out = out.withColumn("w", F.when(F.rlike("w", F.lit(r"\d")),
+        F.regexp_replace("w", r"(?<!\S)[^\s\d]*+\d\S*", "<*>")).otherwise(F.col("w")))
     return out.withColumn("n", F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1)
 
 
@@ -67,24 +69,29 @@ def template_keys(lines: DataFrame) -> DataFrame:
 
     rest = [c for c in lines.columns if c not in ("w", "n")]
     wild = F.array(*[key(s, *_sides(s)) for s in range(SEGMENTS)])
-    return _parts(lines).select(*rest, F.explode(F.when(n >= MIN_WILD, wild).otherwise(F.array(key(SEGMENTS, "w")))).alias("k")).select(*rest, "k.k1", "k.k2")
+    return _parts(lines).select(*rest,
+        F.explode(F.when(n >= MIN_WILD, wild).otherwise(F.array(key(SEGMENTS, "w")))).alias("k")).select(*rest, "k.k1", "k.k2")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, h (a hash of the text: rows of one id need not be alike), pos, line; rows without doc_id are left out."""
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"),
+        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 def templates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, others) -> the templates that recur: tokens (their number), template (<*> for tokens with a digit
     and for the part that differs), first_doc, last_doc, lines. A template whose lines are all alike is written out whole."""
     lines = _parts(masked(_lines(docs)))
-    wild = [F.struct(F.lit(s).alias("kind"), F.concat_ws(" ", f"p{s}", F.lit("<*>"), *(_sides(s)[1:])).alias("general")) for s in range(SEGMENTS)]
+    wild = [F.struct(F.lit(s).alias("kind"),
+        F.concat_ws(" ", f"p{s}", F.lit("<*>"), *(_sides(s)[1:])).alias("general")) for s in range(SEGMENTS)]
     short = F.array(F.struct(F.lit(SEGMENTS).alias("kind"), F.col("w").alias("general")))
     each = lines.select("doc_id", "n", "w", F.explode(F.when(F.col("n") >= MIN_WILD, F.array(*wild)).otherwise(short)).alias("t"))
-    found = each.groupBy("n", "t").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("lines"),
+    found = each.groupBy("n", "t").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.count(F.lit(1)).alias("lines"),
                                        F.min("w").alias("low"), F.max("w").alias("high")).where("first_doc < last_doc")
-    out = found.select(F.col("n").alias("tokens"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("t.general")).alias("template"),
+    out = found.select(F.col("n").alias("tokens"),
+        F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("t.general")).alias("template"),
                        "first_doc", "last_doc", "lines")
     return out.distinct()
 
@@ -96,7 +103,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     table in the shared folder.
     """
     keys = written(template_keys(masked(_lines(docs))), "line-keys")
-    recurring = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    recurring = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"),
+        F.max("doc_id").alias("last")).where("first < last").drop("last")
     return (keys.join(recurring, ["k1", "k2"]).where("doc_id > first").groupBy("doc_id", "h")
             .agg(F.sort_array(F.collect_set("pos")).alias("dropped")))
 
@@ -111,19 +119,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    dropped = dropped_lines(docs.select("doc_id", "text")).select("doc_id", F.col("h").alias("_fl_h"), F.col("dropped").alias("_fl_dropped"))
-    out = docs.withColumn("_fl_h", F.xxhash64("text")).join(dropped, ["doc_id", "_fl_h"], "left").withColumn("_fl_lines", F.split("text", "\n"))
+    dropped = dropped_lines(docs.select("doc_id", "text")).select("doc_id", F.col("h").alias("_fl_h"),
+        F.col("dropped").alias("_fl_dropped"))
+    out = docs.withColumn("_fl_h", F.xxhash64("text")).join(dropped, ["doc_id", "_fl_h"], "left").withColumn("_fl_lines",
+        F.split("text", "\n"))
     out = out.withColumn("_fl_n", F.when(F.col("text").isNull(), 0).otherwise(F.size("_fl_lines")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_fl_n") - 1), F.col("_fl_dropped")), lambda i: F.get("_fl_lines", i))
     text = F.when(F.col("_fl_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_fl_n").cast("long").alias("n_lines"),
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.col("_fl_n").cast("long").alias("n_lines"),
                       F.when(F.col("_fl_dropped").isNull(), 0).otherwise(F.size("_fl_dropped")).cast("long").alias("n_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its recurring lines: counts and digest of what is left."""
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 SQL = r"""

@@ -119,7 +119,8 @@ def _batches(own: list[np.ndarray], lengths: list[np.ndarray]):
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end + 1 - at) * len(own[order[end]]) <= CHUNK and len(own[order[end]]) <= max(8, 2 * len(own[order[at]])):
+        while end < len(order) and (end + 1 - at) * len(own[order[end]]) <= CHUNK and len(own[order[end]]) <= max(8,
+            2 * len(own[order[at]])):
             end += 1
         some = order[at:end]
         n = np.array([len(own[i]) for i in some])
@@ -152,7 +153,8 @@ def probability(own: list[np.ndarray], lengths: list[np.ndarray], m: LineCRF) ->
     return 1 / (1 + np.exp(-np.clip(m.scale * np.log(p / (1 - p)) + m.shift, -30, 30)))
 
 
-def constrained(u: np.ndarray, n: np.ndarray, t: np.ndarray, weight: np.ndarray, y: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+def constrained(u: np.ndarray, n: np.ndarray, t: np.ndarray, weight: np.ndarray, y: np.ndarray, share: float = SHARE) -> tuple[np.ndarray,
+    np.ndarray]:
     """Marginals and expected transitions, tilted as little as the documents' labels ask: the weighted mean is at least
     `share` for label 1 and at most 1 - share for label 0. The tilt of a document is found by bisection."""
     tilt = weight * n[:, None]  # of mean 1 over a document's lines
@@ -243,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
     def features(batches):
         for b in batches:
             found = [document_features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [x.ravel() for x, _ in found], "n": [n for _, n in found], "quality": b["quality"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [x.ravel() for x, _ in found], "n": [n for _, n in found],
+                "quality": b["quality"]})
 
     got = rows.mapInPandas(features, "doc_id long, x array<float>, n array<float>, quality int").toPandas().sort_values("doc_id")
     own = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in got["x"]]

@@ -82,7 +82,8 @@ class WordBPE:
             else:  # most are a word with a mark behind it
                 words = _WORDS.findall(r)
                 known = list(map(self._runs.get, words))
-                ids = b"".join([self._run(p) if k is None else k for p, k in zip(words, known)] if len(words) > 1 else map(self._word, words))
+                ids = b"".join([self._run(p) if k is None else k for p, k in zip(words, known)] if len(words) > 1 else map(self._word,
+                    words))
         self._runs[r] = ids
         return ids
 
@@ -122,7 +123,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids = words.encode(text) + end
-                rows.extend((doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at:at + step])) for k, at in enumerate(range(0, len(ids), step)))
+                rows.extend((doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at:at + step])) for k,
+                    at in enumerate(range(0, len(ids), step)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECES)
@@ -332,7 +334,8 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     broken by it. A piece of full length is a sequence of its own. An empty table gives no rows; texts of any
     length only mean more pieces.
     """
-    rows = cut(piece_rows.drop("sequence_id", "offset", "search_steps", "bins_emptied").withColumn("_fl_row", F.monotonically_increasing_id()))
+    rows = cut(piece_rows.drop("sequence_id", "offset", "search_steps", "bins_emptied").withColumn("_fl_row",
+        F.monotonically_increasing_id()))
     small = rows.where(F.col("length") < capacity).select("_fl_row", F.col("length").alias("_fl_length"))
     n = small.count()
 
@@ -346,7 +349,8 @@ def pack(piece_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     again = packed(small.join(open_.select("_fl_row"), "_fl_row", "left_semi"), open_.count(), 2)
     placed = first.where("NOT open").union(again).drop("open")
     zero = F.lit(0).cast("long")
-    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", F.col("_fl_row").bitwiseOR(F.lit(3 << 60))).withColumn("offset", zero)
+    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id",
+        F.col("_fl_row").bitwiseOR(F.lit(3 << 60))).withColumn("offset", zero)
     full = full.withColumn("search_steps", zero).withColumn("bins_emptied", zero)
     return rows.join(placed, "_fl_row").drop("_fl_row").unionByName(full.drop("_fl_row"))
 

@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"],
+                "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, text_hash long, fp long")
 
@@ -249,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.join(classes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
     parts = connected_components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     label = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(label, "fp").select("doc_id", "text_hash", "fp", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"),
+    return rows.join(label, "fp").select("doc_id", "text_hash", "fp",
+        F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"),
                                          F.col("component.fp").alias("component_fp"))
 
 

@@ -29,7 +29,8 @@ def wide(k, text):
     return (*doc(k, text), 0.5, "x", 7, 1, "z")
 
 
-ODD = [(1, None), (2, ""), (3, "   \n\t"), (4, "Hello world, this is a text."), (4, "Hello world, this is a text."), (5, "hello WORLD, this is a text."), (None, "no id"), (6, "long " * 50_000),
+ODD = [(1, None), (2, ""), (3, "   \n\t"), (4, "Hello world, this is a text."), (4, "Hello world, this is a text."),
+    (5, "hello WORLD, this is a text."), (None, "no id"), (6, "long " * 50_000),
        (7, "\u00c9t\u00e9 \u00df \u4e16\u754c \U0001f600"), (8, None)]
 
 
@@ -53,7 +54,8 @@ def brute_nearest(rows, query_ids, k=10):
     out = {}
     for q in sorted(set(query_ids) & {i for i, _ in valid}):
         mine = min(v for i, v in valid if i == q)
-        out[q] = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(mine, v)))), i) for i, v in valid if i != q and len(v) == len(mine))[:k]
+        out[q] = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(mine, v)))), i) for i,
+            v in valid if i != q and len(v) == len(mine))[:k]
     return out
 
 
@@ -80,7 +82,8 @@ def test_ann_visits_few_rows_of_clusters(spark):
     """Tight clusters: the stop follows the distance found, so a small share of the rows is visited."""
     rng = np.random.default_rng(3)
     x = rng.standard_normal((250, 64))[np.arange(6000) % 250] + 0.02 * rng.standard_normal((6000, 64))
-    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    got = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"),
+        F.col("vec_id") % 100 == 0).collect()
     assert all(r["vec_id"] % 250 == r["query_id"] % 250 for r in got) and len(got) == 600
     assert np.mean([r["visited"] for r in got if r["rank"] == 1]) < 0.2 * len(x)
 
@@ -106,7 +109,8 @@ def test_ann_ties_copies_and_few(spark):
     assert ann.nearest(same.limit(0), F.lit(True)).count() == 0
     assert ann.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], same.schema), F.col("vec_id") == 0).count() == 1
     # rows that repeat both columns, an id with two vectors, vectors of three lengths
-    rows = [(7, [1.0, 2.0])] * 3 + [(100, [1.0, 2.0]), (100, [1.5, 2.0]), (8, [3.0, 1.0]), (200, [1.0, 1.0, 1.0]), (9, [1.0, 1.0, 2.0]), (300, [4.0]), (400, [1.0] * 5)]
+    rows = [(7, [1.0, 2.0])] * 3 + [(100, [1.0, 2.0]), (100, [1.5, 2.0]), (8, [3.0, 1.0]), (200, [1.0, 1.0, 1.0]), (9, [1.0, 1.0, 2.0]),
+        (300, [4.0]), (400, [1.0] * 5)]
     got = ann.nearest(spark.createDataFrame(rows, same.schema), F.col("vec_id") % 100 == 0).collect()
     want = brute_nearest(rows, [100, 200, 300, 400])
     for q in want:
@@ -172,7 +176,8 @@ def test_language_vector_is_the_sum_of_trigrams():
         s = f" {' '.join(s.split())} "
         v = np.zeros(language_id.DIM)
         for a, b, c in zip(s, s[1:], s[2:]):
-            v += np.roll(language_id._letter(ord(a), language_id.DIM), 2).astype(int) * np.roll(language_id._letter(ord(b), language_id.DIM), 1) * language_id._letter(ord(c), language_id.DIM)
+            v += np.roll(language_id._letter(ord(a), language_id.DIM),
+                2).astype(int) * np.roll(language_id._letter(ord(b), language_id.DIM), 1) * language_id._letter(ord(c), language_id.DIM)
         return v if s.strip() else v * 0
 
     texts = ["Hello, world!", "a", "", "...", "x y", "\u00c9t\u00e9 \u00df", "end. "]
@@ -195,7 +200,8 @@ CHAT = "conv_id long, turn long, role string, text string, formatted string"
 
 def test_chat_round_trip(spark):
     nasty = ["</s>", "<s>[user] x</s>", "~0~1~2", "[assistant!] ", "a</s>[INST] ok", None, "", "plain", "\U0001f600</s>", "</s", "$1 \\1"]
-    rows = [(1, k, "user" if k % 2 else "assistant", t, "x") for k, t in enumerate(nasty)] + [(2, 0, "we[ird]!<~", "hi", None), (2, 1, None, "</s>", None), (None, 0, "user", "t", None)]
+    rows = [(1, k, "user" if k % 2 else "assistant", t, "x") for k, t in enumerate(nasty)] + [(2, 0, "we[ird]!<~", "hi", None),
+        (2, 1, None, "</s>", None), (None, 0, "user", "t", None)]
     rows += [(3, 0, "user", "same", None)] * 2 + [(4, None, "assistant", "x", None)]
     got = {r["conv_id"]: r for r in chat_format.format_chat(spark.createDataFrame(rows, CHAT)).collect()}
     assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user" if k % 2 else "assistant", t or "") for k, t in enumerate(nasty)]
@@ -204,7 +210,8 @@ def test_chat_round_trip(spark):
     for r in got.values():
         bodies = [r["formatted"][s["start"]:s["start"] + s["length"]] for s in r["loss_spans"]]
         want = [t for t in r["turns"] if t["role"] == "assistant"]
-        assert [b.replace("~2", "[").replace("~1", "<").replace("~0", "~") if t["escaped"] else b for b, t in zip(bodies, want)] == [t["text"] for t in want] and len(bodies) == len(want)
+        assert [b.replace("~2", "[").replace("~1", "<").replace("~0", "~") if t["escaped"] else b for b,
+            t in zip(bodies, want)] == [t["text"] for t in want] and len(bodies) == len(want)
     assert chat_format.format_chat(spark.createDataFrame([], CHAT)).count() == 0
 
 
@@ -267,14 +274,17 @@ def test_exact_dedup_fetches_bytes_of_hits_only(spark, parquet, monkeypatch):
 
 def test_line_templates(spark):
     long = "the quick brown fox {} over the lazy dog and runs far away today"
-    rows = [wide(1, f"Header 2021-01-01\nkeep me one\n{long.format('jumps')}"), wide(2, f"Header 1999-12-31\nkeep me two\n{long.format('leaps')}\n"), wide(3, "other\nother\n\nHeader 5 x"),
+    rows = [wide(1, f"Header 2021-01-01\nkeep me one\n{long.format('jumps')}"),
+        wide(2, f"Header 1999-12-31\nkeep me two\n{long.format('leaps')}\n"), wide(3, "other\nother\n\nHeader 5 x"),
             wide(4, None), wide(5, ""), wide(None, "Header 2021-01-01"), wide(3, "other")]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, EXTRA))
     assert got.columns[:len(EXTRA.split(", "))] == [c.split()[0] for c in EXTRA.split(", ")]
     out = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=repr)
-    found = {r["template"]: (r["tokens"], r["first_doc"], r["last_doc"], r["lines"]) for r in line_dedup.templates(spark.createDataFrame(rows, EXTRA)).collect()}
+    found = {r["template"]: (r["tokens"], r["first_doc"], r["last_doc"],
+        r["lines"]) for r in line_dedup.templates(spark.createDataFrame(rows, EXTRA)).collect()}
     assert found == {"Header <*>": (2, 1, 2, 2), "the quick brown <*> over the lazy dog and runs far away today": (14, 1, 2, 2)}
-    want = [(1, rows[0][1], 3, 0), (2, "keep me two\n", 4, 2), (3, "other\nother\n\nHeader 5 x", 4, 0), (4, None, 0, 0), (5, "", 1, 0), (None, "Header 2021-01-01", 1, 0), (3, "other", 1, 0)]
+    want = [(1, rows[0][1], 3, 0), (2, "keep me two\n", 4, 2), (3, "other\nother\n\nHeader 5 x", 4, 0), (4, None, 0, 0), (5, "", 1, 0),
+        (None, "Header 2021-01-01", 1, 0), (3, "other", 1, 0)]
     assert out == sorted(want, key=repr)
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -297,7 +307,8 @@ def test_bpe_is_tiktoken(bpe):
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     r = random.Random(3)
     texts = ["", "a", "a" * 5000, "ab" * 3000, " \n" * 300, "<|endoftext|>", "the" * 2000]
-    texts += ["".join(r.choice(a) for _ in range(r.randint(0, 400))) for a in ("ab", "the in", "\u00e9\u00df\u4e16\u754cx", "01 ", "\n\t a") for _ in range(60)]
+    texts += ["".join(r.choice(a) for _ in range(r.randint(0, 400))) for a in ("ab", "the in", "\u00e9\u00df\u4e16\u754cx", "01 ",
+        "\n\t a") for _ in range(60)]
     for t in texts:
         ids = bpe.encode(t)
         assert ids == e.encode_ordinary(t) and bpe.decode(ids) == t.encode()
@@ -325,10 +336,13 @@ def test_bpe_of_documents_goes_through_the_tree(spark):
 
 def test_bpe_query(spark, parquet, bpe):
     d = parquet("documents", [wide(k, t) for k, t in ODD], EXTRA)
-    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op6_byte_bpe(spark, d).collect()), key=repr)
-    want = sorted(((k, len(bpe.encode(t)), hashlib.sha256(",".join(map(str, bpe.encode(t))).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in ODD), key=repr)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op6_byte_bpe(spark, d).collect()),
+        key=repr)
+    want = sorted(((k, len(bpe.encode(t)), hashlib.sha256(",".join(map(str, bpe.encode(t))).encode()).hexdigest(),
+        hashlib.sha256((t or "").encode()).hexdigest()) for k, t in ODD), key=repr)
     assert got == want
-    both = byte_bpe.encode_documents(spark.read.parquet(f"{d}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).where("doc_id = 5").first()
+    both = byte_bpe.encode_documents(spark.read.parquet(f"{d}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"),
+        P.PATTERN).where("doc_id = 5").first()
     assert bytes(both["decoded"]).decode() == "hello WORLD, this is a text." and both["ids"] == bpe.encode("hello WORLD, this is a text.")
 
 
@@ -387,7 +401,8 @@ def test_quality_score_is_the_weighted_mean_of_marginals():
     m = line_quality.LineCRF(rng.standard_normal(3 * line_quality.WIDTH + 1) / 3, rng.standard_normal((2, 2)), 1.3, -0.2)
     text = "\n".join([good(), bad(), "", good()])
     own, n = line_quality.document_features(text)
-    around = [np.concatenate((own[k], own[k - 1] if k else 0 * own[0], own[k + 1] if k + 1 < len(own) else 0 * own[0], [1])) for k in range(len(own))]
+    around = [np.concatenate((own[k], own[k - 1] if k else 0 * own[0], own[k + 1] if k + 1 < len(own) else 0 * own[0],
+        [1])) for k in range(len(own))]
     total, p = 0.0, np.zeros(len(own))
     for bits in range(1 << len(own)):
         z = [bits >> k & 1 for k in range(len(own))]
@@ -485,7 +500,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """A hot group of fingerprints in one bucket, split into pairs of blocks."""
     rng = np.random.default_rng(9)
-    hot = (np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))).view(np.int64)
+    hot = (np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64,
+        400).astype(np.uint64))).view(np.int64)
     fps = np.unique(np.concatenate((hot, rng.integers(0, 2 ** 62, 100))))
     monkeypatch.setattr(simhash, "BLOCK", 40)
     found, rest = [], []
@@ -503,7 +519,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert all((np.uint64(a & (2**64 - 1)) ^ np.uint64(b & (2**64 - 1))).item().bit_count() <= 4 for a, b in map(tuple, found[-1]))
     assert rest[0] == rest[1] and len(rest[0]) > 0
     links = simhash.fingerprint_links(spark.createDataFrame(pd.DataFrame({"fp": fps}))).collect()
-    parts = dict(map(tuple, components.connected_components(spark.createDataFrame([(x["a"], x["b"]) for x in links], "a long, b long")).collect()))
+    parts = dict(map(tuple, components.connected_components(spark.createDataFrame([(x["a"], x["b"]) for x in links],
+        "a long, b long")).collect()))
     want = dict(brute_components([(int(f), int(f) & (2 ** 64 - 1)) for f in fps]))
     assert {f: parts.get(f, f) for f in want} == want
 
@@ -524,7 +541,8 @@ def test_packing_round_trip(spark, parquet):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    rows = list(ODD) + [(50, "<|endoftext|> a"), (51, "x<|startoftext|>y")] + [(100 + k, text_of(EN, 1 + 37 * k % 900, k)) for k in range(60)]
+    rows = list(ODD) + [(50, "<|endoftext|> a"),
+        (51, "x<|startoftext|>y")] + [(100 + k, text_of(EN, 1 + 37 * k % 900, k)) for k in range(60)]
     got = packing.op9_best_fit_packing(spark, parquet("documents", [wide(k, x) for k, x in rows], EXTRA)).collect()
     want = Counter()
     for k, x in rows:
@@ -609,7 +627,8 @@ def test_search_runs_on_documents_and_reaches_the_bound(spark):
 
 
 def test_packing_columns_of_any_name(spark):
-    rows = spark.createDataFrame([(k, 700, "a", 1, 2, 3, 4) for k in range(9)], "id long, length long, row string, sequence_id int, offset int, block int, open int")
+    rows = spark.createDataFrame([(k, 700, "a", 1, 2, 3, 4) for k in range(9)],
+        "id long, length long, row string, sequence_id int, offset int, block int, open int")
     got = packing.pack(rows)
     assert got.columns == ["id", "length", "row", "block", "open", "sequence_id", "offset", "search_steps", "bins_emptied"]
     assert len({r["sequence_id"] for r in got.collect()}) == 2
@@ -618,18 +637,23 @@ def test_packing_columns_of_any_name(spark):
 def test_words_are_the_librarys():
     w = packing.WordBPE(P.path("word_bpe_49k.json"), cache=300)
     r = random.Random(11)
-    texts = [None, "", "<|endoftext|> a"] + ["".join(r.choice("abXYZ'st\u00c9\u00df\u00f1'll're 0\u00b2\u00bd\u00aa-_=~|<>&%#\n\t \x85\x1c\xa0\u4e16\u0301\u0130\u03a3\u2713\xb5") for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    assert [np.frombuffer(w.encode(t), "<u4").tolist() for t in texts] == [w.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    texts = [None, "", "<|endoftext|> a"] + ["".join(r.choice("abXYZ'st\u00c9\u00df\u00f1'll're 0\u00b2\u00bd\u00aa-_=~|<>&%#\n\t \x85\x1c\xa0\u4e16\u0301\u0130\u03a3\u2713\xb5") for _ in range(r.randint(0,
+        60))) for _ in range(3000)]
+    assert [np.frombuffer(w.encode(t), "<u4").tolist() for t in texts] == [w.tokenizer.encode(t,
+        add_special_tokens=False).ids if t else [] for t in texts]
 
 
 # 10 -----------------------------------------------------------------------------------------------
 
 
 @pytest.mark.parametrize("page, want", [
-    (None, ""), ("", ""), ("<nav><a href=x>Home</a></nav>", ""), ("<article><h1>T</h1><p>a&amp;b &#233;\n  c<b>d</b>e</article>", "T a&b \u00e9 cde"),
-    ("<article><p>Text.<div class='comments'><p>A reader says that this is the best of all the texts that he has read.</p></div></article>", "Text."),
+    (None, ""), ("", ""), ("<nav><a href=x>Home</a></nav>", ""),
+    ("<article><h1>T</h1><p>a&amp;b &#233;\n  c<b>d</b>e</article>", "T a&b \u00e9 cde"),
+    ("<article><p>Text.<div class='comments'><p>A reader says that this is the best of all the texts that he has read.</p></div></article>",
+    "Text."),
     ("<article>x<script>var t='</article><p>no</p>';</script>y<style>p{}</style><!-- <p>no</p> -->z", "xyz"),
-    ("<div class=ad>Buy now and save</div><article><p>One.</p></article><aside>Side</aside><form><p>Name</p></form><footer>&copy; x</footer>", "One."),
+    ("<div class=ad>Buy now and save</div><article><p>One.</p></article><aside>Side</aside><form><p>Name</p></form><footer>&copy; x</footer>",
+    "One."),
     ("<div class='social-history'><p>It was one of the reasons that they had for all of this, and it is what we know of the time in which they were in the city, when there was "
      "no other way for them to be what they would have been.</p></div>",
      "It was one of the reasons that they had for all of this, and it is what we know of the time in which they were in the city, when there was "
@@ -640,7 +664,8 @@ def test_words_are_the_librarys():
     ("<p>It is what we have to say of all this, and of what there is in it for you.</p><p>So.</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><p>Buy</p>"
      "<div id=sidebar><p>It is the one that you have to have, and this is what it is for all of us.</p></div>",
      "It is what we have to say of all this, and of what there is in it for you. So."),
-    ("<p title='a>b'>It is the one of the texts that we have in the long run of all of them.</p>", "It is the one of the texts that we have in the long run of all of them.")])
+    ("<p title='a>b'>It is the one of the texts that we have in the long run of all of them.</p>",
+    "It is the one of the texts that we have in the long run of all of them.")])
 def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
@@ -690,7 +715,8 @@ def test_long_and_broken_pages_take_linear_time():
 
 
 def test_html_query(spark, parquet):
-    d = parquet("pages", [(1, "u", "<article><p>a</p></article>", "x"), (2, None, None, None), (None, "v", "<p>" * 20000, None)], "page_id long, url string, html string, text string")
+    d = parquet("pages", [(1, "u", "<article><p>a</p></article>", "x"), (2, None, None, None), (None, "v", "<p>" * 20000, None)],
+        "page_id long, url string, html string, text string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.op10_html_extraction(spark, d).collect()}
     assert got == {1: ("u", "a", 1), 2: (None, "", 0), None: ("v", "", 0)}
     assert html_text.op10_html_extraction(spark, parquet("pages", [], "page_id long, url string, html string")).count() == 0
@@ -804,8 +830,10 @@ def test_language_stage_refuses_other_scripts_and_random_letters(spark):
     import corpus_pipeline as C
 
     r = random.Random(20)
-    junk = ["".join(r.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0436 ") for _ in range(400)), " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "..?", None]
-    rows = [doc(k, text_of(EN if k % 2 else DE, 60, k), "en" if k % 2 else "de") for k in range(200)] + [doc(1000 + k, t, "en") for k, t in enumerate(junk)]
+    junk = ["".join(r.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0436 ") for _ in range(400)),
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "..?", None]
+    rows = [doc(k, text_of(EN if k % 2 else DE, 60, k), "en" if k % 2 else "de") for k in range(200)] + [doc(1000 + k, t, "en") for k,
+        t in enumerate(junk)]
     rows += [doc(2000, "and of the"), doc(2001, "\u0430\u0431\u0432")]  # short: too few letters to refuse
     kept = {x["doc_id"] for x in C.known_language(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert kept == {*range(200), 2000, 2001}
@@ -817,7 +845,8 @@ def test_near_dedup_stage_with_repeated_ids(spark):
     r = random.Random(21)
     a, b, c = (" ".join(r.choice(EN + DE) for _ in range(60)) for _ in range(3))
     rows = [doc(1, a), doc(1, b), doc(1, a), doc(2, a), doc(3, b), doc(4, c), doc(4, c), doc(None, c), doc(None, c)]
-    got = sorted(((x["doc_id"], x["text"]) for x in C.without_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()), key=repr)
+    got = sorted(((x["doc_id"], x["text"]) for x in C.without_near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()),
+        key=repr)
     assert got == sorted([(1, a), (1, b), (4, c), (None, c), (None, c)], key=repr)
 
 
