@@ -74,16 +74,36 @@ def contest(ranked: DataFrame, group: list[str], value: str) -> DataFrame:
         "ratio", F.when(F.col("outcome") == "lost", F.col("rank") / F.col("top"))).drop("first", "second")
 
 
-def overlapping_rivals(claims: DataFrame, group: list[str], value: str, ident: str) -> DataFrame:
-    """Pairs (a, b) of one group with different values whose valid intervals overlap; unknown bounds are open."""
-    a, b = claims.alias("a"), claims.alias("b")
-    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    apart = F.coalesce(F.col("a.valid_to") <= F.col("b.valid_from"),
-        F.lit(False)) | F.coalesce(F.col("b.valid_to") <= F.col("a.valid_from"), F.lit(False))
-    on = ~apart & (F.col(f"a.{value}") != F.col(f"b.{value}"))
-    for s in same:
-        on = s & on
-    return a.join(b, on).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"))
+def overlapping_rivals(claims: DataFrame, group: list[str], value: str, ident: str, width_days: int = 30, most: int = 64) -> DataFrame:
+    """Pairs (a, b) of one group with different values whose valid intervals overlap; unknown bounds are open.
+
+    Time is cut into slots of width_days, and a claim goes to each slot that it touches, so a group with many claims is
+    joined slot by slot: rows grow with the claims that are valid at one time, not with the square of the group. A pair is made in the
+    slot where the later of the two starts. Claims that are open, or longer than `most` slots, are compared with the whole group.
+    """
+    size = width_days * 86_400_000_000
+
+    def slot(c: str) -> Column:
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(size)).cast("long")
+
+    x = claims.select(*group, F.col(value).alias("_v"), F.col(ident).alias("_i"), "valid_from", "valid_to", slot("valid_from").alias("_lo"),
+        slot("valid_to").alias("_hi"))
+    wide = F.coalesce((F.col("_hi") < F.col("_lo")) | (F.col("_hi") - F.col("_lo") >= most), F.lit(True))
+    narrow, wide = x.where(~wide), x.where(wide)
+
+    def pairs(left: DataFrame, right: DataFrame, slots: bool) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        on = F.col("a._v") != F.col("b._v")
+        for g in [*group, *(["_slot"] if slots else [])]:
+            on = (F.col(f"a.{g}") == F.col(f"b.{g}")) & on
+        if slots:
+            on = on & (F.col("a._slot") == F.greatest("a._lo", "b._lo"))
+        apart = F.coalesce(F.col("a.valid_to") <= F.col("b.valid_from"),
+            F.lit(False)) | F.coalesce(F.col("b.valid_to") <= F.col("a.valid_from"), F.lit(False))
+        return a.join(b, on & ~apart).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a._i").alias("a"), F.col("b._i").alias("b"))
+
+    placed = narrow.withColumn("_slot", F.explode(F.sequence("_lo", "_hi")))
+    return pairs(placed, placed, True).union(pairs(wide, x, False)).union(pairs(narrow, wide, False))
 
 
 def single_value_violations(facts: DataFrame, subject: list[str], obj: str, live: Column | None = None) -> DataFrame:

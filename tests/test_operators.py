@@ -201,3 +201,24 @@ def test_mentions(spark):
     s = spark.createDataFrame([(1, 0, "New York City and York are old")], "doc_id long, pos int, text string")
     names = spark.createDataFrame([("new york",), ("new york city",), ("york",), ("city and",)], "name string")
     assert sorted((r["at"], r["name"]) for r in I.mentions(s, names).collect()) == [(0, "new york city"), (4, "york")]
+
+
+def test_overlapping_rivals_against_all_pairs(spark):
+    """Short, long, open and empty intervals: every overlapping pair once in each order."""
+    import datetime
+    import random
+
+    from factloom.operators import claims
+
+    r = random.Random(5)
+    day = lambda n: None if n is None else datetime.datetime(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = []
+    for k in range(120):
+        start = r.choice([None, *range(0, 900, 7)])
+        end = r.choice([None, 0 if start is None else start + r.choice([0, 1, 20, 40, 3000])])
+        rows.append((r.choice("gh"), r.choice("xyz"), k, day(start), day(end)))
+    got = claims.overlapping_rivals(spark.createDataFrame(rows, "g string, v string, i int, valid_from timestamp, valid_to timestamp"), ["g"], "v", "i")
+    far = datetime.datetime(9999, 1, 1)
+    want = sorted((a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1]
+                  and not (a[4] or far) <= (b[3] or datetime.datetime.min) and not (b[4] or far) <= (a[3] or datetime.datetime.min))
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 100
