@@ -18,7 +18,8 @@ def shingle_pairs(documents: DataFrame, threshold: float = 0.8, size: int = 5, o
     frequent shingle is in few prefixes. Candidates are then counted exactly.
     """
     reps = text_classes(documents).groupBy("rep").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = documents.join(reps, "doc_id", "left_semi").select("doc_id", "source", shingle_hashes(F.col("text"), size).alias("s"))
+    # read for the frequencies and for the sets: texts are cut into shingles once
+    rows = cut(documents.join(reps, "doc_id", "left_semi").select("doc_id", "source", shingle_hashes(F.col("text"), size).alias("s")))
     sets = rows.select("doc_id", "source", F.size("s").alias("n"), F.explode("s").alias("h")).distinct()
     freq = sets.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # shingles of one document only match nothing: they fill the rarest places of the prefix
