@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LITERALS = ("string", "integer", "number", "float", "boolean", "date", "datetime", "quantity")
+# The keys of the ontology format.
 _PREDICATE_KEYS = frozenset("description domain range cardinality cardinality_scope qualifiers aliases importance inverse_of symmetric required examples label".split())
 _TYPE_KEYS = frozenset("description parents keys aliases".split())
 

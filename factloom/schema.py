@@ -22,6 +22,7 @@ TRIPLES = (
     "schema_version string, doc string, subject string, predicate string, object string, subject_type string, object_type string, "
     "start int, end int, quote string, polarity string, qualifiers map<string,string>, confidence double, extractor string, id string")
 
+# Weights of the source tiers, and verdicts.
 TIERS = {"curated": 1.0, "authoritative": 0.8, "community": 0.5, "unverified": 0.2}
 VERDICTS = ("supported", "contradicted", "not_found", "unchecked")  # the more informative first
 

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+# Elements of HTML whose content is dropped, that are boilerplate, and that start a line.
 _DROP = frozenset("script style noscript template".split())
 _BOILERPLATE = frozenset("nav footer".split())
 _LINES = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p "
