@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 DIM = 1024
-#: Labelled rows that prototypes are bundled from, in expectation, if there are more.
+#: Labelled rows that op2's prototypes are bundled from, in expectation, if there are more.
 SAMPLE = 20_000
 #: A text of MIN_LETTERS letters or more is of no learned language if its cosine is below MIN_SHARE of what is typical.
 MIN_LETTERS, MIN_SHARE = 100, 0.45
@@ -24,6 +24,8 @@ MIN_LETTERS, MIN_SHARE = 100, 0.45
 _CHUNK = 200_000
 #: Texts whose vectors are held at once.
 _ROWS = 256
+#: Ranges that the scores of a language are counted in, at each step towards their median.
+_RANGES = 1024
 _ALPHA: np.ndarray | None = None
 _LETTERS: dict[int, np.ndarray] = {}
 
@@ -112,19 +114,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+def _sampled(rows: DataFrame, sample: int | None) -> DataFrame:
+    if sample is None:
+        return rows
     n = rows.count()
     if n <= sample:
         return rows
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, sample: int | None = SAMPLE, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """docs (doc_id, text, lang) -> languages and their prototypes. Rows without text or lang do not count; rows that repeat count each
     time, and those without doc_id are drawn like any other.
 
     If there are more rows than `sample`, a share of sample / rows of them is used, chosen by a hash
-    of doc_id. What reaches the driver is one vector for each language.
+    of doc_id; None uses every row. What reaches the driver is one vector for each language.
     """
     rows = _sampled(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample)
 
@@ -178,13 +182,37 @@ def train_and_predict(docs: DataFrame, name: str = "language") -> DataFrame:
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))), name)
 
 
-def typical_scores(docs: DataFrame, model: tuple[list[str], np.ndarray], sample: int = SAMPLE) -> dict[str, float]:
-    """docs (doc_id, text, lang) -> for each language of the model the median cosine of its own texts with MIN_LETTERS letters
-    or more, from the same sample of rows as fit takes. A language without such texts is left out."""
-    rows = _sampled(docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample)
-    scored = predict(rows.where(letters(F.col("text")) >= MIN_LETTERS), model, "_fl_own").where("lang = _fl_own.lang_pred")
-    found = scored.groupBy("lang").agg(F.percentile_approx("_fl_own.score", 0.5).alias("typical")).collect()  # a row a language
-    return {r["lang"]: r["typical"] for r in found}
+def typical_scores(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> dict[str, float]:
+    """docs (text, lang) -> for each language of the model the median cosine of all its own texts with MIN_LETTERS letters
+    or more, of two middle ones the lower. A language without such texts is left out."""
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(letters(F.col("text")) >= MIN_LETTERS).select("text", "lang")
+    own = predict(rows, model, "_fl_own").where("lang = _fl_own.lang_pred").select("lang", F.col("_fl_own.score").alias("score"))
+    return _medians(written(own, "language-scores"))
+
+
+def _medians(rows: DataFrame) -> dict[str, float]:
+    """rows (lang, score) -> the exact median of each language, of two middle ones the lower.
+
+    The values between the smallest and the largest are counted in _RANGES equal ranges; the one with the median is counted
+    the same way, from its own smallest to its own largest value, until these are one. The driver gets the counts.
+    """
+    def counted(of: DataFrame, *keys: str) -> list:
+        return of.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy(*keys).collect()
+
+    # by language the place of the median among the values from low to high
+    at = {r["lang"]: ((r["n"] - 1) // 2, r["low"], r["high"]) for r in counted(rows, "lang")}
+    while left := [(lang, low, high) for lang, (_, low, high) in at.items() if low < high]:
+        bounds = F.broadcast(rows.sparkSession.createDataFrame(left, "lang string, low double, high double"))
+        part = F.least(F.floor((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * _RANGES), F.lit(_RANGES - 1))
+        inside = rows.join(bounds, "lang").where("score BETWEEN low AND high").select("lang", "score", part.alias("part"))
+        then, before = {}, {lang: 0 for lang, _, _ in left}
+        for r in counted(inside, "lang", "part"):  # by rising values
+            place = at[r["lang"]][0] - before[r["lang"]]
+            before[r["lang"]] += r["n"]
+            if 0 <= place < r["n"]:
+                then[r["lang"]] = (place, r["low"], r["high"])
+        at |= then
+    return {lang: low for lang, (_, low, _) in at.items()}
 
 
 def letters(text: Column) -> Column:
@@ -196,11 +224,11 @@ def accepted(docs: DataFrame, share: float = MIN_SHARE) -> DataFrame:
 
     A row is refused if its text is null or has no letter, or if it has MIN_LETTERS letters or more and its cosine is below
     `share` of the median cosine of that language's own texts: another script, random letters or the same few words over and over.
-    Shorter texts have too few trigrams to tell, and stay. Without any labelled row nothing can be refused but
+    Prototypes and medians are those of every labelled row that is not held out. Shorter texts have too few trigrams to tell, and stay. Without any labelled row nothing can be refused but
     texts without letters. Repeated rows are judged alike; an empty table stays empty.
     """
     train = docs.where(~held_out(F.col("doc_id")))
-    model = fit(train)
+    model = fit(train, None)
     if not model[0]:
         return docs.where(letters(F.col("text")) > 0)
     cuts = [F.lit(x) for lang, v in typical_scores(train, model).items() for x in (lang, share * v)]

@@ -839,6 +839,37 @@ def test_language_stage_refuses_other_scripts_and_random_letters(spark):
     assert kept == {*range(200), 2000, 2001}
 
 
+def test_language_stage_learns_from_every_labelled_row(spark):
+    """More rows than any sample holds; some languages have one labelled text each, which a sample would miss."""
+    import corpus_pipeline as C
+
+    train = [k for k in range(32_000) if zlib.crc32(str(k).encode()) % 5]
+    assert len(train) > 1.2 * language_id.SAMPLE
+    rows = [doc(k, text_of(EN, 28, k), "en") for k in train]
+    rare = {f"r{i}": [chr(0x0561 + 4 * i + j) * 2 + chr(0x10D0 + 3 * i + j) for j in range(4)] for i in range(8)}
+    ids = [k for k in range(50_000, 50_100) if zlib.crc32(str(k).encode()) % 5]
+    rows += [doc(ids[i], text_of(words, 60, i), lang) for i, (lang, words) in enumerate(rare.items())]
+    rows += [doc(60_000 + i, text_of(words, 60, 100 + i), None) for i, words in enumerate(rare.values())]
+    kept = {x["doc_id"] for x in C.known_language(spark, spark.createDataFrame(rows, DOCS), "").select("doc_id").collect()}
+    assert {*train, *ids[:8], *range(60_000, 60_008)} == kept
+
+
+def test_typical_scores_are_the_medians_of_all_rows(spark):
+    rows = [doc(k, text_of(EN if k % 3 else DE, 28 + k % 5, k), "en" if k % 3 else "de") for k in range(26_000)]
+    rows += [doc(k, "and of the", "en") for k in range(30_000, 30_050)] + [doc(40_000, text_of(EN, 40, 1), "fr"), doc(40_001, None, "en")]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(docs.where("doc_id < 300"))
+    scored = language_id.predict(docs.where("doc_id < 30000 AND length(text) > 0"), model, "own").select("text", "lang", "own.*").collect()
+    own = {g: sorted(r["score"] for r in scored if r["lang"] == g == r["lang_pred"] and sum(c.isalpha() for c in r["text"]) >=
+                     language_id.MIN_LETTERS) for g in ("de", "en")}
+    got = language_id.typical_scores(docs, model)
+    assert set(got) == set(own) and all(len(own[g]) > 8000 for g in own)
+    assert all(got[g] == pytest.approx(own[g][(len(own[g]) - 1) // 2], abs=1e-12) for g in own)
+    values = [("a", x) for x in (0.5, 0.5, 0.25, 1.0)] + [("b", 0.0)] + [("c", 0.3)] * 5000 + [("c", 0.3 + k * 1e-15) for k in range(6000)]
+    want = {g: sorted(x for h, x in values if h == g) for g in "abc"}
+    assert language_id._medians(spark.createDataFrame(values, "lang string, score double")) == {g: v[(len(v) - 1) // 2] for g, v in want.items()}
+
+
 def test_near_dedup_stage_with_repeated_ids(spark):
     import corpus_pipeline as C
 
