@@ -224,8 +224,8 @@ def accepted(docs: DataFrame, share: float = MIN_SHARE) -> DataFrame:
 
     A row is refused if its text is null or has no letter, or if it has MIN_LETTERS letters or more and its cosine is below
     `share` of the median cosine of that language's own texts: another script, random letters or the same few words over and over.
-    Prototypes and medians are those of every labelled row that is not held out. Shorter texts have too few trigrams to tell, and stay. Without any labelled row nothing can be refused but
-    texts without letters. Repeated rows are judged alike; an empty table stays empty.
+    Prototypes and medians are those of every labelled row that is not held out. Shorter texts have too few trigrams to tell,
+    and stay. Without any labelled row nothing can be refused but texts without letters. Repeated rows are judged alike; an empty table stays empty.
     """
     train = docs.where(~held_out(F.col("doc_id")))
     model = fit(train, None)

@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import table
+from .shared import table, written
 
-#: Labelled documents to fit on at most, the first by a hash of doc_id; all their lines are used.
+#: Labelled documents that the driver fits on at most, with all their lines: op7 takes the first by a hash of doc_id, fit_all spreads more.
 SAMPLE = 6000
 #: Share of a good document that is good at least, by length.
 SHARE = 0.7
 #: Lines that are in memory padded at once.
 CHUNK = 100_000
+#: Lines of a partition of a spread fit, about.
+SPREAD = 25_000
 THRESHOLD = 0.3
 _SYMBOLS = b"#$%&*@^~<>{}[]\\_=+/`"
 _MARKS = b".,;:!?"
@@ -182,52 +184,141 @@ def constrained(u: np.ndarray, n: np.ndarray, t: np.ndarray, weight: np.ndarray,
     return good, pairs
 
 
-def fit_crf(own: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rounds: int = 3, steps: int = 30,
-            l2: float = 2e-3, l2_context: float = 0.1) -> LineCRF:
-    """Raise the likelihood of the targets with Adam, in rounds of new targets, then fit the logistic.
-
-    Lines of a document are alike, so their features could stand for each other's: what neighbours say is penalised more
-    than what a line itself says, or a line would be judged by the lines around it alone.
-    """
-    lines, batches = sum(map(len, own)), list(_batches(own, lengths))
+def _ascend(begin, gradient, lines: int, rounds: int, steps: int, l2: float, l2_context: float) -> np.ndarray:
+    """Adam on the mean likelihood of `lines` lines, in rounds: begin(round, theta) sets the targets that gradient(theta) is of."""
     theta = np.zeros(3 * WIDTH + 5)
     penalty = np.full(len(theta), l2)
     penalty[WIDTH:3 * WIDTH] = penalty[-4:] = l2_context
     first = np.zeros_like(theta)
     first[:WIDTH] = first[3 * WIDTH] = 1  # own features and bias
     for turn in range(rounds + 1):
-        targets = {}
-        for k, (some, x, n, weight) in enumerate(batches):
-            if turn == 0:
-                inside = np.arange(x.shape[1])[None] < n[:, None]
-                targets[k] = np.where(inside, y[some][:, None], 0.0), np.zeros((len(n), 2, 2))
-            else:
-                targets[k] = constrained(unary(x, theta[:-4]), n, theta[-4:].reshape(2, 2), weight, y[some])
+        begin(turn, theta)
         m1, m2 = 0.0, 0.0
         for k in range(1, steps * (2 if turn == 0 else 1) + 1):
-            w, t = theta[:-4], theta[-4:].reshape(2, 2)
-            grad = np.zeros_like(theta)
-            for b, (some, x, n, _) in enumerate(batches):
-                good, pairs = marginals(unary(x, w), n, t)
-                grad[:-4] += _unary_gradient(x, targets[b][0] - good)
-                grad[-4:] += (targets[b][1] - pairs).sum(axis=0).ravel()
-            g = grad / lines - penalty * theta
+            g = gradient(theta) / lines - penalty * theta
             if turn == 0:
                 g = g * first
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             theta = theta + 0.1 * (m1 / (1 - 0.9 ** k)) / (np.sqrt(m2 / (1 - 0.99 ** k)) + 1e-8)
+    return theta
+
+
+def _logistic(sums, least: float = 0.0) -> tuple[float, float]:
+    """Newton steps of the penalised logistic until none is above `least`; sums(a, b) adds up over documents, for q their
+    probability at a z + b and h = q (1 - q): (y - q) z, y - q, h z z, h z, h."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        g1, g2, zz, z, one = sums(a, b)
+        g = np.array([g1 - 0.1 * (a - 1), g2 - 0.1 * b])
+        step = np.linalg.solve(np.array([[zz + 0.1, z], [z, one + 0.1]]), g)
+        a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -2, 2)
+        if np.abs(step).max() <= least:
+            break
+    return max(float(a), 1e-3), float(b)
+
+
+def _target(turn: int, theta: np.ndarray, x: np.ndarray, n: np.ndarray, weight: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and transitions that a round aims at: at first a document's label on all its lines."""
+    if turn == 0:
+        return np.where(np.arange(x.shape[1])[None] < n[:, None], y[:, None], 0.0), np.zeros((len(n), 2, 2))
+    return constrained(unary(x, theta[:-4]), n, theta[-4:].reshape(2, 2), weight, y)
+
+
+def fit_crf(own: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rounds: int = 3, steps: int = 30,
+            l2: float = 2e-3, l2_context: float = 0.1) -> LineCRF:
+    """Raise the likelihood of the targets with Adam, in rounds of new targets, then fit the logistic.
+
+    Lines of a document are alike, so their features could stand for each other's: what neighbours say is penalised more
+    than what a line itself says, or a line would be judged by the lines around it alone.
+    """
+    batches, targets = list(_batches(own, lengths)), {}
+
+    def begin(turn: int, theta: np.ndarray) -> None:
+        for k, (some, x, n, weight) in enumerate(batches):
+            targets[k] = _target(turn, theta, x, n, weight, y[some])
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        grad = np.zeros_like(theta)
+        for b, (_, x, n, _) in enumerate(batches):
+            good, pairs = marginals(unary(x, theta[:-4]), n, theta[-4:].reshape(2, 2))
+            grad[:-4] += _unary_gradient(x, targets[b][0] - good)
+            grad[-4:] += (targets[b][1] - pairs).sum(axis=0).ravel()
+        return grad
+
+    theta = _ascend(begin, gradient, sum(map(len, own)), rounds, steps, l2, l2_context)
     model = LineCRF(theta[:-4], theta[-4:].reshape(2, 2))
     p = _raw_scores(own, lengths, model)
     z = np.log(p / (1 - p))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of the penalised logistic
+
+    def sums(a: float, b: float) -> tuple:
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         h = q * (1 - q)
-        g = np.array([((y - q) * z).sum() - 0.1 * (a - 1), (y - q).sum() - 0.1 * b])
-        hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 0.1]])
-        step = np.linalg.solve(hess, g)
-        a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -2, 2)
-    return LineCRF(model.w, model.t, max(float(a), 1e-3), float(b))
+        return ((y - q) * z).sum(), (y - q).sum(), (h * z * z).sum(), (h * z).sum(), h.sum()
+
+    return LineCRF(model.w, model.t, *_logistic(sums))
+
+
+def fit_spread(rows: DataFrame, lines: int, rounds: int = 3, steps: int = 30, l2: float = 2e-3, l2_context: float = 0.1) -> LineCRF:
+    """fit_crf of rows (doc_id, x, n, quality) that stay spread: the same steps on the same sums, up to their rounding.
+
+    Documents of like length are padded together and written; a step is one pass over them, of which the driver gets the sums of
+    each task. Only the sums of a round's targets are kept, as the gradient is linear in them.
+    """
+    def padded(batches):
+        for b in batches:
+            own = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in b["x"]]
+            y = b["quality"].to_numpy(float)
+            for some, x, n, weight in _batches(own, [np.asarray(v, np.float32) for v in b["n"]]):
+                yield pd.DataFrame({"x": [x.tobytes()], "n": [n.tobytes()], "weight": [weight.tobytes()], "y": [y[some].tobytes()]})
+
+    alike = rows.repartitionByRange(1 + lines // SPREAD, F.size("n"), F.xxhash64("doc_id"))
+    blocks = written(alike.mapInPandas(padded, "x binary, n binary, weight binary, y binary"), "quality-blocks")
+
+    def read(batches):
+        for b in batches:
+            for x, n, weight, y in zip(b["x"], b["n"], b["weight"], b["y"]):
+                n = np.frombuffer(n, np.int64)
+                yield np.frombuffer(x, np.float32).reshape(len(n), -1, WIDTH), n, np.frombuffer(weight).reshape(len(n), -1), np.frombuffer(y)
+
+    def total(of) -> np.ndarray:
+        def run(batches):
+            found = sum((np.concatenate(of(*block)) for block in read(batches)), np.zeros(3 * WIDTH + 5))
+            yield pd.DataFrame({"v": [found]})
+
+        return np.sum([r["v"] for r in blocks.mapInPandas(run, "v array<double>").collect()], axis=0)  # a row a task
+
+    aim = np.zeros(3 * WIDTH + 5)
+
+    def begin(turn: int, theta: np.ndarray) -> None:
+        def of(x, n, weight, y):
+            good, pairs = _target(turn, theta, x, n, weight, y)
+            return _unary_gradient(x, good), pairs.sum(axis=0).ravel()
+
+        aim[:] = total(of)
+
+    def gradient(theta: np.ndarray) -> np.ndarray:
+        def of(x, n, weight, y):
+            good, pairs = marginals(unary(x, theta[:-4]), n, theta[-4:].reshape(2, 2))
+            return _unary_gradient(x, good), pairs.sum(axis=0).ravel()
+
+        return aim - total(of)
+
+    theta = _ascend(begin, gradient, lines, rounds, steps, l2, l2_context)
+    w, t = theta[:-4], theta[-4:].reshape(2, 2)
+
+    def logits(batches):
+        for x, n, weight, y in read(batches):
+            p = np.clip((marginals(unary(x, w), n, t)[0] * weight).sum(axis=1), 1e-6, 1 - 1e-6)
+            yield pd.DataFrame({"z": np.log(p / (1 - p)), "y": y})
+
+    scored = written(blocks.mapInPandas(logits, "z double, y double"), "quality-logits")
+
+    def sums(a: float, b: float) -> tuple:
+        q = 1 / (1 + F.exp(-F.greatest(F.least(F.col("z") * float(a) + float(b), F.lit(30.0)), F.lit(-30.0))))
+        of = scored.select("z", "y", q.alias("q")).selectExpr("z", "y - q AS d", "q * (1 - q) AS h")
+        return tuple(of.selectExpr("sum(d * z)", "sum(d)", "sum(h * z * z)", "sum(h * z)", "sum(h)").first())
+
+    return LineCRF(w, t, *_logistic(sums, 1e-9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
@@ -239,7 +330,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
     """
     some = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` ids: small enough to broadcast
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return _fit_collected(_features(docs, F.broadcast(some)))
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, held: int = SAMPLE) -> LineCRF:
+    """As fit, but of every labelled document, however many. Up to `held` of them are fitted on the driver; more stay spread."""
+    some = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = written(_features(docs, some), "quality-features")
+    n, good, lines = rows.agg(F.count("*"), F.sum("quality"), F.sum(F.size("n"))).first()
+    if n <= held:
+        return _fit_collected(rows)
+    return fit_spread(rows, lines) if 0 < good < n else _constant(good, n)
+
+
+def _features(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with labels some (doc_id, quality) -> doc_id, features x and lengths n of all lines, quality."""
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(some, "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
     def features(batches):
@@ -248,12 +354,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCRF:
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [x.ravel() for x, _ in found], "n": [n for _, n in found],
                 "quality": b["quality"]})
 
-    got = rows.mapInPandas(features, "doc_id long, x array<float>, n array<float>, quality int").toPandas().sort_values("doc_id")
+    return rows.mapInPandas(features, "doc_id long, x array<float>, n array<float>, quality int")
+
+
+def _constant(good: float, n: int) -> LineCRF:
+    share = (good + 1) / (n + 2)
+    return LineCRF(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 1e-3, float(np.log(share / (1 - share))))
+
+
+def _fit_collected(rows: DataFrame) -> LineCRF:
+    got = rows.toPandas().sort_values("doc_id")
     own = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in got["x"]]
     y = got["quality"].to_numpy(float)
     if len(set(y)) < 2:
-        share = (y.sum() + 1) / (len(y) + 2)
-        return LineCRF(np.zeros(3 * WIDTH + 1), np.zeros((2, 2)), 1e-3, float(np.log(share / (1 - share))))
+        return _constant(y.sum(), len(y))
     return fit_crf(own, [np.asarray(n, np.float32) for n in got["n"]], y)
 
 
@@ -273,8 +387,8 @@ def score(docs: DataFrame, model: LineCRF, name: str = "quality_score") -> DataF
     return docs.withColumn(name, run("text"))
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> DataFrame:
-    return score(docs, fit(docs, labels.where(~held_out(F.col("doc_id")))), name)
+def train_and_score(docs: DataFrame, labels: DataFrame, name: str = "quality_score", fitted=fit) -> DataFrame:
+    return score(docs, fitted(docs, labels.where(~held_out(F.col("doc_id")))), name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -870,6 +870,42 @@ def test_typical_scores_are_the_medians_of_all_rows(spark):
     assert language_id._medians(spark.createDataFrame(values, "lang string, score double")) == {g: v[(len(v) - 1) // 2] for g, v in want.items()}
 
 
+def test_quality_stage_learns_from_every_labelled_row(spark, parquet):
+    """More labelled documents than the driver holds; those after the first 6000 by hash teach a kind of junk of their own."""
+    import corpus_pipeline as C
+
+    ids = [k for k in range(9_000) if zlib.crc32(str(k).encode()) % 5]
+    order = [r["id"] for r in spark.createDataFrame([(k,) for k in ids], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[line_quality.SAMPLE:])
+    assert len(late) > 900
+    r = random.Random(22)
+
+    def text(k):
+        if k in late and k % 2:
+            return "\n".join(" ".join(f"Word{r.randint(10, 99)} {r.randint(1000, 9999)}" for _ in range(5)) for _ in range(2 + k % 3))
+        return ("=#= $$ ||| {} " * 4 if k % 9 == 0 else f"The {text_of(EN, 8, k)}.") + f"\nThese {text_of(EN, 6, k + 1)}."[:40 * (k % 9 > 0)]
+
+    rows = [doc(k, text(k)) for k in ids]
+    marks = [(k, int(not (k in late and k % 2) and k % 9 > 0), 0) for k in ids]
+    d = parquet("labels", marks, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = {x["doc_id"] for x in C.good_quality(spark, docs, d).select("doc_id").collect()}
+    assert kept == {k for k, q, _ in marks if q}
+
+
+def test_spread_quality_fit_is_the_fit_of_one_machine(spark):
+    r = random.Random(23)
+    found = [line_quality.document_features("\n".join(text_of(EN, 1 + r.randint(0, 9), 9 * k + j) if r.random() < 0.3 + 0.4 * (k % 2)
+                                            else "$$ 12 | 9 #" for j in range(1 + k % 7))) for k in range(120)]
+    own, lengths, y = [x for x, _ in found], [n for _, n in found], [k % 2 for k in range(120)]
+    rows = spark.createDataFrame([(k, x.ravel().tolist(), n.tolist(), q) for k, (x, n, q) in enumerate(zip(own, lengths, y))],
+                                 "doc_id long, x array<float>, n array<float>, quality int").repartition(3)
+    want = line_quality.fit_crf(own, lengths, np.array(y, float), rounds=1, steps=4)
+    got = line_quality.fit_spread(rows, sum(map(len, own)), rounds=1, steps=4)
+    for a, b in ((got.w, want.w), (got.t, want.t), (got.scale, want.scale), (got.shift, want.shift)):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-8)
+
+
 def test_near_dedup_stage_with_repeated_ids(spark):
     import corpus_pipeline as C
 
