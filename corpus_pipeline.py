@@ -22,8 +22,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this stage's own labelled input, does not reject."""
-    out = line_quality.train_and_score(docs, table(spark, sf_dir, "labels"), "_fl_quality")
+    """Documents that the classifier, fitted on all of this stage's own labelled input, does not reject."""
+    out = line_quality.train_and_score(docs, table(spark, sf_dir, "labels"), "_fl_quality", line_quality.fit_all)
     return out.where(F.col("_fl_quality") >= line_quality.THRESHOLD).drop("_fl_quality")
 
 
