@@ -13,6 +13,7 @@ targets is raised by gradient steps. It starts from own features alone, so that
 lines of a good document come out bad, and clean lines of a bad one good.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import table, written
+from .shared import cut_rdd, table, written
 
 #: Labelled documents that the driver fits on at most, with all their lines: op7 takes the first by a hash of doc_id, fit_all spreads more.
 SAMPLE = 6000
@@ -31,8 +32,8 @@ SAMPLE = 6000
 SHARE = 0.7
 #: Lines that are in memory padded at once.
 CHUNK = 100_000
-#: Lines of a partition of a spread fit, about.
-SPREAD = 25_000
+#: Lines of a partition of a spread fit, about, and lines that are padded there at once: a block of some 0.5 MB.
+SPREAD, SPREAD_CHUNK = 25_000, 7_000
 THRESHOLD = 0.3
 _SYMBOLS = b"#$%&*@^~<>{}[]\\_=+/`"
 _MARKS = b".,;:!?"
@@ -114,14 +115,14 @@ def marginals(unary: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarr
     return good, pairs
 
 
-def _batches(own: list[np.ndarray], lengths: list[np.ndarray]):
-    """Documents of like length together, at most CHUNK padded lines at once (a longer document is alone): places,
+def _batches(own: list[np.ndarray], lengths: list[np.ndarray], chunk: int = CHUNK):
+    """Documents of like length together, at most `chunk` padded lines at once (a longer document is alone): places,
     features, numbers of lines, weights of lines (adding up to 1)."""
     order = sorted(range(len(own)), key=lambda i: len(own[i]))
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end + 1 - at) * len(own[order[end]]) <= CHUNK and len(own[order[end]]) <= max(8,
+        while end < len(order) and (end + 1 - at) * len(own[order[end]]) <= chunk and len(own[order[end]]) <= max(8,
             2 * len(own[order[at]])):
             end += 1
         some = order[at:end]
@@ -261,31 +262,27 @@ def fit_crf(own: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, rou
 def fit_spread(rows: DataFrame, lines: int, rounds: int = 3, steps: int = 30, l2: float = 2e-3, l2_context: float = 0.1) -> LineCRF:
     """fit_crf of rows (doc_id, x, n, quality) that stay spread: the same steps on the same sums, up to their rounding.
 
-    Documents of like length are padded together and written; a step is one pass over them, of which the driver gets the sums of
-    each task. Only the sums of a round's targets are kept, as the gradient is linear in them.
+    Documents of like length are padded together and cut; a step is one pass over them, of which the driver gets the sums of
+    each task. Only the sums of a round's targets are kept, as the gradient is linear in them. A pass reads pickled blocks one by
+    one: as Arrow batches of Parquet rows, all blocks of a task were in an executor's memory several times.
     """
     def padded(batches):
         for b in batches:
             own = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in b["x"]]
             y = b["quality"].to_numpy(float)
-            for some, x, n, weight in _batches(own, [np.asarray(v, np.float32) for v in b["n"]]):
-                yield pd.DataFrame({"x": [x.tobytes()], "n": [n.tobytes()], "weight": [weight.tobytes()], "y": [y[some].tobytes()]})
+            for some, x, n, weight in _batches(own, [np.asarray(v, np.float32) for v in b["n"]], SPREAD_CHUNK):
+                yield pd.DataFrame({"block": [pickle.dumps((x, n, weight, y[some]), 5)]})
 
+    spark = rows.sparkSession
     alike = rows.repartitionByRange(1 + lines // SPREAD, F.size("n"), F.xxhash64("doc_id"))
-    blocks = written(alike.mapInPandas(padded, "x binary, n binary, weight binary, y binary"), "quality-blocks")
-
-    def read(batches):
-        for b in batches:
-            for x, n, weight, y in zip(b["x"], b["n"], b["weight"], b["y"]):
-                n = np.frombuffer(n, np.int64)
-                yield np.frombuffer(x, np.float32).reshape(len(n), -1, WIDTH), n, np.frombuffer(weight).reshape(len(n), -1), np.frombuffer(y)
+    blocks = cut_rdd(spark, alike.mapInPandas(padded, "block binary").rdd.map(lambda r: bytes(r["block"])))
+    blocks = blocks.coalesce(2 * spark.sparkContext.defaultParallelism)
 
     def total(of) -> np.ndarray:
-        def run(batches):
-            found = sum((np.concatenate(of(*block)) for block in read(batches)), np.zeros(3 * WIDTH + 5))
-            yield pd.DataFrame({"v": [found]})
+        def run(part):
+            yield sum((np.concatenate(of(*pickle.loads(block))) for block in part), np.zeros(3 * WIDTH + 5))
 
-        return np.sum([r["v"] for r in blocks.mapInPandas(run, "v array<double>").collect()], axis=0)  # a row a task
+        return np.sum(blocks.mapPartitions(run).collect(), axis=0)  # a row a task
 
     aim = np.zeros(3 * WIDTH + 5)
 
@@ -306,12 +303,12 @@ def fit_spread(rows: DataFrame, lines: int, rounds: int = 3, steps: int = 30, l2
     theta = _ascend(begin, gradient, lines, rounds, steps, l2, l2_context)
     w, t = theta[:-4], theta[-4:].reshape(2, 2)
 
-    def logits(batches):
-        for x, n, weight, y in read(batches):
-            p = np.clip((marginals(unary(x, w), n, t)[0] * weight).sum(axis=1), 1e-6, 1 - 1e-6)
-            yield pd.DataFrame({"z": np.log(p / (1 - p)), "y": y})
+    def logits(block):
+        x, n, weight, y = pickle.loads(block)
+        p = np.clip((marginals(unary(x, w), n, t)[0] * weight).sum(axis=1), 1e-6, 1 - 1e-6)
+        return zip(np.log(p / (1 - p)).tolist(), y.tolist())
 
-    scored = written(blocks.mapInPandas(logits, "z double, y double"), "quality-logits")
+    scored = written(spark.createDataFrame(blocks.flatMap(logits), "z double, y double"), "quality-logits")
 
     def sums(a: float, b: float) -> tuple:
         q = 1 / (1 + F.exp(-F.greatest(F.least(F.col("z") * float(a) + float(b), F.lit(30.0)), F.lit(-30.0))))

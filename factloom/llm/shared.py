@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shared import cut, delete_path, fresh_path, scratch, shared_dir, written
+from ..shared import cut, cut_rdd, delete_path, fresh_path, scratch, shared_dir, written
 
-__all__ = ["cut", "delete_path", "fresh_path", "scratch", "shared_dir", "table", "written"]
+__all__ = ["cut", "cut_rdd", "delete_path", "fresh_path", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

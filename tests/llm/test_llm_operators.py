@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html.parser
+import pickle
 import random
 import re
 import zlib
@@ -906,6 +907,22 @@ def test_spread_quality_fit_is_the_fit_of_one_machine(spark):
         assert np.allclose(a, b, rtol=1e-6, atol=1e-8)
 
 
+def test_spread_quality_fit_reads_its_blocks_one_by_one(spark):
+    """No pass is a query whose Arrow batches hold all blocks of a task, and no block is much over half a megabyte."""
+    from factloom import shared
+
+    line = [float(v) for v in line_quality.line_features("Some words of a line, 12 of them.")]
+    rows = spark.createDataFrame([(k, line * 50, [33.0] * 50, k % 2) for k in range(300)],
+                                 "doc_id long, x array<float>, n array<float>, quality int")
+    queries, before = spark._jsparkSession.sharedState().statusStore(), len(shared._made)
+    done = queries.executionsCount()
+    line_quality.fit_spread(rows, 300 * 50, rounds=0, steps=3)
+    new = queries.executionsList(done, 1000)
+    assert not [k for k in range(new.size()) if "MapInPandas" in new.apply(k).physicalPlanDescription()]
+    blocks = spark.sparkContext._checkpointFile(shared._made[before], spark.sparkContext.serializer).collect()
+    assert sum(len(pickle.loads(x)[1]) for x in blocks) == 300 and max(map(len, blocks)) < 600_000
+
+
 def test_near_dedup_stage_with_repeated_ids(spark):
     import corpus_pipeline as C
 
