@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..shared import written
 from .resolve import block_rows
 
 
@@ -15,24 +16,63 @@ def stored_facts(store: DataFrame, batch: DataFrame, key: list[str]) -> DataFram
     return store.join(batch.select(*key).distinct(), key, "left_semi")
 
 
+_BLOCK = ["type", "kind", "block"]
+#: Stored rows of a block that one unit of a join holds.
+_UNIT = 4_000
+
+
 def store_candidates(incoming: DataFrame, stored: DataFrame, limit: int = 100) -> DataFrame:
     """Profiles of a batch and of a store -> a (incoming key), b (stored key): entities of one type that share a name
     token, a domain or an id. The same key is the same node and no pair; stored entities are never paired with each other.
 
     A name token with more than `limit` stored entities keeps those most similar in name to the incoming one
-    (ties: the smaller key): the batch is the stated query set, so rows grow with it and not with the square of the store.
+    (ties: the smaller key). These are ranked once for each name, not for each entity. Other pairs are the result by themselves, and no
+    pair is shuffled: it is made in the first block that its two entities share. Large blocks are joined in units.
     """
-    s = block_rows(stored).select("type", "kind", "block", F.col("key").alias("b"))
-    i = block_rows(incoming).select("type", "kind", "block", F.col("key").alias("a"))
-    sizes = s.join(i.select("type", "kind", "block").distinct(), ["type", "kind", "block"], "left_semi").groupBy("type", "kind",
-        "block").agg(F.count(F.lit(1)).alias("n"))
-    pairs = i.join(sizes, ["type", "kind", "block"]).join(s, ["type", "kind", "block"]).where("a != b")
-    rare = pairs.where((F.col("kind") != "name") | (F.col("n") <= limit)).select("a", "b")
-    common = pairs.where((F.col("kind") == "name") & (F.col("n") > limit)).select("a", "b", "block")
-    named = common.join(incoming.select(F.col("key").alias("a"), F.col("name_key").alias("na")),
-        "a").join(stored.select(F.col("key").alias("b"), F.col("name_key").alias("nb")), "b")
-    rank = F.row_number().over(Window.partitionBy("a", "block").orderBy(F.desc(X.token_overlap(F.col("na"), F.col("nb"))), "b"))
-    return rare.union(named.withColumn("rank", rank).where(F.col("rank") <= limit).select("a", "b")).distinct()
+    s, i = block_rows(stored, "name_key"), block_rows(incoming, "name_key")
+    sizes = s.join(i.select(*_BLOCK).distinct(), _BLOCK, "left_semi").groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    # numbered, so that an entity's blocks are a short list of numbers
+    blocks = written(sizes.select(*_BLOCK, "n", F.monotonically_increasing_id().alias("id")), "blocks").withColumn("common",
+        (F.col("kind") == "name") & (F.col("n") > limit)).withColumn("units", F.ceil(F.col("n") / _UNIT).cast("int"))
+
+    def held(rows: DataFrame) -> DataFrame:
+        """key, rare (numbers of the blocks that are joined whole), all (blocks)."""
+        x = rows.join(blocks, _BLOCK)
+        return x.groupBy("key").agg(F.sort_array(F.collect_set(F.when(~F.col("common"), F.col("id")))).alias("rare"),
+            F.collect_set(F.struct("id", "units", "common", "name_key")).alias("all"))
+
+    def whole(x: DataFrame, name: str) -> DataFrame:
+        """A row for each rare block, with the entity's rare blocks of a smaller number."""
+        return x.select(F.col("key").alias(name), "rare", F.explode("all").alias("x")).where("NOT x.common").select(name, "x.id", "x.units",
+            F.filter("rare", lambda r: r < F.col("x.id")).alias(f"{name}_before")).distinct()
+
+    def ranked(x: DataFrame, key: str, name: str) -> DataFrame:
+        return x.select(F.col("key").alias(key), F.col("rare").alias(f"{key}_rare"), F.explode("all").alias("x")).where("x.common").select(key,
+            f"{key}_rare", "x.id", "x.units", F.col("x.name_key").alias(name))
+
+    own, theirs = held(i), held(s)
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are few for the pairs that they make
+    left = whole(own, "a").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).drop("units")
+    right = whole(theirs, "b").withColumn("unit", F.pmod(F.hash("b"), F.col("units"))).drop("units")
+    pairs = left.repartition(parts, "id", "unit").join(right.repartition(parts, "id", "unit"), ["id", "unit"]).where(
+        (F.col("a") != F.col("b")) & ~F.arrays_overlap("a_before", "b_before")).select("a", "b")
+
+    most = limit + 1  # the incoming key may be among them
+    asked = ranked(own, "a", "na")
+    each = ranked(theirs, "b", "nb").withColumn("rank", F.row_number().over(Window.partitionBy("id", "nb").orderBy("b"))).where(
+        F.col("rank") <= most)
+    heads = each.where("rank = 1").select("id", "nb", F.col("b").alias("first"), F.pmod(F.hash("nb"), F.col("units")).alias("unit"))
+    scored = asked.select("id", "na", "units").distinct().withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).join(heads,
+        ["id", "unit"]).select("id", "na", "nb", "first", X.token_overlap(F.col("na"), F.col("nb")).alias("o"))
+    # a key among the best has a name among the best, by overlap and the name's smallest key
+    names = scored.withColumn("rank", F.row_number().over(Window.partitionBy("id", "na").orderBy(F.desc("o"), "first"))).where(
+        F.col("rank") <= most).select("id", "na", "nb", "o")
+    rank = F.row_number().over(Window.partitionBy("id", "na").orderBy(F.desc("o"), "b"))
+    best = names.join(each.select("id", "nb", "b", "b_rare"), ["id", "nb"]).withColumn("rank", rank).where(F.col("rank") <= most).groupBy("id",
+        "na").agg(F.sort_array(F.collect_list(F.struct("rank", "b", "b_rare"))).alias("best"))
+    kept = asked.join(best, ["id", "na"]).select("a", "a_rare",
+        F.explode(F.slice(F.filter("best", lambda x: x["b"] != F.col("a")), 1, limit)).alias("x"))
+    return pairs.union(kept.where(~F.arrays_overlap("a_rare", "x.b_rare")).select("a", "x.b").distinct())
 
 
 def surface_pairs(gold: DataFrame, predicted: DataFrame) -> DataFrame:
