@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
@@ -58,13 +58,25 @@ def reconcile_qualifiers(members: DataFrame, key: list[str]) -> DataFrame:
         F.col("hi")).otherwise(F.col("best")).alias("value"))
 
 
+#: Votes and the rank of a type in one number; an ontology has fewer types.
+_TYPES = 1 << 24
+
+
 def best_type(predicates: DataFrame, domains: DataFrame) -> DataFrame:
-    """predicates (item, predicate), domains (predicate, type) -> item, type: most votes, then the type with fewest predicates, then by name."""
-    sizes = domains.groupBy("type").agg(F.count(F.lit(1)).alias("size"))
-    votes = predicates.join(F.broadcast(domains), "predicate").groupBy("item",
-        "type").agg(F.count(F.lit(1)).alias("votes")).join(F.broadcast(sizes), "type")
-    return votes.groupBy("item").agg(F.min_by("type", F.struct((-F.col("votes")).alias("v"), "size", "type")).alias("type"),
-        F.max("votes").alias("votes"))
+    """predicates (item, predicate), domains (predicate, type) -> item, type: most votes, then the type with fewest predicates, then by name.
+
+    Items are dealt out before their votes are made, so votes are counted where they arise: what is shuffled is the
+    predicates, and a task's counters are those of its items. Domains are an ontology's.
+    """
+    order = Window.orderBy("size", "type")
+    types = domains.where("type IS NOT NULL").groupBy("type").agg(F.count(F.lit(1)).alias("size")).select("type",
+        (F.row_number().over(order) - 1).cast("long").alias("rank"))
+    ranks = domains.join(types, "type").select("predicate", "rank")
+    parts = int(predicates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # votes are many for the rows that make them
+    votes = predicates.repartition(parts, "item").join(F.broadcast(ranks), "predicate").groupBy("item", "rank").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("item").agg(F.max(F.col("n") * _TYPES - F.col("rank")).alias("best")).select("item", "best",
+        F.shiftright(F.col("best") + (_TYPES - 1), 24).alias("votes"))
+    return best.withColumn("rank", F.col("votes") * _TYPES - F.col("best")).join(F.broadcast(types), "rank").select("item", "type", "votes")
 
 
 def hallucinated(text: Column, subject: Column, obj: Column) -> Column:
@@ -76,8 +88,6 @@ def hallucinated(text: Column, subject: Column, obj: Column) -> Column:
 def locate_pair(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     """sentences (doc_id, pos, start, end, text), pairs (id, doc_id, subject, object) -> id, n, start, end of the narrowest window of one or two adjacent
     sentences that names both: by number of sentences, width, place. Pairs without one are left out."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("pos")
     s = sentences.withColumn("t2", F.concat_ws(" ", "text", F.lead("text").over(w))).withColumn("end2", F.lead("end").over(w))
     windows = s.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("n"), "start", "end", F.col("text").alias("t")),
