@@ -95,7 +95,7 @@ def match_by_ids(predicted: DataFrame, names: DataFrame, gold: DataFrame) -> Dat
     """predicted (doc, ord, subject, relation, object), names (doc, name, id), gold (doc, s, relation, o) -> predicted
     with matched: some reading of the two names by the document's ids is a gold triple that no earlier prediction took.
 
-    Candidates are equi-joins; the order-dependent choice sees one document's candidates at a time.
+    Candidates are equi-joins; the order-dependent choice goes over each task's candidates in order, document by document.
     """
     n = names.select("doc", X.fold(F.col("name")).alias("name"), "id").distinct()
     c = predicted.select("doc", "ord", "relation", X.fold(F.col("subject")).alias("sn"), X.fold(F.col("object")).alias("on"))
@@ -104,17 +104,24 @@ def match_by_ids(predicted: DataFrame, names: DataFrame, gold: DataFrame) -> Dat
     c = c.join(gold.select("doc", "s", "relation", "o").distinct(), ["doc", "s", "relation", "o"]).select("doc", "ord", "s", "relation",
         "o")
 
-    def once(g: pd.DataFrame) -> pd.DataFrame:
-        taken, hits = set(), []
-        for _, rows in g.sort_values(["ord", "s", "o"]).groupby("ord", sort=True):
-            free = next((t for t in zip(rows["s"], rows["relation"], rows["o"]) if t not in taken), None)
-            if free is not None:
-                taken.add(free)
-                hits.append((rows["doc"].iloc[0], rows["ord"].iloc[0]))
-        return pd.DataFrame(hits, columns=["doc", "ord"])
+    def once(batches):
+        doc, num, taken, done = None, None, set(), False
+        for b in batches:
+            hits = []
+            for d, n, *t in zip(*(b[k] for k in ("doc", "ord", "s", "relation", "o"))):
+                if d != doc:
+                    doc, num, taken = d, None, set()
+                if n != num:
+                    num, done = n, False
+                if not done and (t := tuple(t)) not in taken:
+                    taken.add(t)
+                    hits.append((d, n))
+                    done = True
+            yield pd.DataFrame(hits, columns=["doc", "ord"])
 
     types = dict(c.dtypes)
-    hits = c.groupBy("doc").applyInPandas(once, f"doc {types['doc']}, ord {types['ord']}").withColumn("_hit", F.lit(True))
+    rows = c.where("ord IS NOT NULL").repartition("doc").sortWithinPartitions("doc", "ord", "s", "o")
+    hits = rows.mapInPandas(once, f"doc {types['doc']}, ord {types['ord']}").withColumn("_hit", F.lit(True))
     return predicted.join(hits, ["doc", "ord"], "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
