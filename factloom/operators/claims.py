@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import freshness
+from ..shared import cut
 
 
 def signature(*parts: Column) -> Column:
@@ -61,8 +62,10 @@ def contest(ranked: DataFrame, group: list[str], value: str) -> DataFrame:
     top (the best rival's rank) and ratio.
 
     The best rival of all but the best claim is the best claim; of the best claim, it is the second. Two
-    aggregations with partial combining find both, however many claims a group holds.
+    aggregations with partial combining find both, however many claims a group holds. Ranks are read for each of them
+    and for the result, so they are worked out once.
     """
+    ranked = cut(ranked)
     best = ranked.groupBy(*group).agg(F.max(F.struct("rank", value)).alias("first"))
     marked = ranked.join(best, group)
     second = marked.where(F.col(value) != F.col("first")[value]).groupBy(*group).agg(F.max("rank").alias("second"))
